@@ -1,0 +1,512 @@
+"""Walk-forward models on Spark ML: folds, estimators, blends, grids and searches.
+
+Fits are distributed by Spark ML. The driver only holds fold boundaries, configurations and fitted
+coefficients or trees, none of which grows with the data.
+"""
+
+from __future__ import annotations
+
+import itertools
+import math
+import random
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, replace
+from datetime import timedelta
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from panelspark.functions.calendar import subtract_business_days
+from panelspark.functions.crosssection import null_safe_join
+from panelspark.functions.metrics import drawdown_of_returns, information_coefficient, sharpe
+from panelspark.functions.scalar import row_median
+from panelspark.operators.evaluation import EvaluationConfig, long_short_returns
+from panelspark.session import require_columns
+
+MODEL_TYPES = ("ridge", "elasticnet", "random_forest", "gbt")
+PASSED_THROUGH = ("adj_close", "close", "next_open", "exit_close_5d", "exit_close_20d", "avg_dollar_volume_20d")
+
+
+@dataclass(frozen=True)
+class ModelConfig:
+    target: str = "fwd_5d_excess_return"
+    outcome: str = "fwd_5d_return"
+    benchmark_score: str = "momentum_20d"
+    first_train_start: str = "2020-01-01"
+    first_validation_start: str = "2022-01-01"
+    validation_months: int = 6
+    purge_days: int = 5
+    embargo_days: int = 0
+    model_type: str = "ridge"
+    alpha: float = 1.0
+    l1_ratio: float = 0.5
+    n_estimators: int = 600
+    max_depth: int = 6
+    min_samples_leaf: int = 25
+    learning_rate: float = 0.05
+    subsample: float = 0.8
+    seed: int = 42
+
+
+@dataclass(frozen=True)
+class Fold:
+    split_id: int
+    train_start: str
+    train_end: str
+    validation_start: str
+    validation_end: str
+    #: (first, last) dates removed from training after earlier validation windows
+    embargoed: tuple[tuple[str, str], ...] = ()
+
+
+def walk_forward_folds(
+    frame: DataFrame, *, first_train_start, first_validation_start, validation_months: int = 12, purge_days: int = 0,
+    embargo_days: int = 0, date: str = "date",
+) -> list[Fold]:
+    """Expanding folds whose validation window ends inside the data and that have rows on both sides.
+
+    One pass counts rows per month-aligned fold candidate; the result is a handful of rows.
+    """
+    if validation_months <= 0 or purge_days < 0 or embargo_days < 0:
+        raise ValueError("validation_months must be positive, purge and embargo non-negative")
+    candidates = fold_table(
+        frame, first_train_start=first_train_start, first_validation_start=first_validation_start,
+        validation_months=validation_months, purge_days=purge_days, date=date,
+    ).orderBy("split_id")
+    folds, past = [], []
+    for r in candidates.toLocalIterator():
+        embargoed = tuple(past) if embargo_days else ()
+        folds.append(Fold(r.split_id, str(r.train_start), str(r.train_end), str(r.validation_start), str(r.validation_end), embargoed))
+        past.append((str(r.validation_end), str(r.validation_end + timedelta(days=embargo_days))))
+    return folds
+
+
+def fold_table(
+    frame: DataFrame, *, first_train_start, first_validation_start, validation_months: int = 12, purge_days: int = 0,
+    date: str = "date",
+) -> DataFrame:
+    """Fold boundaries and row counts as a table, one row per usable fold."""
+    per_day = frame.groupBy(F.col(date).cast("date").alias("d")).agg(F.count("*").alias("n"))
+    start = F.lit(str(first_validation_start)).cast("date")
+    span = per_day.agg(F.max("d").alias("last"))
+    count = F.floor(F.months_between(F.col("last"), start) / validation_months).cast("int") + 2
+    steps = span.select("last", F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(0)))).alias("k"))
+    folds = steps.select(
+        "last", "k", F.lit(str(first_train_start)).cast("date").alias("train_start"),
+        F.add_months(start, F.col("k") * validation_months).alias("validation_start"),
+        F.date_sub(F.add_months(start, (F.col("k") + 1) * validation_months), 1).alias("validation_end"),
+    ).filter("validation_start <= last and validation_end <= last")
+    folds = folds.withColumn("train_end", F.date_sub("validation_start", purge_days + 1))
+    # days and folds are both bounded by the calendar
+    train = (F.col("d") >= F.col("train_start")) & (F.col("d") <= F.col("train_end"))
+    valid = (F.col("d") >= F.col("validation_start")) & (F.col("d") <= F.col("validation_end"))
+    counted = per_day.join(F.broadcast(folds), train | valid).groupBy(
+        "train_start", "train_end", "validation_start", "validation_end"
+    ).agg(F.sum(F.when(train, F.col("n")).otherwise(0)).alias("train_rows"), F.sum(F.when(valid, F.col("n")).otherwise(0)).alias("validation_rows"))
+    usable = counted.filter("train_rows > 0 and validation_rows > 0")
+    return usable.withColumn("split_id", F.row_number().over(Window.orderBy("validation_start")))
+
+
+def fold_rows(frame: DataFrame, fold: Fold, date: str = "date") -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows of a fold; date filters reach the scan."""
+    d = F.col(date).cast("date")
+    train = frame.filter(d.between(F.lit(fold.train_start).cast("date"), F.lit(fold.train_end).cast("date")))
+    for after, upto in fold.embargoed:
+        train = train.filter(~((d > F.lit(after).cast("date")) & (d <= F.lit(upto).cast("date"))))
+    return train, frame.filter(d.between(F.lit(fold.validation_start).cast("date"), F.lit(fold.validation_end).cast("date")))
+
+
+def build_pipeline(config: ModelConfig, features, rows: int, label_std: float) -> Pipeline:
+    """Median imputation, scaling for linear models, and the estimator.
+
+    Spark standardises the label and scales features by the sample deviation, so the penalties are
+    converted to mean the same as on population-standardised features with an unscaled label.
+    """
+    features = list(features)
+    filled = [f"__f_{c}" for c in features]
+    stages = [Imputer(strategy="median", inputCols=features, outputCols=filled, relativeError=1e-4),
+              VectorAssembler(inputCols=filled, outputCol="__raw", handleInvalid="keep")]
+    common = {"labelCol": config.target, "predictionCol": "prediction"}
+    if config.model_type in ("ridge", "elasticnet"):
+        stages.append(StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True))
+        shrink = (rows - 1) / rows if rows > 1 else 1.0
+        if config.model_type == "ridge":
+            l1, l2 = 0.0, config.alpha / max(rows, 1) * label_std * shrink
+        else:
+            l1 = config.alpha * config.l1_ratio * math.sqrt(shrink)
+            l2 = config.alpha * (1 - config.l1_ratio) * label_std * shrink
+        total = l1 + l2
+        stages.append(LinearRegression(featuresCol="__x", regParam=total, elasticNetParam=l1 / total if total else 0.0,
+                                       standardization=False, solver="normal", maxIter=1000, tol=1e-10, **common))
+    elif config.model_type == "random_forest":
+        stages.append(RandomForestRegressor(
+            featuresCol="__raw", numTrees=config.n_estimators, maxDepth=config.max_depth,
+            minInstancesPerNode=config.min_samples_leaf, featureSubsetStrategy="all", seed=config.seed, **common))
+    elif config.model_type == "gbt":
+        stages.append(GBTRegressor(
+            featuresCol="__raw", maxIter=config.n_estimators, maxDepth=config.max_depth, stepSize=config.learning_rate,
+            subsamplingRate=config.subsample, minInstancesPerNode=config.min_samples_leaf, seed=config.seed, **common))
+    else:
+        raise ValueError(f"unsupported model_type: {config.model_type}; choose from {MODEL_TYPES}")
+    return Pipeline(stages=stages)
+
+
+def fit(train: DataFrame, config: ModelConfig, features) -> PipelineModel:
+    stats = train.agg(F.count("*").alias("n"), F.stddev_pop(config.target).alias("s")).first()
+    return build_pipeline(config, features, stats["n"], stats["s"] or 0.0).fit(train)
+
+
+def predict(model: PipelineModel, rows: DataFrame, out: str = "prediction") -> DataFrame:
+    scored = model.transform(rows)
+    drop = [c for c in scored.columns if c.startswith("__")]
+    return scored.drop(*drop).withColumnRenamed("prediction", out)
+
+
+def importances(model: PipelineModel, features) -> list[tuple[str, float]]:
+    """Importance per feature: tree gain, or absolute coefficient."""
+    last = model.stages[-1]
+    values = last.featureImportances if hasattr(last, "featureImportances") else [abs(c) for c in last.coefficients]
+    return [(f, float(v)) for f, v in zip(features, values)]
+
+
+def model_rows(frame: DataFrame, config: ModelConfig, features) -> DataFrame:
+    """Rows without nulls in features and targets, and only the columns a fold needs."""
+    needed = list(dict.fromkeys([*features, config.target, config.outcome]))
+    require_columns(frame, ["date", "symbol", *needed], "research frame")
+    extra = [c for c in (config.benchmark_score, *PASSED_THROUGH) if c in frame.columns]
+    columns = list(dict.fromkeys(["date", "symbol", *needed, *extra]))
+    return frame.select(*columns).dropna(subset=needed)
+
+
+def _over_folds(folds, work, threads: int):
+    """Run independent fits side by side so that small stages of one fill gaps of another."""
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(folds)))) as pool:
+        return list(pool.map(work, folds))
+
+
+def walk_forward(
+    frame: DataFrame, features, config: ModelConfig | None = None, *, threads: int = 4, cached: bool = True,
+) -> dict:
+    """Fit every fold and predict its validation rows.
+
+    Returns predictions, importances per fold and the folds. The model rows are cached because every
+    fold reads them; a lost executor's part is recomputed from lineage.
+    """
+    config = config or ModelConfig()
+    features = list(features)
+    rows = model_rows(frame, config, features)
+    if cached:
+        rows = rows.persist()
+    folds = walk_forward_folds(
+        rows, first_train_start=config.first_train_start, first_validation_start=config.first_validation_start,
+        validation_months=config.validation_months, purge_days=config.purge_days, embargo_days=config.embargo_days)
+    if not folds:
+        raise ValueError("walk-forward configuration produced no usable validation splits")
+
+    def one(fold):
+        train, valid = fold_rows(rows, fold)
+        model = fit(train, config, features)
+        out = predict(model, valid).drop(*[f for f in features if f not in (config.benchmark_score, *PASSED_THROUGH)])
+        out = out.withColumns({"split_id": F.lit(fold.split_id), **{
+            c: F.lit(getattr(fold, c)).cast("date") for c in ("train_start", "train_end", "validation_start", "validation_end")}})
+        return fold, model, out
+
+    fitted = _over_folds(folds, one, threads)
+    predictions = fitted[0][2]
+    for _, _, part in fitted[1:]:
+        predictions = predictions.unionByName(part)
+    lines = [(fold.split_id, name, value) for fold, model, _ in fitted for name, value in importances(model, features)]
+    table = frame.sparkSession.createDataFrame(lines, "split_id int, feature string, importance double")
+    return {"rows": rows, "folds": folds, "models": [m for _, m, _ in fitted], "predictions": predictions, "importance": table}
+
+
+def rank_importance(importance: DataFrame) -> DataFrame:
+    order = Window.partitionBy("split_id").orderBy(F.desc("importance"), "feature")
+    return importance.withColumn("rank", F.row_number().over(order))
+
+
+def aggregate_importance(importance: DataFrame) -> DataFrame:
+    return importance.groupBy("feature").agg(
+        F.avg("importance").alias("mean_importance"), F.stddev_samp("importance").alias("std_importance"))
+
+
+def importance_across_splits(ranked: DataFrame) -> DataFrame:
+    return ranked.groupBy("feature").agg(
+        F.avg("importance").alias("mean_importance"), F.avg("rank").alias("mean_rank"),
+        F.avg((F.col("rank") <= 3).cast("double")).alias("top3_rate"), F.countDistinct("split_id").alias("splits"))
+
+
+def stable_top_features(ranked: DataFrame, limit: int = 5) -> DataFrame:
+    table = ranked.groupBy("feature").agg(F.avg("importance").alias("mean_importance"), F.median("rank").alias("median_rank"))
+    return table.orderBy(F.desc("mean_importance"), "median_rank", "feature").limit(limit)
+
+
+def summarize_splits(
+    predictions: DataFrame, config: ModelConfig, evaluation: EvaluationConfig | None = None, *, score: str = "prediction",
+    rows: DataFrame | None = None, folds=None, small: bool | None = None, extra_scores=(),
+) -> DataFrame:
+    """One row per split: sizes, rank correlation, hit rate and long/short metrics for both scores."""
+    evaluation = evaluation or EvaluationConfig()
+    y = config.target
+    right = (F.col(score) > 0) == (F.col(y) > 0)
+    out = predictions.groupBy("split_id").agg(
+        F.min("date").alias("validation_start"), F.max("date").alias("validation_end"), F.count("*").alias("validation_rows"),
+        F.countDistinct("symbol").alias("symbols"), F.avg(right.cast("double")).alias("directional_hit_rate"))
+    if rows is not None and folds:
+        spans = [(f.split_id, f.train_start, f.train_end) for f in folds]
+        table = F.broadcast(rows.sparkSession.createDataFrame(spans, "split_id int, a string, b string"))
+        days = rows.groupBy(F.col("date").cast("date").alias("d")).agg(F.count("*").alias("n"))
+        sizes = days.join(table, F.col("d").between(F.col("a").cast("date"), F.col("b").cast("date"))).groupBy("split_id").agg(
+            F.min("d").alias("train_start"), F.max("d").alias("train_end"), F.sum("n").alias("train_rows"))
+        out = out.join(sizes, "split_id", "left")
+    parts = [information_coefficient(predictions, ["split_id"], score, y, "ic_spearman", small)]
+    for name in extra_scores:
+        parts.append(information_coefficient(predictions, ["split_id"], name, y, f"ic_{name}", small))
+    runs = [("", score)]
+    if config.benchmark_score in predictions.columns:
+        runs.append(("benchmark_", config.benchmark_score))
+        parts.append(information_coefficient(predictions, ["split_id"], config.benchmark_score, y, "benchmark_ic_spearman", small))
+    for prefix, name in runs:
+        daily = long_short_returns(predictions, evaluation, ["split_id"], score=name, outcome=config.outcome, small=small)
+        line = [
+            F.avg("net_return").alias(f"{prefix}backtest_mean_daily_return"), sharpe("net_return").alias(f"{prefix}backtest_sharpe"),
+            F.avg("risk_net_return").alias(f"{prefix}risk_backtest_mean_daily_return"),
+            sharpe("risk_net_return").alias(f"{prefix}risk_backtest_sharpe")]
+        if not prefix:
+            line.append(F.count_if("risk_trading_enabled").alias("risk_backtest_trading_days"))
+        parts.append(daily.groupBy("split_id").agg(*line))
+        parts.append(drawdown_of_returns(daily, "net_return", ["date"], ["split_id"], f"{prefix}backtest_max_drawdown"))
+        parts.append(drawdown_of_returns(daily, "risk_net_return", ["date"], ["split_id"], f"{prefix}risk_backtest_max_drawdown"))
+    for part in parts:
+        out = null_safe_join(out, part, ["split_id"])
+    return out
+
+
+# --- ensembles ------------------------------------------------------------------------------------
+
+
+def consensus_weights(predictions: DataFrame, names, keys=("split_id",)) -> DataFrame:
+    """Weight of each model: its correlation with the row-wise median, floored at 0, normalised."""
+    keys = list(keys)
+    df = predictions.withColumn("__median", row_median(names))
+    good = {n: F.greatest(F.coalesce(F.when((F.stddev_pop(n) > 0) & (F.stddev_pop("__median") > 0), F.corr(n, "__median")), F.lit(0.0)), F.lit(0.0)) for n in names}
+    table = df.groupBy(*keys).agg(*[g.alias(f"__c_{n}") for n, g in good.items()])
+    total = sum((F.col(f"__c_{n}") for n in names), F.lit(0.0))
+    even = F.lit(1.0 / len(names))
+    return table.select(*keys, *[F.when(total > 0, F.try_divide(F.col(f"__c_{n}"), total)).otherwise(even).alias(f"weight_{n}") for n in names])
+
+
+def blend(predictions: DataFrame, names, method: str = "average", keys=("split_id",), out: str = "prediction") -> DataFrame:
+    """Combine model columns: plain mean (``average`` and ``meta``) or consensus-weighted."""
+    names = list(names)
+    if method in ("average", "meta"):
+        return predictions.withColumn(out, sum((F.col(n) for n in names), F.lit(0.0)) / len(names))
+    if method != "weighted":
+        raise ValueError("method must be average, weighted or meta")
+    weights = consensus_weights(predictions, names, keys)
+    df = predictions.join(F.broadcast(weights), list(keys))  # one row per fold
+    return df.withColumn(out, sum((F.col(n) * F.col(f"weight_{n}") for n in names), F.lit(0.0)))
+
+
+def ensemble_walk_forward(
+    frame: DataFrame, features, model_types=("ridge", "elasticnet", "random_forest"), config: ModelConfig | None = None,
+    method: str = "average", *, overrides: dict[str, dict] | None = None, threads: int = 4,
+) -> DataFrame:
+    """Predictions of several model types per fold, one column each, and their blend.
+
+    All models of a fold score the same validation rows in one chain of transformers, so there is no
+    join back by key.
+    """
+    if len(model_types) < 2:
+        raise ValueError("an ensemble requires at least two model types")
+    config = config or ModelConfig()
+    features = list(features)
+    rows = model_rows(frame, config, features).persist()
+    folds = walk_forward_folds(
+        rows, first_train_start=config.first_train_start, first_validation_start=config.first_validation_start,
+        validation_months=config.validation_months, purge_days=config.purge_days, embargo_days=config.embargo_days)
+
+    def one(fold):
+        train, out = fold_rows(rows, fold)
+        for kind in model_types:
+            model = fit(train, replace(config, model_type=kind, **(overrides or {}).get(kind, {})), features)
+            out = predict(model, out, f"pred_{kind}")
+        return out.withColumn("split_id", F.lit(fold.split_id))
+
+    parts = _over_folds(folds, one, threads)
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return blend(table, [f"pred_{k}" for k in model_types], method)
+
+
+# --- grids and searches ---------------------------------------------------------------------------
+
+# The named feature sets; ratio and product columns are generated from the windows.
+FEATURE_SETS = {
+    "momentum": ("return_5d", "return_20d", "return_60d", "return_20d_skip_5d", "return_60d_skip_5d", "sector_rank_momentum_20d"),
+    "volatility_liquidity": (
+        "volatility_5d", "volatility_20d", "volatility_60d", "volume_change_5d", "relative_volume_20d", "log_dollar_volume",
+        "log_avg_dollar_volume_20d", "sector_rank_volatility_20d"),
+    "relative_strength": (
+        "stock_minus_market_return_5d", "stock_minus_market_return_20d", "stock_minus_market_return_60d", "sector_return_20d",
+        "sector_return_60d", "stock_minus_sector_return_20d", "stock_minus_sector_return_60d", "sector_rank_return_20d",
+        "sector_rank_return_60d", "beta_60d", "correlation_to_market_60d"),
+    "trend_range": (
+        "price_above_sma_20", "price_above_sma_50", "distance_from_20d_high", "distance_from_60d_high", "drawdown_20d",
+        "drawdown_60d", "high_low_range_20d", "high_low_range_60d"),
+}
+# The default and the fast model specifications.
+MODEL_SPECS = {
+    "ridge": {"model_type": "ridge"},
+    "elasticnet": {"model_type": "elasticnet", "alpha": 0.0005},
+    "rf_shallow": {"model_type": "random_forest", "n_estimators": 300, "max_depth": 4, "min_samples_leaf": 40},
+    "rf_balanced": {"model_type": "random_forest", "n_estimators": 500, "max_depth": 6, "min_samples_leaf": 25},
+    "rf_large_leaf": {"model_type": "random_forest", "n_estimators": 500, "max_depth": 8, "min_samples_leaf": 60},
+}
+FAST_MODEL_SPECS = {
+    "ridge": {"model_type": "ridge"},
+    "rf_fast": {"model_type": "random_forest", "n_estimators": 180, "max_depth": 6, "min_samples_leaf": 30},
+}
+
+
+def feature_sets(columns) -> dict[str, tuple[str, ...]]:
+    """Named sets restricted to available columns, each with the volatility ratios the frame has."""
+    have = list(columns)
+    sets = {n: tuple(c for c in cols if c in have) for n, cols in FEATURE_SETS.items()}
+    ratios = tuple(c for c in have if c.startswith("volatility_ratio_"))
+    sets["volatility_liquidity"] += ratios
+    sets["all_technical"] = tuple(dict.fromkeys(itertools.chain(("return_1d",) if "return_1d" in have else (), *sets.values())))
+    return sets
+
+
+def leaderboard_row(summary: DataFrame, name: str, **tags) -> DataFrame:
+    """Collapse split summaries into one experiment row."""
+    return summary.agg(
+        F.count("*").alias("splits"), F.avg("ic_spearman").alias("ic_mean"), F.stddev_samp("ic_spearman").alias("ic_std"),
+        F.count_if(F.col("ic_spearman") > 0).alias("positive_ic_splits"), F.avg("directional_hit_rate").alias("hit_rate"),
+        F.avg("backtest_sharpe").alias("backtest_sharpe"), F.min("backtest_max_drawdown").alias("backtest_max_drawdown"),
+        F.avg("risk_backtest_sharpe").alias("risk_backtest_sharpe"),
+        F.min("risk_backtest_max_drawdown").alias("risk_backtest_max_drawdown"),
+    ).withColumns({"experiment": F.lit(name), **{k: F.lit(v) for k, v in tags.items()}})
+
+
+def experiment_grid(
+    frame: DataFrame, horizons=(5, 20), sets: dict | None = None, specs: dict | None = None, config: ModelConfig | None = None,
+    evaluation: EvaluationConfig | None = None, target_kind: str = "excess", small: bool | None = None, threads: int = 4,
+) -> DataFrame:
+    """Horizon x feature set x model leaderboard. A failing cell becomes a row with its error."""
+    base = config or ModelConfig()
+    out = None
+    for h, (set_name, cols), (spec_name, spec) in itertools.product(
+        horizons, (sets or feature_sets(frame.columns)).items(), (specs or MODEL_SPECS).items()
+    ):
+        name = f"h{h}_{set_name}_{spec_name}"
+        target = f"fwd_{h}d_excess_return" if target_kind == "excess" else f"fwd_{h}d_return"
+        cfg = replace(base, target=target, outcome=f"fwd_{h}d_return", purge_days=h, **spec)
+        tags = {"horizon": h, "feature_set": set_name, "model": spec_name}
+        try:
+            run = walk_forward(frame, cols, cfg, threads=threads)
+            row = leaderboard_row(summarize_splits(run["predictions"], cfg, evaluation, small=small), name, **tags).withColumn("error", F.lit(""))
+        except (KeyError, ValueError) as error:
+            row = frame.sparkSession.createDataFrame([(name, h, set_name, spec_name, str(error))], "experiment string, horizon int, feature_set string, model string, error string")
+        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+    return out.orderBy(F.col("risk_backtest_sharpe").desc_nulls_last(), F.col("ic_mean").desc_nulls_last(), "experiment")
+
+
+def select_experiment(leaderboard: DataFrame, name: str | None = None) -> DataFrame:
+    if name is not None:
+        return leaderboard.filter(F.col("experiment") == name)
+    return leaderboard.orderBy(F.col("risk_backtest_sharpe").desc_nulls_last(), "experiment").limit(1)
+
+
+# Search grids per model type.
+SEARCH_GRIDS = {
+    "ridge": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]},
+    "elasticnet": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "l1_ratio": [0.0, 0.25, 0.5, 0.75, 1.0]},
+    "random_forest": {"n_estimators": [100, 200, 500], "max_depth": [5, 10, 15], "min_samples_leaf": [10, 25, 50]},
+    "gbt": {"n_estimators": [100, 200], "max_depth": [5, 10], "learning_rate": [0.05, 0.1], "subsample": [0.8, 1.0]},
+}
+# Sampling ranges as (kind, low, high, step).
+SEARCH_RANGES = {
+    "ridge": {"alpha": ("log", 1e-4, 1e4, None)},
+    "elasticnet": {"alpha": ("log", 1e-4, 1e4, None), "l1_ratio": ("float", 0.0, 1.0, None)},
+    "random_forest": {"n_estimators": ("int", 100, 1000, 50), "max_depth": ("int", 3, 20, 1), "min_samples_leaf": ("int", 5, 100, 5)},
+    "gbt": {"n_estimators": ("int", 50, 500, 25), "max_depth": ("int", 3, 15, 1), "learning_rate": ("log", 0.01, 0.3, None), "subsample": ("float", 0.5, 1.0, None)},
+}
+
+
+def grid_trials(model_type: str) -> list[dict]:
+    grid = SEARCH_GRIDS[model_type]
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+
+
+def random_trials(model_type: str, n: int, seed: int = 42) -> list[dict]:
+    source = random.Random(seed)
+
+    def draw(kind, low, high, step):
+        if kind == "log":
+            return math.exp(source.uniform(math.log(low), math.log(high)))
+        if kind == "float":
+            return source.uniform(low, high)
+        return source.randrange(low, high + 1, step)
+
+    return [{name: draw(*spec) for name, spec in SEARCH_RANGES[model_type].items()} for _ in range(n)]
+
+
+def search(
+    frame: DataFrame, features, model_type: str = "ridge", *, method: str = "random", n_trials: int = 50,
+    config: ModelConfig | None = None, evaluation: EvaluationConfig | None = None, seed: int = 42, small: bool | None = None,
+) -> DataFrame:
+    """Trials table: every parameter set with the mean validation Sharpe over the folds, best first."""
+    base = replace(config or ModelConfig(), model_type=model_type)
+    trials = grid_trials(model_type) if method == "grid" else random_trials(model_type, n_trials, seed)
+    lines = []
+    spark = frame.sparkSession
+    for number, params in enumerate(trials):
+        try:
+            run = walk_forward(frame, features, replace(base, **params))
+            daily = long_short_returns(run["predictions"], evaluation, ["split_id"], score="prediction", outcome=base.outcome, small=small)
+            value = daily.groupBy("split_id").agg(sharpe("net_return").alias("s")).agg(F.avg("s")).first()[0]
+            state = "COMPLETE"
+        except ValueError:
+            value, state = None, "FAIL"
+        lines.append((number, value, state, {k: float(v) for k, v in params.items()}))
+    table = spark.createDataFrame(lines, "number int, value double, state string, params map<string,double>")
+    return table.orderBy(F.col("value").desc_nulls_last(), "number")
+
+
+def trial_states(trials: DataFrame) -> DataFrame:
+    return trials.groupBy("state").agg(F.count("*").alias("trials"))
+
+
+def best_trial(trials: DataFrame) -> DataFrame:
+    return trials.agg(F.count("*").alias("n_trials"), F.max("value").alias("best_value"), F.max_by("params", "value").alias("best_params"))
+
+
+def score_as_of(frame: DataFrame, as_of, features, config: ModelConfig, horizon: int) -> dict:
+    """Train on rows whose label is known by ``as_of`` and score that date's rows."""
+    day = F.lit(str(as_of)).cast("date")
+    cutoff = subtract_business_days(day, F.lit(horizon))
+    needed = [*features, config.target]
+    train = frame.filter(F.col("date").cast("date") <= cutoff).dropna(subset=needed)
+    model = fit(train, config, features)
+    scored = predict(model, frame.filter(F.col("date").cast("date") == day).dropna(subset=list(features)), "score")
+    return {"model": model, "scored": scored, "train": train}
+
+
+def scoring_summary(train: DataFrame, orders: DataFrame) -> DataFrame:
+    """One row: training span and size, and the planned orders."""
+    planned = F.col("status") == "planned"
+    left = train.agg(F.min("date").alias("train_start"), F.max("date").alias("train_end"), F.count("*").alias("train_rows"), F.lit(1).alias("__k"))
+    right = orders.agg(
+        F.count("*").alias("candidate_rows"), F.count_if(planned).alias("planned_orders"),
+        F.coalesce(F.sum(F.when(planned, F.col("estimated_entry_value"))), F.lit(0.0)).alias("planned_value"), F.lit(1).alias("__k"))
+    return left.join(right, "__k").drop("__k")
+
+
+def config_json(config) -> dict:
+    return asdict(config)

