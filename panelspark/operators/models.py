@@ -161,7 +161,7 @@ def fit(train: DataFrame, config: ModelConfig, features) -> PipelineModel:
 
 def predict(model: PipelineModel, rows: DataFrame, out: str = "prediction") -> DataFrame:
     scored = model.transform(rows)
-    drop = [c for c in scored.columns if c.startswith("__")]
+    drop = [c for c in scored.columns if c.startswith("__") or (c == out and out != "prediction")]
     return scored.drop(*drop).withColumnRenamed("prediction", out)
 
 

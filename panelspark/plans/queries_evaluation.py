@@ -1,0 +1,790 @@
+"""Registered queries: evaluation, discovery, lanes, portfolios, ledgers and models."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from panelspark.functions import crosssection, metrics
+from panelspark.operators import (
+    asof, audit, discovery, evaluation, features, lanes, ledger, models, monitoring, portfolio, reports,
+)
+from panelspark.operators.evaluation import EvaluationConfig, Scenario
+from panelspark.operators.research import momentum_evaluation, research_frame
+from panelspark.plans.registry import query, rounded
+
+BASE = EvaluationConfig()
+ACCOUNT = EvaluationConfig(long_fraction=0.10, max_position_weight=0.10, min_score=0.01, initial_capital=50_000.0,
+                           rebalance_interval_days=20, max_adv_fraction=0.05)
+
+
+def held(i, config=BASE, **kw):
+    return evaluation.positions(i.scored(), config, ["split_id"], small=i.small_sections, **kw)
+
+
+# --- long/short -----------------------------------------------------------------------------------
+
+
+@query("long_short_daily_returns")
+def long_short_daily_returns(i):
+    """Top against bottom tenth of every date, per split, with compounded equity."""
+    return rounded(evaluation.long_short_returns(i.scored(), BASE, ["split_id"], small=i.small_sections))
+
+
+@query("daily_positions")
+def daily_positions(i):
+    return rounded(held(i))
+
+
+@query("volatility_targeted_returns")
+def volatility_targeted_returns(i):
+    cfg = EvaluationConfig(target_volatility=0.5, max_leverage=1.5)
+    out = evaluation.long_short_returns(i.scored(), cfg, ["split_id"], small=i.small_sections)
+    return rounded(out.select("split_id", "date", "net_return", "leverage", "risk_net_return", "risk_equity"))
+
+
+@query("drawdown_stop_returns")
+def drawdown_stop_returns(i):
+    cfg = EvaluationConfig(max_drawdown_stop=0.05, cooldown_days=20)
+    out = evaluation.long_short_returns(i.scored(), cfg, ["split_id"], small=i.small_sections)
+    return rounded(out.select("split_id", "date", "risk_net_return", "risk_trading_enabled", "risk_equity"))
+
+
+@query("trade_capped_positions")
+def trade_capped_positions(i):
+    """Positions when a symbol may be traded 12 times per split; checked by brute force in the tests."""
+    return rounded(held(i, EvaluationConfig(max_symbol_trades=12)))
+
+
+@query("portfolio_diagnostics")
+def portfolio_diagnostics(i):
+    out = evaluation.portfolio_diagnostics(i.scored(), BASE, small=i.small_sections)
+    return rounded(out.select("split_id", "date", "net_return", "raw_equity", "risk_equity_full"))
+
+
+@query("monthly_portfolio_returns")
+def monthly_portfolio_returns(i):
+    return rounded(evaluation.monthly_returns(evaluation.long_short_returns(i.scored(), BASE, ["split_id"], small=i.small_sections)))
+
+
+@query("symbol_contributions")
+def symbol_contributions(i):
+    return rounded(evaluation.symbol_contributions(held(i)))
+
+
+@query("return_metrics")
+def return_metrics(i):
+    """Sharpe, Sortino, hit rate and drawdown of the daily returns per split."""
+    daily = evaluation.long_short_returns(i.scored(), BASE, ["split_id"], small=i.small_sections)
+    table = daily.groupBy("split_id").agg(
+        metrics.sharpe("net_return").alias("sharpe"), metrics.sortino("net_return").alias("sortino"),
+        metrics.hit_rate("net_return").alias("hit_rate"))
+    fall = metrics.drawdown_of_returns(daily, "net_return", ["date"], ["split_id"])
+    return rounded(table.join(fall, "split_id"))
+
+
+@query("information_coefficients")
+def information_coefficients(i):
+    return rounded(metrics.information_coefficient(i.scored(), ["split_id"], "score", "forward_return", small=i.small_sections))
+
+
+@query("momentum_evaluation")
+def momentum_evaluation_query(i):
+    frame = research_frame(i.prices(), i.universe(), benchmark=i.benchmark(), small=i.small_sections)
+    out = momentum_evaluation(frame, small=i.small_sections)
+    return rounded(out.select("date", "gross_return", "net_return", "long_count", "short_count", "risk_equity"))
+
+
+# --- accounts and sweeps (path-dependent: checked against brute force in the tests) -----------------
+
+
+def base_runs(i, scenarios=None, keys=()):
+    return evaluation.event_accounts(i.scored(), scenarios or [Scenario("base", ACCOUNT)], keys)
+
+
+@query("event_account_equity")
+def event_account_equity(i):
+    return base_runs(i).equity.drop("stop_score", "stop_symbol", "cash_score", "cash_symbol")
+
+
+@query("event_account_ledger")
+def event_account_ledger(i):
+    return base_runs(i).ledger()
+
+
+@query("capital_account_equity")
+def capital_account_equity(i):
+    return evaluation.capital_accounts(i.scored(), [Scenario("base", replace(ACCOUNT, max_drawdown_stop=0.3))])
+
+
+@query("portfolio_rule_experiments")
+def portfolio_rule_experiments(i):
+    return evaluation.summarize_runs(base_runs(i, evaluation.rule_scenarios(50_000.0)))
+
+
+@query("event_risk_sweep")
+def event_risk_sweep(i):
+    """The full grid of weights, fractions, scores, stops and regimes: 324 accounts."""
+    market = features.market_returns(i.benchmark(), (20, 60)).select("date", "market_return_20d", "market_return_60d")
+    signals = i.scored().join(F.broadcast(market), "date", "left")
+    return evaluation.summarize_runs(evaluation.event_accounts(signals, evaluation.event_risk_scenarios(base=ACCOUNT)))
+
+
+@query("stability_by_split")
+def stability_by_split(i):
+    return evaluation.summarize_runs(base_runs(i, keys=["split_id"]))
+
+
+@query("cost_stress_sweep")
+def cost_stress_sweep(i):
+    return evaluation.summarize_runs(base_runs(i, evaluation.cost_stress_scenarios(base=ACCOUNT)))
+
+
+@query("concentration_sweep")
+def concentration_sweep(i):
+    return evaluation.concentration_summary(i.scored(), (None, 25, 75), BASE, ACCOUNT, i.small_sections)
+
+
+@query("bankroll_sweep")
+def bankroll_sweep(i):
+    runs = base_runs(i, evaluation.varied_scenarios("initial_capital", (2_000.0, 10_000.0, 50_000.0, 250_000.0), ACCOUNT))
+    return evaluation.summarize_runs(runs)
+
+
+@query("score_threshold_sweep")
+def score_threshold_sweep(i):
+    return evaluation.summarize_runs(base_runs(i, evaluation.varied_scenarios("min_score", (None, 0.0, 0.01, 0.05, 0.2), ACCOUNT)))
+
+
+# --- discovery ------------------------------------------------------------------------------------
+
+DISCOVERY = discovery.DiscoveryConfig(min_avg_dollar_volume_20d=30_000.0, min_market_cap=100_000_000.0, top_n=5)
+
+
+def discovery_frame(i):
+    """Panel with the features the funnel reads, fundamentals and metadata."""
+    from panelspark.operators import fundamentals
+
+    w = (5, 20, 60)
+    p = features.base_features(i.prices())
+    p = features.return_features(p, w)
+    p = features.volume_features(p, (20,))
+    p = features.range_features(p, (20, 50), (60,))
+    p = features.market_relative_features(p, i.benchmark(), (20,), (60,))
+    p = features.discovery_features(p)
+    p = fundamentals.enrich_with_fundamentals(p, fundamentals.normalize_fundamentals(i.fundamentals()))
+    p = p.withColumn("days_to_earnings", F.datediff("earnings_date", "date"))
+    p = discovery.attach_metadata(p, i.universe().drop("sector"))
+    return features.sector_relative_features(p, i.universe(), w, i.small_sections)
+
+
+def watched(i):
+    return i.universe().filter(F.col("symbol").endswith("7")).select("symbol")
+
+
+def funnel(i):
+    return discovery.run_discovery(discovery_frame(i), watchlist=watched(i), config=DISCOVERY, as_of_date="1999-06-15",
+                                   small=i.small_sections)
+
+
+SCORES = [*discovery.SCORES, "discovery_score"]
+
+
+@query("discovery_candidates")
+def discovery_candidates(i):
+    out = funnel(i)["candidates"]
+    return rounded(out.select("date", "symbol", *SCORES, *[f"{s}_inputs" for s in discovery.SCORES], "quality_score_eligible"))
+
+
+@query("discovery_explanations")
+def discovery_explanations(i):
+    return funnel(i)["candidates"].select("symbol", "why_flagged", "risk_flags")
+
+
+@query("discovery_exclusions")
+def discovery_exclusions(i):
+    return funnel(i)["exclusions"]
+
+
+@query("discovery_watchlists")
+def discovery_watchlists(i):
+    return rounded(funnel(i)["watchlists"].select("symbol", "lane", "rank", "lane_score", "discovery_score"))
+
+
+@query("discovery_scores_all_dates")
+def discovery_scores_all_dates(i):
+    """The funnel's scores for every date of the panel in one job."""
+    kept, _ = discovery.filter_candidates(discovery_frame(i), DISCOVERY, watched(i))
+    scored = discovery.score_candidates(kept, DISCOVERY, ["date"], i.small_sections)
+    return rounded(scored.select("date", "symbol", *SCORES))
+
+
+@query("discovery_exclusion_reasons_all_dates")
+def discovery_exclusion_reasons_all_dates(i):
+    _, excluded = discovery.filter_candidates(discovery_frame(i), DISCOVERY, watched(i))
+    return excluded.groupBy("exclusion_reasons").agg(F.count("*").alias("rows"))
+
+
+@query("discovery_top_fraction")
+def discovery_top_fraction(i):
+    return rounded(discovery.top_fraction(funnel(i)["candidates"], 0.2, small=i.small_sections).select("date", "symbol", "discovery_score"))
+
+
+@query("discovery_summary")
+def discovery_summary(i):
+    r = funnel(i)
+    return lanes.discovery_summary(r["candidates"], r["exclusions"], r["watchlists"], i.universe())
+
+
+@query("lane_membership")
+def lane_membership(i):
+    return lanes.lane_membership(funnel(i)["watchlists"])
+
+
+@query("multi_lane_candidates")
+def multi_lane_candidates(i):
+    r = funnel(i)
+    return rounded(lanes.multi_lane_candidates(r["watchlists"], r["candidates"]))
+
+
+@query("missing_lanes")
+def missing_lanes(i):
+    """Explanations for the lanes that stay empty when no fundamentals are known."""
+    r = funnel(i)
+    only = r["watchlists"].filter(F.col("lane").isin("momentum_breakouts", "sector_leaders"))
+    return lanes.missing_lane_explanations(only, r["candidates"].withColumn("quality_score_eligible", F.lit(False)))
+
+
+@query("populated_lanes")
+def populated_lanes(i):
+    return lanes.populated_lanes(funnel(i)["watchlists"])
+
+
+@query("lane_reasons")
+def lane_reasons(i):
+    return lanes.lane_export(funnel(i)["watchlists"]).select("lane", "symbol", "lane_reason")
+
+
+def lane_trades(i):
+    dates = lanes.rebalance_dates(i.prices(), "monthly")
+    return lanes.lane_backtest(discovery_frame(i), dates, config=DISCOVERY, top_n=5, watchlist=watched(i), small=i.small_sections)
+
+
+@query("lane_backtest_trades")
+def lane_backtest_trades(i):
+    out = lane_trades(i)
+    return rounded(out.drop("lane_reason"), selection_price=None, **{f"forward_price_{h}d": None for h in (5, 20, 60)})
+
+
+@query("lane_backtest_summary")
+def lane_backtest_summary(i):
+    return rounded(lanes.lane_summary(lane_trades(i)))
+
+
+@query("best_and_worst_lanes")
+def best_and_worst_lanes(i):
+    return rounded(lanes.best_and_worst_lanes(lanes.lane_summary(lane_trades(i))))
+
+
+# --- portfolio ------------------------------------------------------------------------------------
+
+
+def simple_selections(i):
+    """Monthly selections without the funnel: the highest trailing returns, in two lanes by sign."""
+    dates = lanes.rebalance_dates(i.prices(), "monthly")
+    rows = asof.latest_rows_at(i.scored().filter("score is not null").select("symbol", "date", "score"), dates)
+    lane = F.when(F.col("score") > 0, "momentum_breakouts").otherwise("value_recoveries")
+    rows = rows.withColumns({"lane": lane, "rank": F.lit(1)}).select("as_of_date", "symbol", "lane", "rank", "score")
+    twice = rows.filter("score > 0.5").withColumn("lane", F.lit("sector_leaders"))
+    return rows.unionByName(twice)
+
+
+PORTFOLIO = portfolio.PortfolioConfig(max_positions=10, cost_bps=10.0)
+
+
+@query("portfolio_daily_returns")
+def portfolio_daily_returns(i):
+    out = portfolio.run_portfolio(simple_selections(i), i.prices(), PORTFOLIO)["daily_returns"]
+    return rounded(out.withColumn("portfolio_value", F.col("portfolio_value") / PORTFOLIO.starting_capital), transaction_cost=2)
+
+
+@query("portfolio_holdings")
+def portfolio_holdings(i):
+    return rounded(portfolio.run_portfolio(simple_selections(i), i.prices(), PORTFOLIO)["holdings"])
+
+
+@query("portfolio_trades")
+def portfolio_trades(i):
+    out = portfolio.run_portfolio(simple_selections(i), i.prices(), PORTFOLIO)["trades"]
+    return rounded(out.select("rebalance_date", "symbol", "old_weight", "new_weight", "trade_weight", "side"))
+
+
+@query("portfolio_summary")
+def portfolio_summary(i):
+    return rounded(portfolio.portfolio_summary(portfolio.run_portfolio(simple_selections(i), i.prices(), PORTFOLIO), PORTFOLIO))
+
+
+@query("inverse_volatility_weights")
+def inverse_volatility_weights(i):
+    """Weights by the inverse of the volatility known at the rebalance date, capped at 15 %."""
+    cfg = portfolio.PortfolioConfig(max_positions=10, sizing="inverse_volatility", max_position_weight=0.15)
+    rows = portfolio.align_to_trading_days(portfolio.normalize_selections(simple_selections(i)), portfolio.trading_days(i.prices()))
+    return rounded(portfolio.portfolio_targets(rows, i.prices(), cfg).select("rebalance_date", "symbol", "weight"))
+
+
+@query("weight_turnover")
+def weight_turnover(i):
+    """Turnover between the equal-weight and the capped inverse-volatility targets of each date."""
+    rows = portfolio.align_to_trading_days(portfolio.normalize_selections(simple_selections(i)), portfolio.trading_days(i.prices()))
+    a = portfolio.portfolio_targets(rows, i.prices(), PORTFOLIO)
+    b = portfolio.portfolio_targets(rows, i.prices(), portfolio.PortfolioConfig(max_positions=10, sizing="inverse_volatility"))
+    return rounded(lanes.compare_turnover(a, b, ["rebalance_date"]))
+
+
+@query("deduplicated_selections")
+def deduplicated_selections(i):
+    return rounded(lanes.deduplicate_selections(simple_selections(i), ("as_of_date",)))
+
+
+@query("forward_filled_prices")
+def forward_filled_prices(i):
+    return portfolio.forward_filled_prices(i.prices()).groupBy("date").agg(
+        F.count("*").alias("symbols"), F.min("price").alias("lowest"), F.max("price").alias("highest"))
+
+
+# --- ledger ---------------------------------------------------------------------------------------
+
+LEDGER = ledger.LedgerConfig(initial_capital=150_000.0, position_weight=0.05, long_fraction=0.4)
+RULES = replace(LEDGER, exit_rules=ledger.ExitRules.enabled(
+    stop_loss_pct=-0.5, trail_activate_at=0.5, trail_from_high_pct=-0.5, vol_trail_activate_at=0.5, vol_trail_widest=-0.6,
+    sector_decline_pct=-0.2))
+
+
+def account_of(c="symbol"):
+    return F.concat(F.lit("A"), F.substring(c, -1, 1)).alias("account_id")
+
+
+def month_candidates(i):
+    """First scored row per symbol and month as order candidates of ten accounts."""
+    s = i.scored().filter("score is not null")
+    first = s.groupBy("symbol", F.trunc("date", "month").alias("m")).agg(
+        F.min_by(F.struct("date", "score", "adj_close"), "date").alias("x"))
+    return first.select(account_of(), F.col("m").alias("date"), "symbol", F.col("x.score").alias("score"), F.col("x.adj_close").alias("adj_close"))
+
+
+@query("planned_orders")
+def planned_orders(i):
+    out = ledger.plan_orders(month_candidates(i), LEDGER, small=i.small_sections)
+    return out.select("account_id", "planned_date", "symbol", "score", "status", "skip_reason", "shares", "target_exit_date", "rank")
+
+
+@query("planned_orders_with_context")
+def planned_orders_with_context(i):
+    """Planning with less cash and with the symbols of open orders excluded."""
+    book = i.ledger()
+    cash = month_candidates(i).select("account_id").distinct().withColumn("cash", F.lit(20_000.0))
+    active = book.filter("status = 'open'").select("account_id", "symbol")
+    out = ledger.plan_orders(month_candidates(i), LEDGER, cash=cash, active=active, small=i.small_sections)
+    out = ledger.order_ids(out.filter("status = 'planned'"), keys=("account_id",))
+    return rounded(out.select("account_id", "order_id", "symbol", "shares", "remaining_cash"), 2)
+
+
+@query("appended_orders")
+def appended_orders(i):
+    plan = ledger.plan_orders(month_candidates(i), LEDGER, small=i.small_sections)
+    plan = plan.withColumn("order_id", F.concat_ws("-", F.date_format("planned_date", "yyyy-MM-dd"), "symbol"))
+    return ledger.append_new_orders(i.ledger(), plan).select("account_id", "order_id", "symbol")
+
+
+@query("filled_orders")
+def filled_orders(i):
+    out = ledger.reconcile_fills(i.ledger(), i.prices(), LEDGER)
+    out = out.filter("planned_date >= date '1998-01-01'")
+    return rounded(out.select("order_id", "status", "fill_date", "entry_price", "entry_value", "entry_cost", "shares", "skip_reason"), 4,
+                   entry_price=None, entry_value=None)
+
+
+@query("partial_fills")
+def partial_fills(i):
+    out = ledger.reconcile_fills(i.ledger(), i.prices(), replace(LEDGER, fill_pct=0.35, initial_capital=1e9))
+    return out.groupBy("status", "filled_shares").agg(F.count("*").alias("orders"))
+
+
+@query("deduplicated_active_orders")
+def deduplicated_active_orders(i):
+    out = ledger.dedupe_active(ledger.normalize_ledger(i.ledger()))
+    return out.groupBy("account_id", "status", "skip_reason").agg(F.count("*").alias("orders"))
+
+
+@query("exit_decisions")
+def exit_decisions(i):
+    """All exit rules over every order ever filled, as if it were still open."""
+    book = reopened(i)
+    scores = i.scored().select("symbol", "date", "score")
+    out = ledger.reconcile_exits(book, i.prices(), RULES, scores=scores, universe=sectors(i))
+    return rounded(out.select("order_id", "status", "exit_date", "exit_reason", "exit_price", "exit_signal_value", "net_pnl",
+                              "trailing_stop_activated"), 4, exit_price=None)
+
+
+def reopened(i):
+    book = i.ledger().filter(F.col("status").isin("open", "closed"))
+    return book.withColumns({"status": F.lit("open"), "exit_reason": F.lit("")})
+
+
+def sectors(i):
+    return i.universe().select("symbol", F.concat(F.lit("SEC"), F.substring("symbol", -1, 1)).alias("sector"))
+
+
+@query("horizon_exits")
+def horizon_exits(i):
+    out = ledger.reconcile_exits(i.ledger(), i.prices(), LEDGER)
+    return rounded(out.groupBy("account_id", "status", "exit_reason").agg(
+        F.count("*").alias("orders"), F.sum("net_pnl").alias("net_pnl")), 2)
+
+
+@query("position_marks")
+def position_marks(i):
+    scores = i.scored().select("symbol", "date", "score")
+    out = ledger.mark_positions(i.ledger(), i.prices(), LEDGER, scores=scores)
+    return rounded(out.select("order_id", "status", "action", "latest_price_date", "latest_price", "mark_value", "unrealized_pnl",
+                              "unrealized_return", "days_open", "current_score", "highest_close_since_entry"),
+                   4, latest_price=None, mark_value=None, highest_close_since_entry=None)
+
+
+@query("borrow_costs")
+def borrow_costs(i):
+    cfg = replace(LEDGER, borrow_rate=0.03, hard_to_borrow_symbols=("S0000000003", "S0000000013"))
+    out = ledger.reconcile_borrow_costs(i.ledger(), i.prices(), cfg).filter("status = 'open'")
+    return rounded(out.select("order_id", "borrow_cost"), 4)
+
+
+@query("dividend_accruals")
+def dividend_accruals(i):
+    out = ledger.reconcile_dividends(i.ledger(), i.prices(), replace(LEDGER, dividend_yield=0.02)).filter("status = 'open'")
+    return rounded(out.select("order_id", "dividends"), 4)
+
+
+@query("dividend_events")
+def dividend_events(i):
+    out = ledger.reconcile_dividends(i.ledger(), i.prices(), LEDGER, i.dividends()).filter("status = 'open'")
+    return rounded(out.select("order_id", "dividends"), 4)
+
+
+@query("account_summaries")
+def account_summaries(i):
+    return rounded(ledger.account_summary(i.ledger(), i.prices(), LEDGER), 2)
+
+
+@query("ledger_compaction")
+def ledger_compaction(i):
+    kept, skipped = ledger.compact(i.ledger())
+    side = lambda df, name: df.groupBy("account_id").agg(F.count("*").alias("orders")).withColumn("part", F.lit(name))
+    return side(kept, "kept").unionByName(side(skipped, "archive"))
+
+
+@query("open_and_active_symbols")
+def open_and_active_symbols(i):
+    book = i.ledger()
+    return ledger.open_symbols(book).withColumn("kind", F.lit("open")).unionByName(
+        ledger.active_symbols(book).withColumn("kind", F.lit("active")))
+
+
+def simulation(i):
+    signals = i.scored().select(account_of(), "date", "symbol", "score", "adj_close")
+    return ledger.simulate_orders(signals, i.prices(), replace(LEDGER, initial_capital=100_000.0, position_weight=0.10))
+
+
+@query("order_simulation_equity")
+def order_simulation_equity(i):
+    return simulation(i)["daily_equity"]
+
+
+@query("order_simulation_ledger")
+def order_simulation_ledger(i):
+    return simulation(i)["orders"]
+
+
+@query("order_simulation_summary")
+def order_simulation_summary(i):
+    return ledger.summarize_simulation(simulation(i), replace(LEDGER, initial_capital=100_000.0))
+
+
+# --- audit and tracking ---------------------------------------------------------------------------
+
+
+@query("audit_findings")
+def audit_findings(i):
+    """All checks, with a reported account that is off by the account's number in dollars."""
+    book = i.ledger()
+    account = ledger.account_summary(book, i.prices(), LEDGER)
+    reported = account.withColumn("cash", F.col("cash") + F.substring("account_id", 2, 1).cast("double") - 3.0)
+    out = audit.run_audit(book, i.prices(), reported=reported, audit_date="2001-11-20", ledger_config=LEDGER)
+    return out.groupBy("account_id", "severity", "code").agg(F.count("*").alias("findings"))
+
+
+@query("audit_summary")
+def audit_summary(i):
+    book = i.ledger()
+    out = audit.run_audit(book, i.prices(), audit_date="2001-11-05", ledger_config=LEDGER)
+    return audit.audit_summary(out, book)
+
+
+@query("monitor_summary")
+def monitor_summary(i):
+    book = i.ledger()
+    marks = ledger.mark_positions(book, i.prices(), LEDGER)
+    out = monitoring.monitor_summary(marks, book, "1999-06-15")
+    return out.select("account_id", F.col("actions")["hold"].alias("hold"), F.col("actions")["exit_pending"].alias("exit_pending"),
+                      F.col("actions")["waiting_for_fill"].alias("waiting"), F.size("sector_exposure").alias("sectors"), "closed_today")
+
+
+@query("next_horizon_exits")
+def next_horizon_exits(i):
+    return monitoring.next_exits(ledger.mark_positions(i.ledger(), i.prices(), LEDGER))
+
+
+@query("actionability")
+def actionability(i):
+    return monitoring.actionability(todays_orders(i), i.ledger(), cash_of(i), "1999-06-01").select(
+        "account_id", "symbol", "plan_date", "effective_action", "actionable_new_order")
+
+
+def todays_orders(i):
+    plan = ledger.plan_orders(month_candidates(i), LEDGER, small=i.small_sections).filter("planned_date = date '1999-06-01'")
+    return plan.withColumnRenamed("planned_date", "date")
+
+
+def cash_of(i):
+    return i.ledger().select("account_id").distinct().withColumn("cash", F.lit(5_000.0))
+
+
+@query("actionability_summary")
+def actionability_summary(i):
+    out = monitoring.actionability_summary(monitoring.actionability(todays_orders(i), i.ledger(), cash_of(i), "1999-06-01"))
+    return rounded(out, 2)
+
+
+@query("skip_reason_counts")
+def skip_reason_counts(i):
+    plan = ledger.plan_orders(month_candidates(i), LEDGER, small=i.small_sections)
+    return monitoring.value_counts(plan.filter("status = 'skipped'"), "skip_reason", ["account_id"])
+
+
+@query("newly_closed_orders")
+def newly_closed_orders(i):
+    before = i.ledger()
+    after = ledger.reconcile_exits(before, i.prices(), LEDGER)
+    return monitoring.newly_closed(before, after)
+
+
+def run_history(i):
+    """One run per account and month, from the closed orders of the month."""
+    b = i.ledger().filter("status = 'closed'")
+    return b.groupBy("account_id", F.date_format("exit_date", "yyyy-MM").alias("local_time")).agg(
+        (F.lit(2000.0) + F.sum(F.col("shares"))).alias("account_equity"), F.sum("shares").alias("account_cash"),
+        F.count_if(F.col("net_pnl") < -20_000).alias("audit_error_count"), F.count("*").alias("audit_warning_count"))
+
+
+@query("tracking_summary")
+def tracking_summary(i):
+    return rounded(monitoring.tracking_summary(run_history(i), i.ledger()))
+
+
+# --- monitoring and promotion ---------------------------------------------------------------------
+
+
+def monitored(i):
+    r = funnel(i)
+    c = r["candidates"].select("date", "symbol", "name", "sector", "industry", "discovery_score")
+    return monitoring.monitoring_candidates(
+        c, previous_state(i), lanes.lane_membership(r["watchlists"]), as_of="1999-06-15",
+        active=i.ledger().filter("status = 'open'").select("symbol").filter(F.col("symbol").endswith("5")),
+        tracked=i.universe().filter(F.col("symbol").endswith("4")), monitoring_days=5, min_appearances=3, min_score=50.0)
+
+
+def previous_state(i):
+    """State of an earlier run: two thirds of the universe, some of it unseen today."""
+    u = i.universe()
+    n = F.substring("symbol", -3, 3).cast("int")
+    return u.filter(n % 3 != 0).select(
+        "symbol", "name", "sector", "industry", F.date_sub(F.lit("1999-06-15").cast("date"), n % 9).alias("first_seen"),
+        F.lit("1999-06-14").cast("date").alias("last_seen"), (n % 5 + 1).alias("appearances"),
+        (40.0 + n % 30).alias("latest_discovery_score"), (45.0 + n % 30).alias("max_discovery_score"),
+        F.lit("").alias("latest_lanes_matched"), F.lit("monitoring").alias("promotion_status"), F.lit("").alias("promotion_blockers"))
+
+
+@query("monitoring_candidates")
+def monitoring_candidates(i):
+    return rounded(monitored(i).select("symbol", "discovery_score", "lanes_matched", "lane_count", "first_seen", "appearances",
+                                       "monitoring_age_days", "promotion_blockers", "promotion_status"))
+
+
+@query("monitoring_state")
+def monitoring_state(i):
+    out = monitoring.update_state(previous_state(i), monitored(i), as_of="1999-06-15")
+    return rounded(out.select("symbol", "first_seen", "last_seen", "appearances", "latest_discovery_score", "max_discovery_score", "promotion_status"))
+
+
+@query("monitoring_summary")
+def monitoring_summary_query(i):
+    return monitoring.monitoring_summary(i.universe(), funnel(i)["candidates"], monitored(i))
+
+
+@query("promotion_plan")
+def promotion_plan(i):
+    plan = monitoring.promotion_plan(monitored(i), watched(i), max_symbols=4, min_score=45.0, min_appearances=1, max_sector_symbols=1,
+                                     small=i.small_sections)
+    return plan.select("symbol", "sector", "notes", "promotion_plan_status", "promotion_plan_blockers")
+
+
+@query("promotion_summary")
+def promotion_summary(i):
+    return monitoring.promotion_summary(monitoring.promotion_plan(monitored(i), watched(i), max_symbols=4, min_score=45.0, small=i.small_sections))
+
+
+# --- reports --------------------------------------------------------------------------------------
+
+
+def predictions(i):
+    return i.scored().withColumn("target", F.col("forward_return"))
+
+
+@query("score_buckets")
+def score_buckets(i):
+    return rounded(reports.score_buckets(predictions(i), small=i.small_sections))
+
+
+@query("score_bucket_overview")
+def score_bucket_overview(i):
+    return rounded(reports.bucket_overview(reports.score_buckets(predictions(i), small=i.small_sections)))
+
+
+@query("prediction_drift")
+def prediction_drift(i):
+    market = features.market_returns(i.benchmark(), (20, 60))
+    return rounded(reports.prediction_drift(predictions(i).join(F.broadcast(market), "date", "left"), small=i.small_sections))
+
+
+@query("sector_contribution")
+def sector_contribution(i):
+    fills = i.ledger().filter("status = 'closed'").select(F.lit("filled").alias("status"), F.col("planned_date").alias("date"), "symbol", "net_pnl", "entry_value")
+    frame = i.prices().select("date", "symbol").join(i.universe().select("symbol", "sector"), "symbol")
+    return rounded(reports.sector_contribution(fills, frame), 2, win_rate=6)
+
+
+@query("attached_reference")
+def attached_reference(i):
+    frame = features.attach_sector(features.return_features(features.base_features(i.prices()), (20,)), i.universe())
+    out = reports.attach_reference(i.scored().select("date", "symbol", "score"), frame, ("sector", "volatility_20d"))
+    return rounded(out)
+
+
+@query("quantile_buckets_per_date")
+def quantile_buckets_per_date(i):
+    out = crosssection.with_quantile_bucket(i.scored(), ["date"], "score", "bucket", 5, small=i.small_sections)
+    return out.select("date", "symbol", "score", "bucket")
+
+
+@query("top_rows")
+def top_rows(i):
+    return reports.top_rows(i.scored().filter("date = date '1999-06-15'").select("symbol", "score"), 10, "score")
+
+
+@query("order_explanations")
+def order_explanations(i):
+    """Planned orders with values and percentiles of the three most important features."""
+    f = ("return_5d", "return_20d", "volatility_20d")
+    frame = features.return_features(features.base_features(i.prices()), (5, 20)).filter("date = date '1999-06-15'")
+    planned = i.scored().filter("date = date '1999-06-15' and score > 0").select("date", "symbol", "score", F.lit("planned").alias("status"))
+    top = i.spark.createDataFrame([("return_20d",), ("volatility_20d",)], "feature string")
+    return rounded(reports.order_explanations(planned, frame, top, f, small=i.small_sections))
+
+
+@query("summary_comparison")
+def summary_comparison(i):
+    """Mean daily metrics of two evaluation settings side by side."""
+    def table(cfg):
+        d = evaluation.long_short_returns(i.scored(), cfg, ["split_id"], small=i.small_sections)
+        return d.groupBy("split_id").agg(F.avg("net_return").alias("net_return"), F.avg("gross_exposure").alias("gross_exposure"))
+
+    named = {"tenth": table(BASE), "fifth": table(replace(BASE, long_fraction=0.2, short_fraction=0.2))}
+    return rounded(reports.compare_summaries(named, ("net_return", "gross_exposure")))
+
+
+# --- models ---------------------------------------------------------------------------------------
+
+MODEL = models.ModelConfig(
+    target="target", outcome="forward_return", benchmark_score="score", first_train_start="1995-01-01",
+    first_validation_start="1998-01-01", validation_months=12, purge_days=7)
+
+
+def model_frame(i):
+    frame = features.return_features(features.base_features(i.prices()), (5, 20))
+    frame = features.volume_features(frame, (20,))
+    s = i.scored().select("symbol", "date", "score", "forward_return", F.col("next_open").alias("no"))
+    return frame.join(s, ["symbol", "date"]).withColumn("target", F.col("forward_return"))
+
+
+FEATURES = ("return_5d", "return_20d", "volatility_20d", "relative_volume_20d")
+FOREST = {"model_type": "random_forest", "n_estimators": 8, "max_depth": 4, "min_samples_leaf": 25}
+
+
+@query("walk_forward_folds")
+def walk_forward_folds(i):
+    return models.fold_table(i.scored().select("date"), first_train_start="1995-01-01", first_validation_start="1997-01-01", validation_months=6, purge_days=5)
+
+
+@query("ridge_walk_forward_single_feature")
+def ridge_walk_forward_single_feature(i):
+    """One-feature ridge per fold, which a closed form in SQL can check."""
+    rows = i.scored().select("date", "symbol", "score", "forward_return").withColumn("target", F.col("forward_return"))
+    out = models.walk_forward(rows.withColumn("x", F.col("score")), ["x"], replace(MODEL, alpha=25.0))["predictions"]
+    return rounded(out.select("split_id", "date", "symbol", "prediction"))
+
+
+@query("ridge_walk_forward_summary")
+def ridge_walk_forward_summary(i):
+    run = models.walk_forward(model_frame(i), FEATURES, MODEL)
+    return models.summarize_splits(run["predictions"], MODEL, rows=run["rows"], folds=run["folds"], small=i.small_sections)
+
+
+@query("forest_feature_importance")
+def forest_feature_importance(i):
+    run = models.walk_forward(model_frame(i), FEATURES, replace(MODEL, **FOREST))
+    return models.importance_across_splits(models.rank_importance(run["importance"]))
+
+
+@query("ensemble_predictions")
+def ensemble_predictions(i):
+    return models.ensemble_walk_forward(model_frame(i), FEATURES, ("ridge", "elasticnet", "random_forest"), replace(MODEL, alpha=0.001),
+                                        "weighted", overrides={"random_forest": FOREST}).select(
+        "split_id", "date", "symbol", "pred_ridge", "pred_elasticnet", "pred_random_forest", "prediction")
+
+
+@query("consensus_blend")
+def consensus_blend(i):
+    """Consensus weights and blends of three score columns standing in for model predictions."""
+    frame = features.return_features(features.base_features(i.prices()), (5, 10, 20)).withColumn("split_id", F.year("date") - 1994)
+    names = ["return_5d", "return_10d", "return_20d"]
+    rows = frame.dropna(subset=names).select("split_id", "date", "symbol", *names)
+    out = models.blend(models.blend(rows, names, "weighted", out="weighted"), names, "average", out="average")
+    return rounded(out.select("split_id", "date", "symbol", "weighted", "average"))
+
+
+@query("ridge_parameter_search")
+def ridge_parameter_search(i):
+    return models.search(model_frame(i), FEATURES, "ridge", n_trials=3, config=MODEL, small=i.small_sections)
+
+
+@query("experiment_leaderboard")
+def experiment_leaderboard(i):
+    sets = {"returns": ("return_5d", "return_20d"), "all": FEATURES}
+    frame = model_frame(i).withColumns({"fwd_5d_return": F.col("forward_return"), "fwd_5d_excess_return": F.col("forward_return")})
+    return models.experiment_grid(frame, (5,), sets, {"ridge": {"model_type": "ridge"}}, MODEL, small=i.small_sections)
+
+
+@query("train_and_score_as_of")
+def train_and_score_as_of(i):
+    out = models.score_as_of(model_frame(i), "2000-06-15", FEATURES, MODEL, 5)
+    return reports.watchlist_projection(out["scored"], ["adj_close", *FEATURES])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,23 +34,33 @@ def build_session(app: str = "panelspark", *, master: str | None = None, **conf:
     return session
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint in the folder the cluster names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset (tests, laptops) is a
-    local folder used, because a machine-local folder would not survive the loss of an executor.
+    Only where that is unset and Spark runs locally (tests, laptops) is a local folder used, because a
+    machine-local folder would not survive the loss of an executor.
     """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        shared = os.path.join(tempfile.gettempdir(), "panelspark")
+    return shared
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = os.path.join(tempfile.gettempdir(), "panelspark-checkpoints")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def run_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for the files of one run."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def require_columns(df: DataFrame, columns, what: str = "frame") -> None:
     """Plan-time schema check, raised before any job starts."""
     missing = sorted(set(columns) - set(df.columns))

@@ -9,7 +9,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from panelspark.functions.scalar import ratio, symbol_key
 from panelspark.operators.ledger import EXIT_RULE_VERSION, LedgerConfig, normalize_ledger, trade_cost
-from panelspark.sources.files import MARK_SCHEMA, normalize_marks
+from panelspark.sources.files import MARK_SCHEMA, normalize_marks, path_exists
 from panelspark.sources.store import TableStore
 
 INTRADAY_EXIT_RULE_VERSION = f"{EXIT_RULE_VERSION}.intraday.v1"
@@ -160,17 +160,18 @@ def decision_summary(decisions: DataFrame) -> DataFrame:
 def monitor_batch(store: TableStore, config: LedgerConfig, prices: DataFrame | None = None, write_ledger: bool = True):
     """A ``foreachBatch`` function: one monitoring cycle per micro-batch.
 
-    Decisions of a batch go to a folder named by the batch id, so a replayed batch overwrites its own
-    output. The ledger upsert is keyed by order, and a position that is closed stays closed.
+    Decisions of a batch go to a folder named by the batch id. A replayed batch reuses a finished folder,
+    and applying the same decisions twice gives the same ledger.
     """
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
         ledger = store.read("ledger")
         if ledger is None or batch.isEmpty():
             return
-        decisions, updated = evaluate_exits(ledger, batch, config, prices)
         path = f"{store.root}/decisions/batch={batch_id:09d}"
-        decisions.write.mode("overwrite").parquet(path)
+        if not path_exists(store.spark, f"{path}/_SUCCESS"):
+            decisions, _ = evaluate_exits(ledger, batch, config, prices)
+            decisions.write.mode("overwrite").parquet(path)
         if write_ledger:
             made = store.spark.read.parquet(path)
             store.replace("ledger", apply_decisions(normalize_ledger(ledger), made, config))
