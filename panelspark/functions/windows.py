@@ -28,7 +28,14 @@ def gated(value, frame, w: int, stat) -> Column:
     return F.when(F.count(x).over(frame) == w, stat(x).over(frame))
 
 
-def rolling(value, w: int, stat, symbol: str = "symbol", date: str = "date") -> Column:
+def rolling(value, w: int, stat, symbol: str = "symbol", date: str = "date", dense: bool = False) -> Column:
+    """``stat`` over the last ``w`` rows, null until they hold ``w`` values.
+
+    ``dense`` declares the value free of nulls, so the row position decides and no count is kept.
+    """
+    if dense:
+        full = F.row_number().over(by_symbol(symbol, date)) >= w
+        return F.when(full, stat(col(value)).over(trailing(w, symbol, date)))
     return gated(value, trailing(w, symbol, date), w, stat)
 
 

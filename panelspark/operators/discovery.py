@@ -11,6 +11,7 @@ from panelspark.functions.crosssection import groups_are_small, with_percent_ran
 from panelspark.functions.scalar import fixed, number, percent, ratio, symbol_key, texts
 from panelspark.operators import features, validate
 from panelspark.operators.fundamentals import quality_eligible
+from panelspark.session import cut_lineage
 
 # Lane names, their score columns and the component weights of each score. A negative
 # weight marks a component where lower is better.
@@ -286,11 +287,16 @@ def run_discovery(
     config = config or DiscoveryConfig()
     df = attach_metadata(frame.withColumn("symbol", symbol_key("symbol")), universe)
     df = features.discovery_features(df, config.price_col)
-    day = validate.as_of_date(frame, as_of_date)
-    snapshot = df.join(F.broadcast(day), df["date"].cast("date") == F.col("as_of_date"), "left_semi")
+    if as_of_date is not None:
+        # a literal date passes through windows partitioned by date, so only its cross-section is computed
+        snapshot = df.filter(F.col("date").cast("date") == F.lit(str(as_of_date)).cast("date"))
+    else:
+        latest = frame.agg(F.max(F.col("date").cast("date")).alias("as_of_date"))
+        snapshot = df.join(F.broadcast(latest), df["date"].cast("date") == F.col("as_of_date"), "left_semi")
     kept, excluded = filter_candidates(snapshot, config, watchlist)
     scored = score_candidates(kept, config, ["date"], small)
-    scored = scored.withColumns({"why_flagged": explanation(scored.columns), "risk_flags": risk_flags(scored.columns, config)})
+    # one date's candidates feed several results, so they are stored once
+    scored = cut_lineage(scored.withColumns({"why_flagged": explanation(scored.columns), "risk_flags": risk_flags(scored.columns, config)}))
     return {"candidates": scored, "exclusions": excluded, "watchlists": watchlists(scored, config)}
 
 

@@ -61,8 +61,8 @@ def volume_features(
     )
     cols = {"log_dollar_volume": F.log1p("dollar_volume")}
     for w in windows:
-        mean_volume = rolling_mean(volume, w)
-        mean_dollars = rolling_mean("dollar_volume", w)
+        mean_volume = rolling_mean(volume, w, dense=True)
+        mean_dollars = rolling_mean("dollar_volume", w, dense=True)
         cols[f"avg_volume_{w}d"] = mean_volume
         cols[f"relative_volume_{w}d"] = F.try_divide(F.col(volume), mean_volume)
         cols[f"avg_dollar_volume_{w}d"] = mean_dollars
@@ -73,9 +73,9 @@ def volume_features(
 def range_features(
     df: DataFrame, sma_windows=SMA_WINDOWS, range_windows=RANGE_WINDOWS, price: str = "adj_close"
 ) -> DataFrame:
-    cols = {f"price_above_sma_{w}": change(price, rolling_mean(price, w)) for w in sma_windows}
+    cols = {f"price_above_sma_{w}": change(price, rolling_mean(price, w, dense=True)) for w in sma_windows}
     for w in range_windows:
-        high, low = rolling_max(price, w), rolling_min(price, w)
+        high, low = rolling_max(price, w, dense=True), rolling_min(price, w, dense=True)
         cols[f"distance_from_{w}d_high"] = change(price, high)
         cols[f"drawdown_{w}d"] = change(price, high)
         cols[f"high_low_range_{w}d"] = change(high, low)
@@ -149,7 +149,7 @@ def macd(df: DataFrame, price: str = "adj_close", fast: int = 12, slow: int = 26
 
 
 def bollinger(df: DataFrame, price: str = "adj_close", w: int = 20) -> DataFrame:
-    middle, deviation = rolling_mean(price, w), rolling_std(price, w)
+    middle, deviation = rolling_mean(price, w, dense=True), rolling_std(price, w, dense=True)
     width = deviation * 4.0
     return df.withColumns(
         {
@@ -298,19 +298,19 @@ def discovery_features(df: DataFrame, price: str = "adj_close") -> DataFrame:
         df = df.withColumn("return_1d", change(price, lag(price)))
     have, cols = set(df.columns), {}
     for w in (20, 50, 200):
-        cols[f"price_above_sma_{w}"] = change(price, rolling_mean(price, w))
-    cols["distance_from_52w_high"] = change(price, rolling_max(price, 252))
+        cols[f"price_above_sma_{w}"] = change(price, rolling_mean(price, w, dense=True))
+    cols["distance_from_52w_high"] = change(price, rolling_max(price, 252, dense=True))
     cols["drawdown_from_52w_high"] = (
         F.col("distance_from_52w_high") if "distance_from_52w_high" in have
         else cols["distance_from_52w_high"]
     )
     if "volume" in have:
-        cols["relative_volume_5d"] = F.try_divide(F.col("volume"), rolling_mean("volume", 5))
+        cols["relative_volume_5d"] = F.try_divide(F.col("volume"), rolling_mean("volume", 5, dense=True))
         cols["volume_zscore_20d"] = rolling_zscore("volume", 20)
     losses = F.when(F.col("return_1d") < 0, F.col("return_1d"))
     cols["downside_volatility_20d"] = rolling_std(losses, 20)
     cols["max_drawdown_60d"] = (
-        F.col("drawdown_60d") if "drawdown_60d" in have else change(price, rolling_max(price, 60))
+        F.col("drawdown_60d") if "drawdown_60d" in have else change(price, rolling_max(price, 60, dense=True))
     )
     return df.withColumns({k: v for k, v in cols.items() if k not in have})
 

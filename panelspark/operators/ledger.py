@@ -265,7 +265,8 @@ def plan_orders(
     df = df.withColumn("estimated_required_cash", F.col("estimated_entry_value") + F.col("estimated_cost"))
     early = F.when(F.coalesce("__open", F.lit(False)), "symbol_already_open").when(
         ~F.coalesce(F.col("score") >= config.min_score, F.lit(False)), "score_below_threshold")
-    df = df.withColumns({"__early": early, "__falling": -F.col("score")})
+    # stored once: counting, accepting and labelling all read it
+    df = cut_lineage(df.withColumns({"__early": early, "__falling": -F.col("score")}))
     counts = df.groupBy(*groups).agg(F.count("*").alias("__rows"))
     limit = F.greatest(F.lit(1), F.floor(F.col("__rows") * F.lit(config.long_fraction))).alias("limit")
     open_rows = df.filter("__early is null")
@@ -352,7 +353,7 @@ def reconcile_fills(ledger: DataFrame, prices: DataFrame, config: LedgerConfig |
     tries = F.col("__open").isNotNull() & (F.col("__left") > 0) & (F.col("__attempt") > 0)
     hit = hit.withColumn("__need", F.when(tries, F.col("__value") + trade_cost("__value", config)))
     queue = hit.filter("__need is not null").select(*keys, "planned_date", "order_id", F.col("__need").alias("need"))
-    queue = queue.join(current_cash(df, config, keys), keys).withColumn("limit", F.lit(2**31 - 1).cast("long"))
+    queue = cut_lineage(queue.join(current_cash(df, config, keys), keys).withColumn("limit", F.lit(2**31 - 1).cast("long")))
     decided = greedy_accept(queue, keys, ["planned_date", "order_id"], 1024).select(*keys, "planned_date", "order_id", "accepted")
     hit = hit.join(decided, [*keys, "planned_date", "order_id"], "left")
     ok = F.coalesce("accepted", F.lit(False))
@@ -637,6 +638,7 @@ def simulate_orders(
         sig, bars = (d.filter(F.col("date") <= F.lit(str(end)).cast("date")) for d in (sig, bars))
     if "account_id" not in sig.columns:
         sig = sig.withColumn("account_id", F.lit("default"))
+    sig = cut_lineage(sig.select("account_id", "date", "symbol", "score", "adj_close"))
     groups = ["account_id", "date"]
     budget = config.initial_capital * config.position_weight
     shares = shares_for(budget, "adj_close", config.allow_fractional_shares)

@@ -332,7 +332,7 @@ def ensemble_walk_forward(
     def one(fold):
         train, out = fold_rows(rows, fold)
         for kind in model_types:
-            model = fit(train, replace(config, model_type=kind, **(overrides or {}).get(kind, {})), features)
+            model = fit(train, replace(config, **{**(overrides or {}).get(kind, {}), "model_type": kind}), features)
             out = predict(model, out, f"pred_{kind}")
         return out.withColumn("split_id", F.lit(fold.split_id))
 

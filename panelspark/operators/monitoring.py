@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.crosssection import with_row_index
 from panelspark.functions.scalar import fixed, number, symbol_key, texts
 from panelspark.operators.validate import optional
+from panelspark.session import cut_lineage
 
 # The columns of the monitoring state.
 STATE_COLUMNS = (
@@ -118,7 +119,7 @@ def promotion_plan(
         F.when(F.col("appearances") < min_appearances, f"appearances_below_{min_appearances}"),
         F.when(F.col("monitoring_age_days") < min_age_days, f"monitoring_age_below_{min_age_days}_days"),
     ))
-    df = df.withColumns({"__blockers": blockers, "__falling": -F.col("discovery_score")})
+    df = cut_lineage(df.withColumns({"__blockers": blockers, "__falling": -F.col("discovery_score")}))
     free = df.filter(F.size("__blockers") == 0)
     if max_sector_symbols is not None:
         free = with_row_index(free, ["sector"], ["__falling", "symbol"], "__in_sector", small)

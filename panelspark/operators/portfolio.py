@@ -18,7 +18,7 @@ from panelspark.functions.scalar import change, number, symbol_key
 from panelspark.functions.windows import lag
 from panelspark.operators.asof import asof_join, next_listed_date
 from panelspark.operators.lanes import deduplicate_selections
-from panelspark.session import require_columns
+from panelspark.session import cut_lineage, require_columns
 
 
 @dataclass(frozen=True)
@@ -222,9 +222,11 @@ def run_portfolio(selections: DataFrame, panel: DataFrame, config: PortfolioConf
     rows = normalize_selections(selections)
     if "rebalance_date" not in rows.columns:
         rows = align_to_trading_days(rows, trading_days(panel))
-    targets = portfolio_targets(rows, panel, config)
-    paths = _paths(targets, panel, config)
-    costs = _trades_and_costs(targets, paths, config)
+    # both tables are bounded by the calendar times ``max_positions``; storing them keeps the selection
+    # and the price lookups from being planned and run once per result
+    targets = cut_lineage(portfolio_targets(rows, panel, config))
+    paths = cut_lineage(_paths(targets, panel, config))
+    costs = cut_lineage(_trades_and_costs(targets, paths, config))
     # value at each rebalance: gross growth of the previous period, then its own cost
     chain = Window.orderBy("rebalance_date").rowsBetween(Window.unboundedPreceding, 0)
     # ``gross`` is measured per unit of the previous value before cost, so the product holds all costs

@@ -384,7 +384,7 @@ def planned_orders_with_context(i):
     """Planning with less cash and with the symbols of open orders excluded."""
     book = i.ledger()
     cash = month_candidates(i).select("account_id").distinct().withColumn("cash", F.lit(20_000.0))
-    active = book.filter("status = 'open'").select("account_id", "symbol")
+    active = book.filter("status = 'open' and (symbol like '%5' or symbol like '%12')").select("account_id", "symbol")
     out = ledger.plan_orders(month_candidates(i), LEDGER, cash=cash, active=active, small=i.small_sections)
     out = ledger.order_ids(out.filter("status = 'planned'"), keys=("account_id",))
     return rounded(out.select("account_id", "order_id", "symbol", "shares", "remaining_cash"), 2)
@@ -394,7 +394,8 @@ def planned_orders_with_context(i):
 def appended_orders(i):
     plan = ledger.plan_orders(month_candidates(i), LEDGER, small=i.small_sections)
     plan = plan.withColumn("order_id", F.concat_ws("-", F.date_format("planned_date", "yyyy-MM-dd"), "symbol"))
-    return ledger.append_new_orders(i.ledger(), plan).select("account_id", "order_id", "symbol")
+    known = i.ledger().filter("symbol like '%2' or planned_date < date '1999-01-01'")
+    return ledger.append_new_orders(known.filter("status <> 'open' or symbol like '%2'"), plan).select("account_id", "order_id", "symbol")
 
 
 @query("filled_orders")

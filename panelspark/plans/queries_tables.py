@@ -220,7 +220,7 @@ def scalar_functions(i):
     price = F.col("o_totalprice")
     return o.select(
         "o_orderkey", scalar.listing_symbol(F.concat(F.lit(" brk&amp;"), F.lower("o_orderpriority"), F.lit("/a "))).alias("ticker"),
-        scalar.fixed(price, 1).alias("one_digit"), scalar.zero_padded(F.col("o_orderkey") % 7).alias("padded"),
+        scalar.fixed(price, 2).alias("two_digits"), scalar.zero_padded(F.col("o_orderkey") % 7).alias("padded"),
         scalar.label({"O": "open", "F": "filled"}, "o_orderstatus").alias("state"),
         F.round(scalar.ratio(price, F.col("o_custkey") % 5), 4).alias("safe_ratio"),
         scalar.number(F.when(F.col("o_orderkey") % 3 == 0, "NaN").otherwise(F.col("o_custkey").cast("string"))).alias("coerced"),
