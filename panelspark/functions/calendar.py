@@ -27,7 +27,7 @@ def business_days_between(start, end) -> Column:
     a, b = col(start).cast("date"), col(end).cast("date")
     n = _weekdays_before(F.date_add(b, 1)) - _weekdays_before(a) - 1
     # an empty range counts zero days before the minus one
-    return F.coalesce(F.greatest(n, F.lit(-1)), F.lit(0)).cast("long")
+    return F.coalesce(F.when(n < -1, F.lit(-1)).otherwise(n), F.lit(0)).cast("long")
 
 
 def add_business_days(day, n) -> Column:

@@ -270,9 +270,10 @@ def portfolio_summary(result: dict[str, DataFrame], config: PortfolioConfig | No
     config = config or PortfolioConfig()
     daily, one = result["daily_returns"], F.lit(1).alias("__k")
     capital, root = config.starting_capital, math.sqrt(252)
-    total = F.max_by("portfolio_value", "date") / capital - 1.0
+    wealth = F.max_by("portfolio_value", "date") / capital
+    total = wealth - 1.0
     periods = F.count("*") - 1
-    grown = F.pow(total + 1.0, F.try_divide(F.lit(252.0), periods))
+    grown = F.pow(wealth, F.try_divide(F.lit(252.0), periods))
     base = daily.agg(
         F.lit(capital).alias("starting_capital"), F.max_by("portfolio_value", "date").alias("ending_capital"),
         total.alias("total_return"),

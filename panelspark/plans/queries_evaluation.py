@@ -403,7 +403,7 @@ def filled_orders(i):
     out = ledger.reconcile_fills(i.ledger(), i.prices(), LEDGER)
     out = out.filter("planned_date >= date '1998-01-01'")
     return rounded(out.select("order_id", "status", "fill_date", "entry_price", "entry_value", "entry_cost", "shares", "skip_reason"), 4,
-                   entry_price=None, entry_value=None)
+                   entry_price=None, entry_value=None, entry_cost=None)
 
 
 @query("partial_fills")
@@ -425,7 +425,7 @@ def exit_decisions(i):
     scores = i.scored().select("symbol", "date", "score")
     out = ledger.reconcile_exits(book, i.prices(), RULES, scores=scores, universe=sectors(i))
     return rounded(out.select("order_id", "status", "exit_date", "exit_reason", "exit_price", "exit_signal_value", "net_pnl",
-                              "trailing_stop_activated"), 4, exit_price=None)
+                              "trailing_stop_activated"), 4, exit_price=None, net_pnl=None)
 
 
 def reopened(i):

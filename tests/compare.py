@@ -19,6 +19,7 @@ def duck(sf_dir: str):
     import duckdb
 
     con = duckdb.connect()
+    con.execute("set enable_progress_bar = false")
     for name in TABLES:
         con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     return con
