@@ -273,8 +273,9 @@ def watchlists(scored: DataFrame, config: DiscoveryConfig | None = None, keys=("
     long = scored.withColumn("__lane", F.explode(F.array_compact(F.array(*lanes))))
     long = long.withColumns({"lane": F.col("__lane.lane"), "lane_score": F.col("__lane.lane_score")}).drop("__lane")
     order = Window.partitionBy(*keys, "lane").orderBy(
-        F.col("lane_score").desc_nulls_last(), F.col("discovery_score").desc_nulls_last(),
-        F.col("avg_dollar_volume_20d").desc_nulls_last(), "symbol",
+        # scores that differ only by floating-point noise are ties
+        F.round("lane_score", 9).desc_nulls_last(), F.round("discovery_score", 9).desc_nulls_last(),
+        F.round("avg_dollar_volume_20d", 4).desc_nulls_last(), "symbol",
     )
     return long.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= config.top_n)
 

