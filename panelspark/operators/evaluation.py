@@ -146,7 +146,7 @@ def _capped_positions(rows: DataFrame, config: EvaluationConfig, keys) -> DataFr
         both = low.select(*pick, "pos_low").unionByName(high.select(*pick, "pos_high"), allowMissingColumns=True)
         if named:
             return both.groupBy(*named).applyInPandas(run_keyed, schema)
-        return both.groupBy(F.lit(1)).applyInPandas(run, schema)
+        return both.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(run, schema)
 
     chosen = _lookahead(build, F.col("exhausted"), 64).drop("scenario_id", "exhausted")
     return rows.join(chosen, [*groups, "symbol"])
@@ -193,8 +193,9 @@ def apply_risk_controls(daily: DataFrame, config: EvaluationConfig, keys=(), ret
         out = out.withColumn("__levered", F.col(returns) * F.col("leverage"))
         schema = ", ".join([*[f"`{k}` {t}" for k, t in out.dtypes], "risk_net_return double, risk_trading_enabled boolean"])
         stop, days = config.max_drawdown_stop, config.cooldown_days
-        grouped = out.groupBy(*(keys or [F.lit(1)]))
-        out = grouped.applyInPandas(lambda pdf: folds.risk_fold(pdf, stop, days), schema).drop("__levered")
+        grouped = out.withColumn("__all", F.lit(1)).groupBy("__all", *keys)
+        out = grouped.applyInPandas(lambda pdf: folds.risk_fold(pdf.drop(columns="__all"), stop, days), schema)
+        out = out.drop("__levered")
     return out.withColumn("risk_equity", compounded("risk_net_return", ["date"], keys))
 
 
