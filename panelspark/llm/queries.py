@@ -28,3 +28,40 @@ def op8_contamination(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op5_line_frequency(spark, sf_dir):
+    """Word and repetition rules, and rejection of documents that are mostly a host's boilerplate lines."""
+    from panelspark.llm.quality import judge
+
+    return judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
+
+
+#: Key of the registered query and pipeline only; a real run passes its own secret.
+EXAMPLE_KEY = "example"
+
+
+@query
+def op1_pseudonyms(spark, sf_dir):
+    """Every document's text with personal values replaced by format-preserving pseudonyms."""
+    from panelspark.llm.pii import report
+
+    return report(_table(spark, sf_dir, "documents"), key=EXAMPLE_KEY)
+
+
+@query
+def op2_mixture(spark, sf_dir):
+    """What a mix of all sources to target weights takes of every document."""
+    from panelspark.llm.mixing import mixture
+
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_jaccard_classes(spark, sf_dir):
+    """Classes of documents linked by 4-word shingle sets of Jaccard similarity 0.85 or more."""
+    from panelspark.llm.jaccard import Rule, classes
+
+    return classes(_table(spark, sf_dir, "documents"), rule=Rule(words=4, percent=85)).select("doc_id", "n_shingles", "component_id")
