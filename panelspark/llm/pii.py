@@ -211,11 +211,13 @@ MAKERS = {"mail": _mail, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "
 
 def _replaced(key: str, m: Column) -> Column:
     """Struct (kind, new) of a match; kind is null where no kind's validation holds."""
-    out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new"))
-    for kind in reversed(KINDS):
-        new = F.when(m.rlike(f"^(?:{PATTERNS[kind].replace(chr(92) + '3', chr(92) + '1').replace(chr(92) + '4', chr(92) + '2')})$"), MAKERS[kind](key, m))
-        out = let(new, lambda x, kind=kind, out=out: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x.alias("new"))).otherwise(out))
-    return out
+    def tried(kind):
+        whole = PATTERNS[kind].replace("\\3", "\\1").replace("\\4", "\\2")  # its own groups count from 1
+        return F.struct(F.lit(kind).alias("kind"), F.when(m.rlike(f"^(?:{whole})$"), MAKERS[kind](key, m)).alias("new"))
+
+    # side by side and not inside each other: the analyser resolves nested lambdas one level at a time
+    found = F.filter(F.array(*(tried(kind) for kind in KINDS)), lambda x: x["new"].isNotNull())
+    return F.coalesce(F.get(found, 0), F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new")))
 
 
 def pseudonyms(text: str, key: str) -> Column:
@@ -249,4 +251,8 @@ def report(documents: DataFrame, *, key: str) -> DataFrame:
     made = plain(documents, "doc_id", "text").select("doc_id", pseudonyms("text", key).alias("made"))
     kinds = F.coalesce(F.col("made.kinds"), F.array().cast("array<string>"))
     return made.select("doc_id", F.col("made.text").alias("text"), F.size(kinds).cast("long").alias("n_replaced"),
-                       *(F.size(F.filter(kinds, lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS))
+                       *(F.size(F.array_remove(F.transform(kinds, _is(kind)), False)).cast("long").alias(f"n_{kind}") for kind in KINDS))
+
+
+def _is(kind: str):
+    return lambda k: k == kind
