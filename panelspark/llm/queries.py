@@ -65,3 +65,48 @@ def op6_jaccard_classes(spark, sf_dir):
     from panelspark.llm.jaccard import Rule, classes
 
     return classes(_table(spark, sf_dir, "documents"), rule=Rule(words=4, percent=85)).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op4_repeated_passages(spark, sf_dir):
+    """Passages of 50 words or more that documents share, as word spans of every document."""
+    from panelspark.llm.suffixes import repeats
+
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), covered.alias("n_repeated_words"), (F.size("spans") > 0).alias("repeated"), "spans")
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from document labels, and its worst sentence."""
+    from panelspark.llm.toxicity import toxic_documents
+
+    return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    """Quality score of every document, learned from labels."""
+    from panelspark.llm.classifier import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_revisits(spark, sf_dir):
+    """All pages as WARC records, equal payloads stored once, read back from the archives."""
+    from panelspark.llm.warc import read_archives, records, write_archives
+    from panelspark.session import run_dir
+
+    path = run_dir(spark, "warc")
+    write_archives(records(_table(spark, sf_dir, "pages")), path, date="2000-01-01T00:00:00Z")
+    return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op9_main_text(spark, sf_dir):
+    """Main text of every page."""
+    from panelspark.llm.extraction import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
