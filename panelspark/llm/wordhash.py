@@ -66,6 +66,7 @@ class Words:
     start: np.ndarray  # bytes in ``data``
     end: np.ndarray
     data: np.ndarray
+    prefix: np.ndarray  # hashes of the words' first bytes, a column for each length asked for
 
     @property
     def bounds(self) -> np.ndarray:
@@ -89,8 +90,8 @@ def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def _piece(data: np.ndarray, lo: int, cuts: np.ndarray, is_sep, fold):
-    """Starts, ends and hashes of the words in ``data``; no word crosses a cut (a position in ``data``)."""
+def _piece(data: np.ndarray, lo: int, cuts: np.ndarray, is_sep, fold, prefixes):
+    """Starts, ends, hashes and prefix hashes of the words in ``data``; no word crosses a cut (a position in ``data``)."""
     inside = ~is_sep[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -102,10 +103,17 @@ def _piece(data: np.ndarray, lo: int, cuts: np.ndarray, is_sep, fold):
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = _Powers.of(len(data) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(fold[data] * up[: len(data)])))
-    return start + lo, end + lo, scramble((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
+    def hashed(end):
+        return scramble((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
-def groups(column, how=BY_SPACE):
+    some = np.empty((len(start), len(prefixes)), np.uint64)
+    for j, n in enumerate(prefixes):
+        some[:, j] = hashed(np.minimum(end, start + n))
+    return start + lo, end + lo, hashed(end), some
+
+
+def groups(column, how=BY_SPACE, prefixes=()):
     """Yield :class:`Words` for groups of texts of about four megabytes each."""
     is_sep, fold = how
     data, offsets = _bytes(column)
@@ -123,11 +131,12 @@ def groups(column, how=BY_SPACE):
                     stop = lo + int(seps[-1]) + 1
                     break
                 stop = min(hi, stop + PIECE)
-            parts.append(_piece(data[lo:stop], lo, offsets[i : j + 1] - lo, is_sep, fold))
+            parts.append(_piece(data[lo:stop], lo, offsets[i : j + 1] - lo, is_sep, fold, prefixes))
             lo = stop
-        start, end, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, len(prefixes)), np.uint64))
+        start, end, h, some = (np.concatenate(x) for x in zip(*parts)) if parts else none
         counts = np.diff(np.searchsorted(start, offsets[i : j + 1]))
-        yield Words(i, counts, h, start, end, data)
+        yield Words(i, counts, h, start, end, data, some)
         i = j
 
 
