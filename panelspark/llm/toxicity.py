@@ -79,39 +79,55 @@ def fit(fitted_on: DataFrame, **settings) -> tuple[np.ndarray, float]:
     return learn(_bags(fitted_on), **settings)
 
 
-def learn(bags, *, epochs: int = 30, batch: int = 256, rate: float = 0.3, decay: float = 3e-5, least_documents: int = 3) -> tuple[np.ndarray, float]:
-    """Descend the noisy-or likelihood of (slots, sentence sizes, label) bags; slots of fewer than ``least_documents`` bags get no weight."""
+def _informative(bags, least_documents: int, least_z: float) -> np.ndarray:
+    """Slots that are in enough toxic documents, and in more of them than chance explains: only such can make a sentence toxic."""
+    seen, toxic = np.zeros(SLOTS), np.zeros(SLOTS)
+    for slots, _, y in bags:
+        own = np.unique(slots)
+        seen[own] += 1
+        toxic[own] += y
+    share = np.clip(sum(y for _, _, y in bags) / len(bags), 1e-6, 1 - 1e-6)
+    z = (toxic - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
+    return (toxic >= least_documents) & (z >= least_z)
+
+
+def learn(bags, *, epochs: int = 60, batch: int = 128, rate: float = 0.5, decay: float = 1e-5, least_documents: int = 5, least_z: float = 4.0) -> tuple[np.ndarray, float]:
+    """Descend the noisy-or likelihood of (slots, sentence sizes, label) bags, over the slots that are informative at all."""
     weights, bias = np.zeros(SLOTS), -5.0
     if not bags:
         return weights.astype(np.float32), bias
-    spread = np.zeros(SLOTS, np.int64)
-    for slots, _, _ in bags:
-        spread[np.unique(slots)] += 1
-    useful = spread >= least_documents
-    scale, scale_bias = np.full(SLOTS, 1e-8), 1e-8  # sums of squared gradients
+    useful = _informative(bags, least_documents, least_z)
+    names = np.flatnonzero(useful)
+    place = np.cumsum(useful) - 1
+    w = np.zeros(len(names))
+    rows = []
+    for slots, sizes, y in bags:
+        keep = useful[slots]
+        rows.append((place[slots[keep]], np.repeat(np.arange(len(sizes)), sizes)[keep], len(sizes), y))
+    scale, scale_bias = np.full(len(w), 1e-8), 1e-8  # sums of squared gradients
     random = np.random.default_rng(0)
     for _ in range(epochs):
-        order = random.permutation(len(bags))
+        order = random.permutation(len(rows))
         for at in range(0, len(order), batch):
-            some = [bags[i] for i in order[at : at + batch]]
-            slots = np.concatenate([b[0] for b in some])
-            sizes = np.concatenate([b[1] for b in some])
-            owner = np.repeat(np.arange(len(some)), [len(b[1]) for b in some])
-            y = np.array([b[2] for b in some])
-            sentence = np.repeat(np.arange(len(sizes)), sizes)
-            s = bias + np.bincount(sentence, weights[slots], len(sizes))
+            some = [rows[i] for i in order[at : at + batch]]
+            count = np.array([r[2] for r in some])
+            slots = np.concatenate([r[0] for r in some])
+            sentence = np.concatenate([r[1] + n for r, n in zip(some, np.cumsum(count) - count)])
+            owner = np.repeat(np.arange(len(some)), count)
+            y = np.array([r[3] for r in some])
+            s = np.clip(bias + np.bincount(sentence, w[slots], len(owner)), -30, 30)
             p = 1 / (1 + np.exp(-s))
             none = np.bincount(owner, _softplus(s), len(some))  # -log of the chance that no sentence is toxic
             # of -log P for toxic documents, and of -log(1 - P) for the others
             push = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-6), 1.0)
             g = push[owner] * p
-            grad = np.bincount(slots, g[sentence], SLOTS) / len(some) + decay * weights
-            grad[~useful] = 0
+            grad = np.bincount(slots, g[sentence], len(w)) / len(some) + decay * w
             scale += grad * grad
-            weights -= rate * grad / np.sqrt(scale)
+            w -= rate * grad / np.sqrt(scale)
             grad_bias = g.sum() / len(some)
             scale_bias += grad_bias**2
             bias -= 0.3 * rate * grad_bias / np.sqrt(scale_bias)
+    weights[names] = w
     return weights.astype(np.float32), float(bias)
 
 
