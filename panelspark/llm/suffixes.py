@@ -3,7 +3,8 @@
 Only suffixes that start at content-selected positions are kept: in every run of consecutive positions the one whose next words
 have the smallest hash (a minimiser). A passage of ``min_words`` words contains a whole run, so all its occurrences keep the same
 position. Suffixes whose first words repeat are sorted over all machines; each is compared with its neighbours in that order, and a
-match is extended to the right and to the left. What reaches ``min_words`` is repeated; longer passages are unions of such matches.
+match is extended to the right and to the left. They are sorted twice, by what follows and by what precedes the first words, as the
+neighbour with the longest match on one side may have a short one on the other. What reaches ``min_words`` is repeated; longer passages are unions of such matches.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from panelspark.session import cut_lineage
 
 #: Positions of a run; with it, how many following words a position's hash covers: min_words - RUN + 1.
 RUN = 32
-#: Neighbours a suffix is compared with on either side; further ones matter where a text repeats itself.
+#: Neighbours a suffix is compared with on either side, beside the nearest ones of other texts.
 REACH = 3
 #: 2^26 bits are 8 MB.
 BITS = 1 << 26
@@ -119,14 +120,28 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(differs.any(axis=1), differs.argmax(axis=1), a.shape[1]), most)
 
 
+def _run_ends(t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
+    """Ends of the runs of consecutive suffixes of one text."""
+    return np.append(np.flatnonzero((t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])) + 1, len(t1)) if len(t1) else np.zeros(0, np.int64)
+
+
 def _matches(rows: pa.Table, k: int, min_words: int) -> list[tuple]:
     """(t1, t2, start, end, later) of sorted suffixes that match a neighbour."""
     key, t1, t2, at, n_right, n_left = (rows.column(n).to_numpy() for n in ("key", "t1", "t2", "at", "n_right", "n_left"))
     right, left = (np.frombuffer(b"".join(rows.column(n).to_pylist()), np.uint32).reshape(len(key), -1) for n in ("right", "left"))
     out = []
-    for lag in range(1, REACH + 1):
-        a = np.flatnonzero((key[lag:] == key[:-lag]) & ((t1[lag:] != t1[:-lag]) | (t2[lag:] != t2[:-lag])))
-        b = a + lag
+    n = len(key)
+    ends = _run_ends(t1, t2)
+    starts = np.concatenate(([0], ends[:-1]))
+    rows_of = np.repeat(np.arange(len(ends)), ends - starts)
+    every = np.arange(n)
+    pairs = [(every[:-lag], every[lag:]) for lag in range(1, min(REACH, n - 1) + 1)]
+    pairs += [(every, ends[rows_of]), (starts[rows_of] - 1, every)]  # the nearest suffix of another text, after and before
+    for a, b in pairs:
+        ok = (a >= 0) & (b < n)
+        a, b = a[ok], b[ok]
+        ok = (key[a] == key[b]) & ((t1[a] != t1[b]) | (t2[a] != t2[b]))
+        a, b = a[ok], b[ok]
         r = _common(right[a], right[b], np.minimum(n_right[a], n_right[b]))
         f = _common(left[a], left[b], np.minimum(n_left[a], n_left[b]))
         ok = f + k + r >= min_words
@@ -137,8 +152,8 @@ def _matches(rows: pa.Table, k: int, min_words: int) -> list[tuple]:
     return out
 
 
-def neighbours(rows: DataFrame, *, min_words: int, run: int) -> DataFrame:
-    """(t1, t2, start, end, later) of the matches of sorted neighbours; ``later`` where the other text has the smaller key.
+def neighbours(rows: DataFrame, by: str, *, min_words: int, run: int) -> DataFrame:
+    """(t1, t2, start, end, later) of the matches of neighbours, sorted by key and ``by`` (right or left); ``later`` where the other text has the smaller key.
 
     Suffixes are dealt out by range over their whole content, so a passage in any share of all texts is spread over tasks. What
     stands at the ends of a task's range is compared once more across tasks: a few rows for each.
@@ -159,7 +174,8 @@ def neighbours(rows: DataFrame, *, min_words: int, run: int) -> DataFrame:
             table = table if held is None else pa.concat_tables([held, table])
             for found in _matches(table, k, min_words):
                 yield _written(found)
-            held = last = table.slice(max(0, len(table) - REACH))
+            ends = _run_ends(*(table.column(n).to_numpy() for n in ("t1", "t2")))
+            held = last = table.slice(max(0, min(len(table) - REACH, (int(ends[-2]) if len(ends) > 1 else 0) - 1)))
         if first is not None:
             for side, ends in ((0, first), (1, last)):
                 yield _edge(ends, part * 2 + side)
@@ -175,7 +191,7 @@ def neighbours(rows: DataFrame, *, min_words: int, run: int) -> DataFrame:
         col = {name: ends.column(name) for name in NAMES}
         return pa.RecordBatch.from_arrays(
             [col["t1"], col["t2"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), col["key"], col["right"], col["left"], col["at"], col["n_right"], col["n_left"],
-             pa.array(np.full(n, place, np.int64) * 1000 + np.arange(n))], [*spans, *edges])
+             pa.array((np.int64(place) << 32) + np.arange(n))], [*spans, *edges])
 
     spans = ["t1", "t2", "start", "end", "later"]
     edges = ["key", "right", "left", "at", "n_right", "n_left", "place"]
@@ -186,10 +202,10 @@ def neighbours(rows: DataFrame, *, min_words: int, run: int) -> DataFrame:
             for found in _matches(pa.concat_tables(tables), k, min_words):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], spans)
 
-    order = ["key", "right", "left", "t1", "t2", "at"]
+    order = ["key", by, "left" if by == "right" else "right", "t1", "t2", "at"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     made = cut_lineage(dealt.mapInArrow(compared, f"{result}, key long, right binary, left binary, at long, n_right int, n_left int, place long"))
-    # at most 2 * REACH rows of each task
+    # the first and last few rows of each task
     ends = made.where("place is not null").select(*NAMES, "place").repartition(1).sortWithinPartitions("place").mapInArrow(across, result)
     return made.where("place is null").select(*spans).unionByName(ends)
 
@@ -217,7 +233,8 @@ def repeats(documents: DataFrame, *, min_words: int = 50, run: int = RUN, bits:
     if not 1 < run < min_words:
         raise ValueError("run must lie between 1 and min_words")
     keys = cut_lineage(repeated_keys(documents, min_words=min_words, run=run))
-    found = neighbours(suffixes(documents, keys, min_words=min_words, run=run, bits=bits), min_words=min_words, run=run)
+    rows = suffixes(documents, keys, min_words=min_words, run=run, bits=bits)
+    found = neighbours(rows, "right", min_words=min_words, run=run).unionByName(neighbours(rows, "left", min_words=min_words, run=run))
     span = F.struct("start", "end")
     found = found.groupBy("t1", "t2").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("later"), span)).alias("later"))
     texts = plain(documents, "doc_id", "text").select("doc_id", *text_key(), size_of().alias("n_words"))

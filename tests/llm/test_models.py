@@ -1,5 +1,6 @@
 """Classifiers on held-out rows, repeated passages, archives and page text."""
 
+import brute
 import numpy as np
 import pytest
 
@@ -54,7 +55,7 @@ def test_quality_odd_rows(spark, odd_documents, no_documents):
 
 def plain_repeats(rows, n):
     """{doc_id: covered word positions} of runs of n words that another text has."""
-    lower = {d: (t or "").lower().split() for d, t in rows}
+    lower = {d: brute.words((t or "").translate(brute.ASCII_LOWER)) for d, t in rows}
     has = {}
     for d, w in lower.items():
         for i in range(len(w) - n + 1):
