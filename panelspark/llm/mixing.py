@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.rows import SPACE, packed, plain, unpacked
+from panelspark.llm.rows import packed, plain, unpacked, words
+from panelspark.session import cut_lineage
 
 #: Documents of a slice of the running sum, about.
 SLICE_ROWS = 20_000
@@ -20,8 +21,7 @@ SLICE_ROWS = 20_000
 
 def size_of(text: str = "text") -> Column:
     """Number of words of a text; null and empty have none."""
-    t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE + "+", " "))
-    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.size(words(text)).cast("long")
 
 
 def source_targets(sizes: DataFrame, *, weights=(5, 2, 1), most: float = 3) -> DataFrame:
@@ -83,7 +83,8 @@ def copies(rows: DataFrame, targets: DataFrame, *, seed: int = 0, slice_rows: in
 
 def mixture(documents: DataFrame, *, weights=(5, 2, 1), most: float = 3, seed: int = 0, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per document: doc_id, size, source_size, target and taken, the words the mix takes of it (repeats counted)."""
-    sized = plain(documents, "doc_id", "source", "text").select("doc_id", "source", size_of().alias("size"))
+    # sizes are read three times; texts should be only once
+    sized = cut_lineage(plain(documents, "doc_id", "source", "text").select("doc_id", "source", size_of().alias("size")))
     targets = source_targets(sized, weights=weights, most=most)
     return copies(sized, targets, seed=seed, slice_rows=slice_rows, most=most).select(
         "doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))

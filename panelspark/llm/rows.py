@@ -41,4 +41,4 @@ def unpacked(df: DataFrame, columns, **changed: Column) -> DataFrame:
 def words(text) -> Column:
     """Words of a text as an array; null has none."""
     parts = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE + "+")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
