@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.rows import SPACE, packed, plain, row_key, unpacked, words
+from panelspark.llm.rows import packed, plain, row_key, unpacked, words
 
 RUN = 8
 
@@ -52,7 +52,7 @@ def text_measures(text: str = "text") -> Column:
 
 
 def _line_hash(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACE + "+", " "))))
+    return F.xxhash64(F.lower(F.array_join(words(line), " ")))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
