@@ -1,13 +1,9 @@
 """Cross-sections: statistics, ranks and quantiles inside (date[, sector]) groups.
 
-Unlike a symbol's history, a date can hold any share of the rows. Every function here therefore has
-two plans that return the same rows:
-
-* ``small=True``: one window over the group keys. Right while the largest group fits a task.
-* ``small=False``: statistics are pre-aggregated map-side and joined back, and ranks come from a
-  range-partitioned order of the whole table, so that no task ever sees a whole group.
-
-``small=None`` measures the largest group first with one map-side combined count.
+Unlike a symbol's history, a date can hold any share of the rows, so no function here ever has a group in one task.
+Statistics are pre-aggregated map-side and joined back. Ranks depend on values alone: distinct values are counted first and
+their running counts are built from slices of the value range. Exact positions, whose order ends in a unique key, come from a
+range-partitioned order of the whole table.
 """
 
 from __future__ import annotations
@@ -21,18 +17,8 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalar import col
 from panelspark.session import cut_lineage
 
-#: Largest group that may be ordered inside one task.
-GROUP_ROWS_LIMIT = 1_000_000
-
-
-def groups_are_small(df: DataFrame, keys, limit: int = GROUP_ROWS_LIMIT) -> bool:
-    sizes = df.groupBy(*keys).count().agg(F.max("count"))
-    largest = sizes.first()[0]
-    return largest is None or largest <= limit
-
-
-def _decide(df: DataFrame, keys, small: bool | None) -> bool:
-    return groups_are_small(df, keys) if small is None else small
+#: Slices of the value range per octave.
+SLICES = 64
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
@@ -44,82 +30,72 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "left") -
     return left.join(right, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def with_group_stats(df: DataFrame, keys, stats: dict[str, Column], small: bool | None = None) -> DataFrame:
+def with_group_stats(df: DataFrame, keys, stats: dict[str, Column]) -> DataFrame:
     """Attach group aggregates to every row. ``stats`` maps an output name to an aggregate."""
-    if _decide(df, keys, small):
-        frame = Window.partitionBy(*keys)
-        return df.withColumns({name: agg.over(frame) for name, agg in stats.items()})
     table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
     return null_safe_join(df, table, keys)
 
 
-def with_row_index(df: DataFrame, keys, order, out: str, small: bool | None = None) -> DataFrame:
+def with_row_index(df: DataFrame, keys, order, out: str) -> DataFrame:
     """Exact 1-based position of each row in its group under ``order``.
 
-    Large groups are ordered by a range partitioning on the keys and the order columns, which cuts
-    hot groups, and long runs of equal values when ``order`` ends in a unique key, into many tasks.
-    Each task numbers its slice and a small table of slice sizes supplies the offsets.
+    A range partitioning on the keys and the order columns cuts hot groups, and long runs of equal values when ``order`` ends in a
+    unique key, into many tasks. Each task's rows are sorted and numbered as they stand; a small table of where the groups start
+    in each task supplies the offsets.
     """
     order = [col(o) for o in order]
-    if _decide(df, keys, small):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    slices = cut_lineage(
-        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(
-            "__slice", F.spark_partition_id()
-        )
-    )
-    sizes = slices.groupBy("__slice", *keys).agg(F.count("*").alias("__n"))
+    by = [*[F.col(k) for k in keys], *order]
+    placed = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__slice", F.shiftright("__at", 33))
+    starts = placed.groupBy("__slice", *keys).agg(F.min("__at").alias("__start"), F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(
-        "__slice", *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
-    )
-    local = F.row_number().over(Window.partitionBy("__slice", *keys).orderBy(*order))
-    numbered = null_safe_join(slices.withColumn("__local", local), sizes, ["__slice", *keys])
-    return numbered.withColumn(out, (F.col("__before") + F.col("__local")).cast("int")).drop(
-        "__slice", "__local", "__before"
-    )
+    starts = starts.select("__slice", *keys, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__start") + 1).alias("__shift"))
+    numbered = null_safe_join(placed, starts, ["__slice", *keys])
+    return numbered.withColumn(out, (F.col("__at") + F.col("__shift")).cast("int")).drop("__slice", "__at", "__shift")
 
 
-def _average_rank(x: Column, keys, ascending: bool) -> Column:
-    order = x.asc_nulls_last() if ascending else x.desc_nulls_last()
-    first = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-    ties = F.count(x).over(Window.partitionBy(*keys, x))
-    return F.when(x.isNotNull(), first + (ties - 1) / 2.0)
+def _slice(x: Column) -> Column:
+    """A number that never falls as ``x`` rises and cuts each octave of its size into :data:`SLICES` slices."""
+    return F.floor(F.signum(x) * F.log2(F.abs(x) * 1e9 + 1.0) * SLICES)
 
 
-def with_average_ranks(
-    df: DataFrame,
-    keys,
-    ranks: dict[str, tuple[str, bool]],
-    tie_break=("symbol",),
-    small: bool | None = None,
-) -> DataFrame:
+def _running_counts(rows: DataFrame, keys, value: str) -> DataFrame:
+    """Distinct non-null values of each group with ``__ties`` rows of that value and ``__below`` rows of smaller ones.
+
+    A frequent value is one row after the first aggregate, so a slice holds few rows however the values are spread.
+    """
+    x = F.col(value).cast("double")
+    counted = rows.filter(x.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__ties")).withColumn("__slice", _slice(x))
+    slices = counted.groupBy(*keys, "__slice").agg(F.sum("__ties").alias("__n"))
+    lower = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(*keys, "__slice", F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("__inside", F.coalesce(F.sum("__ties").over(inside), F.lit(0)))
+    joined = null_safe_join(counted, slices, [*keys, "__slice"])
+    return joined.select(*keys, value, "__ties", (F.col("__before") + F.col("__inside")).alias("__below"))
+
+
+def with_average_ranks(df: DataFrame, keys, ranks: dict[str, tuple[str, bool]], tie_break=("symbol",)) -> DataFrame:
     """Rank of each value in its group with ties averaged; null values stay unranked.
 
-    ``ranks`` maps an output name to ``(value column, ascending)``.
+    ``ranks`` maps an output name to ``(value column, ascending)``. All ranks of a frame are found in one pass over
+    (name, value) pairs; ``keys`` and ``tie_break`` together identify a row.
     """
-    if _decide(df, keys, small):
-        out = df
-        order_of = {}
-        for name, (value, ascending) in ranks.items():
-            x = F.col(value)
-            order = x.asc_nulls_last() if ascending else x.desc_nulls_last()
-            peers = Window.partitionBy(*keys).orderBy(order)
-            # rows in [first of the tie run, last of the tie run] under one sort
-            first = F.rank().over(peers)
-            upto = F.count(x).over(peers.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-            order_of[name] = F.when(x.isNotNull(), (first + upto) / 2.0)
-        return out.withColumns(order_of)
+    row_keys = [*keys, *[t for t in tie_break if t not in keys]]
+    values = list(dict.fromkeys(value for value, _ in ranks.values()))
+    pairs = F.array(*[F.struct(F.lit(n).alias("__name"), F.col(v).cast("double").alias("__value")) for n, v in enumerate(values)])
+    long = df.select(*row_keys, F.explode(F.filter(pairs, lambda p: p["__value"].isNotNull())).alias("__p")).select(*row_keys, "__p.*")
+    names = [*keys, "__name"]
+    counts = _running_counts(long, names, "__value")
+    total = counts.groupBy(*names).agg(F.sum("__ties").alias("__n"))
+    counts = null_safe_join(counts, total, names)
+    placed = null_safe_join(long, counts, [*names, "__value"])
+    up = F.col("__below") + (F.col("__ties") + 1) / 2.0
+    wide = []
     for name, (value, ascending) in ranks.items():
-        x = F.col(value)
-        order = x.asc() if ascending else x.desc()
-        placed = with_row_index(
-            df.filter(x.isNotNull()).select(*keys, value, *tie_break),
-            keys, [order, *tie_break], "__pos", small=False,
-        )
-        ties = placed.groupBy(*keys, value).agg(F.avg("__pos").alias(name))
-        df = null_safe_join(df, ties, [*keys, value])
-    return df
+        rank = up if ascending else F.col("__n") + 1 - up
+        wide.append(F.max(F.when(F.col("__name") == values.index(value), rank)).alias(name))
+    return null_safe_join(df, placed.groupBy(*row_keys).agg(*wide), row_keys)
 
 
 def with_percent_ranks(
@@ -129,22 +105,21 @@ def with_percent_ranks(
     *,
     flat_value: float | None = None,
     tie_break=("symbol",),
-    small: bool | None = None,
 ) -> DataFrame:
     """Average rank divided by the number of non-null values of the group.
 
     With ``flat_value`` set, a group whose values are all equal gets that constant instead.
     """
-    small = _decide(df, keys, small)
     tmp = {f"__r_{name}": spec for name, spec in ranks.items()}
-    out = with_average_ranks(df, keys, tmp, tie_break, small)
+    out = with_average_ranks(df, keys, tmp, tie_break)
     stats = {}
     for name, (value, _) in ranks.items():
         stats[f"__n_{name}"] = F.count(F.col(value))
         if flat_value is not None:
             stats[f"__lo_{name}"] = F.min(F.col(value))
             stats[f"__hi_{name}"] = F.max(F.col(value))
-    out = with_group_stats(out, keys, stats, small)
+    table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
+    out = null_safe_join(out, table, keys)
     cols = {}
     for name, (value, _) in ranks.items():
         pct = F.try_divide(F.col(f"__r_{name}"), F.col(f"__n_{name}"))
@@ -155,42 +130,29 @@ def with_percent_ranks(
     return out.withColumns(cols).drop(*tmp, *stats)
 
 
-def with_quantile_bucket(
-    df: DataFrame, keys, value: str, out: str, buckets: int = 10, tie_break=("symbol",),
-    small: bool | None = None,
-) -> DataFrame:
+def with_quantile_bucket(df: DataFrame, keys, value: str, out: str, buckets: int = 10, tie_break=("symbol",)) -> DataFrame:
     """Equal-frequency bucket 1..n of the row position, right-closed like a quantile cut."""
-    small = _decide(df, keys, small)
-    placed = with_row_index(
-        df.filter(F.col(value).isNotNull()), keys, [F.col(value).asc(), *tie_break], "__pos", small
-    )
-    placed = with_group_stats(placed, keys, {"__n": F.count("*")}, small)
+    rows = df.filter(F.col(value).isNotNull())
+    placed = with_row_index(rows, keys, [F.col(value).asc(), *tie_break], "__pos")
+    placed = with_group_stats(placed, keys, {"__n": F.count("*")})
     spread = F.try_divide((F.col("__pos") - 1) * F.lit(float(buckets)), F.col("__n") - 1)
     bucket = F.greatest(F.lit(1), F.ceil(F.coalesce(spread, F.lit(0.0)))).cast("int")
     return placed.withColumn(out, bucket).drop("__pos", "__n")
 
 
-def group_quantiles(
-    df: DataFrame, keys, value: str, quantiles: dict[str, float], tie_break=("symbol",),
-    small: bool | None = None,
-) -> DataFrame:
-    """Exact linearly interpolated quantiles per group.
-
-    ``percentile`` keeps every distinct value of a group in one buffer, so large groups read the two
-    neighbouring order statistics from the distributed row index instead.
-    """
-    rows = df.filter(F.col(value).isNotNull())
-    if _decide(rows, keys, small):
-        return rows.groupBy(*keys).agg(
-            *[F.percentile(value, q).alias(name) for name, q in quantiles.items()]
-        )
-    placed = with_row_index(rows, keys, [F.col(value).asc(), *tie_break], "__pos", small=False)
-    placed = with_group_stats(placed, keys, {"__n": F.count("*")}, small=False)
+def group_quantiles(df: DataFrame, keys, value: str, quantiles: dict[str, float], tie_break=("symbol",)) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, read from the running counts of its distinct values."""
+    counts = _running_counts(df, keys, value)
+    total = counts.groupBy(*keys).agg(F.sum("__ties").alias("__n"))
+    counts = null_safe_join(counts, total, keys)
     aggs = []
     for name, q in quantiles.items():
         at = (F.col("__n") - 1) * F.lit(q) + 1
-        low = F.max(F.when(F.col("__pos") == F.floor(at), F.col(value)))
-        high = F.max(F.when(F.col("__pos") == F.ceil(at), F.col(value)))
-        part = F.max(at - F.floor(at))
+
+        def held(position):
+            here = (F.col("__below") < position) & (position <= F.col("__below") + F.col("__ties"))
+            return F.max(F.when(here, F.col(value)))
+
+        low, high, part = held(F.floor(at)), held(F.ceil(at)), F.max(at - F.floor(at))
         aggs.append((low + (high - low) * part).alias(name))
-    return placed.groupBy(*keys).agg(*aggs)
+    return counts.groupBy(*keys).agg(*aggs)

@@ -55,7 +55,7 @@ def drawdown_of_values(df: DataFrame, value: str, order, keys=(), out: str = "ma
 
 
 def information_coefficient(
-    df: DataFrame, keys, prediction: str, realised: str, out: str = "ic", small: bool | None = None,
+    df: DataFrame, keys, prediction: str, realised: str, out: str = "ic",
     tie_break=("date", "symbol"),
 ) -> DataFrame:
     """Spearman correlation per group over rows where both values are present."""
@@ -66,7 +66,7 @@ def information_coefficient(
     else:
         keys_used = list(keys)
     ranked = with_average_ranks(
-        rows, keys_used, {"__p": (prediction, True), "__y": (realised, True)}, tie_break, small
+        rows, keys_used, {"__p": (prediction, True), "__y": (realised, True)}, tie_break
     )
     scored = ranked.groupBy(*keys_used).agg(
         F.when(

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.crosssection import groups_are_small, with_percent_ranks, with_row_index
+from panelspark.functions.crosssection import with_percent_ranks, with_row_index
 from panelspark.functions.scalar import fixed, number, percent, ratio, symbol_key, texts
 from panelspark.operators import features, validate
 from panelspark.operators.fundamentals import quality_eligible
@@ -163,7 +163,7 @@ def score_helpers(df: DataFrame) -> DataFrame:
 
 
 def score_candidates(
-    candidates: DataFrame, config: DiscoveryConfig | None = None, keys=("date",), small: bool | None = None
+    candidates: DataFrame, config: DiscoveryConfig | None = None, keys=("date",)
 ) -> DataFrame:
     """Lane scores and the composite inside each key group.
 
@@ -182,8 +182,7 @@ def score_candidates(
         clean[f"__v_{c}"] = number(c)
         ranks[f"__p_{c}_{int(higher)}"] = (f"__v_{c}", higher)
     df = df.withColumns(clean)
-    small = groups_are_small(df, keys) if small is None else small
-    df = with_percent_ranks(df, keys, ranks, flat_value=0.5, small=small)
+    df = with_percent_ranks(df, keys, ranks, flat_value=0.5)
     eligible = quality_eligible([c for c in df.columns if not c.startswith("__")])
     cols = {}
     for score, parts in SCORES.items():
@@ -282,7 +281,7 @@ def watchlists(scored: DataFrame, config: DiscoveryConfig | None = None, keys=("
 
 def run_discovery(
     frame: DataFrame, *, universe: DataFrame | None = None, as_of_date=None, watchlist: DataFrame | None = None,
-    config: DiscoveryConfig | None = None, small: bool | None = None,
+    config: DiscoveryConfig | None = None,
 ) -> dict[str, DataFrame]:
     """The funnel for one as-of date: candidates, exclusions and watchlists."""
     config = config or DiscoveryConfig()
@@ -295,19 +294,19 @@ def run_discovery(
         latest = frame.agg(F.max(F.col("date").cast("date")).alias("as_of_date"))
         snapshot = df.join(F.broadcast(latest), df["date"].cast("date") == F.col("as_of_date"), "left_semi")
     kept, excluded = filter_candidates(snapshot, config, watchlist)
-    scored = score_candidates(kept, config, ["date"], small)
+    scored = score_candidates(kept, config, ["date"])
     # one date's candidates feed several results, so they are stored once
     scored = cut_lineage(scored.withColumns({"why_flagged": explanation(scored.columns), "risk_flags": risk_flags(scored.columns, config)}))
     return {"candidates": scored, "exclusions": excluded, "watchlists": watchlists(scored, config)}
 
 
-def top_fraction(df: DataFrame, fraction: float, keys=("date",), small: bool | None = None) -> DataFrame:
+def top_fraction(df: DataFrame, fraction: float, keys=("date",)) -> DataFrame:
     """Best ``ceil(n * fraction)`` rows per group by discovery score, at least one."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
     from panelspark.functions.crosssection import with_group_stats
 
-    df = with_row_index(df, list(keys), [F.col("discovery_score").desc(), "symbol"], "__rank", small)
-    df = with_group_stats(df, list(keys), {"__n": F.count("*")}, small)
+    df = with_row_index(df, list(keys), [F.col("discovery_score").desc(), "symbol"], "__rank")
+    df = with_group_stats(df, list(keys), {"__n": F.count("*")})
     keep = F.greatest(F.lit(1), F.ceil(F.col("__n") * F.lit(fraction)))
     return df.filter(F.col("__rank") <= keep).drop("__rank", "__n")

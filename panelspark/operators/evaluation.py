@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.crosssection import null_safe_join, with_group_stats, with_row_index
-from panelspark.functions.metrics import compound, drawdown_of_returns, sharpe
-from panelspark.functions.scalar import col, number
-from panelspark.functions.windows import compounded, running_max
+from panelspark.functions.crosssection import with_group_stats, with_row_index
+from panelspark.functions.metrics import compound
+from panelspark.functions.scalar import col
+from panelspark.functions.windows import compounded
 from panelspark.operators import folds
-from panelspark.session import cut_lineage, require_columns
+from panelspark.session import require_columns
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,6 @@ class EvaluationConfig:
     max_leverage: float = 1.0
     max_drawdown_stop: float | None = None
     cooldown_days: int = 20
-    max_symbol_trades: int | None = None
     initial_capital: float = 2_000.0
     allow_fractional_shares: bool = False
     min_trade_dollars: float = 1.0
@@ -43,7 +42,7 @@ class EvaluationConfig:
         for name in ("transaction_cost_bps", "slippage_bps", "cooldown_days", "min_trade_dollars"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must be non-negative")
-        positive = ("target_volatility", "max_leverage", "max_symbol_trades", "initial_capital",
+        positive = ("target_volatility", "max_leverage", "initial_capital",
                     "rebalance_interval_days", "max_adv_fraction")
         for name in positive:
             value = getattr(self, name)
@@ -57,18 +56,6 @@ class EvaluationConfig:
             raise ValueError("min_score must be finite")
 
 
-@dataclass(frozen=True)
-class Scenario:
-    """One run of an account: a configuration, a name and an optional market regime."""
-
-    scenario_id: str
-    config: EvaluationConfig = field(default_factory=EvaluationConfig)
-    regime: str = "none"
-
-    def as_dict(self) -> dict:
-        return {**asdict(self.config), "scenario_id": self.scenario_id, "regime": self.regime}
-
-
 def _wanted(rows, fraction: float):
     return F.greatest(F.lit(1), F.floor(rows * F.lit(fraction)).cast("int"))
 
@@ -78,7 +65,7 @@ def _wanted(rows, fraction: float):
 
 def positions(
     scored: DataFrame, config: EvaluationConfig, keys=(), *, score: str = "score",
-    outcome: str = "forward_return", small: bool | None = None,
+    outcome: str = "forward_return",
 ) -> DataFrame:
     """One row per held position: side, weight and contribution, for all dates at once.
 
@@ -89,17 +76,14 @@ def positions(
     rows = scored.select(*groups, "symbol", F.col(score).alias("score"), F.col(outcome).alias("outcome")).filter(
         "score is not null and outcome is not null"
     )
-    rows = with_group_stats(rows, groups, {"__n": F.count("*")}, small)
+    rows = with_group_stats(rows, groups, {"__n": F.count("*")})
     longs, shorts = _wanted(F.col("__n"), config.long_fraction), _wanted(F.col("__n"), config.short_fraction)
-    if config.max_symbol_trades is None:
-        rows = with_row_index(rows, groups, [F.col("score").asc(), "symbol"], "__low", small)
-        rows = with_row_index(rows, groups, [F.col("score").desc(), "symbol"], "__high", small)
-        sides = F.array_compact(F.array(
-            F.when(F.col("__high") <= longs, F.lit("long")), F.when(F.col("__low") <= shorts, F.lit("short"))
-        ))
-        held = rows.withColumn("side", F.explode(sides))
-    else:
-        held = _capped_positions(rows, config, keys)
+    rows = with_row_index(rows, groups, [F.col("score").asc(), "symbol"], "__low")
+    rows = with_row_index(rows, groups, [F.col("score").desc(), "symbol"], "__high")
+    sides = F.array_compact(F.array(
+        F.when(F.col("__high") <= longs, F.lit("long")), F.when(F.col("__low") <= shorts, F.lit("short"))
+    ))
+    held = rows.withColumn("side", F.explode(sides))
     cap = F.lit(config.max_position_weight)
     weight = F.when(F.col("side") == "long", F.least(1.0 / longs, cap)).otherwise(-F.least(1.0 / shorts, cap))
     return held.select(
@@ -108,50 +92,6 @@ def positions(
     )
 
 
-def _lookahead(build, exhausted, first: int):
-    """Widen a per-date lookahead until no group needed more rows than it was given."""
-    limit = first
-    while True:
-        result = cut_lineage(build(limit))
-        if result.filter(exhausted).isEmpty():
-            return result
-        limit *= 8
-
-
-def _top(rows: DataFrame, groups, order, out: str, limit: int) -> DataFrame:
-    """First ``limit`` rows per group. Each task prunes its rows before the shuffle."""
-    ranked = rows.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    return ranked.filter(F.col(out) <= limit)
-
-
-def _capped_positions(rows: DataFrame, config: EvaluationConfig, keys) -> DataFrame:
-    groups = [*keys, "date"]
-    scenario = [Scenario("cap", config).as_dict()]
-    schema = ", ".join([*[f"{k} {t}" for k, t in rows.dtypes if k in keys], folds.POSITION_COLUMNS])
-    named = list(keys)
-
-    def run(pdf):
-        return folds.frame_of(folds.capped_sides_fold(pdf, scenario), folds.POSITION_COLUMNS)
-
-    def run_keyed(key, pdf):
-        out = run(pdf)
-        for name, value in zip(named, key):
-            out.insert(0, name, value)
-        return out[[*named, *[c for c in out.columns if c not in named]]]
-
-    def build(limit):
-        low = _top(rows, groups, ["score", "symbol"], "pos_low", limit)
-        high = _top(rows, groups, [F.col("score").desc(), "symbol"], "pos_high", limit)
-        pick = [*groups, "symbol", F.col("__n").alias("rows")]
-        both = low.select(*pick, "pos_low").unionByName(high.select(*pick, "pos_high"), allowMissingColumns=True)
-        if named:
-            return both.groupBy(*named).applyInPandas(run_keyed, schema)
-        return both.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(run, schema)
-
-    chosen = _lookahead(build, F.col("exhausted"), 64).drop("scenario_id", "exhausted")
-    return rows.join(chosen, [*groups, "symbol"])
-
-
 def daily_returns(held: DataFrame, config: EvaluationConfig, keys=()) -> DataFrame:
     """Net return per date from position rows."""
     rate = (config.transaction_cost_bps + config.slippage_bps) / 10_000.0
@@ -201,19 +141,19 @@ def apply_risk_controls(daily: DataFrame, config: EvaluationConfig, keys=(), ret
 
 def long_short_returns(
     scored: DataFrame, config: EvaluationConfig | None = None, keys=(), *, score: str = "score",
-    outcome: str = "forward_return", small: bool | None = None,
+    outcome: str = "forward_return",
 ) -> DataFrame:
     config = config or EvaluationConfig()
-    held = positions(scored, config, keys, score=score, outcome=outcome, small=small)
+    held = positions(scored, config, keys, score=score, outcome=outcome)
     return apply_risk_controls(daily_returns(held, config, keys), config, keys)
 
 
 def portfolio_diagnostics(
     predictions: DataFrame, config: EvaluationConfig | None = None, *, score: str = "score",
-    outcome: str = "forward_return", small: bool | None = None,
+    outcome: str = "forward_return",
 ) -> DataFrame:
     """Daily returns per split, then equity across all splits in (split, date) order."""
-    daily = long_short_returns(predictions, config, ["split_id"], score=score, outcome=outcome, small=small)
+    daily = long_short_returns(predictions, config, ["split_id"], score=score, outcome=outcome)
     order = ["split_id", "date"]
     return daily.withColumns(
         {"raw_equity": compounded("net_return", order), "risk_equity_full": compounded("risk_net_return", order)}
@@ -240,315 +180,7 @@ def symbol_contributions(held: DataFrame) -> DataFrame:
 # --- accounts -------------------------------------------------------------------------------------
 
 
-@dataclass
-class AccountRuns:
-    """Results of a scenario table: equity per date, fills, and (lazily) the skipped signals."""
-
-    equity: DataFrame
-    fills: DataFrame
-    signals: DataFrame
-    scenarios: list[Scenario]
-    keys: tuple
-
-    def ledger(self) -> DataFrame:
-        """Filled and skipped signals in one table."""
-        return self.fills.unionByName(self.skipped(), allowMissingColumns=True).fillna(
-            0.0, ["shares", "entry_value", "exit_value", "entry_cost", "exit_cost", "gross_pnl", "net_pnl", "return"]
-        )
-
-    def skipped(self) -> DataFrame:
-        """Signals looked at and not filled, with the first reason that applies.
-
-        Only active dates are touched, and the broadcast side has one row per scenario and date, so its
-        size is bounded by the calendar and the scenario table, not by the signals.
-        """
-        spark = self.signals.sparkSession
-        rules = spark.createDataFrame(
-            [(s.scenario_id, s.config.min_score, s.config.max_symbol_trades) for s in self.scenarios],
-            "scenario_id string, min_score double, trade_cap int",
-        )
-        days = self.equity.filter("active").select(
-            "scenario_id", *self.keys, "date", "stop_score", "stop_symbol", "cash_score", "cash_symbol"
-        ).join(F.broadcast(rules), "scenario_id")
-        rows = self.signals.join(F.broadcast(days), [*self.keys, "date"])
-        place = F.struct(-F.col("score"), F.col("symbol"))
-        stop = F.struct(-F.col("stop_score"), F.col("stop_symbol"))
-        seen = rows.filter(F.col("stop_symbol").isNull() | (place <= stop))
-        fills = self.fills.select("scenario_id", *self.keys, "date", "symbol", F.lit(True).alias("__filled"))
-        if any(s.config.max_symbol_trades is not None for s in self.scenarios):
-            nth = F.row_number().over(Window.partitionBy("scenario_id", *self.keys, "symbol").orderBy("date"))
-            full = self.fills.withColumn("__nth", nth).join(F.broadcast(rules), "scenario_id").filter("__nth = trade_cap")
-            full = full.select("scenario_id", *self.keys, "symbol", F.col("date").alias("__full"))
-            seen = seen.join(full, ["scenario_id", *self.keys, "symbol"], "left")
-        else:
-            seen = seen.withColumn("__full", F.lit(None).cast("date"))
-        out = seen.join(fills, ["scenario_id", *self.keys, "date", "symbol"], "left").filter("__filled is null")
-        cash = F.struct(-F.col("cash_score"), F.col("cash_symbol"))
-        reason = (
-            F.when(F.col("score") < F.col("min_score"), "score_below_threshold")
-            .when(F.col("__full") < F.col("date"), "symbol_trade_cap")
-            .when(F.col("row_reason").isNotNull(), F.col("row_reason"))
-            .when(F.col("cash_symbol").isNotNull() & (place >= cash), "insufficient_cash")
-            .otherwise("size_too_small")
-        )
-        return out.select(
-            "scenario_id", *self.keys, F.lit("skipped").alias("status"), "date", "symbol", "score",
-            reason.alias("skip_reason"),
-        )
-
-
-def _run_accounts(rows, fold, scenarios, keys, order, extra, limit):
-    """Evaluate every scenario on the top rows of each date, widening the lookahead where needed.
-
-    Scenarios are dealt into as many batches as there are tasks, so the (bounded) candidate table is
-    repeated once per batch rather than once per scenario.
-    """
-    groups = [*keys, "date"]
-    spark = rows.sparkSession
-    batches = max(1, min(len(scenarios), spark.sparkContext.defaultParallelism))
-    plans = [[s.as_dict() for s in scenarios[b::batches]] for b in range(batches)]
-    named = list(keys)
-    key_types = [f"{k} {t}" for k, t in rows.dtypes if k in named]
-    schema = ", ".join([*key_types, folds.EVENT_COLUMNS])
-
-    def run(key, pdf):
-        out = folds.frame_of(fold(pdf, plans[int(key[0])]), folds.EVENT_COLUMNS)
-        for at, name in enumerate(named):
-            out.insert(at, name, key[1 + at])
-        return out
-
-    viable = rows.filter("row_reason is null")
-    per_date = rows.groupBy(*groups).agg(
-        F.count("*").alias("rows"), F.count_if(F.col("row_reason").isNull()).alias("viable"),
-        F.min(F.when(F.col("row_reason").isNull(), F.col("entry_price"))).alias("cheapest"),
-        *[F.max(c).alias(c) for c in extra],
-    )
-
-    def build(size):
-        top = _top(viable.drop(*extra), groups, order, "pos", size).drop("row_reason")
-        table = per_date.join(top, groups, "left").withColumns(
-            {"kept": F.least(F.col("viable"), F.lit(size)), "pos": F.col("pos").cast("double")}
-        )
-        dealt = table.withColumn("__batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-        return dealt.groupBy("__batch", *named).applyInPandas(run, schema)
-
-    return _lookahead(build, F.col("exhausted"), limit)
-
-
 REGIME_COLUMNS = ("market_return_20d", "market_return_60d")
 
 
-def event_accounts(
-    signals: DataFrame, scenarios: list[Scenario], keys=(), *, score: str = "score", entry: str = "next_open",
-    exit: str = "exit_close", adv: str = "avg_dollar_volume_20d", lookahead: int = 32,
-) -> AccountRuns:
-    """Event-based long-only accounts: next-open entry, horizon exit, liquidity and cash limits.
-
-    Signals without a score are dropped at entry. Ties are broken by symbol.
-    """
-    require_columns(signals, ("date", "symbol", score, entry, exit, adv), "signals")
-    none = F.lit(None).cast("double")
-    regime = [(number(c) if c in signals.columns else none).alias(c) for c in REGIME_COLUMNS]
-    rows = signals.select(
-        *keys, F.col("date").cast("date").alias("date"), "symbol", number(score).alias("score"),
-        number(entry).alias("entry_price"), number(exit).alias("exit_price"), number(adv).alias("adv"), *regime,
-    ).filter("score is not null")
-
-    def bad(c):
-        return F.col(c).isNull() | (F.col(c) <= 0)
-
-    reason = (
-        F.when(bad("entry_price"), "missing_entry_price").when(bad("exit_price"), "missing_exit_price")
-        .when(bad("adv"), "missing_liquidity")
-    )
-    rows = rows.withColumn("row_reason", reason)
-    order = [F.col("score").desc(), "symbol"]
-    events = _run_accounts(rows, folds.event_fold, scenarios, keys, order, REGIME_COLUMNS, lookahead)
-    start = spark_map(scenarios, lambda s: s.config.initial_capital)
-    rate = spark_map(scenarios, lambda s: (s.config.transaction_cost_bps + s.config.slippage_bps) / 10_000.0)
-    by_run = Window.partitionBy("scenario_id", *keys).orderBy("date")
-    before = F.coalesce(F.lag("capital").over(by_run), start)
-    peak = running_max("capital", ["date"], ["scenario_id", *keys])
-    equity = events.filter("kind = 'equity'").select(
-        "scenario_id", *keys, "date", "capital", "positions", "invested",
-        (F.col("capital") - F.col("invested")).alias("cash"), "net_pnl", "active",
-        "stop_score", "stop_symbol", "cash_score", "cash_symbol",
-        (F.try_divide(F.col("capital"), before) - 1.0).alias("net_return"),
-        (F.try_divide(F.col("capital"), peak) - 1.0).alias("drawdown"),
-    )
-    value, leave = F.col("shares") * F.col("entry_price"), F.col("shares") * F.col("exit_price")
-    net = leave - value - value * rate - leave * rate
-    fills = events.filter("kind = 'fill'").select(
-        "scenario_id", *keys, F.lit("filled").alias("status"), "date", "symbol", "score", "shares", "entry_price",
-        "exit_price", value.alias("entry_value"), leave.alias("exit_value"), (value * rate).alias("entry_cost"),
-        (leave * rate).alias("exit_cost"), (leave - value).alias("gross_pnl"), net.alias("net_pnl"),
-        F.try_divide(net, value).alias("return"), F.lit("").alias("skip_reason"),
-    )
-    return AccountRuns(equity, fills, rows.drop(*REGIME_COLUMNS), scenarios, tuple(keys))
-
-
-def spark_map(scenarios, value):
-    """Per-scenario constant as an expression on ``scenario_id``."""
-    pairs = [x for s in scenarios for x in (F.lit(s.scenario_id), F.lit(float(value(s))))]
-    return F.create_map(*pairs)[F.col("scenario_id")]
-
-
-def capital_accounts(
-    scored: DataFrame, scenarios: list[Scenario], keys=(), *, score: str = "score", outcome: str = "forward_return",
-    price: str = "adj_close", lookahead: int = 64,
-) -> DataFrame:
-    """Whole-share long-only accounts marked by forward returns, with risk controls per scenario."""
-    require_columns(scored, ("date", "symbol", score, outcome, price), "scored returns")
-    rows = scored.select(
-        *keys, F.col("date").cast("date").alias("date"), "symbol", number(score).alias("score"),
-        number(outcome).alias("outcome"), number(price).alias("entry_price"),
-        F.lit(None).cast("string").alias("row_reason"),
-    ).filter("score is not null and outcome is not null and entry_price is not null")
-    order = [F.col("score").desc(), "symbol"]
-    events = _run_accounts(rows, folds.capital_fold, scenarios, keys, order, (), lookahead)
-    by_run = Window.partitionBy("scenario_id", *keys).orderBy("date")
-    start = spark_map(scenarios, lambda s: s.config.initial_capital)
-    before = F.coalesce(F.lag("capital").over(by_run), start)
-    equity = events.select(
-        "scenario_id", *keys, "date", "capital", "invested", (F.col("capital") - F.col("invested")).alias("cash"),
-        "positions", "gross_pnl", "cost", "net_pnl",
-        F.coalesce(F.try_divide(F.col("net_pnl"), before), F.lit(0.0)).alias("net_return"),
-        F.coalesce(F.try_divide(F.col("invested"), F.col("capital")), F.lit(0.0)).alias("gross_exposure"),
-    )
-    parts = []
-    controls = {}
-    for s in scenarios:  # scenarios with the same risk settings share one pass
-        c = s.config
-        controls.setdefault((c.target_volatility, c.volatility_lookback, c.max_leverage, c.max_drawdown_stop,
-                             c.cooldown_days), []).append(s)
-    for same in controls.values():
-        mine = equity.filter(F.col("scenario_id").isin([s.scenario_id for s in same]))
-        parts.append(apply_risk_controls(mine, same[0].config, ["scenario_id", *keys]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 # --- sweeps ---------------------------------------------------------------------------------------
-
-
-def summarize_runs(runs: AccountRuns) -> DataFrame:
-    """One row per scenario (and key): capital, Sharpe, drawdown, trades and skip counts."""
-    ids = ["scenario_id", *runs.keys]
-    start = spark_map(runs.scenarios, lambda s: s.config.initial_capital)
-    equity = runs.equity.groupBy(*ids).agg(
-        F.max_by("capital", "date").alias("end_capital"), sharpe("net_return").alias("sharpe"),
-        F.min("drawdown").alias("max_equity_drawdown"), F.avg("positions").alias("avg_positions"),
-        F.avg("invested").alias("avg_invested"), F.count_if(F.col("positions") > 0).alias("trade_days"),
-    )
-    fall = drawdown_of_returns(runs.equity, "net_return", ["date"], ids)
-    fills = runs.fills.groupBy(*ids).agg(
-        F.count("*").alias("filled_trades"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("win_rate"),
-        F.avg("net_pnl").alias("avg_net_pnl"), F.sum("net_pnl").alias("total_net_pnl"),
-    )
-    reasons = ("score_below_threshold", "size_too_small", "insufficient_cash", "symbol_trade_cap")
-    skips = runs.skipped().groupBy(*ids).agg(
-        F.count("*").alias("skipped_trades"), *[F.count_if(F.col("skip_reason") == r).alias(r) for r in reasons]
-    )
-    out = equity
-    for part in (fall, fills, skips):
-        out = null_safe_join(out, part, ids)
-    counts = ["filled_trades", "skipped_trades", *reasons]
-    out = out.fillna(0, counts).fillna(0.0, ["win_rate", "avg_net_pnl", "total_net_pnl"])
-    return out.withColumn("total_return", F.try_divide(F.col("end_capital"), start) - 1.0)
-
-
-# The six named portfolio rules.
-PORTFOLIO_RULES = {
-    "current_10pct_weight_10pct_universe": {},
-    "conservative_5pct_weight": {"max_position_weight": 0.05},
-    "higher_score_threshold_2pct": {"min_score": 0.02},
-    "fewer_names_5pct_universe": {"long_fraction": 0.05},
-    "symbol_cap_75": {"max_symbol_trades": 75},
-    "drawdown_stop_12pct": {"max_drawdown_stop": 0.12, "cooldown_days": 20},
-}
-
-
-def rule_scenarios(initial_capital: float = 2_000.0, interval: int = 20, rules=None) -> list[Scenario]:
-    base = EvaluationConfig(
-        long_fraction=0.10, max_position_weight=0.10, min_score=0.01, initial_capital=initial_capital,
-        rebalance_interval_days=interval,
-    )
-    return [Scenario(n, replace(base, **o)) for n, o in (rules or PORTFOLIO_RULES).items()]
-
-
-def event_risk_scenarios(
-    weights=(0.10, 0.15, 0.20), fractions=(0.03, 0.05, 0.10), min_scores=(0.005, 0.01, 0.02),
-    stops=(None, 0.15, 0.20),
-    regimes=("none", "market_20d_positive", "market_60d_positive", "market_20d_and_60d_positive"),
-    base: EvaluationConfig | None = None,
-) -> list[Scenario]:
-    base = base or EvaluationConfig(rebalance_interval_days=20)
-    return [
-        Scenario(
-            f"w{w:g}_f{f:g}_s{'none' if m is None else format(m, 'g')}_d{'none' if d is None else format(d, 'g')}_{g}",
-            replace(base, max_position_weight=w, long_fraction=f, min_score=m, max_drawdown_stop=d), g,
-        )
-        for w in weights for f in fractions for m in min_scores for d in stops for g in regimes
-    ]
-
-
-def cost_stress_scenarios(costs=(5, 10, 25, 50), slippages=(5, 10, 25, 50), base=None) -> list[Scenario]:
-    base = base or EvaluationConfig(
-        long_fraction=0.10, max_position_weight=0.10, min_score=0.01, rebalance_interval_days=20
-    )
-    return [
-        Scenario(f"cost_{c:g}_slippage_{s:g}", replace(base, transaction_cost_bps=c, slippage_bps=s))
-        for c in costs for s in slippages
-    ]
-
-
-def varied_scenarios(name: str, values, base: EvaluationConfig) -> list[Scenario]:
-    """One scenario per value of a single setting (capitals, thresholds, caps)."""
-    return [
-        Scenario(f"{name}={'none' if v is None else format(v, 'g')}", replace(base, **{name: v})) for v in values
-    ]
-
-
-def concentration_summary(
-    predictions: DataFrame, caps, config: EvaluationConfig, capital_config: EvaluationConfig,
-    small: bool | None = None,
-) -> DataFrame:
-    """Per trade cap: long/short metrics per date, symbol concentration and the capital account."""
-    out = None
-    for cap in caps:
-        cfg = replace(config, max_symbol_trades=cap)
-        name = "none" if cap is None else str(cap)
-        held = positions(predictions, cfg, ["split_id"], small=small)
-        daily = apply_risk_controls(daily_returns(held, cfg, ["split_id"]), cfg, ["split_id"])
-        order = ["split_id", "date"]
-        line = daily.agg(
-            F.count("*").alias("daily_rows"), F.avg("net_return").alias("raw_mean_daily_return"),
-            sharpe("net_return").alias("raw_sharpe"), F.avg("risk_net_return").alias("risk_mean_daily_return"),
-            sharpe("risk_net_return").alias("risk_sharpe"), F.avg("gross_exposure").alias("avg_gross_exposure"),
-            F.count_if("risk_trading_enabled").alias("trading_days"),
-        )
-        size = F.abs("gross_contribution")
-        share = symbol_contributions(held).agg(
-            F.count("*").alias("symbols_used"),
-            F.try_divide(F.max(size), F.sum(size)).alias("top_symbol_share_abs_contribution"),
-        )
-        parts = [
-            line, share,
-            drawdown_of_returns(daily, "net_return", order, out="raw_max_drawdown"),
-            drawdown_of_returns(daily, "risk_net_return", order, out="risk_max_drawdown"),
-        ]
-        account = capital_accounts(predictions, [Scenario(name, replace(capital_config, max_symbol_trades=cap))])
-        parts.append(account.agg(
-            F.max_by("capital", "date").alias("capital_end"),
-            (F.max_by("capital", "date") / capital_config.initial_capital - 1.0).alias("capital_total_return"),
-            sharpe("net_return").alias("capital_sharpe"), F.avg("positions").alias("capital_avg_positions"),
-            F.avg("invested").alias("capital_avg_invested"),
-        ))
-        parts.append(drawdown_of_returns(account, "net_return", ["date"], out="capital_max_drawdown"))
-        row = parts[0].withColumn("max_symbol_trades", F.lit(name))
-        for p in parts[1:]:
-            row = row.join(p.withColumn("max_symbol_trades", F.lit(name)), "max_symbol_trades")
-        out = row if out is None else out.unionByName(row)
-    return out

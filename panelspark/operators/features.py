@@ -119,13 +119,13 @@ def zscore_columns(windows=RETURN_WINDOWS) -> list[str]:
     ]
 
 
-def cross_sectional_features(df: DataFrame, windows=RETURN_WINDOWS, small: bool | None = None) -> DataFrame:
+def cross_sectional_features(df: DataFrame, windows=RETURN_WINDOWS) -> DataFrame:
     """Per-date z-scores across the universe."""
     names = [c for c in zscore_columns(windows) if c in df.columns]
     stats = {}
     for c in names:
         stats[f"__m_{c}"], stats[f"__s_{c}"] = F.avg(c), F.stddev_samp(c)
-    df = with_group_stats(df, ["date"], stats, small)
+    df = with_group_stats(df, ["date"], stats)
     cols = {
         f"zscore_{c}": F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c in names
     }
@@ -184,12 +184,12 @@ def interaction_features(df: DataFrame, windows=RETURN_WINDOWS, volume_windows=V
     )
 
 
-def factor_proxies(df: DataFrame, windows=RETURN_WINDOWS, small: bool | None = None) -> DataFrame:
+def factor_proxies(df: DataFrame, windows=RETURN_WINDOWS) -> DataFrame:
     cols = {"quality_factor": -rolling_std("return_1d", 60)}
     if len(windows) >= 6:
         cols["momentum_factor"] = F.col(f"return_{windows[-1]}d") - F.col(f"return_{windows[1]}d")
     base = f"volatility_{windows[2] if len(windows) > 2 else windows[-1]}d"
-    df = with_percent_ranks(df.withColumns(cols), ["date"], {"__low": (base, True)}, small=small)
+    df = with_percent_ranks(df.withColumns(cols), ["date"], {"__low": (base, True)})
     return df.withColumn("low_vol_factor", 1.0 - F.col("__low")).drop("__low")
 
 
@@ -207,7 +207,6 @@ def price_features(
     technical: bool = False,
     interactions: bool = False,
     factors: bool = False,
-    small: bool | None = None,
 ) -> DataFrame:
     """All per-symbol features, then the optional groups."""
     df = base_features(df, price)
@@ -224,9 +223,9 @@ def price_features(
     if interactions:
         df = interaction_features(df, windows, volume_windows)
     if cross_sectional:
-        df = cross_sectional_features(df, windows, small)
+        df = cross_sectional_features(df, windows)
     if factors:
-        df = factor_proxies(df, windows, small)
+        df = factor_proxies(df, windows)
     return df
 
 
@@ -238,7 +237,7 @@ def attach_sector(df: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def sector_relative_features(
-    df: DataFrame, universe: DataFrame | None = None, windows=RETURN_WINDOWS, small: bool | None = None
+    df: DataFrame, universe: DataFrame | None = None, windows=RETURN_WINDOWS
 ) -> DataFrame:
     """Sector ranks, sector means and distances to them; a null sector is a group of its own."""
     if universe is not None:
@@ -246,14 +245,14 @@ def sector_relative_features(
     keys = ["date", "sector"]
     families = ("return", "volatility", "relative_volume", "log_avg_dollar_volume")
     ranked = [f"{f}_{w}d" for w in windows for f in families if f"{f}_{w}d" in df.columns]
-    df = with_percent_ranks(df, keys, {f"sector_rank_{c}": (c, True) for c in ranked}, small=small)
+    df = with_percent_ranks(df, keys, {f"sector_rank_{c}": (c, True) for c in ranked})
     have = [w for w in windows if f"return_{w}d" in df.columns]
     # momentum is the same value as the return, so its rank is too
     df = df.withColumns(
         {f"sector_rank_momentum_{w}d": F.col(f"sector_rank_return_{w}d") for w in have
          if f"momentum_{w}d" in df.columns}
     )
-    df = with_group_stats(df, keys, {f"sector_return_{w}d": F.avg(f"return_{w}d") for w in have}, small)
+    df = with_group_stats(df, keys, {f"sector_return_{w}d": F.avg(f"return_{w}d") for w in have})
     return df.withColumns(
         {
             f"stock_minus_sector_return_{w}d": F.col(f"return_{w}d") - F.col(f"sector_return_{w}d")

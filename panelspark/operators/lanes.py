@@ -67,7 +67,7 @@ def with_forward_prices(panel: DataFrame, horizons=(5, 20, 60), price: str = "ad
 
 def lane_backtest(
     frame: DataFrame, dates: DataFrame, *, config: discovery.DiscoveryConfig | None = None, top_n: int = 25,
-    horizons=(5, 20, 60), watchlist: DataFrame | None = None, small: bool | None = None,
+    horizons=(5, 20, 60), watchlist: DataFrame | None = None,
 ) -> DataFrame:
     """Selections of every lane on every as-of date with their later returns, in one job.
 
@@ -79,7 +79,7 @@ def lane_backtest(
     panel = with_forward_prices(frame, horizons, price)
     snapshot = latest_rows_at(panel, dates)
     kept, _ = discovery.filter_candidates(snapshot, config, watchlist)
-    scored = discovery.score_candidates(kept, config, ["as_of_date"], small)
+    scored = discovery.score_candidates(kept, config, ["as_of_date"])
     chosen = discovery.watchlists(scored, config, ["as_of_date"])
     outcome = []
     for h in horizons:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.calendar import add_business_days, business_days_between
 from panelspark.functions.crosssection import null_safe_join, with_row_index
-from panelspark.functions.metrics import drawdown_of_returns, sharpe
 from panelspark.functions.scalar import number, ratio, symbol_key, zero_padded
 from panelspark.functions.windows import running_max
 from panelspark.operators import folds
@@ -174,9 +173,9 @@ def dedupe_active(df: DataFrame, keys=("account_id",)) -> DataFrame:
 
 
 def order_ids(df: DataFrame, date: str = "planned_date", keys=(), order=("rank",)) -> DataFrame:
-    """Stable text id from date, symbol and position."""
-    at = F.row_number().over(Window.partitionBy(*keys, date).orderBy(*order))
-    return df.withColumn("order_id", F.concat_ws("-", F.date_format(date, "yyyy-MM-dd"), "symbol", zero_padded(at)))
+    """Stable text id from date, symbol and position; a date may hold any share of the rows."""
+    placed = with_row_index(df, [*keys, date], order, "__position")
+    return placed.withColumn("order_id", F.concat_ws("-", F.date_format(date, "yyyy-MM-dd"), "symbol", zero_padded("__position"))).drop("__position")
 
 
 def target_exit_date(day, config: LedgerConfig) -> Column:
@@ -241,7 +240,7 @@ def _names(order) -> list[str]:
 
 def plan_orders(
     scored: DataFrame, config: LedgerConfig | None = None, *, keys=("account_id",), cash: DataFrame | None = None,
-    active: DataFrame | None = None, small: bool | None = None,
+    active: DataFrame | None = None,
 ) -> DataFrame:
     """Planned and skipped orders of every (account, date), from scored candidates.
 
@@ -301,7 +300,7 @@ def plan_orders(
     zero = {c: F.when(planned, F.col(c)).otherwise(0.0) for c in ("shares", "estimated_entry_value", "estimated_cost", "estimated_required_cash")}
     out = out.withColumns({**zero, "status": F.when(planned, "planned").otherwise("skipped"),
                            "target_exit_date": target_exit_date("date", config)})
-    out = with_row_index(null_safe_join(out, funds, groups), groups, ["__falling", "symbol"], "rank", small)
+    out = with_row_index(null_safe_join(out, funds, groups), groups, ["__falling", "symbol"], "rank")
     here = F.struct("__falling", "symbol")
     before = F.filter(F.coalesce("__bought", F.array().cast(out.schema["__bought"].dataType)), lambda x: x["at"] <= here)
     left = F.col("cash") - F.aggregate(before, F.lit(0.0), lambda a, x: a + x["need"])
@@ -617,175 +616,3 @@ def active_symbols(ledger: DataFrame) -> DataFrame:
 
 
 # --- order lifecycle over history -----------------------------------------------------------------
-
-
-def simulate_orders(
-    signals: DataFrame, prices: DataFrame, config: LedgerConfig | None = None, *, start=None, end=None, lookahead: int = 64,
-) -> dict[str, DataFrame]:
-    """Plan, fill and close orders over all signal dates, one account per ``account_id``.
-
-    Fill and exit dates and prices of every candidate are joined beforehand; the fold only carries cash,
-    waiting orders and open positions. Daily equity is then relational: cash is a running sum of order
-    flows, marks come from an interval join of the held orders with the daily prices.
-    """
-    config = config or LedgerConfig()
-    sig = signals.withColumns({"date": F.col("date").cast("date"), "symbol": symbol_key("symbol"), "score": number("score")})
-    sig = sig.filter("score is not null")
-    bars = prices.withColumns({"date": F.col("date").cast("date"), "symbol": symbol_key("symbol")})
-    if start is not None:
-        sig = sig.filter(F.col("date") >= F.lit(str(start)).cast("date"))
-    if end is not None:
-        sig, bars = (d.filter(F.col("date") <= F.lit(str(end)).cast("date")) for d in (sig, bars))
-    if "account_id" not in sig.columns:
-        sig = sig.withColumn("account_id", F.lit("default"))
-    sig = cut_lineage(sig.select("account_id", "date", "symbol", "score", "adj_close"))
-    groups = ["account_id", "date"]
-    budget = config.initial_capital * config.position_weight
-    shares = shares_for(budget, "adj_close", config.allow_fractional_shares)
-    need = F.col("adj_close") * shares * (1.0 + config.cost_rate)
-    per_date = sig.groupBy(*groups).agg(
-        F.count("*").alias("rows"), F.min(F.when((shares > 0) & (F.col("score") >= config.min_score), need)).alias("__cheap"))
-    # a hair below the true minimum: stopping one row late is harmless, one row early is not
-    per_date = per_date.withColumn("cheapest", F.coalesce(F.col("__cheap") * (1 - 1e-12), F.lit(float("inf")))).drop("__cheap")
-    opens = bars.select("symbol", F.col("date").alias("fill_date"), adjusted_open().alias("entry_price"))
-    closes = bars.select("symbol", F.col("date").alias("exit_date"), F.col("adj_close").alias("exit_price"))
-    place = Window.partitionBy(*groups).orderBy(F.desc("score"), "symbol")
-
-    def run(pdf):
-        return folds.frame_of(folds.order_fold(pdf, cfg), folds.ORDER_COLUMNS)
-
-    cfg = {k: getattr(config, k) for k in ("initial_capital", "position_weight", "long_fraction", "min_score",
-                                          "transaction_cost_bps", "slippage_bps", "allow_fractional_shares")}
-    limit = lookahead
-    while True:
-        top = sig.select(*groups, "symbol", "score", "adj_close").withColumn("pos", F.row_number().over(place)).filter(F.col("pos") <= limit)
-        top = asof_join(top, opens, by="symbol", left_on="date", right_on="fill_date", values=["entry_price"], direction="forward", strict=True)
-        due = F.greatest(target_exit_date("date", config), F.col("fill_date"))
-        top = asof_join(top.withColumn("__due", F.when(F.col("fill_date").isNotNull(), due)), closes, by="symbol",
-                        left_on="__due", right_on="exit_date", values=["exit_price"], direction="forward").drop("__due")
-        table = top.join(per_date, groups)
-        result = cut_lineage(table.groupBy("account_id").applyInPandas(run, folds.ORDER_COLUMNS))
-        if result.filter("kind = 'day' and status = 'more'").isEmpty():
-            break
-        limit *= 8
-    orders = _complete_orders(sig, result, config)
-    orders = _price_orders(orders, opens, closes, config)
-    return {"orders": orders, "daily_equity": _daily_equity(orders, bars, sig, config)}
-
-
-def _complete_orders(sig: DataFrame, result: DataFrame, config: LedgerConfig) -> DataFrame:
-    """Orders looked at, plus every remaining signal with the reason it was passed over."""
-    groups = ["account_id", "date"]
-    seen = result.filter("kind = 'order'").select(*groups, "symbol", "status", "skip_reason", "shares", "end_date")
-    days = result.filter("kind = 'day'").select(*groups, F.col("status").alias("__kind"))
-    rest = sig.select(*groups, "symbol", "score", "adj_close").join(seen, [*groups, "symbol"], "left")
-    busy = seen.filter("shares > 0 or skip_reason = 'insufficient_cash_at_fill'").select(
-        "account_id", "symbol", F.col("date").alias("__d0"), F.coalesce("end_date", F.lit("9999-12-31").cast("date")).alias("__d1"))
-    left = rest.filter("status is null").select(*groups, "symbol")
-    held = left.join(busy, ["account_id", "symbol"]).filter("__d0 < date and date < __d1").select(*groups, "symbol").distinct()
-    held = held.withColumn("__busy", F.lit(True))
-    out = rest.join(held, [*groups, "symbol"], "left").join(days, groups, "left")
-    shares = shares_for(config.initial_capital * config.position_weight, "adj_close", config.allow_fractional_shares)
-    reason = (
-        F.when(F.col("__busy"), "symbol_already_open").when(F.col("score") < config.min_score, "score_below_threshold")
-        .when(F.col("__kind") == "count", "rank_below_position_count").when(shares <= 0, "size_too_small")
-        .otherwise("insufficient_cash")
-    )
-    unseen = F.col("status").isNull()
-    return out.withColumns({
-        "skip_reason": F.when(unseen, reason).otherwise(F.col("skip_reason")),
-        "status": F.coalesce("status", F.lit("skipped")), "shares": F.coalesce("shares", F.lit(0.0)),
-    }).drop("__busy", "__kind")
-
-
-def _price_orders(orders: DataFrame, opens: DataFrame, closes: DataFrame, config: LedgerConfig) -> DataFrame:
-    live = orders.filter(F.col("status").isin("open", "closed"))
-    live = asof_join(live, opens, by="symbol", left_on="date", right_on="fill_date", values=["entry_price"], direction="forward", strict=True)
-    live = live.join(closes.withColumnRenamed("exit_date", "end_date"), ["symbol", "end_date"], "left")
-    value, leave = F.col("shares") * F.col("entry_price"), F.col("shares") * F.col("exit_price")
-    rate = F.lit(config.cost_rate)
-    closed = F.col("status") == "closed"
-    net = leave - value - value * rate - leave * rate
-    live = live.withColumns({
-        "entry_value": value, "entry_cost": value * rate, "exit_date": F.when(closed, F.col("end_date")),
-        "exit_value": F.when(closed, leave), "exit_cost": F.when(closed, leave * rate), "net_pnl": F.when(closed, net),
-        "return": F.when(closed, ratio(net, value)), "exit_reason": F.when(closed, F.lit("horizon")),
-    })
-    both = live.unionByName(orders.filter(~F.col("status").isin("open", "closed")), allowMissingColumns=True)
-    return both.select(
-        "account_id", F.col("date").alias("planned_date"), "symbol", "score", "status", "skip_reason", "shares", "fill_date",
-        "entry_price", "entry_value", "entry_cost", "exit_date", "exit_price", "exit_value", "exit_cost", "net_pnl", "return", "exit_reason",
-        F.when(F.col("skip_reason") == "insufficient_cash_at_fill", F.col("end_date")).alias("skip_date"),
-    )
-
-
-def _daily_equity(orders: DataFrame, bars: DataFrame, sig: DataFrame, config: LedgerConfig) -> DataFrame:
-    """Account state on every date with a price or a signal."""
-    days = bars.select("date").union(sig.select("date")).distinct()
-    grid = orders.select("account_id").distinct().join(F.broadcast(days.agg(F.sort_array(F.collect_set("date")).alias("__days"))))
-    grid = grid.select("account_id", F.explode("__days").alias("date"))
-    zero = F.lit(0.0)
-    flow = lambda day, **v: orders.filter(F.col(day).isNotNull()).groupBy("account_id", F.col(day).alias("date")).agg(
-        *[x.alias(n) for n, x in v.items()])
-    fills = flow("fill_date", spent=F.sum(F.col("entry_value") + F.col("entry_cost")), opened=F.count("*"))
-    exits = flow("exit_date", back=F.sum(F.col("exit_value") - F.col("exit_cost")), realized=F.sum("net_pnl"), closed=F.count("*"),
-                 freed=F.sum(F.col("entry_value") + F.col("entry_cost")))
-    plans = orders.groupBy("account_id", F.col("planned_date").alias("date")).agg(
-        F.count_if(F.col("status").isin("planned", "open", "closed") | F.col("skip_date").isNotNull()).alias("planned"),
-        F.count_if((F.col("status") == "skipped") & F.col("skip_date").isNull()).alias("skipped"))
-    drops = orders.filter("skip_date is not null").groupBy("account_id", F.col("skip_date").alias("date")).agg(F.count("*").alias("dropped"))
-    df = grid
-    for part in (fills, exits, plans, drops):
-        df = df.join(part, ["account_id", "date"], "left")
-    df = df.fillna(0.0, ["spent", "back", "realized", "freed"]).fillna(0, ["opened", "closed", "planned", "skipped", "dropped"])
-    total = lambda c: F.sum(c).over(Window.partitionBy("account_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    marks = _held_marks(orders, bars, days)
-    df = df.join(marks, ["account_id", "date"], "left")
-    exposure = F.coalesce("mark_value", zero)
-    cash = F.lit(config.initial_capital) - total("spent") + total("back")
-    df = df.select(
-        "account_id", "date", cash.alias("cash"), (cash + exposure).alias("equity"), total("realized").alias("realized_pnl"),
-        (exposure - (total("spent") - total("freed"))).alias("unrealized_pnl"), (total("opened") - total("closed")).alias("open_positions"),
-        total("closed").alias("closed_positions"), (total("planned") - total("opened") - total("dropped")).alias("planned_orders"),
-        (total("skipped") + total("dropped")).alias("skipped_orders"), exposure.alias("gross_exposure"),
-    )
-    by_account = Window.partitionBy("account_id").orderBy("date")
-    before = F.coalesce(F.lag("equity").over(by_account), F.lit(config.initial_capital))
-    peak = running_max("equity", ["date"], ["account_id"])
-    return df.withColumns({
-        "net_return": F.try_divide(F.col("equity"), before) - 1.0,
-        "drawdown": F.try_divide(F.col("equity"), peak) - 1.0,
-    })
-
-
-def _held_marks(orders: DataFrame, bars: DataFrame, days: DataFrame) -> DataFrame:
-    """Value of the held orders per account and date at the last known close.
-
-    An order is expanded over the trading days it was held, which the account's cash bounds, and looks
-    up the latest close by an as-of join on the symbol.
-    """
-    listed = F.broadcast(days.agg(F.sort_array(F.collect_set("date")).alias("__days")))
-    held = orders.filter("fill_date is not null").select("account_id", "symbol", "shares", "fill_date", "exit_date")
-    upto = F.coalesce("exit_date", F.lit("9999-12-31").cast("date"))
-    inside = F.filter("__days", lambda d: (d >= F.col("fill_date")) & (d < upto))
-    cells = held.join(listed).select("account_id", "symbol", "shares", F.explode(inside).alias("date"))
-    closes = bars.select("symbol", F.col("date").alias("__cd"), F.col("adj_close").alias("__close"))
-    valued = asof_join(cells, closes, by="symbol", left_on="date", right_on="__cd", values=["__close"])
-    return valued.groupBy("account_id", "date").agg(F.sum(F.col("shares") * F.col("__close")).alias("mark_value"))
-
-
-def summarize_simulation(result: dict[str, DataFrame], config: LedgerConfig | None = None) -> DataFrame:
-    config = config or LedgerConfig()
-    daily, orders = result["daily_equity"], result["orders"]
-    closed = F.col("status") == "closed"
-    head = daily.groupBy("account_id").agg(F.max_by("equity", "date").alias("ending_equity"), sharpe("net_return").alias("sharpe"))
-    fall = drawdown_of_returns(daily, "net_return", ["date"], ["account_id"])
-    counts = orders.groupBy("account_id").agg(
-        *[F.count_if(F.col("status") == s).alias(n) for s, n in (("planned", "planned_orders"), ("open", "open_positions"), ("closed", "closed_positions"), ("skipped", "skipped_orders"))],
-        F.count_if(F.col("status").isin("open", "closed")).alias("filled_positions"),
-        F.coalesce(F.sum(F.when(closed, F.col("net_pnl"))), F.lit(0.0)).alias("realized_pnl"),
-        F.coalesce(F.avg(F.when(closed, (F.col("net_pnl") > 0).cast("double"))), F.lit(0.0)).alias("closed_win_rate"),
-        F.coalesce(F.avg(F.when(closed, F.col("net_pnl"))), F.lit(0.0)).alias("avg_closed_pnl"),
-    )
-    out = head.join(fall, "account_id").join(counts, "account_id")
-    return out.withColumn("total_return", F.col("ending_equity") / config.initial_capital - 1.0)

@@ -99,7 +99,7 @@ def promotion_notes() -> Column:
 
 def promotion_plan(
     candidates: DataFrame, universe: DataFrame, *, max_symbols: int, min_score: float, min_lanes: int = 0, min_appearances: int = 0,
-    min_age_days: int = 0, max_sector_symbols: int | None = None, category: str = "discovery", small: bool | None = None,
+    min_age_days: int = 0, max_sector_symbols: int | None = None, category: str = "discovery",
 ) -> DataFrame:
     """Ready and blocked candidates under per-sector and global quotas in score order.
 
@@ -122,7 +122,7 @@ def promotion_plan(
     df = cut_lineage(df.withColumns({"__blockers": blockers, "__falling": -F.col("discovery_score")}))
     free = df.filter(F.size("__blockers") == 0)
     if max_sector_symbols is not None:
-        free = with_row_index(free, ["sector"], ["__falling", "symbol"], "__in_sector", small)
+        free = with_row_index(free, ["sector"], ["__falling", "symbol"], "__in_sector")
     else:
         free = free.withColumn("__in_sector", F.lit(0))
     quota = F.lit(max_sector_symbols if max_sector_symbols is not None else 1)

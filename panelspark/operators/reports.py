@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.crosssection import (
-    group_quantiles, groups_are_small, null_safe_join, with_percent_ranks, with_quantile_bucket,
+    group_quantiles, null_safe_join, with_percent_ranks, with_quantile_bucket,
 )
 from panelspark.functions.metrics import information_coefficient
 
@@ -25,19 +25,17 @@ def attach_reference(predictions: DataFrame, frame: DataFrame, columns=REFERENCE
 
 def score_buckets(
     predictions: DataFrame, *, score: str = "score", target: str = "target", outcome: str = "forward_return", buckets: int = 10,
-    small: bool | None = None,
 ) -> DataFrame:
     """Statistics per split and score decile."""
     rows = predictions.dropna(subset=[score, target, outcome])
-    small = groups_are_small(rows, ["split_id"]) if small is None else small
-    placed = with_quantile_bucket(rows, ["split_id"], score, "score_bucket", buckets, ("date", "symbol"), small)
+    placed = with_quantile_bucket(rows, ["split_id"], score, "score_bucket", buckets, ("date", "symbol"))
     keys = ["split_id", "score_bucket"]
     table = placed.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.min(score).alias("score_min"), F.avg(score).alias("score_mean"), F.max(score).alias("score_max"),
         F.avg(target).alias("mean_target"), F.avg(outcome).alias("mean_realized_return"),
         F.avg((F.col(outcome) > 0).cast("double")).alias("win_rate"))
     label = F.when(F.col("score_bucket") == buckets, "highest").when(F.col("score_bucket") == 1, "lowest").otherwise("")
-    ic = information_coefficient(placed, keys, score, target, "ic_spearman", small)
+    ic = information_coefficient(placed, keys, score, target, "ic_spearman")
     return table.withColumn("bucket_label", label).join(ic, keys, "left")
 
 
@@ -46,14 +44,14 @@ def bucket_overview(buckets: DataFrame) -> DataFrame:
         F.avg("mean_realized_return").alias("mean_realized_return"), F.avg("win_rate").alias("win_rate"), F.sum("rows").alias("rows"))
 
 
-def prediction_drift(predictions: DataFrame, *, score: str = "score", min_score: float = 0.01, small: bool | None = None) -> DataFrame:
+def prediction_drift(predictions: DataFrame, *, score: str = "score", min_score: float = 0.01) -> DataFrame:
     """Score distribution per month."""
     rows = predictions.filter(F.col(score).isNotNull()).withColumn("month", F.date_format("date", "yyyy-MM"))
     market = [F.avg(c).alias(c) for c in ("market_return_20d", "market_return_60d") if c in rows.columns]
     table = rows.groupBy("month").agg(
         F.count("*").alias("rows"), F.countDistinct("symbol").alias("symbols"), F.avg(score).alias("score_mean"),
         F.stddev_samp(score).alias("score_std"), F.count_if(F.col(score) >= min_score).alias("above_threshold"), *market)
-    marks = group_quantiles(rows, ["month"], score, {"score_p10": 0.1, "score_p50": 0.5, "score_p90": 0.9}, ("date", "symbol"), small)
+    marks = group_quantiles(rows, ["month"], score, {"score_p10": 0.1, "score_p50": 0.5, "score_p90": 0.9}, ("date", "symbol"))
     return table.join(marks, "month")
 
 
@@ -68,16 +66,16 @@ def sector_contribution(fills: DataFrame, frame: DataFrame, date: str = "date")
 
 
 def order_explanations(
-    planned: DataFrame, watchlist: DataFrame, top_features: DataFrame, features, *, keys=("date",), small: bool | None = None,
+    planned: DataFrame, watchlist: DataFrame, top_features: DataFrame, features, *, keys=("date",),
 ) -> DataFrame:
     """Planned orders with values and percentiles of the most important features, in long form."""
     features = list(features)
     keys = list(keys)
-    ranked = with_percent_ranks(watchlist.select(*keys, "symbol", *features), keys, {f"__p_{f}": (f, True) for f in features}, small=small)
+    ranked = with_percent_ranks(watchlist.select(*keys, "symbol", *features), keys, {f"__p_{f}": (f, True) for f in features})
     cells = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), F.col(f"__p_{f}").alias("percentile")) for f in features])
     long = ranked.select(*keys, "symbol", F.explode(cells).alias("x")).select(*keys, "symbol", "x.*")
-    wanted = long.join(F.broadcast(top_features.select("feature")), "feature", "left_semi")
+    wanted = long.join(top_features.select("feature"), "feature", "left_semi")
     return null_safe_join(planned.filter("status = 'planned'"), wanted, [*keys, "symbol"])
 
 

@@ -14,7 +14,6 @@ def research_frame(
     benchmark_symbol: str = "SPY",
     benchmark: DataFrame | None = None,
     horizons=(5,),
-    small: bool | None = None,
     **feature_options,
 ) -> DataFrame:
     """Features, sector and market relatives, and labels keyed by (symbol, date).
@@ -27,21 +26,20 @@ def research_frame(
         prices, benchmark = validate.split_benchmark(prices, benchmark_symbol)
     windows = feature_options.get("windows", features.RETURN_WINDOWS)
     cross = {k: feature_options.pop(k, False) for k in ("cross_sectional", "factors")}
-    df = features.price_features(prices, small=small, **feature_options)
+    df = features.price_features(prices, **feature_options)
     df = features.market_relative_features(df, benchmark, windows)
     df = labels.forward_labels(df, benchmark, horizons)
-    df = features.sector_relative_features(df, universe, windows, small)
+    df = features.sector_relative_features(df, universe, windows)
     if cross["cross_sectional"]:
-        df = features.cross_sectional_features(df, windows, small)
+        df = features.cross_sectional_features(df, windows)
     if cross["factors"]:
-        df = features.factor_proxies(df, windows, small)
+        df = features.factor_proxies(df, windows)
     return df
 
 
 def momentum_evaluation(
     frame: DataFrame, score: str = "momentum_20d", outcome: str = "fwd_5d_return", config=None,
-    small: bool | None = None,
 ) -> DataFrame:
     """Trailing return as a placeholder score, evaluated long/short per date."""
     scored = frame.select("date", "symbol", frame[score].alias("score"), frame[outcome].alias("forward_return"))
-    return evaluation.long_short_returns(scored, config or evaluation.EvaluationConfig(), small=small)
+    return evaluation.long_short_returns(scored, config or evaluation.EvaluationConfig())

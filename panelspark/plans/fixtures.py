@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import calendar
-from panelspark.functions.crosssection import GROUP_ROWS_LIMIT
 from panelspark.functions.scalar import ratio
 from panelspark.functions.windows import lag, lead
 
@@ -40,14 +39,6 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
-    @property
-    def small_sections(self) -> bool:
-        """Whether one date's rows fit a task: a date has at most one row per supplier.
-
-        Parquet footers answer this count, no column is read.
-        """
-        return self.table("supplier").count() <= GROUP_ROWS_LIMIT
-
     def prices(self) -> DataFrame:
         price = F.col("l_extendedprice") / F.col("l_quantity")
         days = (

@@ -6,12 +6,12 @@ from panelspark.plans.oracle import SYM, sql
 
 sql("typed_prices", "panel", "SELECT CAST(date AS TIMESTAMP) AS date, symbol, open, high, low, close, adj_close, volume FROM panel")
 sql("vendor_frame_melted", "panel", """SELECT CAST(date AS TIMESTAMP) AS date, symbol, open, high, low, close, close AS adj_close, volume
-FROM panel WHERE symbol IN ('S0000000001', 'S0000000002', 'S0000000003')""")
+FROM panel WHERE symbol IN (SELECT 'S' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 10, '0') FROM nation)""")
 sql("normalized_marks", "", f"""
 e AS (SELECT ts AS timestamp, {SYM.format('user_id')} AS symbol, value * 10 AS price, CASE WHEN event_id % 5 <> 0 THEN value * 11 END AS h, event_id FROM events WHERE event_id % 97 <> 0)
 SELECT timestamp, symbol, round(price, 6) AS price, round(price, 6) AS open, round(coalesce(h, price), 6) AS high, round(price, 6) AS low, round(price, 6) AS close, 0.0 AS volume, 'events' AS source FROM e""")
 sql("vendor_intraday_marks", "marks", """
-h AS (SELECT date_trunc('hour', timestamp) AS timestamp, symbol, max(price) AS p FROM marks WHERE symbol IN ('S0000000001', 'S0000000002') GROUP BY 1, 2)
+h AS (SELECT date_trunc('hour', timestamp) AS timestamp, 'S' || lpad(CAST(1 + CAST(substr(symbol, 2) AS BIGINT) % (SELECT count(*) FROM nation) AS VARCHAR), 10, '0') AS symbol, max(price) AS p FROM marks GROUP BY 1, 2)
 SELECT timestamp, symbol, round(p, 6) AS price, round(p, 6) AS open, round(p, 6) AS high, round(p, 6) AS low, round(p, 6) AS close, 0.0 AS volume, 'vendor' AS source FROM h""")
 KIND = "(ARRAY[' Common Stock', ' Warrants', ' Preferred Series A', ' Ordinary Shares'])[1 + p_partkey % 4]"
 COMMON = "p_size % 7 <> 0 AND p_size % 11 <> 0 AND p_partkey % 4 NOT IN (1, 2)"
@@ -20,21 +20,20 @@ sql("nasdaq_listing", "", f"""SELECT upper(p_type) || '-' || p_partkey AS symbol
 sql("other_listing", "", f"""SELECT (ARRAY['NYSE American', 'NYSE', 'NYSE Arca', 'Cboe BZX', 'IEX', 'X'])[1 + CAST(right(p_brand, 1) AS INTEGER) % 6] AS exchange, count(*) AS listings FROM part WHERE {COMMON} GROUP BY 1""")
 sql("us_listed_universe", "", f"SELECT 'us_listed' AS category, CASE WHEN right(p_brand, 1) IN ('1', '2') THEN 'NYSE' ELSE 'NASDAQ' END AS exchange, count(*) AS listings FROM part WHERE {COMMON} GROUP BY 1, 2")
 sql("normalized_universe", "universe", "SELECT * FROM universe UNION ALL SELECT symbol || '-A', name, category, sector, industry, security_type FROM universe")
-sql("broad_universe", "universe", """(SELECT * FROM universe ORDER BY symbol LIMIT 50) UNION ALL SELECT 'SPY', 'SPDR S&P 500 ETF', 'benchmark', 'ETF', 'Broad Market', NULL""".replace("(SELECT * FROM universe ORDER BY symbol LIMIT 50)", "SELECT * FROM (SELECT * FROM universe ORDER BY symbol LIMIT 50)"))
+sql("broad_universe", "universe", "SELECT * FROM universe UNION ALL SELECT 'SPY', 'SPDR S&P 500 ETF', 'benchmark', 'ETF', 'Broad Market', NULL")
 sql("appended_promotions", "universe", """SELECT symbol, CASE WHEN right(symbol, 1) = '3' THEN 'discovery' ELSE category END AS category, CASE WHEN right(symbol, 1) = '3' THEN 'promoted' ELSE '' END AS notes FROM universe""")
 sql("watchlist_symbols", "", f"SELECT {SYM.format('c_nationkey')} AS symbol FROM customer UNION SELECT {SYM.format('c_custkey')} FROM customer")
 sql("html_constituents", "universe", "SELECT symbol AS page_id, 1 AS row_ix, symbol || '-B' AS symbol, name, 'sp500' AS category, sector, 'A & ' || industry AS industry FROM universe")
 sql("page_table_rows", "", "SELECT page_id, 0 AS tables, 0 AS rows FROM pages WHERE html ILIKE '%<table%' AND html ILIKE '%<tr%'")
-sql("latest_rows_for_symbols", "panel universe", "SELECT symbol, max(date) AS date, arg_max(close, date) AS close, arg_max(volume, date) AS volume FROM panel SEMI JOIN (SELECT symbol FROM universe WHERE sector = 'ASIA') USING (symbol) GROUP BY symbol")
-RECENT = "recent AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM panel QUALIFY n <= 260)"
-sql("price_history_documents", "panel universe", RECENT + " SELECT symbol, CAST(count(*) AS INTEGER) AS bars, min(date) AS first_date, max(close) AS highest FROM recent SEMI JOIN (SELECT symbol FROM universe WHERE sector = 'ASIA') USING (symbol) GROUP BY symbol")
+sql("latest_rows_for_symbols", "panel universe", "SELECT symbol, max(date) AS date, arg_max(close, date) AS close, arg_max(volume, date) AS volume FROM panel SEMI JOIN universe USING (symbol) GROUP BY symbol")
+sql("price_history_documents", "panel universe", "SELECT symbol, CAST(count(*) AS INTEGER) AS bars, min(date) AS first_date, max(close) AS highest FROM panel SEMI JOIN universe USING (symbol) GROUP BY symbol")
 sql("merged_price_sources", "panel", """
-m AS (SELECT symbol, date, CASE WHEN day(date) <= 20 THEN 0 ELSE 1 END AS fb, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM panel QUALIFY n <= 260)
+m AS (SELECT symbol, date, CASE WHEN day(date) <= 20 THEN 0 ELSE 1 END AS fb FROM panel)
 SELECT symbol, count(*) AS bars, min(date) AS first_date, sum(fb) AS from_fallback FROM m GROUP BY symbol""")
 sql("merged_records", "universe", "SELECT symbol, CASE WHEN right(symbol, 1) = '1' THEN name ELSE 'fallback' END AS name, sector FROM universe WHERE right(symbol, 1) IN ('1', '2')")
-sql("stock_documents", "panel universe ledger", RECENT + """
+sql("stock_documents", "panel universe ledger", """
 SELECT u.symbol, CASE WHEN sector = 'ASIA' THEN u.name END AS name, u.sector, l.status AS position, strftime(r.d, '%Y-%m-%d') AS first_date
-FROM universe u LEFT JOIN (SELECT symbol, status FROM ledger WHERE status = 'planned') l USING (symbol) LEFT JOIN (SELECT symbol, min(date) AS d FROM recent GROUP BY 1) r USING (symbol)""")
+FROM universe u LEFT JOIN (SELECT symbol, status FROM ledger WHERE status = 'planned') l USING (symbol) LEFT JOIN (SELECT symbol, min(date) AS d FROM panel GROUP BY 1) r USING (symbol)""")
 sql("collected_symbols", "universe ledger marks", "SELECT symbol FROM universe WHERE sector = 'ASIA' UNION SELECT symbol FROM ledger WHERE status = 'planned' UNION SELECT symbol FROM marks")
 sql("ordered_lane_lists", "", f"""
 l AS (SELECT DISTINCT {SYM.format('l_suppkey')} AS symbol, (ARRAY['value_recoveries', 'zeta', 'momentum_breakouts', 'alpha', ''])[1 + l_linenumber % 5] AS lane FROM lineitem)
@@ -53,7 +52,7 @@ sql("event_metric_maps", "", "SELECT event_id, json_extract_string(props, '$.k')
 sql("history_rows", "", """SELECT CAST(event_id AS VARCHAR) AS run_id, strftime(ts, '%Y-%m-%d %H:%M') AS local_time, 'after-close' AS mode,
  CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE '2024-01-31' END AS latest_price_date, value AS account_equity, CASE WHEN event_id % 3 <> 0 THEN 1.5 END AS backtest_sharpe, CAST(NULL AS VARCHAR) AS audit_status FROM events""")
 sql("tolerant_json", "", "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS v, CAST(2 AS INTEGER) AS n, value AS cell FROM events")
-sql("upserted_orders", "", """SELECT o_orderkey % 1000 AS order_id, max(o_orderkey) AS updated_at, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1""")
+sql("upserted_orders", "", """SELECT o_orderkey // 4 AS order_id, max(o_orderkey) AS updated_at, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1""")
 sql("archived_orders", "ledger", "SELECT CASE WHEN planned_date < DATE '1998-01-01' THEN 'old' ELSE skip_reason END AS skip_reason, count(*) AS orders FROM ledger WHERE status = 'skipped' GROUP BY 1")
 sql("deduplicated_marks", "marks", """
 d AS (SELECT date_trunc('day', timestamp) AS timestamp, symbol, min(price) AS lo, max(CASE WHEN price > 2500 THEN price END) AS hi FROM marks GROUP BY 1, 2)

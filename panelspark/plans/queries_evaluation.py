@@ -10,17 +10,15 @@ from panelspark.functions import crosssection, metrics
 from panelspark.operators import (
     asof, audit, discovery, evaluation, features, lanes, ledger, models, monitoring, portfolio, reports,
 )
-from panelspark.operators.evaluation import EvaluationConfig, Scenario
+from panelspark.operators.evaluation import EvaluationConfig
 from panelspark.operators.research import momentum_evaluation, research_frame
 from panelspark.plans.registry import query, rounded
 
 BASE = EvaluationConfig()
-ACCOUNT = EvaluationConfig(long_fraction=0.10, max_position_weight=0.10, min_score=0.01, initial_capital=50_000.0,
-                           rebalance_interval_days=20, max_adv_fraction=0.05)
 
 
 def held(i, config=BASE, **kw):
-    return evaluation.positions(i.scored(), config, ["split_id"], small=i.small_sections, **kw)
+    return evaluation.positions(i.scored(), config, ["split_id"], **kw)
 
 
 # --- long/short -----------------------------------------------------------------------------------
@@ -29,7 +27,7 @@ def held(i, config=BASE, **kw):
 @query("long_short_daily_returns")
 def long_short_daily_returns(i):
     """Top against bottom tenth of every date, per split, with compounded equity."""
-    return rounded(evaluation.long_short_returns(i.scored(), BASE, ["split_id"], small=i.small_sections))
+    return rounded(evaluation.long_short_returns(i.scored(), BASE, ["split_id"]))
 
 
 @query("daily_positions")
@@ -40,32 +38,26 @@ def daily_positions(i):
 @query("volatility_targeted_returns")
 def volatility_targeted_returns(i):
     cfg = EvaluationConfig(target_volatility=0.5, max_leverage=1.5)
-    out = evaluation.long_short_returns(i.scored(), cfg, ["split_id"], small=i.small_sections)
+    out = evaluation.long_short_returns(i.scored(), cfg, ["split_id"])
     return rounded(out.select("split_id", "date", "net_return", "leverage", "risk_net_return", "risk_equity"))
 
 
 @query("drawdown_stop_returns")
 def drawdown_stop_returns(i):
     cfg = EvaluationConfig(max_drawdown_stop=0.05, cooldown_days=20)
-    out = evaluation.long_short_returns(i.scored(), cfg, ["split_id"], small=i.small_sections)
+    out = evaluation.long_short_returns(i.scored(), cfg, ["split_id"])
     return rounded(out.select("split_id", "date", "risk_net_return", "risk_trading_enabled", "risk_equity"))
 
 
-@query("trade_capped_positions")
-def trade_capped_positions(i):
-    """Positions when a symbol may be traded 12 times per split; checked by brute force in the tests."""
-    return rounded(held(i, EvaluationConfig(max_symbol_trades=12)))
-
-
 @query("portfolio_diagnostics")
 def portfolio_diagnostics(i):
-    out = evaluation.portfolio_diagnostics(i.scored(), BASE, small=i.small_sections)
+    out = evaluation.portfolio_diagnostics(i.scored(), BASE)
     return rounded(out.select("split_id", "date", "net_return", "raw_equity", "risk_equity_full"))
 
 
 @query("monthly_portfolio_returns")
 def monthly_portfolio_returns(i):
-    return rounded(evaluation.monthly_returns(evaluation.long_short_returns(i.scored(), BASE, ["split_id"], small=i.small_sections)))
+    return rounded(evaluation.monthly_returns(evaluation.long_short_returns(i.scored(), BASE, ["split_id"])))
 
 
 @query("symbol_contributions")
@@ -76,7 +68,7 @@ def symbol_contributions(i):
 @query("return_metrics")
 def return_metrics(i):
     """Sharpe, Sortino, hit rate and drawdown of the daily returns per split."""
-    daily = evaluation.long_short_returns(i.scored(), BASE, ["split_id"], small=i.small_sections)
+    daily = evaluation.long_short_returns(i.scored(), BASE, ["split_id"])
     table = daily.groupBy("split_id").agg(
         metrics.sharpe("net_return").alias("sharpe"), metrics.sortino("net_return").alias("sortino"),
         metrics.hit_rate("net_return").alias("hit_rate"))
@@ -86,77 +78,19 @@ def return_metrics(i):
 
 @query("information_coefficients")
 def information_coefficients(i):
-    return rounded(metrics.information_coefficient(i.scored(), ["split_id"], "score", "forward_return", small=i.small_sections))
+    return rounded(metrics.information_coefficient(i.scored(), ["split_id"], "score", "forward_return"))
 
 
 @query("momentum_evaluation")
 def momentum_evaluation_query(i):
-    frame = research_frame(i.prices(), i.universe(), benchmark=i.benchmark(), small=i.small_sections)
-    out = momentum_evaluation(frame, small=i.small_sections)
+    frame = research_frame(i.prices(), i.universe(), benchmark=i.benchmark())
+    out = momentum_evaluation(frame)
     return rounded(out.select("date", "gross_return", "net_return", "long_count", "short_count", "risk_equity"))
 
 
 # --- accounts and sweeps (path-dependent: checked against brute force in the tests) -----------------
 
 
-def base_runs(i, scenarios=None, keys=()):
-    return evaluation.event_accounts(i.scored(), scenarios or [Scenario("base", ACCOUNT)], keys)
-
-
-@query("event_account_equity")
-def event_account_equity(i):
-    return base_runs(i).equity.drop("stop_score", "stop_symbol", "cash_score", "cash_symbol")
-
-
-@query("event_account_ledger")
-def event_account_ledger(i):
-    return base_runs(i).ledger()
-
-
-@query("capital_account_equity")
-def capital_account_equity(i):
-    return evaluation.capital_accounts(i.scored(), [Scenario("base", replace(ACCOUNT, max_drawdown_stop=0.3))])
-
-
-@query("portfolio_rule_experiments")
-def portfolio_rule_experiments(i):
-    return evaluation.summarize_runs(base_runs(i, evaluation.rule_scenarios(50_000.0)))
-
-
-@query("event_risk_sweep")
-def event_risk_sweep(i):
-    """The full grid of weights, fractions, scores, stops and regimes: 324 accounts."""
-    market = features.market_returns(i.benchmark(), (20, 60)).select("date", "market_return_20d", "market_return_60d")
-    signals = i.scored().join(F.broadcast(market), "date", "left")
-    return evaluation.summarize_runs(evaluation.event_accounts(signals, evaluation.event_risk_scenarios(base=ACCOUNT)))
-
-
-@query("stability_by_split")
-def stability_by_split(i):
-    return evaluation.summarize_runs(base_runs(i, keys=["split_id"]))
-
-
-@query("cost_stress_sweep")
-def cost_stress_sweep(i):
-    return evaluation.summarize_runs(base_runs(i, evaluation.cost_stress_scenarios(base=ACCOUNT)))
-
-
-@query("concentration_sweep")
-def concentration_sweep(i):
-    return evaluation.concentration_summary(i.scored(), (None, 25, 75), BASE, ACCOUNT, i.small_sections)
-
-
-@query("bankroll_sweep")
-def bankroll_sweep(i):
-    runs = base_runs(i, evaluation.varied_scenarios("initial_capital", (2_000.0, 10_000.0, 50_000.0, 250_000.0), ACCOUNT))
-    return evaluation.summarize_runs(runs)
-
-
-@query("score_threshold_sweep")
-def score_threshold_sweep(i):
-    return evaluation.summarize_runs(base_runs(i, evaluation.varied_scenarios("min_score", (None, 0.0, 0.01, 0.05, 0.2), ACCOUNT)))
-
-
 # --- discovery ------------------------------------------------------------------------------------
 
 DISCOVERY = discovery.DiscoveryConfig(min_avg_dollar_volume_20d=30_000.0, min_market_cap=100_000_000.0, top_n=5)
@@ -176,7 +110,7 @@ def discovery_frame(i):
     p = fundamentals.enrich_with_fundamentals(p, fundamentals.normalize_fundamentals(i.fundamentals()))
     p = p.withColumn("days_to_earnings", F.datediff("earnings_date", "date"))
     p = discovery.attach_metadata(p, i.universe().drop("sector"))
-    return features.sector_relative_features(p, i.universe(), w, i.small_sections)
+    return features.sector_relative_features(p, i.universe(), w)
 
 
 def watched(i):
@@ -184,8 +118,7 @@ def watched(i):
 
 
 def funnel(i):
-    return discovery.run_discovery(discovery_frame(i), watchlist=watched(i), config=DISCOVERY, as_of_date="1999-06-15",
-                                   small=i.small_sections)
+    return discovery.run_discovery(discovery_frame(i), watchlist=watched(i), config=DISCOVERY, as_of_date="1999-06-15")
 
 
 SCORES = [*discovery.SCORES, "discovery_score"]
@@ -216,7 +149,7 @@ def discovery_watchlists(i):
 def discovery_scores_all_dates(i):
     """The funnel's scores for every date of the panel in one job."""
     kept, _ = discovery.filter_candidates(discovery_frame(i), DISCOVERY, watched(i))
-    scored = discovery.score_candidates(kept, DISCOVERY, ["date"], i.small_sections)
+    scored = discovery.score_candidates(kept, DISCOVERY, ["date"])
     # a hair above the value, so that exact half digits round the same way everywhere
     return rounded(scored.select("date", "symbol", *[(F.col(s) + 1e-9).alias(s) for s in SCORES]))
 
@@ -229,7 +162,7 @@ def discovery_exclusion_reasons_all_dates(i):
 
 @query("discovery_top_fraction")
 def discovery_top_fraction(i):
-    return rounded(discovery.top_fraction(funnel(i)["candidates"], 0.2, small=i.small_sections).select("date", "symbol", "discovery_score"))
+    return rounded(discovery.top_fraction(funnel(i)["candidates"], 0.2).select("date", "symbol", "discovery_score"))
 
 
 @query("discovery_summary")
@@ -269,7 +202,7 @@ def lane_reasons(i):
 
 def lane_trades(i):
     dates = lanes.rebalance_dates(i.prices(), "monthly")
-    return lanes.lane_backtest(discovery_frame(i), dates, config=DISCOVERY, top_n=5, watchlist=watched(i), small=i.small_sections)
+    return lanes.lane_backtest(discovery_frame(i), dates, config=DISCOVERY, top_n=5, watchlist=watched(i))
 
 
 @query("lane_backtest_trades")
@@ -376,7 +309,7 @@ def month_candidates(i):
 
 @query("planned_orders")
 def planned_orders(i):
-    out = ledger.plan_orders(month_candidates(i), LEDGER, small=i.small_sections)
+    out = ledger.plan_orders(month_candidates(i), LEDGER)
     return out.select("account_id", "planned_date", "symbol", "score", "status", "skip_reason", "shares", "target_exit_date", "rank")
 
 
@@ -386,14 +319,14 @@ def planned_orders_with_context(i):
     book = i.ledger()
     cash = month_candidates(i).select("account_id").distinct().withColumn("cash", F.lit(20_000.0))
     active = book.filter("status = 'open' and (symbol like '%5' or symbol like '%12')").select("account_id", "symbol")
-    out = ledger.plan_orders(month_candidates(i), LEDGER, cash=cash, active=active, small=i.small_sections)
+    out = ledger.plan_orders(month_candidates(i), LEDGER, cash=cash, active=active)
     out = ledger.order_ids(out.filter("status = 'planned'"), keys=("account_id",))
     return rounded(out.select("account_id", "order_id", "symbol", "shares", "remaining_cash"), 2)
 
 
 @query("appended_orders")
 def appended_orders(i):
-    plan = ledger.plan_orders(month_candidates(i), LEDGER, small=i.small_sections)
+    plan = ledger.plan_orders(month_candidates(i), LEDGER)
     plan = plan.withColumn("order_id", F.concat_ws("-", F.date_format("planned_date", "yyyy-MM-dd"), "symbol"))
     known = i.ledger().filter("symbol like '%2' or planned_date < date '1999-01-01'")
     return ledger.append_new_orders(known.filter("status <> 'open' or symbol like '%2'"), plan).select("account_id", "order_id", "symbol")
@@ -492,26 +425,6 @@ def open_and_active_symbols(i):
         ledger.active_symbols(book).withColumn("kind", F.lit("active")))
 
 
-def simulation(i):
-    signals = i.scored().select(account_of(), "date", "symbol", "score", "adj_close")
-    return ledger.simulate_orders(signals, i.prices(), replace(LEDGER, initial_capital=100_000.0, position_weight=0.10))
-
-
-@query("order_simulation_equity")
-def order_simulation_equity(i):
-    return simulation(i)["daily_equity"]
-
-
-@query("order_simulation_ledger")
-def order_simulation_ledger(i):
-    return simulation(i)["orders"]
-
-
-@query("order_simulation_summary")
-def order_simulation_summary(i):
-    return ledger.summarize_simulation(simulation(i), replace(LEDGER, initial_capital=100_000.0))
-
-
 # --- audit and tracking ---------------------------------------------------------------------------
 
 
@@ -553,7 +466,7 @@ def actionability(i):
 
 
 def todays_orders(i):
-    plan = ledger.plan_orders(month_candidates(i), LEDGER, small=i.small_sections).filter("planned_date = date '1999-06-01'")
+    plan = ledger.plan_orders(month_candidates(i), LEDGER).filter("planned_date = date '1999-06-01'")
     return plan.withColumnRenamed("planned_date", "date")
 
 
@@ -569,7 +482,7 @@ def actionability_summary(i):
 
 @query("skip_reason_counts")
 def skip_reason_counts(i):
-    plan = ledger.plan_orders(month_candidates(i), LEDGER, small=i.small_sections)
+    plan = ledger.plan_orders(month_candidates(i), LEDGER)
     return monitoring.value_counts(plan.filter("status = 'skipped'"), "skip_reason", ["account_id"])
 
 
@@ -635,14 +548,13 @@ def monitoring_summary_query(i):
 
 @query("promotion_plan")
 def promotion_plan(i):
-    plan = monitoring.promotion_plan(monitored(i), watched(i), max_symbols=4, min_score=45.0, min_appearances=1, max_sector_symbols=1,
-                                     small=i.small_sections)
+    plan = monitoring.promotion_plan(monitored(i), watched(i), max_symbols=4, min_score=45.0, min_appearances=1, max_sector_symbols=1)
     return plan.select("symbol", "sector", "notes", "promotion_plan_status", "promotion_plan_blockers")
 
 
 @query("promotion_summary")
 def promotion_summary(i):
-    return monitoring.promotion_summary(monitoring.promotion_plan(monitored(i), watched(i), max_symbols=4, min_score=45.0, small=i.small_sections))
+    return monitoring.promotion_summary(monitoring.promotion_plan(monitored(i), watched(i), max_symbols=4, min_score=45.0))
 
 
 # --- reports --------------------------------------------------------------------------------------
@@ -654,18 +566,18 @@ def predictions(i):
 
 @query("score_buckets")
 def score_buckets(i):
-    return rounded(reports.score_buckets(predictions(i), small=i.small_sections))
+    return rounded(reports.score_buckets(predictions(i)))
 
 
 @query("score_bucket_overview")
 def score_bucket_overview(i):
-    return rounded(reports.bucket_overview(reports.score_buckets(predictions(i), small=i.small_sections)))
+    return rounded(reports.bucket_overview(reports.score_buckets(predictions(i))))
 
 
 @query("prediction_drift")
 def prediction_drift(i):
     market = features.market_returns(i.benchmark(), (20, 60))
-    return rounded(reports.prediction_drift(predictions(i).join(F.broadcast(market), "date", "left"), small=i.small_sections))
+    return rounded(reports.prediction_drift(predictions(i).join(F.broadcast(market), "date", "left")))
 
 
 @query("sector_contribution")
@@ -684,7 +596,7 @@ def attached_reference(i):
 
 @query("quantile_buckets_per_date")
 def quantile_buckets_per_date(i):
-    out = crosssection.with_quantile_bucket(i.scored(), ["date"], "score", "bucket", 5, small=i.small_sections)
+    out = crosssection.with_quantile_bucket(i.scored(), ["date"], "score", "bucket", 5)
     return out.select("date", "symbol", "score", "bucket")
 
 
@@ -700,14 +612,14 @@ def order_explanations(i):
     frame = features.return_features(features.base_features(i.prices()), (5, 20)).filter("date = date '1999-06-15'")
     planned = i.scored().filter("date = date '1999-06-15' and score > 0").select("date", "symbol", "score", F.lit("planned").alias("status"))
     top = i.spark.createDataFrame([("return_20d",), ("volatility_20d",)], "feature string")
-    return rounded(reports.order_explanations(planned, frame, top, f, small=i.small_sections))
+    return rounded(reports.order_explanations(planned, frame, top, f))
 
 
 @query("summary_comparison")
 def summary_comparison(i):
     """Mean daily metrics of two evaluation settings side by side."""
     def table(cfg):
-        d = evaluation.long_short_returns(i.scored(), cfg, ["split_id"], small=i.small_sections)
+        d = evaluation.long_short_returns(i.scored(), cfg, ["split_id"])
         return d.groupBy("split_id").agg(F.avg("net_return").alias("net_return"), F.avg("gross_exposure").alias("gross_exposure"))
 
     named = {"tenth": table(BASE), "fifth": table(replace(BASE, long_fraction=0.2, short_fraction=0.2))}
@@ -748,7 +660,7 @@ def ridge_walk_forward_single_feature(i):
 @query("ridge_walk_forward_summary")
 def ridge_walk_forward_summary(i):
     run = models.walk_forward(model_frame(i), FEATURES, MODEL)
-    return models.summarize_splits(run["predictions"], MODEL, rows=run["rows"], folds=run["folds"], small=i.small_sections)
+    return models.summarize_splits(run["predictions"], MODEL, rows=run["rows"], folds=run["folds"])
 
 
 @query("forest_feature_importance")
@@ -776,14 +688,34 @@ def consensus_blend(i):
 
 @query("ridge_parameter_search")
 def ridge_parameter_search(i):
-    return models.search(model_frame(i), FEATURES, "ridge", n_trials=3, config=MODEL, small=i.small_sections)
+    return models.search(model_frame(i), FEATURES, "ridge", n_trials=3, config=MODEL)
+
+
+def labelled_frame(i):
+    y = F.col("forward_return")
+    names = ("fwd_5d_return", "fwd_5d_excess_return", "fwd_5d_exec_return", "fwd_5d_exec_excess_return")
+    return model_frame(i).withColumns({n: y if "exec" not in n else -y for n in names})
 
 
 @query("experiment_leaderboard")
 def experiment_leaderboard(i):
     sets = {"returns": ("return_5d", "return_20d"), "all": FEATURES}
-    frame = model_frame(i).withColumns({"fwd_5d_return": F.col("forward_return"), "fwd_5d_excess_return": F.col("forward_return")})
-    return models.experiment_grid(frame, (5,), sets, {"ridge": {"model_type": "ridge"}}, MODEL, small=i.small_sections)
+    return models.experiment_grid(labelled_frame(i), (5,), sets, {"ridge": {"model_type": "ridge"}}, MODEL)
+
+
+@query("executable_leaderboard")
+def executable_leaderboard(i):
+    """Grid on executable targets, with a cell that fails."""
+    sets = {"returns": ("return_5d", "return_20d"), "missing": ("no_such_column",)}
+    out = models.experiment_grid(labelled_frame(i), (5,), sets, {"ridge": {"model_type": "ridge"}}, MODEL, target_kind="exec_excess")
+    return rounded(out)
+
+
+@query("feature_set_ablation")
+def feature_set_ablation(i):
+    """Which feature set loses how much of the rank correlation, by the fast models."""
+    sets = {"momentum": ("return_5d", "return_20d"), "volatility_liquidity": ("volatility_20d", "relative_volume_20d")}
+    return models.ablation(labelled_frame(i), (5,), sets, MODEL).select("experiment", "split_count", "prediction_count", "ic_mean", "ic_behind_best")
 
 
 @query("train_and_score_as_of")

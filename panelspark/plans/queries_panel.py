@@ -100,7 +100,7 @@ def calendar_features(i):
 @query("cross_sectional_zscores")
 def cross_sectional_zscores(i):
     df = features.return_features(features.base_features(i.prices()), (5, 10, 20))
-    df = features.cross_sectional_features(features.volume_features(df), (5, 10, 20), i.small_sections)
+    df = features.cross_sectional_features(features.volume_features(df), (5, 10, 20))
     return _pick(df, *[f"zscore_{c}" for c in ("return_5d", "return_20d", "volatility_5d", "volatility_20d",
                                                 "relative_volume_20d", "log_avg_dollar_volume_20d")])
 
@@ -135,7 +135,7 @@ def interaction_features(i):
 @query("factor_proxies")
 def factor_proxies(i):
     df = features.return_features(features.base_features(i.prices()))
-    df = features.factor_proxies(df, small=i.small_sections)
+    df = features.factor_proxies(df)
     return _pick(df, "momentum_factor", "low_vol_factor", "quality_factor")
 
 
@@ -144,7 +144,7 @@ def sector_relative_features(i):
     w = (5, 20)
     df = features.return_features(features.base_features(i.prices()), w)
     df = features.volume_features(df, (20,))
-    df = features.sector_relative_features(df, i.universe(), w, i.small_sections)
+    df = features.sector_relative_features(df, i.universe(), w)
     names = [f"sector_rank_{c}" for c in ("return_5d", "return_20d", "momentum_20d", "volatility_5d", "volatility_20d",
                                          "relative_volume_20d", "log_avg_dollar_volume_20d")]
     names += [f"{p}_{n}d" for n in w for p in ("sector_return", "stock_minus_sector_return")]
@@ -188,7 +188,7 @@ def sector_return_table(i):
 @query("research_frame")
 def research_frame_query(i):
     """The flagship plan: every default feature and label, here projected to one column per family."""
-    df = research_frame(i.prices(), i.universe(), benchmark=i.benchmark(), horizons=(5, 20), small=i.small_sections)
+    df = research_frame(i.prices(), i.universe(), benchmark=i.benchmark(), horizons=(5, 20))
     return _pick(df, "sector", "return_20d", "volatility_20d", "return_20d_skip_5d", "relative_volume_20d",
                  "price_above_sma_50", "drawdown_60d", "sector_rank_momentum_20d", "sector_rank_volatility_20d",
                  "stock_minus_sector_return_20d", "stock_minus_market_return_20d", "beta_60d", "fwd_5d_excess_return",

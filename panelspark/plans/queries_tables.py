@@ -23,14 +23,23 @@ def typed_prices(i):
     return files.typed_prices(text)
 
 
+def tickers(i):
+    """Columns of a wide frame: one per nation, a table whose size does not change; its symbols are those of the first suppliers."""
+    return [f"S{r.n_nationkey + 1:010d}" for r in i.table("nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+
+
+def widened(rows, index, names, fields):
+    """One column per name and field."""
+    cells = [F.max(F.when(F.col("symbol") == s, F.col(c))).alias(f"{s}|{f}") for s in names for f, c in fields.items()]
+    return rows.groupBy(index).agg(*cells)
+
+
 @query("vendor_frame_melted")
 def vendor_frame_melted(i):
     """Wide vendor frame (one column per ticker and field) back to the long panel."""
-    names = ["S0000000001", "S0000000002", "S0000000003"]
+    names = tickers(i)
     fields = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "volume"}
-    p = i.prices().filter(F.col("symbol").isin(names))
-    cells = [F.max(F.when(F.col("symbol") == s, F.col(c))).alias(f"{s}|{f}") for s in names for f, c in fields.items()]
-    wide = p.groupBy(F.col("date").alias("Date")).agg(*cells)
+    wide = widened(i.prices().withColumnRenamed("date", "Date"), "Date", names, fields)
     return files.normalize_vendor_prices(wide, [*names, "MISSING"])
 
 
@@ -51,11 +60,10 @@ def normalized_marks(i):
 
 @query("vendor_intraday_marks")
 def vendor_intraday_marks(i):
-    """Wide intraday frame of two tickers, by hour, to marks."""
-    names = ["S0000000001", "S0000000002"]
-    e = i.marks().filter(F.col("symbol").isin(names)).withColumn("Datetime", F.date_trunc("hour", "timestamp"))
-    cells = [F.max(F.when(F.col("symbol") == s, F.col("price"))).alias(f"{s}|{f}") for s in names for f in ("Close", "Adj Close", "High")]
-    wide = e.groupBy("Datetime").agg(*cells)
+    """Wide intraday frame by hour, all marks dealt to its tickers, to marks."""
+    names = tickers(i)
+    e = i.marks().withColumn("Datetime", F.date_trunc("hour", "timestamp")).withColumn("symbol", F.element_at(F.array(*map(F.lit, names)), (F.substring("symbol", 2, 10).cast("long") % len(names) + 1).cast("int")))
+    wide = widened(e, "Datetime", names, dict.fromkeys(("Close", "Adj Close", "High"), "price"))
     return rounded(files.normalize_vendor_intraday(wide, names))
 
 
@@ -101,7 +109,7 @@ def normalized_universe(i):
 
 @query("broad_universe")
 def broad_universe(i):
-    return files.broad_universe(i.universe(), limit=50)
+    return files.broad_universe(i.universe())
 
 
 @query("appended_promotions")
@@ -143,9 +151,9 @@ def page_table_rows(i):
 
 @query("input_file_metadata")
 def input_file_metadata(i):
-    paths = [f"{i.sf_dir}/{t}.parquet" for t in ("region", "nation", "supplier", "part", "lineitem")]
-    meta = store.file_metadata(i.spark, paths, 1_000_000)
-    return meta.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size_bytes", "sha256_skipped", "sha256_skip_reason", F.length("sha256").alias("hash_length"))
+    """Every input file with its hash."""
+    meta = store.file_metadata(i.spark, [f"{i.sf_dir}/*.parquet"])
+    return meta.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size_bytes", "exists", F.length("sha256").alias("hash_length"))
 
 
 # --- dimensions and documents ---------------------------------------------------------------------
@@ -153,14 +161,14 @@ def input_file_metadata(i):
 
 @query("latest_rows_for_symbols")
 def latest_rows_for_symbols(i):
-    wanted = i.universe().filter("sector = 'ASIA'").select("symbol")
+    wanted = i.universe().select("symbol")
     return documents.latest_rows(i.prices().select("symbol", "date", "close", "volume"), wanted)
 
 
 @query("price_history_documents")
 def price_history_documents(i):
-    wanted = i.universe().filter("sector = 'ASIA'").select("symbol")
-    out = documents.price_history(i.prices().select("symbol", "date", "close"), wanted)
+    wanted = i.universe().select("symbol")
+    out = documents.price_history(i.prices().select("symbol", "date", "close"), wanted, None)
     return out.select("symbol", F.size("prices").alias("bars"), F.col("prices")[0]["date"].alias("first_date"),
                       F.aggregate("prices", F.lit(0.0), lambda a, x: F.greatest(a, x["close"])).alias("highest"))
 
@@ -188,7 +196,7 @@ def stock_documents(i):
     wanted = u.select("symbol")
     tracked, broad = u.filter("sector = 'ASIA'").select("symbol", "name", "sector"), u.select("symbol", "sector")
     position = i.ledger().filter("status = 'planned'").select("symbol", "status", "shares")
-    out = documents.stock_documents(wanted, [tracked, broad], i.prices().select("symbol", "date", "close"), paperPosition=position)
+    out = documents.stock_documents(wanted, [tracked, broad], i.prices().select("symbol", "date", "close"), None, paperPosition=position)
     doc = F.col("document")
     return out.select("symbol", F.get_json_object(doc, "$.profile.name").alias("name"), F.get_json_object(doc, "$.profile.sector").alias("sector"),
                       F.get_json_object(doc, "$.paperPosition.status").alias("position"), F.get_json_object(doc, "$.prices[0].date").alias("first_date"))
@@ -271,7 +279,7 @@ def tolerant_json(i):
 def upserted_orders(i):
     """Order versions reduced to the newest one per id."""
     o = i.table("orders")
-    versions = o.select((F.col("o_orderkey") % 1000).alias("order_id"), F.col("o_orderkey").alias("updated_at"), "o_orderstatus", "o_totalprice")
+    versions = o.select((F.col("o_orderkey") / 4).cast("long").alias("order_id"), F.col("o_orderkey").alias("updated_at"), "o_orderstatus", "o_totalprice")
     return store.keep_latest(versions, ["order_id"], F.col("updated_at"))
 
 

@@ -17,6 +17,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -37,12 +38,13 @@ def build_session(app: str = "panelspark", *, master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where that is unset and Spark runs locally (tests, laptops) is a local folder used, because a
-    machine-local folder would not survive the loss of an executor.
+    Only where that is unset and Spark runs in one process (tests, laptops) is a local folder used, because a machine-local folder
+    would not survive the loss of an executor.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = os.path.join(tempfile.gettempdir(), "panelspark")
     return shared

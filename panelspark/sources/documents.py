@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import functools
+import sys
 from html.parser import HTMLParser
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import listing_symbol, symbol_key
 from panelspark.operators.asof import latest_per_key
 
-#: Rows of price history in a document.
-HISTORY_ROWS = 260
+
+# workers need not have this package on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def latest_rows(df: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -21,24 +24,24 @@ def latest_rows(df: DataFrame, symbols: DataFrame) -> DataFrame:
     return latest_per_key(df.join(wanted, "symbol", "left_semi"))
 
 
-def price_history(df: DataFrame, symbols: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:
-    """The last bars of each wanted symbol as one ordered array."""
+def price_history(df: DataFrame, symbols: DataFrame, rows: int | None) -> DataFrame:
+    """The last ``rows`` bars (None: all) of each wanted symbol as one ordered array; a symbol has one bar a day at most."""
     wanted = symbols.select("symbol").distinct()
-    order = Window.partitionBy("symbol").orderBy(F.desc("date"))
-    recent = df.join(wanted, "symbol", "left_semi").withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= rows)
+    recent = df.join(wanted, "symbol", "left_semi")
+    if rows is not None:
+        order = Window.partitionBy("symbol").orderBy(F.desc("date"))
+        recent = recent.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= rows).drop("__n")
     bars = F.sort_array(F.collect_list(F.struct("date", *[c for c in df.columns if c not in ("symbol", "date")])))
-    return recent.drop("__n").groupBy("symbol").agg(bars.alias("prices"))
+    return recent.groupBy("symbol").agg(bars.alias("prices"))
 
 
-def merge_prices(primary: DataFrame, fallback: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:
-    """Last bars per symbol from two sources; the primary wins on equal dates."""
+def merge_prices(primary: DataFrame, fallback: DataFrame) -> DataFrame:
+    """All bars from two sources; the primary wins on equal dates."""
     names = [c for c in primary.columns if c not in ("symbol", "date")]
     side = lambda df, p: df.select("symbol", "date", F.struct(*names).alias(p))
     both = side(primary, "__a").join(side(fallback, "__b"), ["symbol", "date"], "full_outer")
     row = F.coalesce("__a", "__b")
-    merged = both.select("symbol", "date", *[row[c].alias(c) for c in names])
-    order = Window.partitionBy("symbol").orderBy(F.desc("date"))
-    return merged.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= rows).drop("__n")
+    return both.select("symbol", "date", *[row[c].alias(c) for c in names])
 
 
 def merge_records(primary: DataFrame, fallback: DataFrame, key: str = "symbol") -> DataFrame:
@@ -47,16 +50,19 @@ def merge_records(primary: DataFrame, fallback: DataFrame, key: str = "symbol")
     return primary.unionByName(extra, allowMissingColumns=True)
 
 
-def stock_documents(symbols: DataFrame, profiles: list[DataFrame], prices: DataFrame, **sections: DataFrame) -> DataFrame:
-    """One JSON document per symbol: profile (first source that has it), prices and named sections."""
+def stock_documents(symbols: DataFrame, profiles: list[DataFrame], prices: DataFrame, history_rows: int | None, **sections: DataFrame) -> DataFrame:
+    """One JSON document per symbol: profile (first source that has it), the last ``history_rows`` bars (None: all) and named sections.
+
+    Of several section rows of a symbol the smallest is taken.
+    """
     out = symbols.select(symbol_key("symbol").alias("symbol")).distinct()
     profile = functools.reduce(merge_records, profiles)
     parts = {"profile": profile, **sections}
     for name, table in parts.items():
         fields = [c for c in table.columns if c != "symbol"]
-        one = table.groupBy("symbol").agg(F.first(F.struct(*fields)).alias(name))
+        one = table.groupBy("symbol").agg(F.min(F.struct(*fields)).alias(name))
         out = out.join(one, "symbol", "left")
-    out = out.join(price_history(prices, symbols), "symbol", "left")
+    out = out.join(price_history(prices, symbols, history_rows), "symbol", "left")
     return out.select("symbol", F.to_json(F.struct(*parts, "prices")).alias("document"))
 
 

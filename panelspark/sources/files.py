@@ -218,7 +218,7 @@ def append_benchmark(universe: DataFrame, symbol: str = "SPY", row: tuple[str, s
 
 
 def broad_universe(source: DataFrame, *, limit: int | None = None, benchmark: str | None = "SPY") -> DataFrame:
-    """Normalised universe, optionally the first ``limit`` symbols, with the benchmark appended."""
+    """Normalised universe, with the benchmark appended; a caller may ask for the first ``limit`` symbols only."""
     out = normalize_universe(source)
     if limit is not None:
         if limit <= 0:

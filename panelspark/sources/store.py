@@ -61,10 +61,10 @@ class TableStore:
         return self.spark.read.parquet(f"{self.root}/{name}/v{known[-1]:06d}") if known else None
 
     def replace(self, name: str, df: DataFrame) -> int:
-        """Write ``df`` as the next version and return its number."""
+        """Write ``df`` as the next version and return its number; two writers of one version fail instead of mixing."""
         known = self.versions(name)
         version = (known[-1] if known else 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version:06d}")
+        df.write.mode("error").parquet(f"{self.root}/{name}/v{version:06d}")
         return version
 
     def export_csv(self, name: str, path: str) -> None:
@@ -144,14 +144,14 @@ class TableStore:
 
     # --- model registry ---
 
-    def list_models(self, model_type: str | None = None, limit: int = 50) -> DataFrame | None:
-        """Newest models first, optionally of one type."""
+    def list_models(self, model_type: str | None = None) -> DataFrame | None:
+        """All models, newest first, optionally of one type."""
         table = self.read("models")
         if table is None:
             return None
         if model_type is not None:
             table = table.filter(F.col("model_type") == model_type)
-        return table.orderBy(F.desc("created_at"), "model_id").limit(limit)
+        return table.orderBy(F.desc("created_at"), "model_id")
 
     def save_model(self, model, *, model_type: str, features, config: dict, metrics: dict, training_rows: int | None = None,
                    training_symbols: int | None = None, training_end_date: str | None = None) -> str:
@@ -180,9 +180,9 @@ class TableStore:
         found = None if table is None else table.filter(F.col("model_id") == model_id).first()
         return None if found is None else PipelineModel.load(found["artifact_path"])
 
-    def best_model(self, metric: str, model_type: str | None = None, latest: int = 200) -> DataFrame | None:
-        """Registry row with the highest metric among the latest models."""
-        table = self.list_models(model_type, latest)
+    def best_model(self, metric: str, model_type: str | None = None) -> DataFrame | None:
+        """Registry row with the highest metric among all models."""
+        table = self.list_models(model_type)
         return None if table is None else best_by_metric(table, metric)
 
     def delete_model(self, model_id: str) -> bool:
@@ -285,20 +285,42 @@ def append_marks(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 # --- lineage --------------------------------------------------------------------------------------
 
-#: Files above this size are recorded without a hash.
-HASH_LIMIT_BYTES = 25 * 1024 * 1024
+#: Bytes of a file that one task hashes; Spark cannot hold a file of 2 GB in a row.
+HASH_BLOCK = 64 * 1024 * 1024
 
 
-def file_metadata(spark: SparkSession, paths, limit: int = HASH_LIMIT_BYTES) -> DataFrame:
-    """Size, time and hash of input files. Content of files above the limit is never read."""
+def _block_hashes(paths_and_sizes, block: int):
+    """SHA-256 of each block of the given files, read through Hadoop by the tasks."""
+    import hashlib
+
+    from pyarrow import fs
+
+    for pdf in paths_and_sizes:
+        out = []
+        for path, at in zip(pdf["path"], pdf["at"]):
+            source, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+            with source.open_input_file(name) as f:
+                f.seek(int(at))
+                out.append(hashlib.sha256(f.read(block)).digest())
+        yield pdf.assign(digest=out)
+
+
+def file_metadata(spark: SparkSession, paths) -> DataFrame:
+    """Size, time and hash of input files of every size.
+
+    Files that fit a row are hashed as they are; for larger ones ``sha256`` is the hash of the hashes of their blocks, told by
+    ``hashed_in_blocks``.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = spark.read.format("binaryFile").load(paths)
-    small = files.filter(F.col("length") <= limit).select("path", F.sha2("content", 256).alias("sha256"))
     facts = files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
-    out = facts.join(small, "path", "left")
-    big = F.col("size_bytes") > limit
-    return out.select("path", F.lit(True).alias("exists"), "size_bytes", "modified_at", "sha256", big.alias("sha256_skipped"),
-                      F.when(big, "size_above_threshold").alias("sha256_skip_reason"))
+    whole = files.filter(F.col("length") <= HASH_BLOCK).select("path", F.sha2("content", 256).alias("sha256"))
+    large = facts.filter(F.col("size_bytes") > HASH_BLOCK).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(HASH_BLOCK).cast("long"))).alias("at"))
+    digests = large.repartition("path", "at").mapInPandas(lambda rows: _block_hashes(rows, HASH_BLOCK), "path string, at long, digest binary")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: F.hex(x["digest"])), "")
+    blocks = digests.groupBy("path").agg(F.sha2(joined, 256).alias("sha256"))
+    out = facts.join(whole.unionByName(blocks), "path", "left")
+    return out.select("path", F.lit(True).alias("exists"), "size_bytes", "modified_at", "sha256", (F.col("size_bytes") > HASH_BLOCK).alias("hashed_in_blocks"))
 
 
 def run_manifest(spark: SparkSession, run_type: str, *, parameters: dict, inputs: DataFrame | None = None, outputs: dict | None = None,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -12,6 +15,9 @@ from panelspark.operators.ledger import EXIT_RULE_VERSION, LedgerConfig, normali
 from panelspark.sources.files import MARK_SCHEMA, normalize_marks, path_exists
 from panelspark.sources.store import TableStore
 
+# workers need not have this package on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 INTRADAY_EXIT_RULE_VERSION = f"{EXIT_RULE_VERSION}.intraday.v1"
 
 
@@ -37,7 +43,7 @@ def latest_marks(marks: DataFrame) -> DataFrame:
 class LatestMark(StatefulProcessor):
     """Latest mark per symbol in a value state that expires."""
 
-    def __init__(self, ttl_ms: int = 7 * 24 * 3600 * 1000):
+    def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -46,9 +52,9 @@ class LatestMark(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         best = self.state.get()
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if best is None or r.timestamp >= best[0]:
-                    best = (r.timestamp, float(r.price), float(r.high))
+            last = pdf["timestamp"].to_numpy().argmax() if len(pdf) else None
+            if last is not None and (best is None or pdf["timestamp"].iloc[last] >= best[0]):
+                best = (pdf["timestamp"].iloc[last], float(pdf["price"].iloc[last]), float(pdf["high"].iloc[last]))
         if best is not None:
             self.state.update(best)
             yield pd.DataFrame({"symbol": [key[0]], "timestamp": [best[0]], "price": [best[1]], "high": [best[2]]})
@@ -57,10 +63,10 @@ class LatestMark(StatefulProcessor):
         pass
 
 
-def latest_marks_with_ttl(marks: DataFrame, ttl_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
-    """Streaming form of :func:`latest_marks` whose per-symbol state expires.
+def latest_marks_with_ttl(marks: DataFrame, ttl_ms: int) -> DataFrame:
+    """Streaming form of :func:`latest_marks` whose per-symbol state expires ``ttl_ms`` milliseconds after its last change.
 
-    Needs the RocksDB state store provider.
+    A symbol without marks for so long is forgotten: its next mark is its latest, even if it is older than the forgotten one. Needs the RocksDB state store provider.
     """
     return marks.select("symbol", "timestamp", "price", "high").groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=LatestMark(ttl_ms), outputStructType="symbol string, timestamp timestamp, price double, high double",

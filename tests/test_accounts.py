@@ -1,144 +1,10 @@
-"""Account folds against a plain simulation, with lookaheads too short to suffice at first."""
-
-from dataclasses import replace
+"""Greedy order plans against a plain loop, with lookaheads too short to suffice at first."""
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import evaluation, ledger
-from panelspark.operators.evaluation import EvaluationConfig, Scenario
-
-
-def signals(n_days=12, n=60, seed=3):
-    rng = np.random.default_rng(seed)
-    days = pd.bdate_range("2024-01-01", periods=n_days)
-    pdf = pd.DataFrame([(d.date(), f"S{k:03d}") for d in days for k in range(n)], columns=["date", "symbol"])
-    m = len(pdf)
-    pdf["score"] = np.round(rng.normal(size=m), 3)
-    pdf["next_open"] = np.round(rng.uniform(5, 900, m), 2)
-    pdf["exit_close"] = np.round(pdf["next_open"] * rng.uniform(0.7, 1.3, m), 2)
-    pdf["avg_dollar_volume_20d"] = rng.uniform(1e4, 1e6, m)
-    pdf.loc[rng.random(m) < 0.05, "next_open"] = 0.0
-    pdf["forward_return"] = pdf["exit_close"] / pdf["next_open"].where(pdf["next_open"] > 0) - 1
-    pdf["adj_close"] = pdf["next_open"].clip(lower=1.0)
-    return pdf
-
-
-def simulate(pdf, c):
-    """Straight loop over dates and ranked candidates."""
-    capital = peak = c.initial_capital
-    rate = (c.transaction_cost_bps + c.slippage_bps) / 1e4
-    trades, cooldown, equity, ledger_rows = {}, 0, [], []
-    for index, (day, rows) in enumerate(pdf.groupby("date", sort=True)):
-        on = cooldown <= 0
-        cooldown -= not on
-        if index % c.rebalance_interval_days or not on:
-            equity.append((day, capital))
-            continue
-        wanted, opened, invested, pnl = max(1, int(len(rows) * c.long_fraction)), 0, 0.0, 0.0
-        for r in rows.sort_values(["score", "symbol"], ascending=[False, True]).itertuples():
-            if opened >= wanted:
-                break
-            reason = ""
-            if c.min_score is not None and r.score < c.min_score:
-                reason = "score_below_threshold"
-            elif c.max_symbol_trades and trades.get(r.symbol, 0) >= c.max_symbol_trades:
-                reason = "symbol_trade_cap"
-            elif not r.next_open > 0:
-                reason = "missing_entry_price"
-            elif not r.exit_close > 0:
-                reason = "missing_exit_price"
-            elif capital - invested < c.min_trade_dollars:
-                reason = "insufficient_cash"
-            else:
-                budget = min(capital * c.max_position_weight, capital - invested, r.avg_dollar_volume_20d * c.max_adv_fraction)
-                shares = np.floor(budget / r.next_open)
-                if shares <= 0:
-                    reason = "size_too_small"
-            if reason:
-                ledger_rows.append((day, r.symbol, "skipped", reason))
-                continue
-            entry, leave = shares * r.next_open, shares * r.exit_close
-            pnl += leave - entry - (entry + leave) * rate
-            invested += entry
-            opened += 1
-            trades[r.symbol] = trades.get(r.symbol, 0) + 1
-            ledger_rows.append((day, r.symbol, "filled", ""))
-        capital += pnl
-        peak = max(peak, capital)
-        if c.max_drawdown_stop and capital / peak - 1 <= -c.max_drawdown_stop:
-            cooldown = c.cooldown_days
-        equity.append((day, capital))
-    return equity, ledger_rows
-
-
-BASE = EvaluationConfig(long_fraction=0.3, max_position_weight=0.1, initial_capital=20_000.0, max_adv_fraction=0.05)
-CASES = {
-    "plain": BASE,
-    "capped": replace(BASE, max_symbol_trades=2),
-    "threshold": replace(BASE, min_score=0.5, rebalance_interval_days=2),
-    "stop": replace(BASE, max_drawdown_stop=0.03, cooldown_days=3),
-    "poor": replace(BASE, initial_capital=900.0, max_position_weight=0.5),
-}
-
-
-def test_event_accounts_match_the_loop(spark):
-    pdf = signals()
-    runs = evaluation.event_accounts(spark.createDataFrame(pdf), [Scenario(n, c) for n, c in CASES.items()], lookahead=2)
-    equity = runs.equity.toPandas()
-    rows = runs.ledger().toPandas()
-    for name, c in CASES.items():
-        want, lines = simulate(pdf, c)
-        got = equity[equity["scenario_id"] == name].sort_values("date")
-        assert np.allclose(got["capital"], [x for _, x in want])
-        mine = rows[rows["scenario_id"] == name]
-        assert sorted(zip(mine["date"], mine["symbol"], mine["status"], mine["skip_reason"])) == sorted(lines), name
-
-
-def test_capital_account_matches_the_loop(spark):
-    pdf = signals().dropna(subset=["forward_return"])
-    for c in (BASE, replace(BASE, max_symbol_trades=3), replace(BASE, allow_fractional_shares=True)):
-        got = evaluation.capital_accounts(spark.createDataFrame(pdf), [Scenario("x", c)], lookahead=2).toPandas().sort_values("date")
-        capital, trades, want = c.initial_capital, {}, []
-        for _, rows in pdf.groupby("date", sort=True):
-            chosen = []
-            for r in rows.sort_values(["score", "symbol"], ascending=[False, True]).itertuples():
-                if len(chosen) == max(1, int(len(rows) * c.long_fraction)):
-                    break
-                if c.max_symbol_trades and trades.get(r.symbol, 0) >= c.max_symbol_trades:
-                    continue
-                trades[r.symbol] = trades.get(r.symbol, 0) + 1
-                chosen.append(r)
-            budget, invested, gross = capital * c.max_position_weight, 0.0, 0.0
-            for r in chosen:
-                shares = budget / r.adj_close if c.allow_fractional_shares else np.floor(budget / r.adj_close)
-                value = shares * r.adj_close
-                if shares > 0 and value >= c.min_trade_dollars and invested + value <= capital:
-                    invested, gross = invested + value, gross + value * r.forward_return
-            capital += gross - invested * 0.001
-            want.append(capital)
-        assert np.allclose(got["capital"], want)
-
-
-def test_capped_positions_match_the_loop(spark):
-    pdf = signals().dropna(subset=["forward_return"])
-    c = EvaluationConfig(long_fraction=0.2, short_fraction=0.1, max_symbol_trades=2)
-    got = evaluation.positions(spark.createDataFrame(pdf), c, small=True).toPandas()
-    trades, want = {}, []
-    for day, rows in pdf.groupby("date", sort=True):
-        for side, up, share in (("short", True, 0.1), ("long", False, 0.2)):
-            taken = 0
-            for r in rows.sort_values(["score", "symbol"], ascending=[up, True]).itertuples():
-                if trades.get(r.symbol, 0) >= 2:
-                    continue
-                trades[r.symbol] = trades.get(r.symbol, 0) + 1
-                want.append((day, r.symbol, side))
-                taken += 1
-                if taken == max(1, int(len(rows) * share)):
-                    break
-    assert sorted(zip(got["date"], got["symbol"], got["side"])) == sorted(want)
+from panelspark.operators import ledger
 
 
 def test_order_plan_is_greedy_beyond_the_lookahead(spark):
@@ -153,17 +19,3 @@ def test_order_plan_is_greedy_beyond_the_lookahead(spark):
             left -= x
             want.append(f"{k:04d}")
     assert sorted(got) == want
-
-
-def test_simulated_orders_balance_their_cash(spark):
-    pdf = signals(30, 20)
-    bars = pdf[["date", "symbol", "adj_close"]].assign(open=pdf["adj_close"], close=pdf["adj_close"])
-    cfg = ledger.LedgerConfig(initial_capital=5_000.0, horizon=5, min_score=0.0)
-    out = ledger.simulate_orders(spark.createDataFrame(pdf[["date", "symbol", "score", "adj_close"]]), spark.createDataFrame(bars), cfg, lookahead=2)
-    orders, daily = out["orders"].toPandas(), out["daily_equity"].toPandas()
-    assert len(orders) == len(pdf)  # every signal ends as an order row
-    assert daily["cash"].min() >= -1e-6
-    closed = orders[orders["status"] == "closed"]
-    assert len(closed) and (closed["exit_date"] > closed["planned_date"]).all()
-    last = daily.sort_values("date").iloc[-1]
-    assert last["cash"] == pytest.approx(5_000.0 - orders["entry_value"].sum() - orders["entry_cost"].sum() + closed["exit_value"].sum() - closed["exit_cost"].sum())

@@ -1,4 +1,4 @@
-"""Both plans of every cross-section agree, also when one group and one value dominate."""
+"""Cross-sections against pandas, also when one group and one value dominate, and plans without whole groups in a task."""
 
 import numpy as np
 import pandas as pd
@@ -16,39 +16,47 @@ def skewed(spark):
         # one value holds a third of the rows
         "x": np.where(rng.random(n) < 0.33, 1.0, np.round(rng.normal(size=n), 2)),
     })
+    pdf["y"] = -pdf["x"] * 1e-7
     pdf.loc[::17, "x"] = np.nan
     df = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
     return pdf, df
 
 
-def test_percent_ranks_match_pandas_in_both_plans(spark):
+def test_percent_ranks_match_pandas(spark):
     pdf, df = skewed(spark)
-    want = pdf.groupby("date")["x"].rank(pct=True)
-    for small in (True, False):
-        got = cs.with_percent_ranks(df, ["date"], {"r": ("x", True)}, small=small).toPandas().set_index("symbol")["r"]
-        assert np.allclose(got.loc[pdf["symbol"]].to_numpy(float), want.to_numpy(), equal_nan=True)
+    got = cs.with_percent_ranks(df, ["date"], {"r": ("x", True), "s": ("x", False), "t": ("y", True)}).toPandas().set_index("symbol").loc[pdf["symbol"]]
+    groups = pdf.groupby("date")
+    for name, want in (("r", groups["x"].rank(pct=True)), ("s", groups["x"].rank(pct=True, ascending=False)), ("t", groups["y"].rank(pct=True))):
+        assert np.allclose(got[name].to_numpy(float), want.to_numpy(), equal_nan=True)
 
 
-def test_row_index_and_buckets_do_not_depend_on_the_plan(spark):
-    _, df = skewed(spark)
-    for make in (
-        lambda s: cs.with_row_index(df, ["date"], [F.col("x").desc(), "symbol"], "i", s).select("symbol", "i"),
-        lambda s: cs.with_quantile_bucket(df, ["date"], "x", "b", 5, small=s).select("symbol", "b"),
-    ):
-        assert sorted(make(True).collect()) == sorted(make(False).collect())
+def test_row_index_matches_pandas(spark):
+    pdf, df = skewed(spark)
+    got = cs.with_row_index(df, ["date"], [F.col("x").desc_nulls_last(), "symbol"], "i").toPandas().set_index("symbol")["i"]
+    ordered = pdf.sort_values(["x", "symbol"], ascending=[False, True], na_position="last")
+    want = ordered.groupby("date").cumcount() + 1
+    assert (got.loc[ordered["symbol"]].to_numpy() == want.to_numpy()).all()
 
 
-def test_quantiles_match_pandas_in_both_plans(spark):
+def test_quantiles_match_pandas(spark):
     pdf, df = skewed(spark)
-    want = pdf.groupby("date")["x"].quantile(0.1)
-    for small in (True, False):
-        got = cs.group_quantiles(df, ["date"], "x", {"q": 0.1}, small=small).toPandas().set_index("date")["q"]
-        assert np.allclose(got.loc[want.index], want)
+    want = pdf.groupby("date")["x"].quantile([0.1, 0.5, 0.9]).unstack()
+    got = cs.group_quantiles(df, ["date"], "x", {"a": 0.1, "b": 0.5, "c": 0.9}).toPandas().set_index("date").loc[want.index]
+    assert np.allclose(got[["a", "b", "c"]].to_numpy(), want.to_numpy())
 
 
 def test_bucket_equals_a_quantile_cut(spark):
     pdf, df = skewed(spark)
-    got = cs.with_quantile_bucket(df.withColumn("k", F.lit(1)), ["k"], "x", "b", 10, small=True).toPandas()
+    got = cs.with_quantile_bucket(df.withColumn("k", F.lit(1)), ["k"], "x", "b", 10).toPandas()
     ranked = got.sort_values(["x", "symbol"]).reset_index(drop=True)
     want = pd.qcut(ranked.index + 1, 10, labels=False) + 1
     assert (ranked["b"].to_numpy() == want).all()
+
+
+def test_no_window_or_percentile_over_a_whole_group(spark):
+    _, df = skewed(spark)
+    for out in (cs.with_percent_ranks(df, ["date"], {"r": ("x", True)}), cs.group_quantiles(df, ["date"], "x", {"q": 0.5})):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile" not in plan
+        # windows run over sums per slice, or inside a slice
+        assert all("__slice" in line for line in plan.split("\n") if line.strip(" :+-").startswith("Window"))

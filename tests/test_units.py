@@ -19,7 +19,7 @@ def test_long_short_day(spark):
     rows = [("2024-01-02", s, score, r) for s, score, r in (("A", 4.0, 0.10), ("B", 3.0, 0.0), ("C", 2.0, 0.0), ("D", 1.0, -0.06))]
     df = spark.createDataFrame(rows, "date string, symbol string, score double, forward_return double")
     cfg = evaluation.EvaluationConfig(long_fraction=0.25, short_fraction=0.25, max_position_weight=0.25, transaction_cost_bps=20, slippage_bps=20)
-    got = evaluation.long_short_returns(df, cfg, small=True).first()
+    got = evaluation.long_short_returns(df, cfg).first()
     assert (got.gross_return, got.cost, got.net_return) == pytest.approx((0.04, 0.002, 0.038))
 
 
