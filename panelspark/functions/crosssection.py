@@ -81,6 +81,10 @@ def with_average_ranks(df: DataFrame, keys, ranks: dict[str, tuple[str, bool]],
     ``ranks`` maps an output name to ``(value column, ascending)``. All ranks of a frame are found in one pass over
     (name, value) pairs; ``keys`` and ``tie_break`` together identify a row.
     """
+    return _average_ranks(cut_lineage(df), keys, ranks, tie_break)  # read several times below
+
+
+def _average_ranks(df: DataFrame, keys, ranks, tie_break) -> DataFrame:
     row_keys = [*keys, *[t for t in tie_break if t not in keys]]
     values = list(dict.fromkeys(value for value, _ in ranks.values()))
     pairs = F.array(*[F.struct(F.lit(n).alias("__name"), F.col(v).cast("double").alias("__value")) for n, v in enumerate(values)])
@@ -111,7 +115,8 @@ def with_percent_ranks(
     With ``flat_value`` set, a group whose values are all equal gets that constant instead.
     """
     tmp = {f"__r_{name}": spec for name, spec in ranks.items()}
-    out = with_average_ranks(df, keys, tmp, tie_break)
+    df = cut_lineage(df)  # read several times below
+    out = _average_ranks(df, keys, tmp, tie_break)
     stats = {}
     for name, (value, _) in ranks.items():
         stats[f"__n_{name}"] = F.count(F.col(value))
@@ -147,12 +152,12 @@ def group_quantiles(df: DataFrame, keys, value: str, quantiles: dict[str, float]
     counts = null_safe_join(counts, total, keys)
     aggs = []
     for name, q in quantiles.items():
-        at = (F.col("__n") - 1) * F.lit(q) + 1
+        at = (F.col("__n") - 1) * F.lit(q)  # from 0
 
         def held(position):
             here = (F.col("__below") < position) & (position <= F.col("__below") + F.col("__ties"))
             return F.max(F.when(here, F.col(value)))
 
-        low, high, part = held(F.floor(at)), held(F.ceil(at)), F.max(at - F.floor(at))
-        aggs.append((low + (high - low) * part).alias(name))
+        low, high, part = held(F.floor(at) + 1), held(F.ceil(at) + 1), F.max(at - F.floor(at))
+        aggs.append((low * (1 - part) + high * part).alias(name))
     return counts.groupBy(*keys).agg(*aggs)

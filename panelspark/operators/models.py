@@ -24,7 +24,7 @@ from panelspark.functions.crosssection import null_safe_join
 from panelspark.functions.metrics import drawdown_of_returns, information_coefficient, sharpe
 from panelspark.functions.scalar import row_median
 from panelspark.operators.evaluation import EvaluationConfig, long_short_returns
-from panelspark.session import require_columns
+from panelspark.session import cut_lineage, require_columns
 
 MODEL_TYPES = ("ridge", "elasticnet", "random_forest", "gbt")
 PASSED_THROUGH = ("adj_close", "close", "next_open", "exit_close_5d", "exit_close_20d", "avg_dollar_volume_20d")
@@ -250,6 +250,7 @@ def summarize_splits(
 ) -> DataFrame:
     """One row per split: sizes, rank correlation, hit rate and long/short metrics for both scores."""
     evaluation = evaluation or EvaluationConfig()
+    predictions = cut_lineage(predictions)  # read by every figure below
     y = config.target
     right = (F.col(score) > 0) == (F.col(y) > 0)
     out = predictions.groupBy("split_id").agg(
