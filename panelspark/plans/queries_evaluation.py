@@ -96,8 +96,11 @@ def momentum_evaluation_query(i):
 DISCOVERY = discovery.DiscoveryConfig(min_avg_dollar_volume_20d=30_000.0, min_market_cap=100_000_000.0, top_n=5)
 
 
-def discovery_frame(i):
-    """Panel with the features the funnel reads, fundamentals and metadata."""
+def discovery_frame(i, dates=None):
+    """Panel with the features the funnel reads, fundamentals and metadata, of some dates or of all.
+
+    Rolling features need a symbol's earlier rows; everything after them looks at one date, so other dates go first.
+    """
     from panelspark.operators import fundamentals
 
     w = (5, 20, 60)
@@ -107,6 +110,8 @@ def discovery_frame(i):
     p = features.range_features(p, (20, 50), (60,))
     p = features.market_relative_features(p, i.benchmark(), (20,), (60,))
     p = features.discovery_features(p)
+    if dates is not None:
+        p = p.filter(F.col("date").cast("date").cast("string").isin(*dates))
     p = fundamentals.enrich_with_fundamentals(p, fundamentals.normalize_fundamentals(i.fundamentals()))
     p = p.withColumn("days_to_earnings", F.datediff("earnings_date", "date"))
     p = discovery.attach_metadata(p, i.universe().drop("sector"))
@@ -118,7 +123,7 @@ def watched(i):
 
 
 def funnel(i):
-    return discovery.run_discovery(discovery_frame(i), watchlist=watched(i), config=DISCOVERY, as_of_date="1999-06-15")
+    return discovery.run_discovery(discovery_frame(i, ["1999-06-15"]), watchlist=watched(i), config=DISCOVERY, as_of_date="1999-06-15")
 
 
 SCORES = [*discovery.SCORES, "discovery_score"]
