@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.sql import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 QUERIES = {}
-ORACLE = {}
 
 
 def query(fn):
@@ -74,7 +76,8 @@ def op4_repeated_passages(spark, sf_dir):
 
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return repeats(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), covered.alias("n_repeated_words"), (F.size("spans") > 0).alias("repeated"), "spans")
+        "doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), covered.alias("n_repeated_words"), (F.size("spans") > 0).alias("repeated"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
 
 
 @query
