@@ -134,4 +134,4 @@ def sql(name: str, uses: str, body: str, recursive: bool = False) -> None:
 
 def load() -> None:
     """Fill :data:`ORACLE` from the topic modules."""
-    from panelspark.plans import oracle_evaluation, oracle_panel, oracle_tables  # noqa: F401
+    from panelspark.plans import oracle_evaluation, oracle_panel, oracle_store, oracle_tables  # noqa: F401

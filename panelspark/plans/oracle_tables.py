@@ -62,7 +62,7 @@ sql("model_comparison", "", "SELECT 'm' || s_suppkey AS model_id, 'ridge' AS mod
 LATEST = "SELECT symbol, max(timestamp) AS timestamp, arg_max(price, timestamp) AS price FROM marks GROUP BY symbol"
 sql("intraday_latest_marks", "marks", LATEST)
 sql("streaming_latest_marks", "marks", LATEST)
-sql("streaming_deduplicated_marks", "marks", "SELECT symbol, count(*) AS marks FROM (SELECT DISTINCT symbol, timestamp FROM marks) GROUP BY symbol")
+sql("streaming_deduplicated_marks", "marks", "SELECT symbol, date_trunc('hour', timestamp) AS timestamp, round(max(price), 6) AS price FROM marks GROUP BY 1, 2")
 BOOK = f"""lm AS ({LATEST}),
 bk AS (SELECT u.symbol, 10.0 AS shares, 200.0 + n * 5 AS entry_price, 2000.0 + n * 50 AS entry_value, 100.0 + n * 12 AS old_high, price
        FROM (SELECT symbol, CAST(right(symbol, 3) AS INTEGER) AS n FROM universe) u LEFT JOIN lm USING (symbol)),

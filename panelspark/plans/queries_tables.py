@@ -411,8 +411,11 @@ def streaming_latest_marks(i):
 
 @query("streaming_deduplicated_marks")
 def streaming_deduplicated_marks(i):
-    out = drained(i, monitor.deduplicated(mark_stream(i)).select("symbol", "timestamp", "price"), "dedup", "append")
-    return out.groupBy("symbol").agg(F.count("*").alias("marks"))
+    """Marks by the hour: the newest of an hour stays, its arrival being its price here."""
+    hourly = mark_stream(i).select("symbol", F.date_trunc("hour", "timestamp").alias("timestamp"), "price", F.col("price").alias("arrival"))
+    out = drained(i, monitor.deduplicated(hourly, "arrival"), "dedup", "update")
+    last = store.keep_latest(out, ["symbol", "timestamp"], F.col("__batch"))
+    return rounded(last.select("symbol", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "price"))
 
 
 @query("streaming_monitor_cycle")

@@ -28,9 +28,15 @@ def read_marks(spark: SparkSession, path: str, schema=MARK_SCHEMA, lateness: str
     return marks.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
 
 
-def deduplicated(marks: DataFrame) -> DataFrame:
-    """First arrival per (timestamp, symbol); state is dropped behind the watermark."""
-    return marks.dropDuplicatesWithinWatermark(["timestamp", "symbol"])
+def deduplicated(marks: DataFrame, arrival: str) -> DataFrame:
+    """Newest arrival per (timestamp, symbol), as the batch form keeps it; ``arrival`` orders arrivals.
+
+    On a stream use append mode (a mark comes out once, when the watermark has passed it) or update mode (again with each newer
+    arrival). State is dropped behind the watermark.
+    """
+    rest = [c for c in marks.columns if c not in ("timestamp", "symbol", arrival)]
+    row = F.max_by(F.struct(arrival, *rest), F.col(arrival)).alias("__row")
+    return marks.groupBy("timestamp", "symbol").agg(row).select("timestamp", "symbol", *[F.col("__row")[c].alias(c) for c in (arrival, *rest)])
 
 
 def latest_marks(marks: DataFrame) -> DataFrame:
