@@ -304,8 +304,12 @@ def decode(ids: list[list[int]], model) -> list[int]:
 
 def fit(pages: DataFrame, *, most: int = MAX_FIT):
     """Train on the template pages and on at most ``most`` pages of the input that have an <article> or <main> element."""
-    some = plain(pages, "page_id", "html").where(F.col("html").rlike("(?i)<(article|main)[ >]")).orderBy(F.xxhash64("html"), "page_id").select("html")
-    sampled = [labelled_by_element(r.html) for r in some.where(F.length("html") < 50_000).limit(most).collect()]
+    rows = plain(pages, "page_id", "html")
+    order = F.xxhash64("html", "page_id")
+    # a draw by hash first, so that tasks send few pages however many there are
+    drawn = rows.where(F.pmod(order, F.lit(1 << 30)) < min(1.0, 4 * most / max(1, rows.count())) * (1 << 30))
+    some = drawn.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") < 50_000)).orderBy(order, "page_id").select("html").limit(most)
+    sampled = [labelled_by_element(r.html) for r in some.collect()]
     return train([*template_pages(), *(x for x in sampled if x)])
 
 
