@@ -19,5 +19,8 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, *, most: int) ->
     Ids with more than one label count with the smaller. ``most`` bounds what is sent to the tasks and to the driver.
     """
     known = plain(labels, "doc_id", label).where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
-    picked = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
+    order = F.xxhash64("doc_id", F.lit(11))
+    # a draw by hash first, so that tasks send few rows to be ordered however many labels there are
+    drawn = known.where(F.pmod(order, F.lit(1 << 30)) < min(1.0, 4 * most / max(1, labels.count())) * (1 << 30))
+    picked = drawn.orderBy(order, "doc_id").limit(most)
     return plain(documents, "doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").dropDuplicates(["doc_id"]).select("text", "y")
