@@ -280,11 +280,10 @@ def _linked(members: DataFrame, rule: Rule) -> DataFrame:
 
 def _split(members: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame]:
     """Cells of regions that are too large for a task, and the links to their pivots."""
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("n_region"))
-    drawn = F.pmod(F.xxhash64("h1", "h2", F.lit(turn)), F.col("n_region")) < PIVOTS
-    pivots = (
-        members.join(sizes, "region").where(drawn).groupBy("region").agg(F.collect_set(F.struct("h1", "h2", "elements")).alias("pivots"))
-    )  # about PIVOTS sets of each region
+    # the member of smallest hash in each of PIVOTS buckets: at least one of every region, at most PIVOTS
+    drawn = F.xxhash64("h1", "h2", F.lit(turn))
+    chosen = members.groupBy("region", F.pmod(drawn, F.lit(PIVOTS))).agg(F.min(F.struct(drawn.alias("drawn"), "h1", "h2")).alias("m")).select("region", "m.h1", "m.h2")
+    pivots = members.join(chosen, ["region", "h1", "h2"]).groupBy("region").agg(F.collect_set(F.struct("h1", "h2", "elements")).alias("pivots"))
 
     def cells(batches):
         for batch in batches:
@@ -319,7 +318,8 @@ def _all_links(members: DataFrame, rule: Rule, region_elements: int, turns: int
             break
         before = rows
         links.append(_linked(members.join(large, "region", "left_anti"), rule))
-        members, found = _split(members.join(large, "region", "left_semi"), rule, turn)
+        # repeated rows are one member, also where pivots are drawn
+        members, found = _split(members.join(large, "region", "left_semi").dropDuplicates(["region", "h1", "h2"]), rule, turn)
         members = cut_lineage(members)
         links.append(found)
     links.append(_linked(members, rule))

@@ -61,6 +61,13 @@ def test_large_regions_split_by_pivots(spark):
     assert rows_of(jaccard.classes(docs, rule=Rule(4, 85), region_elements=200), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_large_regions_of_repeated_rows_keep_their_links(spark):
+    rows = [(d, " ".join(f"w{i}" for i in range(60 + d))) for d in range(4) for _ in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {tuple(r) for r in jaccard.classes(docs, rule=Rule(4, 85), region_elements=200).select("doc_id", "component_id").distinct().collect()}
+    assert found == {(d, 0) for d in range(4)}
+
+
 def test_deduplicate_keeps_one_of_each_class(spark, odd_documents):
     kept = rows_of(jaccard.deduplicate(odd_documents), "doc_id", "k1")
     assert [r[0] for r in kept] == [1, 1, 10, 3, 4, 5, 6, 8, None]
