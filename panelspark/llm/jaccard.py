@@ -4,7 +4,8 @@ The distance 1 - J of shingle sets is a metric. A region is a set of documents;
 the Voronoi cell of its nearest pivot, and also to each cell whose pivot is at most twice the radius farther away: by the triangle
 inequality both ends of any link then meet in a cell. Documents within the radius of a pivot are linked to it and so need no
 comparison with each other; of them a cell keeps only those that the triangle inequality lets reach one of its other documents.
-Cells are joined in the same way until they are small, and small ones pair by pair.
+Cells are joined in the same way until they are small, and small ones pair by pair. A region too large for a task that pivots do not
+part is dealt into blocks, and every two blocks meet in a task of their own.
 
 Unrelated texts all lie at distance 1 from each other and from any pivot, so pivots chosen from all documents cannot part them. The
 first regions therefore come from exact signatures. Each set is split by hash into so many classes that the sets of a link agree
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import bitmap
@@ -294,34 +295,60 @@ def _split(members: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFr
                 for q in np.flatnonzero(far <= far.min() + 2 * rule.radius + 1e-9):
                     p = pivots[q]
                     cell = hash((region, p["h1"], p["h2"], turn))
-                    out.append((cell, h1, h2, p["h1"] if linked[q] else None, elements, float(far[q]), p["h2"]))
-            cols = list(zip(*out)) if out else [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["region", "h1", "h2", "near", "elements", "far", "p2"])
+                    out.append((cell, h1, h2, p["h1"] if linked[q] else None, elements, float(far[q]), p["h2"], region))
+            cols = list(zip(*out)) if out else [()] * 8
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["region", "h1", "h2", "near", "elements", "far", "p2", "parent"])
 
-    dealt = cut_lineage(members.join(pivots, "region").select("region", "h1", "h2", "near", "elements", "pivots").mapInArrow(cells, MEMBER + ", far double, p2 long"))
+    dealt = cut_lineage(members.join(pivots, "region").select("region", "h1", "h2", "near", "elements", "pivots").mapInArrow(cells, MEMBER + ", far double, p2 long, parent long"))
     near = dealt.where("near is not null")
     links = near.select(F.struct("h1", "h2").alias("u"), F.struct(F.col("near").alias("h1"), F.col("p2").alias("h2")).alias("v")).where("u <> v")
     others = dealt.where("near is null").groupBy("region").agg(F.min("far").alias("least"))
     left = dealt.join(others, "region").where(F.col("near").isNull() | (F.col("far") >= F.col("least") - rule.radius - 1e-9))
-    return left.select("region", "h1", "h2", "near", "elements"), links
+    return left.select("parent", "region", "h1", "h2", "near", "elements"), links
+
+
+def _elements() -> Column:
+    """Elements of all sets of a group."""
+    return F.sum(F.octet_length("elements") / 8)
+
+
+def _blocks(members: DataFrame, region_elements: int) -> DataFrame:
+    """Members dealt into blocks of about half of what a task joins; every two blocks of a region are a region of their own."""
+    sizes = members.groupBy("region").agg(_elements().alias("n"))
+    count = F.when(F.col("n") <= region_elements, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / region_elements)).cast("long")
+    mine, other = F.pmod(F.xxhash64("h2", "h1"), F.col("count")), F.col("other")
+    dealt = members.join(sizes.select("region", count.alias("count")), "region").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    met = dealt.where((F.col("mine") != other) | (F.col("count") == 1))  # a block meets itself in any of its pairs
+    return met.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "h1", "h2", "near", "elements")
 
 
 def _all_links(members: DataFrame, rule: Rule, region_elements: int, turns: int = 12) -> DataFrame:
-    links, before = [], None
+    """Links of all regions; no task joins much more than ``region_elements``, a single larger set aside.
+
+    Blocks of a region of n elements hold about 2 n^2 / region_elements in all. Cells replace a region only where the sum of their
+    squares is smaller than its own, so each turn lowers what blocks would cost; every region is judged for itself.
+    """
+    links = []
     members = cut_lineage(members)
-    for turn in range(turns):
-        size = members.groupBy("region").agg(F.sum(F.octet_length("elements") / 8).alias("n")).where(F.col("n") > region_elements)
-        large = cut_lineage(size.select("region"))
-        rows = members.join(large, "region", "left_semi").count() if large.head(1) else 0
-        if not rows or (before is not None and rows > 0.9 * before):  # the last resort of cells that no pivot parts is one task each
+    for turn in range(turns + 1):
+        large = cut_lineage(members.groupBy("region").agg(_elements().alias("n")).where(F.col("n") > region_elements).select("region"))
+        if not large.head(1):
             break
-        before = rows
         links.append(_linked(members.join(large, "region", "left_anti"), rule))
         # repeated rows are one member, also where pivots are drawn
-        members, found = _split(members.join(large, "region", "left_semi").dropDuplicates(["region", "h1", "h2"]), rule, turn)
-        members = cut_lineage(members)
+        whole = cut_lineage(members.join(large, "region", "left_semi").dropDuplicates(["region", "h1", "h2"]))
+        if turn == turns:
+            members = _blocks(whole, region_elements)
+            break
+        cells, found = _split(whole, rule, turn)
+        cells = cut_lineage(cells)
         links.append(found)
+        after = cells.groupBy("parent", "region").agg(_elements().alias("n")).groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("after"))
+        before = whole.groupBy(F.col("region").alias("parent")).agg(_elements().alias("n"))
+        kept_whole = cut_lineage(before.join(after, "parent").where(F.col("after") > 0.9 * F.col("n") * F.col("n")).select("parent"))
+        links.append(_linked(_blocks(whole.join(kept_whole.withColumnRenamed("parent", "region"), "region", "left_semi"), region_elements), rule))
+        members = cut_lineage(cells.join(kept_whole, "parent", "left_anti").drop("parent"))
     links.append(_linked(members, rule))
     out = links[0]
     for more in links[1:]:

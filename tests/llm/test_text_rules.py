@@ -68,6 +68,29 @@ def test_large_regions_of_repeated_rows_keep_their_links(spark):
     assert found == {(d, 0) for d in range(4)}
 
 
+def test_regions_that_pivots_do_not_part_stay_bounded(spark, monkeypatch):
+    """Texts too far from each other to link and too near for pivots to part, some with a copy that links."""
+    rows = []
+    for d in range(60):
+        w = [f"w{i}" for i in range(200)]
+        for e in range(5):
+            w[(d * 37 + e * 41) % 200] = f"e{d}x{e}"
+        rows.append((d, " ".join(w)))
+        if d % 9 == 0:
+            rows.append((500 + d, " ".join(w[:-1])))
+    sizes, linked = [], jaccard._linked
+
+    def watched(members, rule):
+        sizes.extend(r.n for r in members.groupBy("region").agg(F.sum(F.octet_length("elements") / 8).alias("n")).collect())
+        return linked(members, rule)
+
+    monkeypatch.setattr(jaccard, "_linked", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(jaccard.classes(docs, rule=Rule(4, 85), region_elements=2500), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(((r[0], *x) for r, x in zip(rows, brute.jaccard_classes(rows, 4, 85))), key=repr)
+    assert max(sizes) < 2 * 2500
+
+
 def test_deduplicate_keeps_one_of_each_class(spark, odd_documents):
     kept = rows_of(jaccard.deduplicate(odd_documents), "doc_id", "k1")
     assert [r[0] for r in kept] == [1, 1, 10, 3, 4, 5, 6, 8, None]
