@@ -17,10 +17,20 @@ from panelspark.llm.rows import plain
 ROUNDS = 4  # each changes both parts
 KINDS = ("mail", "iban", "date", "ip", "ssn", "card", "phone")
 
+#: Characters of an IBAN after its four first, and the countries (codes run together) that have so many.
+IBAN_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DKFIFKFOGLNLSD", 15: "MKSI", 16: "ATBAEEKZLTLUMNXK", 17: "CHHRLILV", 18: "BGBHCRDEGBGEIEMERSVA", 19: "AEGIILIQOMSOTL", 20: "ADCZESMDPKROSASESKTNVG", 21: "LYPTST",
+    22: "ISTR", 23: "BIDJFRGRITMCMRSM", 24: "ALAZBYCYDOGTHNHULBNIPLSV", 25: "BREGPSQAUA", 26: "JOKWMUYE", 27: "MTSC", 28: "LC", 29: "RU",
+}
+_CODES = {n: "|".join(codes[i : i + 2] for i in range(0, len(codes), 2)) for n, codes in IBAN_LENGTHS.items()}
+_LISTED = "(?:" + "|".join(f"(?:{codes})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}" for n, codes in _CODES.items()) + ")(?![A-Za-z0-9])"
+#: Other codes have no known length: up to 30 characters, but not into a listed number.
+_UNLISTED = rf"(?!{'|'.join(_CODES.values())})[A-Z]{{2}}[0-9]{{2}}(?: ?(?!(?<![A-Za-z0-9]){_LISTED})[A-Z0-9]){{11,30}}(?![A-Za-z0-9])"
+
 #: Formats, tried in this order at each place of the text.
 PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_LISTED}|{_UNLISTED})",
     "date": r"(?<![0-9])(?:(?:19|20)[0-9]{2}([-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2})(?![0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",

@@ -59,3 +59,16 @@ def test_rows_and_columns_stay(spark, odd_documents, no_documents):
     assert out.columns == odd_documents.columns and out.count() == odd_documents.count()
     assert sorted(map(repr, out.select("k1", "text").collect())) == sorted(map(repr, odd_documents.select("k1", "text").collect()))
     assert pii.pseudonymise(no_documents, key="k").count() == 0
+
+
+def test_iban_before_capitals_and_other_numbers(spark):
+    """What follows a number, capitals, a second number or a broken one, does not keep it in clear."""
+    texts = ["DE89370400440532013000 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00 FR14 2004 1010 0505 0001 3M02 606", "ZZ12 ABCD EFGH 1234 DE89 3704 0044 0532 0130 00 A1", "GB82 WEST 1234 5698 7654 32 IBAN"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(docs, key="k").collect()}
+    assert [got[i].n_iban for i in range(4)] == [1, 2, 1, 1]
+    same = got[0].text.split(" ")[0]
+    assert iban(same) and same != "DE89370400440532013000" and got[0].text.endswith(" BIC COBADEFFXXX")
+    a, b = got[1].text[:27], got[1].text[28:]
+    assert iban(a) and iban(b) and a.replace(" ", "") == same and b.startswith("FR")
+    assert got[2].text == f"ZZ12 ABCD EFGH 1234 {a} A1" and iban(got[3].text[:27]) and got[3].text.endswith(" IBAN")
