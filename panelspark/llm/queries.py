@@ -113,3 +113,12 @@ def op9_main_text(spark, sf_dir):
     from panelspark.llm.extraction import extract
 
     return extract(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    """Every document rearranged for infilling, and rebuilt from the output."""
+    from panelspark.llm.middle import fill_in_middle, restored
+
+    both = restored(fill_in_middle(_table(spark, sf_dir, "documents")))
+    return both.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
