@@ -122,3 +122,11 @@ def op13_fill_in_middle(spark, sf_dir):
 
     both = restored(fill_in_middle(_table(spark, sf_dir, "documents")))
     return both.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query
+def op12_repeated_windows(spark, sf_dir):
+    """Every document without the words of 20-word windows that also start earlier."""
+    from panelspark.llm.substrings import deduplicate_substrings
+
+    return deduplicate_substrings(_table(spark, sf_dir, "documents"), width=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

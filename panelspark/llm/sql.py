@@ -93,3 +93,12 @@ p AS (SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
 FROM p"""
+
+ORACLE["op12_repeated_windows"] = f"""
+WITH d AS (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM d, unnest(range(1, len(w) - 18)) AS x(i)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM late, unnest(range(0, 20)) AS x(k) GROUP BY 1),
+each AS (SELECT d.doc_id, p, w[p] AS word FROM d LEFT JOIN gone USING (doc_id), unnest(range(1, len(w) + 1)) AS x(p) WHERE NOT coalesce(list_contains(places, p), false)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM each GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
