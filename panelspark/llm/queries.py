@@ -130,3 +130,21 @@ def op12_repeated_windows(spark, sf_dir):
     from panelspark.llm.substrings import deduplicate_substrings
 
     return deduplicate_substrings(_table(spark, sf_dir, "documents"), width=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Folder of the vocabularies of the registered query.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def op11_token_alignment(spark, sf_dir):
+    """Groups and links of two tokenizers' tokens of every document, and how common its links are in the whole corpus."""
+    from dataclasses import replace
+
+    from panelspark.llm.alignment import align, link_scores, pair_counts
+    from panelspark.session import cut_lineage
+
+    aligned = align(_table(spark, sf_dir, "documents"), byte_level=f"{TOKENIZERS}/byte_bpe_50k.json", sentence=f"{TOKENIZERS}/piece_bpe_32k.model")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    aligned = replace(aligned, rows=cut_lineage(aligned.rows.select("*", digest).drop("groups")))  # tokens are made once
+    return link_scores(aligned, pair_counts(aligned)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
