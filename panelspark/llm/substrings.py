@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm import wordhash as wh
-from panelspark.llm.rows import plain, row_key
+from panelspark.llm.rows import plain, row_key, text_key
 
 #: Rank of a null id: behind all others.
 LAST = (1 << 63) - 1
@@ -52,22 +52,34 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _salted(local: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """0 for rows that are counted, an odd number of their own for rows that are settled already."""
-    return np.where(local, own | 1, 0)
+def _place(key: np.ndarray, own: np.ndarray, settled: np.ndarray) -> np.ndarray:
+    """Where rows meet: those of one key together, settled ones each at a place of its own row."""
+    return np.where(settled, wh.scramble(key ^ wh.scramble(own.view(np.uint64))), key).view(np.int64)
+
+
+def _rank() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank")
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    return plain(documents, "doc_id", "text").select(*row_key(), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), "text")
+    """Every row with a 64-bit key of its id and text; the joins below shuffle this frame by the key, once."""
+    return plain(documents, "doc_id", "text").select(row_key()[0], "doc_id", "text")
+
+
+def _copies(documents: DataFrame) -> DataFrame:
+    """(k1) of rows whose whole text stands in a row with a smaller doc_id."""
+    each = plain(documents, "doc_id", "text").select(row_key()[0], _rank(), *text_key()).where("text is not null")
+    first = each.groupBy("t1", "t2").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").drop("most")
+    return each.join(first, ["t1", "t2"]).where("rank > least").select("k1").distinct()
 
 
 def stretches(documents: DataFrame, *, width: int) -> DataFrame:
-    """(k1, k2, start, n): stretches of windows of one row whose inner run is also in another row."""
-    inner = width // 2
+    """(k1, start, n): stretches of windows of one row whose inner run is also in another row."""
+    inner = max(1, width // 3)
 
     def runs(batches):
         for batch in batches:
-            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
+            k1 = batch.column("k1").to_numpy()
             for words in wh.groups(batch.column("text"), wh.BY_SPACE_CASED):
                 text, small = words.text, rolling(words.hash, inner)
                 n = len(words.hash) - width + 1
@@ -78,58 +90,59 @@ def stretches(documents: DataFrame, *, width: int) -> DataFrame:
                 begin = _firsts(at, text[inside], inside - np.arange(len(inside)))
                 if not len(begin):
                     continue
-                start, run, owner = inside[begin], small[at[begin]].view(np.int64), text[inside[begin]]
+                start, run, owner = inside[begin], small[at[begin]], text[inside[begin]]
                 order = np.argsort(run, kind="stable")  # texts stay in order
                 first = _firsts(run[order])
                 of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
                 low, high = owner[order][first], owner[order][np.append(first[1:], len(order)) - 1]
                 shared, leads = np.empty(len(run), bool), np.empty(len(run), bool)
                 shared[order], leads[order] = (low < high)[of], owner[order] == low[of]
-                row = words.first + owner
+                own = k1[words.first + owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(run), pa.array(_salted(shared & ~leads, k1[row])), pa.array(shared), pa.array(k1[row]), pa.array(k2[row]),
-                     pa.array((start - words.bounds[owner]).astype(np.int32)), pa.array(np.diff(np.append(begin, len(inside))).astype(np.int32))],
-                    ["run", "salt", "shared", "k1", "k2", "start", "n"])
+                    [pa.array(_place(run, own, shared & ~leads)), pa.array(own), pa.array((start - words.bounds[owner]).astype(np.int32)),
+                     pa.array(np.diff(np.append(begin, len(inside))).astype(np.int32)), pa.array(shared)], ["place", "k1", "start", "n", "shared"])
 
-    found = _rows(documents).mapInArrow(runs, "run long, salt long, shared boolean, k1 long, k2 long, start int, n int")
-    same = Window.partitionBy("run", "salt")
-    many = (F.min("k1").over(same) < F.max("k1").over(same)) | (F.min("k2").over(same) < F.max("k2").over(same))
-    return found.withColumn("many", many).where("shared or many").select("k1", "k2", "start", "n")
+    found = _rows(documents).select("k1", "text").mapInArrow(runs, "place long, k1 long, start int, n int, shared boolean")
+    same = Window.partitionBy("place")
+    return found.withColumn("many", F.min("k1").over(same) < F.max("k1").over(same)).where("shared or many").select("k1", "start", "n")
 
 
 def removed_windows(documents: DataFrame, *, width: int) -> DataFrame:
-    """(k1, k2, starts): first windows of their hash in a row that a smaller doc_id holds too; further ones of the row are left out."""
-    listed = stretches(documents, width=width).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("some"))
-    joined = _rows(documents).join(listed, ["k1", "k2"]).select("k1", "k2", "rank", "text", F.col("some.start").alias("start"), F.col("some.n").alias("n"))
+    """(k1, copy, starts): rows whose text a smaller doc_id has, and first windows of their hash in a row that a smaller doc_id holds too.
+
+    Further windows of the same hash in a row are left out.
+    """
+    listed = stretches(documents, width=width).groupBy("k1").agg(F.collect_list(F.struct("start", "n")).alias("some"))
+    # copies of a text have no windows that its first row has not
+    joined = _rows(documents).join(listed.join(_copies(documents), "k1", "left_anti"), "k1").select("k1", _rank(), "text", F.col("some.start").alias("start"), F.col("some.n").alias("n"))
 
     def windows(batches):
         for batch in batches:
-            k1, k2, rank = (batch.column(c).to_numpy() for c in ("k1", "k2", "rank"))
+            k1, rank = (batch.column(c).to_numpy() for c in ("k1", "rank"))
             cuts, begin, count = batch.column("start").offsets.to_numpy(), batch.column("start").flatten().to_numpy(), batch.column("n").flatten().to_numpy()
             cuts = cuts - cuts[0]
             for words in wh.groups(batch.column("text"), wh.BY_SPACE_CASED):
-                lo, hi = cuts[words.first], cuts[words.first + len(words.counts)]
-                owner = np.repeat(np.arange(len(words.counts)), np.diff(cuts[words.first : words.first + len(words.counts) + 1]))
-                base, n = words.bounds[owner] + begin[lo:hi], count[lo:hi]
+                some = cuts[words.first : words.first + len(words.counts) + 1]
+                owner = np.repeat(np.arange(len(words.counts)), np.diff(some))
+                base, n = words.bounds[owner] + begin[some[0] : some[-1]], count[some[0] : some[-1]]
                 owner = np.repeat(owner, n)
                 at = np.repeat(base - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
-                key = rolling(words.hash, width)[at].view(np.int64)
+                key = rolling(words.hash, width)[at]
                 row = words.first + owner
-                order = np.lexsort((at, rank[row], key))
+                order = np.lexsort((at, row, rank[row], key))
                 key, row, at, owner = key[order], row[order], at[order], owner[order]
                 one = _firsts(key, row)  # the first window of a hash in a row
                 key, row, at, owner = key[one], row[one], at[one], owner[one]
                 first = _firsts(key)
-                least = np.repeat(rank[row[first]], np.diff(np.append(first, len(key))))
-                settled = rank[row] > least
+                settled = rank[row] > np.repeat(rank[row[first]], np.diff(np.append(first, len(key))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(_salted(settled, k1[row])), pa.array(settled), pa.array(rank[row]), pa.array(k1[row]), pa.array(k2[row]), pa.array((at - words.bounds[owner]).astype(np.int32))],
-                    ["key", "salt", "settled", "rank", "k1", "k2", "start"])
+                    [pa.array(_place(key, k1[row], settled)), pa.array(rank[row]), pa.array(k1[row]), pa.array((at - words.bounds[owner]).astype(np.int32)), pa.array(settled)],
+                    ["place", "rank", "k1", "start", "settled"])
 
-    counted = joined.mapInArrow(windows, "key long, salt long, settled boolean, rank long, k1 long, k2 long, start int")
-    least = F.min("rank").over(Window.partitionBy("key", "salt"))
-    late = counted.withColumn("least", least).where("settled or rank > least")
-    return late.groupBy("k1", "k2").agg(F.collect_list("start").alias("starts"))
+    counted = joined.mapInArrow(windows, "place long, rank long, k1 long, start int, settled boolean")
+    late = counted.withColumn("least", F.min("rank").over(Window.partitionBy("place"))).where("settled or rank > least")
+    starts = late.groupBy("k1").agg(F.collect_list("start").alias("starts"))
+    return starts.select("k1", F.lit(False).alias("copy"), "starts").unionByName(_copies(documents).select("k1", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts")))
 
 
 def deduplicate_substrings(documents: DataFrame, *, width: int = 20) -> DataFrame:
@@ -138,26 +151,25 @@ def deduplicate_substrings(documents: DataFrame, *, width: int = 20) -> DataFram
     Words are separated by white space and compared as they are. A window is removed if its words also start earlier in the same
     text or in a document with a smaller doc_id; windows are judged on the input. Null and empty texts and texts shorter than
     ``width`` lose nothing. Rows with one doc_id do not precede each other, so repeated rows get equal results; null ids come last.
-    Windows are told apart by 64-bit hashes.
+    Windows and rows are told apart by 64-bit hashes.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     found = removed_windows(documents, width=width)
-    rows = plain(documents, "doc_id", "text").select(*row_key(), "doc_id", "text").join(found, ["k1", "k2"], "left")
     none = F.array().cast("array<int>")
-    rows = rows.select("doc_id", "text", F.coalesce("starts", none).alias("starts"))
+    rows = _rows(documents).join(found, "k1", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("starts", none).alias("starts"))
 
     def kept(batches):
         for batch in batches:
             cuts, starts = batch.column("starts").offsets.to_numpy(), batch.column("starts").flatten().to_numpy()
-            cuts = cuts - cuts[0]
+            cuts, copy = cuts - cuts[0], batch.column("copy").to_numpy(zero_copy_only=False)
             for words in wh.groups(batch.column("text"), wh.BY_SPACE_CASED):
-                yield _shortened(batch.column("doc_id").slice(words.first, len(words.counts)), words, cuts, starts, width)
+                yield _shortened(batch.column("doc_id").slice(words.first, len(words.counts)), words, copy, cuts, starts, width)
 
     return rows.mapInArrow(kept, f"doc_id {kind}, n_words long, n_removed long, spans {SPAN}, kept string")
 
 
-def _shortened(ids, words: wh.Words, cuts: np.ndarray, starts: np.ndarray, width: int) -> pa.RecordBatch:
-    """Results of one group of texts; ``starts`` from cuts[i] to cuts[i + 1] are the i-th text's removed windows."""
+def _shortened(ids, words: wh.Words, copy: np.ndarray, cuts: np.ndarray, starts: np.ndarray, width: int) -> pa.RecordBatch:
+    """Results of one group of texts; ``starts`` from cuts[i] to cuts[i + 1] are the i-th text's removed windows, and a copy loses all its windows."""
     bounds, text, n = words.bounds, words.text, len(words.hash)
     some = cuts[words.first : words.first + len(words.counts) + 1]
     given = np.repeat(bounds[:-1], np.diff(some)) + starts[some[0] : some[-1]]
@@ -170,7 +182,8 @@ def _shortened(ids, words: wh.Words, cuts: np.ndarray, starts: np.ndarray, width
     for at in (given, order[later]):
         np.add.at(change, at, 1)
         np.add.at(change, at + width, -1)
-    gone = np.cumsum(change[:n]) > 0
+    whole = copy[words.first : words.first + len(words.counts)] & (words.counts >= width)
+    gone = (np.cumsum(change[:n]) > 0) | whole[text]
     edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
     if len(bounds) > 2:  # an interval ends where its text ends
         inner = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < n)]
