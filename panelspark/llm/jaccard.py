@@ -4,8 +4,8 @@ The distance 1 - J of shingle sets is a metric. A region is a set of documents;
 the Voronoi cell of its nearest pivot, and also to each cell whose pivot is at most twice the radius farther away: by the triangle
 inequality both ends of any link then meet in a cell. Documents within the radius of a pivot are linked to it and so need no
 comparison with each other; of them a cell keeps only those that the triangle inequality lets reach one of its other documents.
-Cells are joined in the same way until they are small, and small ones pair by pair. A region too large for a task that pivots do not
-part is dealt into blocks, and every two blocks meet in a task of their own.
+Cells are joined in the same way while that is clearly less work; other regions by inverted lists of their sets' rarest elements.
+A region too large for a task that pivots do not part is dealt into blocks, and every two blocks meet in a task of their own.
 
 Unrelated texts all lie at distance 1 from each other and from any pivot, so pivots chosen from all documents cannot part them. The
 first regions therefore come from exact signatures. Each set is split by hash into so many classes that the sets of a link agree
@@ -29,8 +29,10 @@ from panelspark.session import cut_lineage
 
 #: Elements of all sets of a region that one task joins.
 REGION_ELEMENTS = 4_000_000
+#: Elements of all sets of a region times its sets: what its pairs may take in one task.
+REGION_WORK = 1e10
 PIVOTS = 8
-#: Regions of so many documents are joined pair by pair.
+#: Regions of so few documents are not parted further.
 PAIRS = 24
 MEMBER = "region long, h1 long, h2 long, near long, elements binary"
 
@@ -166,26 +168,35 @@ def _members(documents: DataFrame, described: DataFrame, found: DataFrame, rule:
 
 
 class _Sets:
-    """Sets of one region in a task; links are kept as a union-find forest."""
+    """Sets of one region in a task; the classes that links make are kept as labels."""
 
     def __init__(self, sets: list[np.ndarray], near: list, rule: Rule):
         self.sets, self.rule = sets, rule
         self.size = np.array([len(s) for s in sets], np.int64)
-        self.up = list(range(len(sets)))
+        self.label = np.arange(len(sets))
+        self.members = {i: [i] for i in range(len(sets))}
+        self.compared = 0
         first: dict = {}
         for i, p in enumerate(near):  # sets that are known to be linked to the same pivot
             if p is not None:
                 self.union(first.setdefault(p, i), i)
 
     def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+        """The smallest set of the class of set i."""
+        return self.members[self.label[i]][0]
 
     def union(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
+        a, b = self.label[i], self.label[j]
+        if a != b:
+            if len(self.members[a]) < len(self.members[b]):
+                a, b = b, a
+            moved = self.members.pop(b)
+            self.label[moved] = a
+            low = min(self.members[a][0], moved[0])
+            self.members[a] += moved
+            if self.members[a][0] != low:
+                at = self.members[a].index(low)
+                self.members[a][0], self.members[a][at] = low, self.members[a][0]
 
     def common(self, i: int, others: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of set i with others."""
@@ -193,6 +204,7 @@ class _Sets:
         values = np.concatenate([self.sets[j] for j in others])
         at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
         starts = np.concatenate(([0], np.cumsum(self.size[others])[:-1]))
+        self.compared += len(others)
         return np.add.reduceat((mine[at] == values).astype(np.int64), starts)
 
     def distance(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,29 +212,59 @@ class _Sets:
         union = self.size[i] + self.size[others] - both
         return 1 - both / union, self.rule.links(both, self.size[i], self.size[others])
 
-    def pairwise(self, ids: np.ndarray) -> None:
-        for a in range(len(ids) - 1):
-            i = ids[a]
-            rest = ids[a + 1 :]
-            n = self.size[rest]
-            fits = (100 * np.minimum(n, self.size[i]) >= self.rule.percent * np.maximum(n, self.size[i]))
-            rest = np.array([j for j in rest[fits] if self.root(j) != self.root(i)], np.int64)
-            if len(rest):
-                for j in rest[self.distance(i, rest)[1]]:
+    def settle(self, i: int, others: np.ndarray) -> None:
+        """Link set i with those of ``others`` it must be compared with; sets of its own class need no comparison."""
+        some = 4
+        while len(others):
+            others = others[self.label[others] != self.label[i]]
+            now, others = others[:some], others[some:]
+            if len(now):
+                for j in now[self.rule.links(self.common(i, now), self.size[i], self.size[now])]:
                     self.union(i, j)
+            some *= 2
+
+    def by_prefix(self, ids: np.ndarray) -> None:
+        """Join a region by an inverted list of prefixes.
+
+        Elements are ordered by rarity in the region. Two linked sets share one of their rarest (100 - percent)% (and one more), so
+        a set is compared only with sets listed under those, of fitting size and not yet of its class.
+        """
+        ids = ids[np.argsort(self.size[ids], kind="stable")]
+        n = self.size[ids]
+        place = np.repeat(np.arange(len(ids)), n)
+        _, token, count = np.unique(np.concatenate([self.sets[i] for i in ids]), return_inverse=True, return_counts=True)
+        order = np.lexsort((token, count[token], place))
+        token = token[order]
+        ends = np.cumsum(n)
+        kept = n + (-self.rule.percent * n // 100) + 1  # n - ceil(percent n / 100) + 1
+        inside = np.arange(len(token)) - np.repeat(ends - n, n) < np.repeat(kept, n)
+        token, place = token[inside], place[inside]
+        listed = np.lexsort((place, token))
+        lists, begin = place[listed], np.searchsorted(token[listed], np.arange(len(count) + 1))
+        at = np.empty(len(token), np.int64)
+        at[listed] = np.arange(len(token))  # of every prefix token, its own place in the lists
+        starts = np.searchsorted(place, np.arange(len(ids) + 1))
+        small = -(-self.rule.percent * n // 100)  # a linked set has at least so many elements
+        for k in range(1, len(ids)):
+            mine = np.arange(starts[k], starts[k + 1])
+            before = [lists[begin[token[x]] : at[x]] for x in mine if at[x] > begin[token[x]]]
+            if before:
+                found = np.unique(np.concatenate(before)) if len(before) > 1 else before[0]
+                self.settle(ids[k], ids[found[n[found] >= small[k]]])
 
     def join(self, ids: np.ndarray) -> None:
+        """Regions are joined by their cells where these are clearly less work, else by prefixes."""
         todo = [ids]
         while todo:
             ids = todo.pop()
-            if len(ids) <= PAIRS:
-                self.pairwise(ids)
+            if len(ids) < 2 or (self.label[ids] == self.label[ids[0]]).all():
                 continue
-            cells = list(self.cells(ids, ids[np.linspace(0, len(ids) - 1, PIVOTS).astype(np.int64)]))
-            if max(map(len, cells), default=0) > 0.9 * len(ids):  # the pivots part nothing
-                self.pairwise(ids)
-            else:
-                todo.extend(cells)
+            if len(ids) > PAIRS:
+                cells = list(self.cells(ids, ids[np.linspace(0, len(ids) - 1, PIVOTS).astype(np.int64)]))
+                if sum(len(c) ** 2 for c in cells) <= 0.5 * len(ids) ** 2:
+                    todo.extend(cells)
+                    continue
+            self.by_prefix(ids)
 
     def cells(self, ids: np.ndarray, pivots):
         """Links to the pivots are made at once; what is left to compare, by cell."""
@@ -279,28 +321,43 @@ def _linked(members: DataFrame, rule: Rule) -> DataFrame:
     return found.select(F.struct(F.col("u1").alias("h1"), F.col("u2").alias("h2")).alias("u"), F.struct(F.col("v1").alias("h1"), F.col("v2").alias("h2")).alias("v"))
 
 
-def _split(members: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Cells of regions that are too large for a task, and the links to their pivots."""
+def _split(members: DataFrame, rule: Rule, turn: int, region_elements: int) -> tuple[DataFrame, DataFrame]:
+    """Cells of regions that are too large for a task, and the links to their pivots.
+
+    A region is dealt over as many tasks as it is too large; its few pivots go to each of them, ahead of the members.
+    """
     # the member of smallest hash in each of PIVOTS buckets: at least one of every region, at most PIVOTS
     drawn = F.xxhash64("h1", "h2", F.lit(turn))
     chosen = members.groupBy("region", F.pmod(drawn, F.lit(PIVOTS))).agg(F.min(F.struct(drawn.alias("drawn"), "h1", "h2")).alias("m")).select("region", "m.h1", "m.h2")
-    pivots = members.join(chosen, ["region", "h1", "h2"]).groupBy("region").agg(F.collect_set(F.struct("h1", "h2", "elements")).alias("pivots"))
+    parts = members.groupBy("region").agg(F.greatest(F.lit(1), F.ceil(_elements() / region_elements)).cast("int").alias("parts"))
+    whole = members.join(parts, "region")
+    ahead = whole.join(chosen, ["region", "h1", "h2"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = (
+        whole.withColumn("part", F.pmod(F.xxhash64("h2", "h1"), F.col("parts")).cast("int")).withColumn("member", F.lit(1))
+        .unionByName(ahead.withColumn("member", F.lit(0))).select("region", "part", "member", "h1", "h2", "elements")
+        .repartition("region", "part").sortWithinPartitions("region", "part", "member", "h1", "h2")
+    )
 
     def cells(batches):
+        current, pivots = None, []
         for batch in batches:
             out = []
-            for region, h1, h2, _, elements, pivots in zip(*(c.to_pylist() for c in batch.columns)):
-                sets = _Sets([np.frombuffer(x, np.uint64) for x in (elements, *(p["elements"] for p in pivots))], [], rule)
+            for region, part, member, h1, h2, elements in zip(*(c.to_pylist() for c in batch.columns)):
+                if (region, part) != current:
+                    current, pivots = (region, part), []
+                if not member:
+                    pivots.append((h1, h2, np.frombuffer(elements, np.uint64)))
+                    continue
+                sets = _Sets([np.frombuffer(elements, np.uint64), *(p[2] for p in pivots)], [], rule)
                 far, linked = sets.distance(0, np.arange(1, len(pivots) + 1))
                 for q in np.flatnonzero(far <= far.min() + 2 * rule.radius + 1e-9):
-                    p = pivots[q]
-                    cell = hash((region, p["h1"], p["h2"], turn))
-                    out.append((cell, h1, h2, p["h1"] if linked[q] else None, elements, float(far[q]), p["h2"], region))
+                    p1, p2, _ = pivots[q]
+                    out.append((hash((region, p1, p2, turn)), h1, h2, p1 if linked[q] else None, elements, float(far[q]), p2, region))
             cols = list(zip(*out)) if out else [()] * 8
             kinds = [pa.int64()] * 4 + [pa.binary(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["region", "h1", "h2", "near", "elements", "far", "p2", "parent"])
 
-    dealt = cut_lineage(members.join(pivots, "region").select("region", "h1", "h2", "near", "elements", "pivots").mapInArrow(cells, MEMBER + ", far double, p2 long, parent long"))
+    dealt = cut_lineage(dealt.mapInArrow(cells, MEMBER + ", far double, p2 long, parent long"))
     near = dealt.where("near is not null")
     links = near.select(F.struct("h1", "h2").alias("u"), F.struct(F.col("near").alias("h1"), F.col("p2").alias("h2")).alias("v")).where("u <> v")
     others = dealt.where("near is null").groupBy("region").agg(F.min("far").alias("least"))
@@ -313,18 +370,24 @@ def _elements() -> Column:
     return F.sum(F.octet_length("elements") / 8)
 
 
-def _blocks(members: DataFrame, region_elements: int) -> DataFrame:
+def _work() -> Column:
+    """What comparing all pairs of a region would take at most, in elements."""
+    return _elements() * F.count(F.lit(1))
+
+
+def _blocks(members: DataFrame, region_elements: int, region_work: float) -> DataFrame:
     """Members dealt into blocks of about half of what a task joins; every two blocks of a region are a region of their own."""
-    sizes = members.groupBy("region").agg(_elements().alias("n"))
-    count = F.when(F.col("n") <= region_elements, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / region_elements)).cast("long")
+    sizes = members.groupBy("region").agg(_elements().alias("n"), _work().alias("work"))
+    blocks = F.greatest(F.ceil(2 * F.col("n") / region_elements), F.ceil(2 * F.sqrt(F.col("work") / region_work)))
+    count = F.when((F.col("n") <= region_elements) & (F.col("work") <= region_work), F.lit(1)).otherwise(blocks).cast("long")
     mine, other = F.pmod(F.xxhash64("h2", "h1"), F.col("count")), F.col("other")
     dealt = members.join(sizes.select("region", count.alias("count")), "region").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
     met = dealt.where((F.col("mine") != other) | (F.col("count") == 1))  # a block meets itself in any of its pairs
     return met.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "h1", "h2", "near", "elements")
 
 
-def _all_links(members: DataFrame, rule: Rule, region_elements: int, turns: int = 12) -> DataFrame:
-    """Links of all regions; no task joins much more than ``region_elements``, a single larger set aside.
+def _all_links(members: DataFrame, rule: Rule, region_elements: int, region_work: float, turns: int = 12) -> DataFrame:
+    """Links of all regions; no task joins much more than ``region_elements`` or ``region_work``, a single larger set aside.
 
     Blocks of a region of n elements hold about 2 n^2 / region_elements in all. Cells replace a region only where the sum of their
     squares is smaller than its own, so each turn lowers what blocks would cost; every region is judged for itself.
@@ -332,22 +395,24 @@ def _all_links(members: DataFrame, rule: Rule, region_elements: int, turns: int
     links = []
     members = cut_lineage(members)
     for turn in range(turns + 1):
-        large = cut_lineage(members.groupBy("region").agg(_elements().alias("n")).where(F.col("n") > region_elements).select("region"))
+        sizes = members.groupBy("region").agg(_elements().alias("n"), _work().alias("work"))
+        large = cut_lineage(sizes.where((F.col("n") > region_elements) | (F.col("work") > region_work)).select("region"))
         if not large.head(1):
             break
         links.append(_linked(members.join(large, "region", "left_anti"), rule))
         # repeated rows are one member, also where pivots are drawn
         whole = cut_lineage(members.join(large, "region", "left_semi").dropDuplicates(["region", "h1", "h2"]))
         if turn == turns:
-            members = _blocks(whole, region_elements)
+            members = _blocks(whole, region_elements, region_work)
             break
-        cells, found = _split(whole, rule, turn)
+        cells, found = _split(whole, rule, turn, region_elements)
         cells = cut_lineage(cells)
         links.append(found)
         after = cells.groupBy("parent", "region").agg(_elements().alias("n")).groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("after"))
         before = whole.groupBy(F.col("region").alias("parent")).agg(_elements().alias("n"))
         kept_whole = cut_lineage(before.join(after, "parent").where(F.col("after") > 0.9 * F.col("n") * F.col("n")).select("parent"))
-        links.append(_linked(_blocks(whole.join(kept_whole.withColumnRenamed("parent", "region"), "region", "left_semi"), region_elements), rule))
+        stay = whole.join(kept_whole.withColumnRenamed("parent", "region"), "region", "left_semi")
+        links.append(_linked(_blocks(stay, region_elements, region_work), rule))
         members = cut_lineage(cells.join(kept_whole, "parent", "left_anti").drop("parent"))
     links.append(_linked(members, rule))
     out = links[0]
@@ -356,7 +421,7 @@ def _all_links(members: DataFrame, rule: Rule, region_elements: int, turns: int
     return out
 
 
-def classes(documents: DataFrame, *, rule: Rule = Rule(), region_elements: int = REGION_ELEMENTS, bits: int = bitmap.BITS) -> DataFrame:
+def classes(documents: DataFrame, *, rule: Rule = Rule(), region_elements: int = REGION_ELEMENTS, region_work: float = REGION_WORK, bits: int = bitmap.BITS) -> DataFrame:
     """One row per document: k1, k2, doc_id, n_shingles, root and component_id, the smallest doc_id it reaches by links, its own included.
 
     ``root`` names the class also where ids repeat; it is null without shingles.
@@ -365,7 +430,7 @@ def classes(documents: DataFrame, *, rule: Rule = Rule(), region_elements: int =
     """
     described = cut_lineage(_described(documents, rule))
     found = cut_lineage(regions(documents, rule))
-    links = _all_links(_members(documents, described, found, rule, bits), rule, region_elements)
+    links = _all_links(_members(documents, described, found, rule, bits), rule, region_elements, region_work)
     roots = components(links)
     named = described.where("h1 is not null").groupBy(F.struct("h1", "h2").alias("node")).agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     named = named.select("node", F.coalesce("root", "node").alias("root"), "least")
