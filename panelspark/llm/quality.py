@@ -1,8 +1,8 @@
 """Quality rules: word counts and repetition of each text, and cross-document line frequency.
 
 Lines are normalised and hashed; a line that too many documents of one host carry is boilerplate and is removed, and a document
-that keeps too few words without such lines is rejected. Documents that carry a line between the same neighbouring lines count
-once: exact and near copies are one document for this purpose, so a group of copies does not turn its own text into boilerplate.
+that keeps too few words without such lines is rejected. Documents of a host with the same set of lines are one document on both
+sides of the share, so a group of copies does not turn its own text into boilerplate.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.rows import packed, plain, row_key, unpacked, words
+from panelspark.llm.rows import packed, plain, unpacked, words
+from panelspark.session import cut_lineage
 
 RUN = 8
 
@@ -55,26 +56,29 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.array_join(words(line), " ")))
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """Lines with a word: keys of the document, hash of the host, of the line and of its two neighbours, and its number of words."""
-    t = F.coalesce(F.col("text"), F.lit(""))
+def _keys() -> list[Column]:
+    """Two 64-bit keys of a row's id, text and host; repeated rows share them, and every decision."""
+    return [F.xxhash64("doc_id", "text", "source").alias("k1"), F.xxhash64("text", "source", "doc_id", F.lit(7)).alias("k2")]
+
+
+def _read(documents: DataFrame) -> DataFrame:
+    """One row per document, written once: its keys, measures, host, lines with a word (hash and number of words) and a key of their set."""
+    t = F.coalesce("text", F.lit(""))
     kept = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    each = let(kept, lambda ls: let(F.transform(ls, _line_hash), lambda hs: F.transform(ls, lambda x, i: F.struct(
-        F.get(hs, i).alias("line"), F.xxhash64(F.get(hs, i - 1), F.lit("|"), F.get(hs, i + 1)).alias("between"), F.size(words(x)).alias("n_words")))))
-    return plain(documents, "doc_id", "text", "source").select(*row_key(), F.xxhash64("source").alias("host"), F.explode(each).alias("x")).select("k1", "k2", "host", "x.*")
+    lines = F.transform(kept, lambda x: F.struct(_line_hash(x).alias("line"), F.size(words(x)).alias("n_words")))
+    rows = plain(documents, "doc_id", "text", "source").select(*_keys(), "doc_id", F.xxhash64("source").alias("host"), text_measures().alias("m"), lines.alias("lines"))
+    return cut_lineage(rows.withColumn("content", F.xxhash64(F.array_sort(F.array_distinct("lines.line")))))
 
 
-def boilerplate(documents: DataFrame, *, min_documents: int, max_share: float) -> DataFrame:
-    """(host, line) of the lines in at least ``min_documents`` distinct documents of a host and over ``max_share`` of its rows."""
-    hosts = plain(documents, "source").groupBy(F.xxhash64("source").alias("host")).agg(F.count(F.lit(1)).alias("n_host"))
-    carried = _lines(documents).select("host", "line", "between").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    return carried.where(F.col("n") >= min_documents).join(hosts, "host").where(F.col("n") > F.col("n_host") * max_share).select("host", "line")
+def _each_line(read: DataFrame) -> DataFrame:
+    return read.select("k1", "k2", "host", "content", F.explode("lines").alias("x")).select("k1", "k2", "host", "content", "x.*")
 
 
-def _removed(documents: DataFrame, **limits) -> DataFrame:
-    """Per document (k1, k2) with boilerplate: the hashes of its boilerplate lines and the words in them."""
-    lost = _lines(documents).join(boilerplate(documents, **limits), ["host", "line"])
-    return lost.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"), F.sum("n_words").alias("n_gone"), F.count(F.lit(1)).alias("n_lines_gone"))
+def boilerplate(read: DataFrame, *, min_documents: int, max_share: float) -> DataFrame:
+    """(host, line) of the lines in at least ``min_documents`` distinct documents of a host and over ``max_share`` of its distinct documents."""
+    hosts = read.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    carried = _each_line(read).select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    return carried.where(F.col("n") >= min_documents).join(hosts, "host").where(F.col("n") > F.col("n_host") * max_share).select("host", "line")
 
 
 def judge(documents: DataFrame, *, min_words: int = 20, max_repeat_percent: int = 30, min_documents: int = 20, max_share: float = 0.1) -> DataFrame:
@@ -82,13 +86,16 @@ def judge(documents: DataFrame, *, min_words: int = 20, max_repeat_percent: int
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of them in repeated runs. ``kept``: not
     failed, and at least ``min_words`` words remain without the lines above the limits of :func:`boilerplate`.
-    Null and empty texts fail; a null host is a host of its own; repeated rows each count for their host and get equal verdicts.
+    Null and empty texts fail; a null host is a host of its own. Repeated rows are one document of their host and get equal
+    verdicts; the same text in two hosts is judged by each host's own lines.
     """
-    measured = plain(documents, "doc_id", "text").select(*row_key(), "doc_id", text_measures().alias("m")).select("k1", "k2", "doc_id", "m.*")
+    read = _read(documents)
+    lost = _each_line(read).join(boilerplate(read, min_documents=min_documents, max_share=max_share), ["host", "line"])
+    found = lost.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"), F.sum("n_words").alias("n_gone"))
     # repeated rows share their keys and their lines are in one sum: divide it among them
-    found = _removed(documents, min_documents=min_documents, max_share=max_share).select("k1", "k2", "gone", "n_gone")
-    copies = measured.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_rows"))
+    copies = read.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_rows"))
     found = found.join(copies, ["k1", "k2"]).select("k1", "k2", "gone", (F.col("n_gone") / F.col("n_rows")).cast("long").alias("n_gone"))
+    measured = read.select("k1", "k2", "doc_id", "m.*")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("n_gone", F.lit(0))
     return measured.join(found, ["k1", "k2"], "left").select(
@@ -105,7 +112,7 @@ def clean(documents: DataFrame, **settings) -> DataFrame:
     good = judge(documents, **settings).where("kept").select("k1", "k2", "gone").dropDuplicates(["k1", "k2"])
     text = F.col("row.text")
     trimmed = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("gone"), _line_hash(x))), "\n")
-    rows = packed(documents, *row_key()).join(good, ["k1", "k2"])
+    rows = packed(documents, *_keys()).join(good, ["k1", "k2"])
     changed = {"text": F.when(F.col("gone").isNull(), text).otherwise(trimmed)}
     if "n_chars" in documents.columns:
         changed["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(trimmed).cast(documents.schema["n_chars"].dataType))

@@ -12,15 +12,14 @@ from panelspark.llm.mixing import size_of
 
 def line_rule(rows):
     """Plain cross-document line frequency: rows (doc_id, text, source) to {doc_id: text or None}."""
-    between, hosts = {}, {}
+    carriers, hosts = {}, {}
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
-    split = {d: [x for x in (t or "").split("\n") if brute.SPACED.search(x)] for d, t, _ in rows}
-    for d, _, s in rows:
-        hosts[s] = hosts.get(s, 0) + 1
-        names = [norm(x) for x in split[d]]
-        for i, x in enumerate(names):
-            between.setdefault((s, x), set()).add((names[i - 1] if i else None, names[i + 1] if i + 1 < len(names) else None))
-    gone = {k for k, v in between.items() if len(v) >= 20 and len(v) > 0.1 * hosts[k[0]]}
+    for _, t, s in rows:
+        names = frozenset(norm(x) for x in (t or "").split("\n") if brute.SPACED.search(x))
+        hosts.setdefault(s, set()).add(names)
+        for x in names:
+            carriers.setdefault((s, x), set()).add(names)
+    gone = {k for k, v in carriers.items() if len(v) >= 20 and len(v) > 0.1 * len(hosts[k[0]])}
     out = {}
     for d, t, s in rows:
         kept = [x for x in (t or "").split("\n") if (s, norm(x)) not in gone]

@@ -1,9 +1,11 @@
 """Quality rules, Jaccard classes, decontamination and mixing against their plain versions."""
 
 import brute
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelspark.llm import contamination, jaccard, mixing, quality
+from panelspark.llm import wordhash as wh
 from panelspark.llm.jaccard import Rule
 
 
@@ -35,6 +37,38 @@ def test_line_frequency_rejects_boilerplate_not_copies(spark):
     assert cleaned[999].split("\n")[-1] == body[110] and 0 not in cleaned and cleaned[205].endswith(" 5")
 
 
+def judged(spark, rows):
+    return {(r.doc_id, r.n_words): (r.n_kept_words, r.kept) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+
+
+def test_every_line_of_a_menu_is_found(spark):
+    menu = ["home and news", "about us", "contact and imprint", "all rights reserved"]
+    rows = [(d, "\n".join([*menu, f"own {d} " + " ".join(f"w{d}x{i}" for i in range(25))]), "h") for d in range(60)]
+    assert set(judged(spark, rows).values()) == {(27, True)}
+
+
+def test_a_line_repeated_by_one_document_is_not_boilerplate(spark):
+    again = "the same line of eight words comes here"
+    rows = [(0, "\n".join(f"{again}\nown {i} line" for i in range(25)), "h")] + [(d, " ".join(f"w{d}x{i}" for i in range(30)), "h") for d in range(1, 59)]
+    assert judged(spark, rows)[0, 25 * 8 + 25 * 3][0] == 25 * 8 + 25 * 3
+
+
+def test_one_row_in_two_hosts(spark):
+    line = "a line that all of this host have"
+    rows = [(d, f"{line}\nrest {d} " + " ".join(f"w{d}x{i}" for i in range(30)), "h") for d in range(40)]
+    rows += [(100 + d, " ".join(f"v{d}x{i}" for i in range(30)), "other") for d in range(40)] + [(5, rows[5][1], "other")]
+    got = [(r.n_words, r.n_kept_words) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id = 5").collect()]
+    assert sorted(got) == [(40, 32), (40, 40)]
+
+
+def test_copies_are_one_document_on_both_sides_of_the_share(spark):
+    text = "first line of the copied text\n" + " ".join(f"c{i}" for i in range(30))
+    rows = [(d, text if d % 2 else text.upper(), "h") for d in range(300)] + [(1000 + d, " ".join(f"w{d}x{i}" for i in range(30)), "h") for d in range(60)]
+    assert all(kept for _, kept in judged(spark, rows).values())
+    few = [(d, f"a common line\n{d} " + " ".join(f"w{d}x{i}" for i in range(30)), "h") for d in range(25)]
+    assert judged(spark, few + [(2000 + d, text, "h") for d in range(1000)])[3, 34] == (31, True)
+
+
 def test_jaccard_classes(spark, sf, odd_documents):
     for rule, docs in ((Rule(), read(spark, sf, "documents")), (Rule(4, 85), odd_documents)):
         rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
@@ -91,6 +125,58 @@ def test_regions_that_pivots_do_not_part_stay_bounded(spark, monkeypatch):
     assert max(sizes) < 2 * 2500
 
 
+def in_one_task(sets, rule=Rule(4, 85)):
+    """Classes of one region's sets as its task finds them, and how many pairs it compared."""
+    region = jaccard._Sets([np.sort(wh.scramble(np.array(sorted(s), np.uint64))) for s in sets], [None] * len(sets), rule)
+    region.join(np.arange(len(sets)))
+    return [region.root(i) for i in range(len(sets))], region.compared
+
+
+def classes_of(sets, rule=Rule(4, 85)):
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if rule.links(len(sets[i] & sets[j]), len(sets[i]), len(sets[j])):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))]
+
+
+def hard_regions():
+    rng = np.random.default_rng(5)
+    yield [set(range(12 * i, 12 * i + 200)) for i in range(800)]  # a chain that drifts
+    families = []
+    for i in range(800):
+        own = {1000 * (i % 12) + k for k in range(200)}
+        families.append((own - set(rng.choice(sorted(own), 12, replace=False).tolist())) | {100_000 + 50 * i + k for k in range(12)})
+    yield families
+    far = []
+    for i in range(500):  # too far to link, too near for pivots to part
+        far.append(set(rng.choice(250, 200, replace=False).tolist()))
+    yield far
+    yield [set(rng.choice(30, rng.integers(1, 6), replace=False).tolist()) for _ in range(300)] + [set(range(k)) for k in range(1, 60)]
+
+
+def test_a_region_in_one_task_takes_at_most_all_pairs():
+    for sets in hard_regions():
+        got, compared = in_one_task(sets)
+        # all pairs, and one try of parting them
+        assert got == classes_of(sets) and compared <= len(sets) * ((len(sets) - 1) / 2 + jaccard.PIVOTS)
+
+
+def test_regions_of_much_work_are_spread(spark):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(((r[0], *x) for r, x in zip(rows, brute.jaccard_classes(rows, 4, 85))), key=repr)
+    assert rows_of(jaccard.classes(docs, rule=Rule(4, 85), region_work=2e4), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_deduplicate_keeps_one_of_each_class(spark, odd_documents):
     kept = rows_of(jaccard.deduplicate(odd_documents), "doc_id", "k1")
     assert [r[0] for r in kept] == [1, 1, 10, 3, 4, 5, 6, 8, None]
