@@ -2,8 +2,8 @@
 
 Every source gets a target, every document of a source the same expected number of copies. The expected copies are summed up along
 an order of the source's documents, one random offset is added, and a document is emitted once for each whole number its stretch
-of the sum crosses. The order runs through sizes first, so long and short documents are drawn alike and the taken words come near
-the target. The running sum of a source is split into slices of bounded size: sums per slice, offsets from a running sum over
+of the sum crosses. The order runs through bands of sizes first, so long and short documents are drawn alike and the taken words come
+near the target, and within a band by a hash of the id. The running sum of a source is split into slices of bounded size: sums per slice, offsets from a running sum over
 slices, then sums within slices; no source is ever in one task.
 """
 
@@ -56,23 +56,28 @@ def _ordering(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def _band(size: Column) -> Column:
+    """Quarter of the octave that holds size + 1: equal in every engine, as it needs whole numbers only."""
+    octave = F.length(F.bin(size + 1)) - 1
+    return (octave * 4 + (size + 1) * 4 / F.pow(F.lit(2.0), octave)).cast("int")
+
+
 def copies(rows: DataFrame, targets: DataFrame, *, seed: int = 0, slice_rows: int = SLICE_ROWS, most: float = 3) -> DataFrame:
     """``rows`` (source, size, doc_id and more) with source_size, target and ``copies``, the times the mix takes each row.
 
     Rows with equal size and doc_id stand together in the order and are drawn alike; which of them is first does not matter.
     """
-    band = F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int")
     whole = rows.join(targets.withColumnRenamed("source", "of").select("of", "n_rows", "source_size", "target"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     # the first digits of the ordering name the slice, so slices follow the order
     n_slices = F.least(F.greatest(F.ceil(F.col("n_rows") / slice_rows), F.lit(1)), F.lit(1 << 24))
     part = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * n_slices / (1 << 32)).cast("long")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = (whole.withColumn("band", band).withColumn("place", _ordering(F.col("doc_id"), seed)).withColumn("rate", rate)
+    whole = (whole.withColumn("band", _band(F.col("size"))).withColumn("place", _ordering(F.col("doc_id"), seed)).withColumn("rate", rate)
              .withColumn("part", part).withColumn("source_key", F.xxhash64("source")))
     slices = whole.groupBy("source_key", "band", "part").agg(F.count(F.lit(1)).alias("n_slice"))
     ahead = Window.partitionBy("source_key").orderBy("band", "part").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("source_key", "band", "part", F.coalesce(F.sum("n_slice").over(ahead), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("source_key", "band", "part").orderBy("size", "place")
+    within = Window.partitionBy("source_key", "band", "part").orderBy("place", "size")
     # every document of a source expects the same number of copies, so its sum is its position times that rate
     position = F.col("ahead") + F.row_number().over(within)
     offset = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("offset"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)

@@ -27,7 +27,7 @@ l AS (SELECT *, (CAST(total AS DOUBLE) - CAST(caps_before AS DOUBLE)) / CAST(all
 f AS (SELECT arg_min(level, weight_before) AS level FROM l WHERE level * weight <= cap),
 t AS (SELECT w.*, CASE WHEN source_size = 0 THEN 0.0 WHEN f.level IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), f.level * weight) END AS target FROM w LEFT JOIN f ON true),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / CAST(t.source_size AS DOUBLE) ELSE 0.0 END AS rate, md5('0|offset|' || coalesce(d.source, '')) AS u,
-  row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5('0|' || coalesce(CAST(d.doc_id AS VARCHAR), ''))) AS i FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  row_number() OVER (PARTITION BY d.source ORDER BY (length(bin(d.size + 1)) - 1) * 4 + CAST(floor((d.size + 1) * 4 / pow(2.0, length(bin(d.size + 1)) - 1)) AS INTEGER), md5('0|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.size) AS i FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 v AS (SELECT *, list_sum(list_transform(range(1, 9), lambda k: (strpos('0123456789abcdef', substr(u, k, 1)) - 1) * CAST(pow(16, 8 - k) AS BIGINT))) / 4294967296.0::DOUBLE AS x FROM r)
 SELECT doc_id, size, source_size, target, CAST(size * least(3, floor(rate * i + x) - floor(rate * (i - 1) + x)) AS BIGINT) AS taken FROM v"""
 
@@ -48,10 +48,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '')
 g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS h FROM d, unnest(range(1, len(w) - 6)) AS x(i)),
 twice AS (SELECT r, i FROM g WHERE (r, h) IN (SELECT (r, h) FROM g GROUP BY r, h HAVING count(*) > 1)),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 8)) AS x(k) GROUP BY r),
-norm AS (SELECT r, source, list_transform(lines, lambda l: lower(array_to_string({words("l")}, ' '))) AS ls, lines FROM d),
-l AS (SELECT r, source, ls[i] AS line, CASE WHEN i > 1 THEN ls[i - 1] END AS up, ls[i + 1] AS down, len({words("lines[i]")}) AS n FROM norm, unnest(range(1, len(ls) + 1)) AS x(i)),
-hosts AS (SELECT source, count(*) AS n_host FROM d GROUP BY 1),
-often AS (SELECT l.source, line FROM (SELECT DISTINCT source, line, up, down FROM l) l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, n_host HAVING count(*) >= 20 AND count(*) > n_host * CAST(0.1 AS DOUBLE)),
+norm AS (SELECT r, source, lines, list_transform(lines, lambda l: lower(array_to_string({words("l")}, ' '))) AS ls FROM d),
+whole AS (SELECT *, array_to_string(list_sort(list_distinct(ls)), chr(10)) AS content FROM norm),
+l AS (SELECT r, source, content, ls[i] AS line, len({words("lines[i]")}) AS n FROM whole, unnest(range(1, len(ls) + 1)) AS x(i)),
+hosts AS (SELECT source, count(DISTINCT content) AS n_host FROM whole GROUP BY 1),
+often AS (SELECT l.source, line FROM l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, n_host HAVING count(DISTINCT content) >= 20 AND count(DISTINCT content) > n_host * CAST(0.1 AS DOUBLE)),
 gone AS (SELECT r, sum(n) AS n FROM l JOIN often o ON l.line = o.line AND l.source IS NOT DISTINCT FROM o.source GROUP BY r),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(len(w) - coalesce(gone.n, 0) AS BIGINT) AS n_kept_words FROM d LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
