@@ -72,3 +72,37 @@ def test_iban_before_capitals_and_other_numbers(spark):
     a, b = got[1].text[:27], got[1].text[28:]
     assert iban(a) and iban(b) and a.replace(" ", "") == same and b.startswith("FR")
     assert got[2].text == f"ZZ12 ABCD EFGH 1234 {a} A1" and iban(got[3].text[:27]) and got[3].text.endswith(" IBAN")
+
+
+def test_long_repetitive_texts(spark):
+    """Texts that make patterns repeat or backtrack as often as they can."""
+    n = 100_000
+    texts = ["a@" + "b." * n + "com", "a@b" + ".b" * 100 + ".com end", "a" * n, "a@" * n, "1" * n, "1-" * n, "1 " * n, "1." * n, "+1" * n, "+1 (" * n, "DE89 " * n, "DE" * n, "A1" * n, "2000-01-" * n, "@" * n, "a.b@c." * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(docs, key="k").collect()}
+    assert len(got) == len(texts) and got[0].text == texts[0]
+    assert got[1].n_mail == 1 and got[1].text.endswith(".com end") and all(len(got[i].text) == len(t) for i, t in enumerate(texts))
+
+
+def plain_number(key, kind, left, right, a, b):
+    """The Feistel rounds of one value in plain Python."""
+    import hashlib
+
+    amount = lambda half, turn, x: int(hashlib.sha256(f"{key}|{kind}{half}|{turn}|{x}".encode()).hexdigest()[:15], 16)
+    for turn in range(1, pii.ROUNDS + 1):
+        left = (left + amount("l", turn, right)) % a
+        right = (right + amount("r", turn, left)) % b
+    return left, right
+
+
+def test_against_plain_rounds(spark):
+    docs = spark.createDataFrame([(1, "10.20.30.40 and 123-45-6789 and +49 30 901820")], "doc_id long, text string")
+    got = pii.report(docs, key="k").first()
+    left, right = plain_number("k", "ip", 10 * 256 + 20, 30 * 256 + 40, 65536, 65536)
+    ip = f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    left, right = plain_number("k", "ssn", (123 - 1) * 99 + 45 - 1, 6789 - 1, 898 * 99, 9999)
+    area = left // 99
+    ssn = f"{area + 2 if area >= 665 else area + 1:03d}-{left % 99 + 1:02d}-{right + 1:04d}"
+    left, right = plain_number("k", "phone+", int("090"), int("1820"), 10**3, 10**4)
+    digits = f"493{left:03d}{right:04d}"
+    assert got.text == f"{ip} and {ssn} and +{digits[:2]} {digits[2:4]} {digits[4:]}"
