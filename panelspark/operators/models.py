@@ -23,7 +23,10 @@ from panelspark.functions.calendar import subtract_business_days
 from panelspark.functions.crosssection import null_safe_join
 from panelspark.functions.metrics import drawdown_of_returns, information_coefficient, sharpe
 from panelspark.functions.scalar import row_median
-from panelspark.operators.evaluation import EvaluationConfig, long_short_returns
+from panelspark.operators import linear
+from panelspark.operators.evaluation import (
+    EvaluationConfig, long_short_returns, monthly_returns, portfolio_diagnostics, positions, symbol_contributions,
+)
 from panelspark.session import cut_lineage, require_columns
 
 MODEL_TYPES = ("ridge", "elasticnet", "random_forest", "gbt")
@@ -64,7 +67,7 @@ class Fold:
 
 def walk_forward_folds(
     frame: DataFrame, *, first_train_start, first_validation_start, validation_months: int = 12, purge_days: int = 0,
-    embargo_days: int = 0, date: str = "date",
+    embargo_days: int = 0, date: str = "date", rows: str | None = None,
 ) -> list[Fold]:
     """Expanding folds whose validation window ends inside the data and that have rows on both sides.
 
@@ -74,7 +77,7 @@ def walk_forward_folds(
         raise ValueError("validation_months must be positive, purge and embargo non-negative")
     candidates = fold_table(
         frame, first_train_start=first_train_start, first_validation_start=first_validation_start,
-        validation_months=validation_months, purge_days=purge_days, date=date,
+        validation_months=validation_months, purge_days=purge_days, date=date, rows=rows,
     ).orderBy("split_id")
     folds, past = [], []
     for r in candidates.toLocalIterator():
@@ -86,10 +89,12 @@ def walk_forward_folds(
 
 def fold_table(
     frame: DataFrame, *, first_train_start, first_validation_start, validation_months: int = 12, purge_days: int = 0,
-    date: str = "date",
+    date: str = "date", rows: str | None = None,
 ) -> DataFrame:
-    """Fold boundaries and row counts as a table, one row per usable fold."""
-    per_day = frame.groupBy(F.col(date).cast("date").alias("d")).agg(F.count("*").alias("n"))
+    """Fold boundaries and row counts as a table, one row per usable fold; ``rows`` names a column that counts rows."""
+    if rows is not None:
+        frame = frame.filter(F.col(rows) > 0)
+    per_day = frame.groupBy(F.col(date).cast("date").alias("d")).agg((F.count("*") if rows is None else F.sum(rows)).alias("n"))
     start = F.lit(str(first_validation_start)).cast("date")
     span = per_day.agg(F.max("d").alias("last"))
     count = F.floor(F.months_between(F.col("last"), start) / validation_months).cast("int") + 2
@@ -165,8 +170,10 @@ def predict(model: PipelineModel, rows: DataFrame, out: str = "prediction") -> D
     return scored.drop(*drop).withColumnRenamed("prediction", out)
 
 
-def importances(model: PipelineModel, features) -> list[tuple[str, float]]:
+def importances(model: PipelineModel | linear.LinearFit, features) -> list[tuple[str, float]]:
     """Importance per feature: tree gain, or absolute coefficient."""
+    if isinstance(model, linear.LinearFit):
+        return model.importances()
     last = model.stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else [abs(c) for c in last.coefficients]
     return [(f, float(v)) for f, v in zip(features, values)]
@@ -192,8 +199,8 @@ def walk_forward(
 ) -> dict:
     """Fit every fold and predict its validation rows.
 
-    Returns predictions, importances per fold and the folds. The model rows are cached because every
-    fold reads them; a lost executor's part is recomputed from lineage.
+    Returns predictions, importances per fold, the folds, and ``rows``, cached because every fold reads them; ``release`` gives
+    them back. A lost executor's part is recomputed from lineage. Ridge folds are solved from the moments of one pass.
     """
     config = config or ModelConfig()
     features = list(features)
@@ -204,23 +211,26 @@ def walk_forward(
         rows, first_train_start=config.first_train_start, first_validation_start=config.first_validation_start,
         validation_months=config.validation_months, purge_days=config.purge_days, embargo_days=config.embargo_days)
     if not folds:
+        if cached:
+            rows.unpersist()
         raise ValueError("walk-forward configuration produced no usable validation splits")
+    moments = linear.training_moments(rows, {"": tuple(features)}, {"": folds}, config.target) if config.model_type == "ridge" else None
 
     def one(fold):
         train, valid = fold_rows(rows, fold)
-        model = fit(train, config, features)
+        model = linear.ridge(moments["", fold.split_id], features, config.alpha) if moments else fit(train, config, features)
         out = predict(model, valid).drop(*[f for f in features if f not in (config.benchmark_score, *PASSED_THROUGH)])
         out = out.withColumns({"split_id": F.lit(fold.split_id), **{
             c: F.lit(getattr(fold, c)).cast("date") for c in ("train_start", "train_end", "validation_start", "validation_end")}})
         return fold, model, out
 
-    fitted = _over_folds(folds, one, threads)
+    fitted = _over_folds(folds, one, 1 if moments else threads)
     predictions = fitted[0][2]
     for _, _, part in fitted[1:]:
         predictions = predictions.unionByName(part)
     lines = [(fold.split_id, name, value) for fold, model, _ in fitted for name, value in importances(model, features)]
     table = frame.sparkSession.createDataFrame(lines, "split_id int, feature string, importance double")
-    return {"rows": rows, "folds": folds, "models": [m for _, m, _ in fitted], "predictions": predictions, "importance": table}
+    return {"rows": rows, "folds": folds, "models": [m for _, m, _ in fitted], "predictions": predictions, "importance": table, "release": rows.unpersist if cached else lambda: None}
 
 
 def rank_importance(importance: DataFrame) -> DataFrame:
@@ -246,14 +256,15 @@ def stable_top_features(ranked: DataFrame, limit: int = 5) -> DataFrame:
 
 def summarize_splits(
     predictions: DataFrame, config: ModelConfig, evaluation: EvaluationConfig | None = None, *, score: str = "prediction",
-    rows: DataFrame | None = None, folds=None, extra_scores=(),
+    rows: DataFrame | None = None, folds=None, extra_scores=(), keys=("split_id",),
 ) -> DataFrame:
-    """One row per split: sizes, rank correlation, hit rate and long/short metrics for both scores."""
+    """One row per split (or per ``keys``): sizes, rank correlation, hit rate and long/short metrics for both scores."""
     evaluation = evaluation or EvaluationConfig()
+    keys = list(keys)
     predictions = cut_lineage(predictions)  # read by every figure below
     y = config.target
     right = (F.col(score) > 0) == (F.col(y) > 0)
-    out = predictions.groupBy("split_id").agg(
+    out = predictions.groupBy(*keys).agg(
         F.min("date").alias("validation_start"), F.max("date").alias("validation_end"), F.count("*").alias("validation_rows"),
         F.countDistinct("symbol").alias("symbols"), F.avg(right.cast("double")).alias("directional_hit_rate"))
     if rows is not None and folds:
@@ -263,26 +274,26 @@ def summarize_splits(
         sizes = days.join(table, F.col("d").between(F.col("a").cast("date"), F.col("b").cast("date"))).groupBy("split_id").agg(
             F.min("d").alias("train_start"), F.max("d").alias("train_end"), F.sum("n").alias("train_rows"))
         out = out.join(sizes, "split_id", "left")
-    parts = [information_coefficient(predictions, ["split_id"], score, y, "ic_spearman")]
+    parts = [information_coefficient(predictions, keys, score, y, "ic_spearman")]
     for name in extra_scores:
-        parts.append(information_coefficient(predictions, ["split_id"], name, y, f"ic_{name}"))
+        parts.append(information_coefficient(predictions, keys, name, y, f"ic_{name}"))
     runs = [("", score)]
     if config.benchmark_score in predictions.columns:
         runs.append(("benchmark_", config.benchmark_score))
-        parts.append(information_coefficient(predictions, ["split_id"], config.benchmark_score, y, "benchmark_ic_spearman"))
+        parts.append(information_coefficient(predictions, keys, config.benchmark_score, y, "benchmark_ic_spearman"))
     for prefix, name in runs:
-        daily = long_short_returns(predictions, evaluation, ["split_id"], score=name, outcome=config.outcome)
+        daily = long_short_returns(predictions, evaluation, keys, score=name, outcome=config.outcome)
         line = [
             F.avg("net_return").alias(f"{prefix}backtest_mean_daily_return"), sharpe("net_return").alias(f"{prefix}backtest_sharpe"),
             F.avg("risk_net_return").alias(f"{prefix}risk_backtest_mean_daily_return"),
             sharpe("risk_net_return").alias(f"{prefix}risk_backtest_sharpe")]
         if not prefix:
             line.append(F.count_if("risk_trading_enabled").alias("risk_backtest_trading_days"))
-        parts.append(daily.groupBy("split_id").agg(*line))
-        parts.append(drawdown_of_returns(daily, "net_return", ["date"], ["split_id"], f"{prefix}backtest_max_drawdown"))
-        parts.append(drawdown_of_returns(daily, "risk_net_return", ["date"], ["split_id"], f"{prefix}risk_backtest_max_drawdown"))
+        parts.append(daily.groupBy(*keys).agg(*line))
+        parts.append(drawdown_of_returns(daily, "net_return", ["date"], keys, f"{prefix}backtest_max_drawdown"))
+        parts.append(drawdown_of_returns(daily, "risk_net_return", ["date"], keys, f"{prefix}risk_backtest_max_drawdown"))
     for part in parts:
-        out = null_safe_join(out, part, ["split_id"])
+        out = null_safe_join(out, part, keys)
     return out
 
 
@@ -397,11 +408,11 @@ BOARD = {
 CELL = {"experiment": "string", "horizon": "int", "feature_set": "string", "model": "string", "model_type": "string", "target_kind": "string"}
 
 
-def leaderboard_row(summary: DataFrame) -> DataFrame:
-    """Collapse split summaries into the figures of one experiment."""
+def leaderboard_row(summary: DataFrame, keys=()) -> DataFrame:
+    """Collapse split summaries into the figures of one experiment, or of one for each of ``keys``."""
     has = set(summary.columns)
     benchmark = lambda c: F.avg(c) if c in has else F.lit(None).cast("double")
-    return summary.agg(
+    return summary.groupBy(*keys).agg(
         F.count("*").alias("split_count"), F.sum("validation_rows").alias("prediction_count"), F.avg("ic_spearman").alias("ic_mean"),
         F.stddev_samp("ic_spearman").alias("ic_std"), F.count_if(F.col("ic_spearman") > 0).alias("positive_ic_splits"),
         F.avg("directional_hit_rate").alias("directional_hit_rate"), F.avg("backtest_mean_daily_return").alias("backtest_mean_daily_return"),
@@ -421,32 +432,83 @@ def target_columns(horizon: int, target_kind: str) -> tuple[str, str]:
     raise ValueError(f"unsupported target_kind: {target_kind}")
 
 
+def ridge_predictions(frame: DataFrame, trials: list[tuple[tuple, float]], config: ModelConfig) -> DataFrame:
+    """(trial, split_id, date, symbol, ..., prediction) of ridge trials (features, alpha), numbered from 0.
+
+    Folds, moments and predictions of all trials take one pass each over ``frame``, which callers with a costly plan keep cached.
+    Trials without usable folds have no rows.
+    """
+    sets = {str(k): tuple(s) for k, s in enumerate(dict.fromkeys(tuple(features) for features, _ in trials))}
+    name_of = {s: k for k, s in sets.items()}
+    needed = [config.target, config.outcome]
+    extra = [c for c in (config.benchmark_score, *PASSED_THROUGH) if c in frame.columns]
+    features = [c for s in sets.values() for c in s]
+    require_columns(frame, ["date", "symbol", *needed, *features], "research frame")
+    rows = frame.select(*dict.fromkeys(["date", "symbol", *needed, *extra, *features]))
+    days = linear.days_of(rows, sets, needed)
+    folds = {name: walk_forward_folds(
+        days, first_train_start=config.first_train_start, first_validation_start=config.first_validation_start, validation_months=config.validation_months,
+        purge_days=config.purge_days, embargo_days=config.embargo_days, rows=f"n{k}") for k, name in enumerate(sets)}
+    moments = linear.training_moments(rows, sets, folds, config.target, also=[config.outcome])
+    fits = {}
+    for number, (chosen, alpha) in enumerate(trials):
+        name = name_of[tuple(chosen)]
+        for fold in folds[name]:
+            fits[number, name, fold.split_id] = linear.ridge(moments[name, fold.split_id], chosen, alpha)
+    keep = list(dict.fromkeys(["date", "symbol", *needed, *extra]))
+    return linear.predictions(rows, sets, folds, fits, keep, also=needed)
+
+
 def experiment_grid(
     frame: DataFrame, horizons=(5, 20), sets: dict | None = None, specs: dict | None = None, config: ModelConfig | None = None,
     evaluation: EvaluationConfig | None = None, target_kind: str = "close_excess", threads: int = 4,
 ) -> DataFrame:
     """Horizon x feature set x model leaderboard, best first. A failing cell becomes a row with its error.
 
-    The frame is cached once for all cells and given back at the end. A row per cell comes to the driver.
+    All ridge cells of a horizon are fitted and evaluated together; other models are fitted cell by cell. The needed columns are
+    cached once for all cells and given back at the end. A row per cell comes to the driver.
     """
     base = config or ModelConfig()
     kinds = {**CELL, **BOARD}
-    frame = frame.persist()
+    sets, specs = sets or feature_sets(frame.columns), specs or MODEL_SPECS
+    targets = {h: target_columns(h, target_kind) for h in horizons}
+    wanted = dict.fromkeys(["date", "symbol", *(c for s in sets.values() for c in s), *(c for t in targets.values() for c in t), base.benchmark_score, *PASSED_THROUGH])
+    frame = frame.select(*(c for c in wanted if c in frame.columns)).persist()
     lines = []
-    for h, (set_name, cols), (spec_name, spec) in itertools.product(
-        horizons, (sets or feature_sets(frame.columns)).items(), (specs or MODEL_SPECS).items()
-    ):
-        suffix = "" if target_kind == "close_excess" else f"_{target_kind}"
-        target, outcome = target_columns(h, target_kind)
-        cfg = replace(base, target=target, outcome=outcome, purge_days=h, **spec)
-        cell = (f"{spec_name}_{set_name}_{h}d{suffix}", h, set_name, spec_name, cfg.model_type, target_kind)
-        try:
-            run = walk_forward(frame, cols, cfg, threads=threads, cached=False)
-            made = leaderboard_row(summarize_splits(run["predictions"], cfg, evaluation)).first()
-            lines.append((*cell, *(made[c] for c in BOARD)))
-        except (KeyError, ValueError) as error:
-            lines.append((*cell, *(0 if c in ("split_count", "prediction_count", "positive_ic_splits") else None for c in BOARD if c != "error"), str(error)))
-    frame.unpersist()
+
+    def line(cell, made):
+        return (*cell, *(made[c] for c in BOARD))
+
+    def failed(cell, error):
+        return (*cell, *(0 if c in ("split_count", "prediction_count", "positive_ic_splits") else None for c in BOARD if c != "error"), str(error))
+
+    try:
+        for h in horizons:
+            suffix = "" if target_kind == "close_excess" else f"_{target_kind}"
+            target, outcome = targets[h]
+            cells, together = [], []
+            for (set_name, cols), (spec_name, spec) in itertools.product(sets.items(), specs.items()):
+                cfg = replace(base, target=target, outcome=outcome, purge_days=h, **spec)
+                cells.append(((f"{spec_name}_{set_name}_{h}d{suffix}", h, set_name, spec_name, cfg.model_type, target_kind), cols, cfg))
+            for cell, cols, cfg in cells:
+                if cfg.model_type == "ridge" and cols and {*cols, target, outcome} <= set(frame.columns):
+                    together.append((cell, cols, cfg))
+                    continue
+                try:
+                    run = walk_forward(frame, cols, cfg, threads=threads, cached=False)
+                    lines.append(line(cell, leaderboard_row(summarize_splits(run["predictions"], cfg, evaluation)).first()))
+                except (KeyError, ValueError) as error:
+                    lines.append(failed(cell, error))
+            if together:
+                cfg = together[0][2]
+                made = ridge_predictions(frame, [(cols, c.alpha) for _, cols, c in together], cfg)
+                board = leaderboard_row(summarize_splits(made, cfg, evaluation, keys=("trial", "split_id")), ("trial",))
+                found = {r["trial"]: r for r in board.collect()}  # one row per cell
+                for number, (cell, _, _) in enumerate(together):
+                    none = "walk-forward configuration produced no usable validation splits"
+                    lines.append(line(cell, found[number]) if number in found else failed(cell, none))
+    finally:
+        frame.unpersist()
     out = frame.sparkSession.createDataFrame(lines, ", ".join(f"{c} {t}" for c, t in kinds.items()))
     return out.orderBy(F.col("risk_backtest_sharpe").desc_nulls_last(), F.col("ic_mean").desc_nulls_last(), "experiment")
 
@@ -468,6 +530,36 @@ def select_experiment(leaderboard: DataFrame, name: str | None = None) -> DataFr
     return leaderboard.orderBy(F.col("risk_backtest_sharpe").desc_nulls_last(), "experiment").limit(1)
 
 
+def audit_experiment(
+    frame: DataFrame, leaderboard: DataFrame, name: str | None = None, *, sets: dict | None = None, specs: dict | None = None,
+    config: ModelConfig | None = None, evaluation: EvaluationConfig | None = None,
+) -> dict[str, DataFrame]:
+    """Fit a leaderboard's experiment again and return what is behind its line.
+
+    Tables: ``predictions``, ``splits`` (one row per fold), ``daily`` and ``monthly`` returns across all folds, ``symbols`` with their
+    contributions, and ``importance`` per fold. Without ``name`` the best line is taken; a name that is not listed raises.
+    """
+    line = select_experiment(leaderboard, name).first()
+    if line is None:
+        raise ValueError(f"experiment {name!r} is not in the leaderboard")
+    sets, specs = sets or feature_sets(frame.columns), {**MODEL_SPECS, **FAST_MODEL_SPECS, **(specs or {})}
+    target, outcome = target_columns(line["horizon"], line["target_kind"])
+    cfg = replace(config or ModelConfig(), target=target, outcome=outcome, purge_days=line["horizon"], **specs[line["model"]])
+    evaluation = evaluation or EvaluationConfig()
+    run = walk_forward(frame, sets[line["feature_set"]], cfg)
+    try:
+        predictions = cut_lineage(run["predictions"])
+    finally:
+        run["release"]()
+    daily = cut_lineage(portfolio_diagnostics(predictions, evaluation, score="prediction", outcome=outcome))
+    return {
+        "experiment": select_experiment(leaderboard, line["experiment"]), "predictions": predictions,
+        "splits": summarize_splits(predictions, cfg, evaluation), "daily": daily, "monthly": monthly_returns(daily),
+        "symbols": symbol_contributions(positions(predictions, evaluation, ["split_id"], score="prediction", outcome=outcome)),
+        "importance": rank_importance(run["importance"]),
+    }
+
+
 # Search grids per model type.
 SEARCH_GRIDS = {
     "ridge": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]},
@@ -512,16 +604,25 @@ def search(
     lines = []
     spark = frame.sparkSession
     frame = model_rows(frame, base, list(features)).persist()  # all trials read the same rows
-    for number, params in enumerate(trials):
-        try:
-            run = walk_forward(frame, features, replace(base, **params), cached=False)
-            daily = long_short_returns(run["predictions"], evaluation, ["split_id"], score="prediction", outcome=base.outcome)
-            value = daily.groupBy("split_id").agg(sharpe("net_return").alias("s")).agg(F.avg("s")).first()[0]
-            state = "COMPLETE"
-        except ValueError:
-            value, state = None, "FAIL"
-        lines.append((number, value, state, {k: float(v) for k, v in params.items()}))
-    frame.unpersist()
+    try:
+        if model_type == "ridge":  # all trials in one pass
+            made = ridge_predictions(frame, [(tuple(features), params["alpha"]) for params in trials], base)
+            daily = long_short_returns(made, evaluation, ["trial", "split_id"], score="prediction", outcome=base.outcome)
+            means = daily.groupBy("trial", "split_id").agg(sharpe("net_return").alias("s")).groupBy("trial").agg(F.avg("s").alias("s"))
+            values = {r["trial"]: r["s"] for r in means.collect()}  # one row per trial
+            lines = [(k, values.get(k), "COMPLETE" if k in values else "FAIL", {n: float(v) for n, v in params.items()}) for k, params in enumerate(trials)]
+        else:
+            for number, params in enumerate(trials):
+                try:
+                    run = walk_forward(frame, features, replace(base, **params), cached=False)
+                    daily = long_short_returns(run["predictions"], evaluation, ["split_id"], score="prediction", outcome=base.outcome)
+                    value = daily.groupBy("split_id").agg(sharpe("net_return").alias("s")).agg(F.avg("s")).first()[0]
+                    state = "COMPLETE"
+                except ValueError:
+                    value, state = None, "FAIL"
+                lines.append((number, value, state, {k: float(v) for k, v in params.items()}))
+    finally:
+        frame.unpersist()
     table = spark.createDataFrame(lines, "number int, value double, state string, params map<string,double>")
     return table.orderBy(F.col("value").desc_nulls_last(), "number")
 
