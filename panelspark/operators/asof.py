@@ -1,4 +1,4 @@
-"""As-of joins as one union and one window: a single shuffle on the key, no range join."""
+"""As-of joins without range joins: one union and one window for panels, bucketed lookups where a key may hold any number of rows."""
 
 from __future__ import annotations
 
@@ -23,8 +23,8 @@ def asof_join(
     or after it; ``strict`` excludes equal times. Right rows must be unique per (key, time). Unmatched
     rows get nulls, and a left row is never dropped or repeated.
 
-    Keys are symbols or accounts with one row per date on either side, so a key's rows are bounded by
-    the calendar times the number of left rows per key.
+    For panels: keys with one row per date on either side, so that a key's rows are bounded by the calendar. Where a key may hold
+    any share of the left rows (orders of all accounts) or any number of right ones (ticks), use :func:`asof_lookup`.
     """
     by = [by] if isinstance(by, str) else list(by)
     if direction not in ("backward", "forward"):
@@ -56,6 +56,49 @@ def asof_join(
     )
 
 
+def asof_lookup(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    by,
+    left_on: str,
+    right_on: str,
+    values,
+    direction: str = "backward",
+    strict: bool = False,
+) -> DataFrame:
+    """:func:`asof_join` for keys of any size on either side; null keys and null times match nothing.
+
+    Only the distinct (key, time) pairs of the left are looked up. Both sides are cut into calendar months: within a month a window
+    finds the nearest right row, and the last (first) right row of each month is carried over to the following (earlier) months by a
+    scan over one row per key and month. The answers are joined back by equality, which adaptive execution splits where one pair
+    holds very many left rows.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    if direction not in ("backward", "forward"):
+        raise ValueError("direction must be 'backward' or 'forward'")
+    backward = direction == "backward"
+    time, month = F.col("__t"), F.year("__t") * 12 + F.month("__t")
+    side_right, side_left = (1, 0) if strict else (0, 1)
+    packed = F.struct(F.col(right_on).alias(right_on), *[F.col(v).alias(v) for v in values])
+    rights = right.filter(F.col(right_on).isNotNull()).select(
+        *by, F.col(right_on).cast("timestamp_ntz").alias("__t"), F.lit(side_right).alias("__side"), packed.alias("__right"))
+    asked = left.select(*by, F.col(left_on).cast("timestamp_ntz").alias("__t")).filter("__t is not null").distinct()
+    points = asked.withColumn("__side", F.lit(side_left)).unionByName(rights, allowMissingColumns=True).withColumn("__month", month)
+    order = [time.asc() if backward else time.desc(), F.col("__side")]
+    inside = Window.partitionBy(*by, "__month").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = points.withColumn("__hit", F.last("__right", ignorenulls=True).over(inside)).filter(F.col("__side") == side_left)
+    ends = (F.max_by if backward else F.min_by)("__right", F.when(F.col("__right").isNotNull(), time))
+    months = points.groupBy(*by, "__month").agg(ends.alias("__end"))
+    earlier = Window.partitionBy(*by).orderBy(F.col("__month").asc() if backward else F.col("__month").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    months = months.select(*by, "__month", F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+    found = met.join(months, [*by, "__month"]).select(*by, "__t", F.coalesce("__hit", "__carried").alias("__hit"))
+    out = left.withColumn("__t", F.col(left_on).cast("timestamp_ntz")).join(found, [*by, "__t"], "left")
+    keep = [c for c in left.columns if c not in values and (c != right_on or c == left_on)]
+    names = {right_on: f"{right_on}_matched"} if right_on == left_on else {}
+    return out.select(*keep, *[F.col("__hit")[v].alias(names.get(v, v)) for v in [right_on, *values]])
+
+
 def latest_per_key(df: DataFrame, key: str = "symbol", time: str = "date", cutoff=None) -> DataFrame:
     """Latest row per key, optionally at or before a cutoff; map-side combined."""
     if cutoff is not None:

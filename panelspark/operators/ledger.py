@@ -16,7 +16,7 @@ from panelspark.functions.crosssection import null_safe_join, with_row_index
 from panelspark.functions.scalar import number, ratio, symbol_key, zero_padded
 from panelspark.functions.windows import running_max
 from panelspark.operators import folds
-from panelspark.operators.asof import asof_join, latest_per_key
+from panelspark.operators.asof import asof_lookup, latest_per_key
 from panelspark.operators.features import sector_return_table, volatility_table
 from panelspark.session import cut_lineage
 
@@ -333,7 +333,7 @@ def reconcile_fills(ledger: DataFrame, prices: DataFrame, config: LedgerConfig |
     bars = prices.select(symbol_key("symbol").alias("symbol"), F.col("date").cast("date").alias("__day"), adjusted_open().alias("__open"))
     waiting = df.filter(F.col("status").isin("planned", "filling"))
     rest = df.filter(~F.col("status").isin("planned", "filling")).drop("__from")
-    hit = asof_join(waiting, bars, by="symbol", left_on="__from", right_on="__day", values=["__open"], direction="forward", strict=True)
+    hit = asof_lookup(waiting, bars, by="symbol", left_on="__from", right_on="__day", values=["__open"], direction="forward", strict=True)
     remaining = F.col("requested_shares") - F.col("filled_shares")
     hit = hit.withColumn("__left", remaining)
     if config.fill_pct < 1.0:
@@ -386,7 +386,7 @@ def attach_scores(df: DataFrame, scores: DataFrame | None, out: str = "current_s
     if exact:
         table = table.withColumnRenamed("__sd", "date").dropDuplicates(["symbol", "date"])
         return df.join(table, ["symbol", "date"], "left")
-    return asof_join(df, table, by="symbol", left_on="date", right_on="__sd", values=[out]).drop("__sd")
+    return asof_lookup(df, table, by="symbol", left_on="date", right_on="__sd", values=[out]).drop("__sd")
 
 
 def exit_case(rules: ExitRules) -> Column:
@@ -424,29 +424,61 @@ def exit_case(rules: ExitRules) -> Column:
     return F.coalesce(*cases)
 
 
+#: Bars of a block; an order opens the blocks from its fill to its horizon.
+BAR_BLOCK = 32
+
+
+def since_fill(held: DataFrame, bars: DataFrame, stats: dict[str, Column], day: str = "day") -> DataFrame:
+    """``held`` with figures over all bars of its symbol from the fill date to the end.
+
+    ``stats`` are aggregates of the bars. The range always ends at a symbol's last bar, so they are running aggregates from the end
+    of its history, looked up at the first bar on or after the fill date: no order meets more than one bar.
+    """
+    to_end = Window.partitionBy("symbol").orderBy(F.desc(day)).rowsBetween(Window.unboundedPreceding, 0)
+    running = bars.select("symbol", day, *(stat.over(to_end).alias(name) for name, stat in stats.items()))
+    return asof_lookup(held, running, by="symbol", left_on="fill_date", right_on=day, values=list(stats), direction="forward").drop(day)
+
+
+def held_bars(pos: DataFrame, bars: DataFrame) -> DataFrame:
+    """Every position with its symbol's bars from the fill date to the first one on or after the target exit date.
+
+    No rule can fire later than the horizon does. Bars are numbered per symbol and kept in blocks; a position meets the blocks
+    between its two numbers by equality, so it reads its holding period and at most two blocks' rest.
+    """
+    order = Window.partitionBy("symbol").orderBy("day")
+    numbered = bars.withColumn("__at", F.row_number().over(order) - 1)
+    spot = numbered.select("symbol", "day", "__at")
+    pos = asof_lookup(pos, spot.withColumnRenamed("day", "__fill_bar"), by="symbol", left_on="fill_date", right_on="__fill_bar", values=["__at"], direction="forward")
+    pos = pos.filter("__at is not null").withColumnRenamed("__at", "__from").drop("__fill_bar").withColumn("__due", F.greatest("fill_date", "target_exit_date"))
+    pos = pos.withColumn("__due", F.when(F.col("target_exit_date").isNotNull(), F.col("__due")))
+    pos = asof_lookup(pos, spot.withColumnRenamed("day", "__due_bar"), by="symbol", left_on="__due", right_on="__due_bar", values=["__at"], direction="forward")
+    last = numbered.groupBy("symbol").agg(F.max("__at").alias("__last"))
+    pos = pos.withColumnRenamed("__at", "__to").drop("__due", "__due_bar").join(last, "symbol").withColumn("__to", F.coalesce("__to", "__last")).drop("__last")
+    values = [c for c in bars.columns if c != "symbol"]
+    blocks = numbered.groupBy("symbol", F.floor(F.col("__at") / BAR_BLOCK).alias("__block")).agg(F.collect_list(F.struct("__at", *values)).alias("__bars"))
+    opened = pos.withColumn("__block", F.explode(F.sequence(F.floor(F.col("__from") / BAR_BLOCK), F.floor(F.col("__to") / BAR_BLOCK))))
+    met = opened.join(blocks, ["symbol", "__block"]).withColumn("__bar", F.explode(F.filter("__bars", lambda x: x["__at"].between(F.col("__from"), F.col("__to")))))
+    return met.select(*[c for c in pos.columns if c not in ("__from", "__to")], *(F.col("__bar")[c].alias(c) for c in values))
+
+
 def position_days(
     open_rows: DataFrame, prices: DataFrame, config: LedgerConfig, *, scores: DataFrame | None = None,
     universe: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per open position and trading day from its fill date on, with all exit inputs.
+    """One row per open position and trading day from its fill date to its horizon, with all exit inputs.
 
     The running high starts at the fill date: replaying a stored later high over earlier days would let a
-    trailing stop fire in hindsight. A position's group is bounded by the calendar.
+    trailing stop fire in hindsight. A position's group is bounded by its holding period.
     """
     rules = config.exit_rules
     bars = prices.select(symbol_key("symbol").alias("symbol"), F.col("date").cast("date").alias("day"), F.col("adj_close").alias("close_price"))
     pos = open_rows.withColumn("symbol", F.upper("symbol")).select(
         "order_id", "symbol", "sector", "score", "shares", "fill_date", "target_exit_date", "entry_price", "entry_value",
         "entry_cost", "trailing_stop_activated")
-    days = pos.join(bars, "symbol").filter(F.col("day") >= F.col("fill_date"))
+    days = held_bars(pos, bars)
     high = running_max("close_price", ["day"], ["order_id"])
     days = days.withColumn("high_close", high)
-    gain = F.coalesce(F.try_divide(F.col("high_close") - F.col("entry_price"), F.col("entry_price")), F.lit(0.0))
-    level = rules.vol_trail_activate_at if rules.vol_trail_multiple is not None else (
-        rules.trail_activate_at if rules.trail_from_high_pct is not None else None)
-    # the high only rises, so comparing it with the threshold latches by itself
-    armed = F.col("trailing_stop_activated")
-    armed = armed | (gain >= level) if level is not None else armed
+    armed = trail_armed(rules)
     value = F.col("shares") * F.col("close_price") - F.col("entry_value") - F.col("entry_cost")
     days = days.withColumns({
         "trail_armed": armed, "current_return": F.coalesce(ratio(value, "entry_value"), F.lit(0.0)),
@@ -465,6 +497,18 @@ def position_days(
     return days.drop("date")
 
 
+def trail_armed(rules: ExitRules) -> Column:
+    """Whether the running high ``high_close`` has reached the level that arms the trailing stop.
+
+    The high only rises, so comparing it with the level latches by itself.
+    """
+    gain = F.coalesce(F.try_divide(F.col("high_close") - F.col("entry_price"), F.col("entry_price")), F.lit(0.0))
+    level = rules.vol_trail_activate_at if rules.vol_trail_multiple is not None else (
+        rules.trail_activate_at if rules.trail_from_high_pct is not None else None)
+    armed = F.col("trailing_stop_activated")
+    return armed | (gain >= level) if level is not None else armed
+
+
 def exit_decisions(days: DataFrame, rules: ExitRules) -> DataFrame:
     """First firing day per order, and the running high and latch of the last day."""
     found = days.withColumn("__x", exit_case(rules))
@@ -531,10 +575,10 @@ def reconcile_dividends(ledger: DataFrame, prices: DataFrame, config: LedgerConf
     df = normalize_ledger(ledger)
     if events is not None:
         paid = events.select(symbol_key("symbol").alias("symbol"), F.col("ex_date").cast("date").alias("ex_date"), "dividend_per_share")
-        held = df.filter("status = 'open' and fill_date is not null").select("order_id", "symbol", "fill_date", "shares")
-        income = held.join(paid, "symbol").filter("ex_date >= fill_date").groupBy("order_id").agg(
-            F.sum(F.col("dividend_per_share") * F.col("shares")).alias("__income"))
-        df = df.join(income, "order_id", "left")
+        per_day = paid.groupBy("symbol", "ex_date").agg(F.sum("dividend_per_share").alias("__paid"))
+        holds = (F.col("status") == "open") & F.col("fill_date").isNotNull()
+        held = since_fill(df, per_day, {"__since": F.sum("__paid")}, "ex_date")
+        df = held.withColumn("__income", F.when(holds, F.col("__since") * F.col("shares"))).drop("__since")
         new = F.when(F.col("__income") > 0, F.greatest("dividends", "__income")).otherwise(F.col("dividends"))
         return df.withColumn("dividends", new).drop("__income")
     if config.dividend_yield is None:
@@ -582,7 +626,10 @@ def mark_positions(
     config = config or LedgerConfig()
     df = normalize_ledger(ledger).filter(F.col("status").isin("open", "planned")).withColumn("symbol", F.upper("symbol"))
     days = position_days(df.filter("status = 'open' and fill_date is not null"), prices, config, scores=scores, universe=universe)
-    df = df.join(exit_decisions(days, config.exit_rules), "order_id", "left").join(latest_marks(prices), "symbol", "left")
+    df = df.join(exit_decisions(days, config.exit_rules).drop("last"), "order_id", "left").join(latest_marks(prices), "symbol", "left")
+    bars = prices.select(symbol_key("symbol").alias("symbol"), F.col("date").cast("date").alias("day"), F.col("adj_close").alias("close_price"))
+    df = since_fill(df, bars, {"high_close": F.max("close_price")})
+    df = df.withColumn("high_close", F.when(F.col("status") == "open", F.col("high_close")))
     df = attach_scores(df.withColumn("date", F.col("latest_price_date")), scores)
     is_open = F.col("status") == "open"
     value = F.when(is_open, F.col("shares") * F.col("latest_price")).otherwise(0.0)
@@ -596,8 +643,8 @@ def mark_positions(
         F.when(is_open, F.coalesce(ratio(gain, "entry_value"), F.lit(0.0))).otherwise(0.0).alias("unrealized_return"),
         business_days_between("fill_date", "latest_price_date").alias("days_open"),
         F.when(is_open, F.col("current_score")).alias("current_score"), F.col("score").alias("entry_score"),
-        F.coalesce(F.col("last.high_close"), F.col("highest_close_since_entry")).alias("highest_close_since_entry"),
-        F.coalesce(F.col("last.trail_armed"), F.col("trailing_stop_activated")).alias("trailing_stop_activated"),
+        F.coalesce("high_close", "highest_close_since_entry").alias("highest_close_since_entry"),
+        F.when(F.col("high_close").isNotNull(), trail_armed(config.exit_rules)).otherwise(F.col("trailing_stop_activated")).alias("trailing_stop_activated"),
     )
 
 
