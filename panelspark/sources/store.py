@@ -1,18 +1,26 @@
 """Versioned Parquet tables for ledgers, run history, account snapshots and the model registry.
 
-A change writes a complete new version beside the old one and becomes visible when Spark commits it, so
-readers never see half a table and a lost job leaves the previous version in place.
+A change writes its data into a folder of its own and becomes visible by an entry in the table's log, made with the file system's
+exclusive create. Readers never see half a table, a writer that dies leaves the previous version in place and blocks nobody, and
+of two writers that change the same version one starts again from what the other made.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import time
+import uuid
+from collections.abc import Callable
+from dataclasses import asdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import short_id
 from panelspark.operators.ledger import LEDGER_COLUMNS, normalize_ledger
+from panelspark.operators.linear import LinearFit
 
 # Columns of the run history table.
 HISTORY_COLUMNS = (
@@ -33,6 +41,10 @@ def keep_latest(df: DataFrame, keys, order) -> DataFrame:
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 
 
+#: How long a claimed version without content is waited for; writing the entry takes milliseconds.
+CLAIM_SECONDS = 3.0
+
+
 class TableStore:
     """Named tables under one root folder on any Hadoop file system."""
 
@@ -43,29 +55,75 @@ class TableStore:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
+    def _log(self, name: str) -> dict[int, dict]:
+        """Committed versions with their entries; an entry without content is that of a writer that died or is about to finish."""
+        fs, target = self._fs(f"{self.root}/{name}/log")
+        found = {}
+        for status in fs.listStatus(target) if fs.exists(target) else ():
+            label = status.getPath().getName()
+            if label.isdigit():
+                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(status.getPath()), "UTF-8")
+                try:
+                    found[int(label)] = json.loads(text)
+                except json.JSONDecodeError:
+                    continue
+        return found
+
+    def _claimed(self, name: str) -> int:
+        """The highest version that any writer has claimed."""
+        fs, target = self._fs(f"{self.root}/{name}/log")
+        labels = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+        return max((int(x) for x in labels if x.isdigit()), default=0)
+
+    def _publish(self, name: str, version: int, entry: dict) -> bool:
+        """Make ``version`` visible; false if another writer has claimed it."""
+        fs, target = self._fs(f"{self.root}/{name}/log/{version:09d}")
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        return True
+
     def versions(self, name: str) -> list[int]:
         """Committed versions, oldest first."""
-        fs, target = self._fs(f"{self.root}/{name}")
-        if not fs.exists(target):
-            return []
-        found = []
-        for status in fs.listStatus(target):
-            label = status.getPath().getName()
-            done, marker = self._fs(f"{self.root}/{name}/{label}/_SUCCESS")
-            if label.startswith("v") and done.exists(marker):
-                found.append(int(label[1:]))
-        return sorted(found)
+        return sorted(self._log(name))
 
     def read(self, name: str) -> DataFrame | None:
-        known = self.versions(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/v{known[-1]:06d}") if known else None
-
-    def replace(self, name: str, df: DataFrame) -> int:
-        """Write ``df`` as the next version and return its number; two writers of one version fail instead of mixing."""
-        known = self.versions(name)
-        version = (known[-1] if known else 0) + 1
-        df.write.mode("error").parquet(f"{self.root}/{name}/v{version:06d}")
-        return version
+        log = self._log(name)
+        return self.spark.read.parquet(f"{self.root}/{name}/{log[max(log)]['folder']}") if log else None
+
+    def note(self, name: str) -> dict:
+        """What the writer of the current version noted beside it."""
+        log = self._log(name)
+        return log[max(log)]["note"] if log else {}
+
+    def change(self, name: str, build: Callable[[DataFrame | None], DataFrame], note: dict | None = None, attempts: int = 20) -> int:
+        """Commit ``build(current table)`` as the next version and return its number.
+
+        If another writer commits in between, the change is built again on what that writer made. ``note`` is kept with the version.
+        """
+        for _ in range(attempts):
+            claimed = self._claimed(name)  # before the log: whoever commits after this has the number this change will ask for
+            log = self._log(name)
+            until = time.monotonic() + CLAIM_SECONDS
+            while claimed > max(log, default=0) and time.monotonic() < until:
+                time.sleep(0.1)  # an entry is about to be written, or its writer has died
+                log = self._log(name)
+            base = max(log, default=0)
+            old = self.spark.read.parquet(f"{self.root}/{name}/{log[base]['folder']}") if log else None
+            folder = f"data-{uuid.uuid4().hex}"
+            build(old).write.mode("error").parquet(f"{self.root}/{name}/{folder}")
+            if self._publish(name, claimed + 1, {"folder": folder, "note": note or {}}):
+                return claimed + 1
+        raise RuntimeError(f"{name!r} was changed by others {attempts} times in a row")
+
+    def replace(self, name: str, df: DataFrame, note: dict | None = None) -> int:
+        """Write ``df`` as the next version, whatever the table holds, and return its number."""
+        return self.change(name, lambda old: df, note)
 
     def export_csv(self, name: str, path: str) -> None:
         """CSV export as a folder of part files, written in parallel."""
@@ -92,34 +150,42 @@ class TableStore:
     def replace_ledger(self, df: DataFrame) -> int:
         return self.replace("ledger", normalize_ledger(df).withColumn("updated_at", F.current_timestamp()))
 
-    def upsert_orders(self, orders: DataFrame) -> int:
-        """Insert or update by order id."""
-        new = normalize_ledger(orders).withColumns({"updated_at": F.current_timestamp(), "__new": F.lit(1)})
-        old = self.read("ledger")
-        if old is None:
-            return self.replace("ledger", new.drop("__new"))
-        both = old.withColumn("__new", F.lit(0)).unionByName(new, allowMissingColumns=True)
-        return self.replace("ledger", keep_latest(both, ["order_id"], F.struct("__new", "updated_at")).drop("__new"))
-
-    def append_orders(self, orders: DataFrame) -> int:
-        """Append orders with unknown ids and return how many there were."""
-        new = normalize_ledger(orders).withColumn("updated_at", F.current_timestamp()).dropDuplicates(["order_id"])
-        old = self.read("ledger")
-        if old is None:
-            self.replace("ledger", new)
-            return self.read("ledger").count()
-        before = old.count()  # answered by Parquet footers
-        fresh = new.join(old.select("order_id"), "order_id", "left_anti")
-        self.replace("ledger", old.unionByName(fresh, allowMissingColumns=True))
-        return self.read("ledger").count() - before
+    def upsert_orders(self, orders: DataFrame, arrival: str | None = None) -> int:
+        """Insert or update by order id.
+
+        Of several rows with one id the one with the greatest ``arrival`` wins, and without that column, or among equal ones, the
+        greatest row by its columns in their order.
+        """
+        new = _newest(orders, arrival)
+
+        def build(old):
+            fresh = new.withColumns({"updated_at": F.current_timestamp(), "__new": F.lit(1)})
+            if old is None:
+                return fresh.drop("__new")
+            both = old.withColumn("__new", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
+            return keep_latest(both, ["order_id"], F.col("__new")).drop("__new")
+
+        return self.change("ledger", build)
+
+    def append_orders(self, orders: DataFrame, arrival: str | None = None) -> int:
+        """Append orders with unknown ids and return how many there were; see :meth:`upsert_orders` for repeated ids."""
+        new = _newest(orders, arrival)
+        made = {}
+
+        def build(old):
+            fresh = new.withColumn("updated_at", F.current_timestamp())
+            made["before"] = 0 if old is None else old.count()  # answered by Parquet footers
+            return fresh if old is None else old.unionByName(fresh.join(old.select("order_id"), "order_id", "left_anti"), allowMissingColumns=True)
+
+        version = self.change("ledger", build)
+        return self.spark.read.parquet(f"{self.root}/ledger/{self._log('ledger')[version]['folder']}").count() - made["before"]
 
     # --- run history and snapshots ---
 
     def append_run(self, row: DataFrame) -> int:
         """Append run rows; an older stored schema is widened to the union of both."""
         new = history_row_types(row)
-        old = self.read("history")
-        return self.replace("history", new if old is None else old.unionByName(new, allowMissingColumns=True))
+        return self.change("history", lambda old: new if old is None else old.unionByName(new, allowMissingColumns=True))
 
     def history(self) -> DataFrame | None:
         table = self.read("history")
@@ -130,13 +196,15 @@ class TableStore:
 
     def add_snapshot(self, snapshot: DataFrame) -> int:
         """Append account snapshots; a repeated date replaces the earlier row."""
-        old = self.read("snapshots")
-        new = snapshot.withColumn("__new", F.lit(1))
-        if old is None:
-            return self.replace("snapshots", snapshot)
         keys = [c for c in ("account_id", "snapshot_date") if c in snapshot.columns]
-        both = old.withColumn("__new", F.lit(0)).unionByName(new, allowMissingColumns=True)
-        return self.replace("snapshots", keep_latest(both, keys, F.col("__new")).drop("__new"))
+
+        def build(old):
+            if old is None:
+                return snapshot
+            both = old.withColumn("__new", F.lit(0)).unionByName(snapshot.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+            return keep_latest(both, keys, F.col("__new")).drop("__new")
+
+        return self.change("snapshots", build)
 
     def snapshots(self) -> DataFrame | None:
         table = self.read("snapshots")
@@ -155,21 +223,26 @@ class TableStore:
 
     def save_model(self, model, *, model_type: str, features, config: dict, metrics: dict, training_rows: int | None = None,
                    training_symbols: int | None = None, training_end_date: str | None = None) -> str:
-        """Persist a fitted pipeline and register it; returns the new model id."""
-        import json
-
+        """Persist a fitted pipeline or linear model and register it; returns the new model id."""
         model_id = self.spark.range(1).select(short_id()).first()[0]
         path = f"{self.root}/artifacts/{model_id}"
-        model.write().overwrite().save(path)
+        if isinstance(model, LinearFit):
+            path += "/linear"
+            model.save(self.spark, path)
+        else:
+            model.write().overwrite().save(path)
         line = (model_id, model_type, json.dumps(list(features)), json.dumps(config), json.dumps(metrics), path, training_rows,
                 training_symbols, training_end_date)
         schema = ("model_id string, model_type string, feature_columns string, config_json string, metrics_json string, "
                   "artifact_path string, training_rows long, training_symbols long, training_end_date string")
         row = self.spark.createDataFrame([line], schema).withColumn("created_at", F.current_timestamp())
-        old = self.read("models")
-        version = F.lit(1) if old is None else F.lit(old.filter(F.col("model_type") == model_type).count() + 1)
-        row = row.withColumn("version", version)
-        self.replace("models", row if old is None else old.unionByName(row))
+
+        def build(old):
+            number = 1 if old is None else old.filter(F.col("model_type") == model_type).count() + 1
+            numbered = row.withColumn("version", F.lit(number))
+            return numbered if old is None else old.unionByName(numbered)
+
+        self.change("models", build)
         return model_id
 
     def load_model(self, model_id: str):
@@ -178,7 +251,22 @@ class TableStore:
 
         table = self.read("models")
         found = None if table is None else table.filter(F.col("model_id") == model_id).first()
-        return None if found is None else PipelineModel.load(found["artifact_path"])
+        if found is None:
+            return None
+        path = found["artifact_path"]
+        return LinearFit.load(self.spark, path) if path.endswith("/linear") else PipelineModel.load(path)
+
+    def save_walk_forward(self, run: dict, summary: DataFrame, *, features, config) -> str:
+        """Save a walk-forward's last model with the figures of all its folds; ``run`` and ``summary`` as its operators return them."""
+        figures = summary.agg(F.avg("risk_backtest_sharpe").alias("sharpe"), F.max("risk_backtest_sharpe").alias("best"), F.avg("ic_spearman").alias("ic"),
+                              F.count("*").alias("splits"), F.sum("validation_rows").alias("predictions"), F.max("validation_end").alias("last")).first()
+        size = run["rows"].agg(F.count("*").alias("rows"), F.countDistinct("symbol").alias("symbols")).first()
+        number = lambda x: 0.0 if x is None or x != x else float(x)
+        metrics = {"sharpe": number(figures["sharpe"]), "best_split_sharpe": number(figures["best"]), "ic": number(figures["ic"]),
+                   "split_count": int(figures["splits"]), "prediction_count": int(figures["predictions"] or 0)}
+        return self.save_model(
+            run["models"][-1], model_type=config.model_type, features=features, config=asdict(config), metrics=metrics, training_rows=size["rows"],
+            training_symbols=size["symbols"], training_end_date=None if figures["last"] is None else str(figures["last"]))
 
     def best_model(self, metric: str, model_type: str | None = None) -> DataFrame | None:
         """Registry row with the highest metric among all models."""
@@ -190,12 +278,20 @@ class TableStore:
         table = self.read("models")
         if table is None or table.filter(F.col("model_id") == model_id).isEmpty():
             return False
-        self.replace("models", table.filter(F.col("model_id") != model_id))
+        self.change("models", lambda old: old.filter(F.col("model_id") != model_id))
         fs, target = self._fs(f"{self.root}/artifacts/{model_id}")
         fs.delete(target, True)
         return True
 
 
+def _newest(orders: DataFrame, arrival: str | None) -> DataFrame:
+    """Normalised orders with one row per id."""
+    new = normalize_ledger(orders)
+    rest = [F.col(f"`{c}`") for c in new.columns if c != "order_id"]
+    order = F.struct(*([F.col(arrival)] if arrival else []), *rest)
+    return keep_latest(new, ["order_id"], order)
+
+
 def history_row_types(df: DataFrame) -> DataFrame:
     """Run history columns with their types; NaN becomes null and missing columns are added."""
     cols = []
@@ -326,8 +422,6 @@ def file_metadata(spark: SparkSession, paths) -> DataFrame:
 def run_manifest(spark: SparkSession, run_type: str, *, parameters: dict, inputs: DataFrame | None = None, outputs: dict | None = None,
                  as_of_date=None, start_date=None, end_date=None) -> DataFrame:
     """One lineage record as a JSON text row."""
-    import json
-
     head = spark.range(1).select(
         F.lit(run_type).alias("run_type"), F.current_timestamp().alias("created_at_utc"),
         *[F.lit(None if v is None else str(v)).cast("string").alias(n) for n, v in (("as_of_date", as_of_date), ("start_date", start_date), ("end_date", end_date))],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from panelspark.functions.scalar import ratio, symbol_key
-from panelspark.operators.ledger import EXIT_RULE_VERSION, LedgerConfig, normalize_ledger, trade_cost
+from panelspark.operators.ledger import EXIT_RULE_VERSION, LedgerConfig, normalize_ledger, since_fill, trade_cost
 from panelspark.sources.files import MARK_SCHEMA, normalize_marks, path_exists
 from panelspark.sources.store import TableStore
 
@@ -47,36 +47,51 @@ def latest_marks(marks: DataFrame) -> DataFrame:
 
 
 class LatestMark(StatefulProcessor):
-    """Latest mark per symbol in a value state that expires."""
+    """Latest mark per symbol in a value state; an event-time timer tells when a symbol has had none for too long."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "timestamp timestamp, price double, high double", self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("latest", "micros long, price double, high double")
 
     def handleInputRows(self, key, rows, timerValues):
-        best = self.state.get()
+        best = before = self.state.get()
         for pdf in rows:
-            last = pdf["timestamp"].to_numpy().argmax() if len(pdf) else None
-            if last is not None and (best is None or pdf["timestamp"].iloc[last] >= best[0]):
-                best = (pdf["timestamp"].iloc[last], float(pdf["price"].iloc[last]), float(pdf["high"].iloc[last]))
+            if len(pdf):
+                last = pdf.sort_values(["micros", "price"]).iloc[-1]
+                if best is None or (int(last["micros"]), float(last["price"])) > (best[0], best[1]):
+                    best = (int(last["micros"]), float(last["price"]), float(last["high"]))
+        if best is None or best == before:
+            return
+        self.state.update(best)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(best[0] // 1000 + self.silence_ms)
+        yield pd.DataFrame({"symbol": [key[0]], "micros": [best[0]], "price": [best[1]], "high": [best[2]], "expired": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        best = self.state.get()
+        self.state.clear()
         if best is not None:
-            self.state.update(best)
-            yield pd.DataFrame({"symbol": [key[0]], "timestamp": [best[0]], "price": [best[1]], "high": [best[2]]})
+            yield pd.DataFrame({"symbol": [key[0]], "micros": [best[0]], "price": [best[1]], "high": [best[2]], "expired": [True]})
 
     def close(self) -> None:
         pass
 
 
-def latest_marks_with_ttl(marks: DataFrame, ttl_ms: int) -> DataFrame:
-    """Streaming form of :func:`latest_marks` whose per-symbol state expires ``ttl_ms`` milliseconds after its last change.
+def expiring_marks(marks: DataFrame, silence_ms: int) -> DataFrame:
+    """Streaming form of :func:`latest_marks` whose state ends: a row per newer mark, and one with ``expired`` and the last mark once the
+    watermark is ``silence_ms`` milliseconds past it.
 
-    A symbol without marks for so long is forgotten: its next mark is its latest, even if it is older than the forgotten one. Needs the RocksDB state store provider.
+    An expired symbol is forgotten and starts anew with its next mark, so the state holds only symbols seen lately. ``marks`` has a
+    watermark on ``timestamp``. Needs the RocksDB state store provider.
     """
-    return marks.select("symbol", "timestamp", "price", "high").groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=LatestMark(ttl_ms), outputStructType="symbol string, timestamp timestamp, price double, high double",
-        outputMode="Update", timeMode="ProcessingTime")
+    rows = marks.select("symbol", "timestamp", F.unix_micros("timestamp").alias("micros"), "price", "high")
+    out = rows.groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=LatestMark(silence_ms), outputStructType="symbol string, micros long, price double, high double, expired boolean", outputMode="Append", timeMode="EventTime")
+    return out.select("symbol", F.timestamp_micros("micros").alias("timestamp"), "price", "high", "expired")
 
 
 def bars(marks: DataFrame, size: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -97,9 +112,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", time: str = "timestamp"
 def daily_highs(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     """Highest price of each open position since its fill date."""
     high = "high" if "high" in prices.columns else "adj_close"
-    bars_ = prices.select(symbol_key("symbol").alias("symbol"), F.col("date").cast("date").alias("__d"), F.col(high).alias("__h"))
-    held = ledger.filter("status = 'open' and fill_date is not null").select("order_id", symbol_key("symbol").alias("symbol"), "fill_date")
-    return held.join(bars_, "symbol").filter(F.col("__d") >= F.col("fill_date")).groupBy("order_id").agg(F.max("__h").alias("daily_high"))
+    per_day = prices.select(symbol_key("symbol").alias("symbol"), F.col("date").cast("date").alias("day"), F.col(high).alias("__h")).groupBy("symbol", "day").agg(F.max("__h").alias("__h"))
+    held = ledger.filter("status = 'open' and fill_date is not null").select("order_id", symbol_key("symbol").alias("symbol"), F.col("fill_date").cast("date").alias("fill_date"))
+    return since_fill(held, per_day, {"daily_high": F.max("__h")}).filter("daily_high is not null").select("order_id", "daily_high")
 
 
 def evaluate_exits(ledger: DataFrame, marks: DataFrame, config: LedgerConfig | None = None, prices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -169,31 +184,83 @@ def decision_summary(decisions: DataFrame) -> DataFrame:
         F.max("timestamp").alias("latest_timestamp"))
 
 
-def monitor_batch(store: TableStore, config: LedgerConfig, prices: DataFrame | None = None, write_ledger: bool = True):
+def decision_log(store: TableStore, before: int | None = None) -> DataFrame | None:
+    """Logged decisions that are not yet in the stored ledger, with their batch; optionally of earlier batches only."""
+    fs, target = store._fs(f"{store.root}/decisions")
+    if not fs.exists(target):
+        return None
+    merged = store.note("ledger").get("decisions_upto", -1)
+    names = [s.getPath().getName() for s in fs.listStatus(target)]
+    numbers = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+    wanted = [n for n in numbers if n > merged and (before is None or n < before) and path_exists(store.spark, f"{store.root}/decisions/batch={n:09d}/_SUCCESS")]
+    if not wanted:
+        return None
+    paths = [f"{store.root}/decisions/batch={n:09d}" for n in wanted]
+    return store.spark.read.option("basePath", f"{store.root}/decisions").parquet(*paths)
+
+
+def _settled(decisions: DataFrame) -> DataFrame:
+    """One decision per order: its first exit, else its latest mark; highs and latches carry on from batch to batch."""
+    rest = [c for c in decisions.columns if c not in ("order_id", "batch")]
+    row = F.struct(*rest)
+    exit_row = F.min_by(row, F.when(F.col("triggered"), F.col("batch")))
+    kept = F.coalesce(exit_row, F.max_by(row, F.col("batch")))
+    return decisions.groupBy("order_id").agg(kept.alias("__row")).select("order_id", *[F.col("__row")[c].alias(c) for c in rest])
+
+
+def monitored_ledger(store: TableStore, config: LedgerConfig, before: int | None = None) -> DataFrame | None:
+    """The stored ledger with all logged decisions merged on read; ``before`` leaves later batches out."""
+    ledger = store.read("ledger")
+    if ledger is None:
+        return None
+    ledger, log = normalize_ledger(ledger), decision_log(store, before)
+    return ledger if log is None else apply_decisions(ledger, _settled(log), config)
+
+
+def compact_decisions(store: TableStore, config: LedgerConfig) -> int | None:
+    """Write the merged ledger as a new version that covers the logged batches, and return the last of them.
+
+    The version notes how far it goes in the same commit, so readers never merge a batch twice.
+    """
+    log = decision_log(store)
+    if log is None:
+        return None
+    upto = log.agg(F.max("batch")).first()[0]
+    if upto is None:  # batches without a decision
+        return None
+    settled = _settled(log.filter(F.col("batch") <= upto))
+    store.change("ledger", lambda old: apply_decisions(normalize_ledger(old), settled, config), {"decisions_upto": int(upto)})
+    return int(upto)
+
+
+def monitor_batch(store: TableStore, config: LedgerConfig, prices: DataFrame | None = None, compact_every: int | None = 100):
     """A ``foreachBatch`` function: one monitoring cycle per micro-batch.
 
-    Decisions of a batch go to a folder named by the batch id. A replayed batch reuses a finished folder,
-    and applying the same decisions twice gives the same ledger.
+    A batch appends the decisions that change something to a log, in a folder named by its id; the ledger itself is not written.
+    What a batch decides depends on the ledger and on earlier batches only, so a repeated batch decides the same and reuses a
+    finished folder. Every ``compact_every`` batches the log is merged into the ledger.
     """
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        ledger = store.read("ledger")
+        ledger = monitored_ledger(store, config, batch_id)
         if ledger is None or batch.isEmpty():
             return
         path = f"{store.root}/decisions/batch={batch_id:09d}"
-        if not path_exists(store.spark, f"{path}/_SUCCESS"):
+        if not path_exists(store.spark, f"{path}/_SUCCESS") and batch_id > store.note("ledger").get("decisions_upto", -1):
             decisions, _ = evaluate_exits(ledger, batch, config, prices)
-            decisions.write.mode("overwrite").parquet(path)
-        if write_ledger:
-            made = store.spark.read.parquet(path)
-            store.replace("ledger", apply_decisions(normalize_ledger(ledger), made, config))
+            known = ledger.select("order_id", F.col("highest_close_since_entry").alias("__h"), F.col("trailing_stop_activated").alias("__t"))
+            moved = ~F.col("highest_price_since_entry").eqNullSafe(F.col("__h")) | ~F.col("trailing_stop_activated").eqNullSafe(F.col("__t"))
+            changed = decisions.filter("action <> 'no_mark'").join(known, "order_id").filter(F.col("triggered") | moved).drop("__h", "__t")
+            changed.write.mode("overwrite").parquet(path)
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            compact_decisions(store, config)
 
     return cycle
 
 
 def start_monitor(marks: DataFrame, store: TableStore, config: LedgerConfig, checkpoint: str, *, prices: DataFrame | None = None,
-                  write_ledger: bool = True, available_now: bool = False, every: str = "1 minute"):
+                  compact_every: int | None = 100, available_now: bool = False, every: str = "1 minute"):
     """Start the monitoring query; ``available_now`` works through what is there and stops."""
-    writer = marks.writeStream.foreachBatch(monitor_batch(store, config, prices, write_ledger)).option("checkpointLocation", checkpoint)
+    writer = marks.writeStream.foreachBatch(monitor_batch(store, config, prices, compact_every)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
     return writer.start()
