@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 from panelspark.functions import calendar
 from panelspark.functions.crosssection import with_group_stats, with_percent_ranks
 from panelspark.functions.scalar import change, ratio
-from panelspark.functions.windows import (
-    lag, lead, rolling_beta, rolling_corr, rolling_max, rolling_mean, rolling_min, rolling_std,
-    trailing, with_ewm,
-)
+from panelspark.functions.rolling import Roll, with_rolling
+from panelspark.functions.windows import lag, lead, rolling_mean, rolling_std, with_ewm
 from panelspark.session import require_columns
 
 RETURN_WINDOWS = (5, 10, 20, 40, 60, 120)
@@ -40,8 +38,8 @@ def return_features(df: DataFrame, windows=RETURN_WINDOWS, price: str = "adj_clo
         cols[f"return_{w}d"] = change(price, lag(price, w))
         cols[f"exit_close_{w}d"] = lead(price, w)
         cols[f"momentum_{w}d"] = cols[f"return_{w}d"]
-        cols[f"volatility_{w}d"] = rolling_std("return_1d", w)
-    return df.withColumns(cols)
+    df = df.withColumns(cols)
+    return with_rolling(df, {f"volatility_{w}d": Roll("std", "return_1d", w) for w in windows})
 
 
 def skip_and_ratio_features(df: DataFrame, windows=RETURN_WINDOWS, price: str = "adj_close") -> DataFrame:
@@ -59,27 +57,29 @@ def volume_features(
     df = df.withColumns(
         {"volume_change_5d": change(volume, lag(volume, 5)), "dollar_volume": F.col(price) * F.col(volume)}
     )
-    cols = {"log_dollar_volume": F.log1p("dollar_volume")}
+    means = {f"avg_volume_{w}d": Roll("mean", volume, w) for w in windows}
+    means |= {f"avg_dollar_volume_{w}d": Roll("mean", "dollar_volume", w) for w in windows}
+    df = with_rolling(df.withColumn("log_dollar_volume", F.log1p("dollar_volume")), means)
+    cols = {}
     for w in windows:
-        mean_volume = rolling_mean(volume, w, dense=True)
-        mean_dollars = rolling_mean("dollar_volume", w, dense=True)
-        cols[f"avg_volume_{w}d"] = mean_volume
-        cols[f"relative_volume_{w}d"] = F.try_divide(F.col(volume), mean_volume)
-        cols[f"avg_dollar_volume_{w}d"] = mean_dollars
-        cols[f"log_avg_dollar_volume_{w}d"] = F.log1p(mean_dollars)
+        cols[f"relative_volume_{w}d"] = F.try_divide(F.col(volume), F.col(f"avg_volume_{w}d"))
+        cols[f"log_avg_dollar_volume_{w}d"] = F.log1p(f"avg_dollar_volume_{w}d")
     return df.withColumns(cols)
 
 
 def range_features(
     df: DataFrame, sma_windows=SMA_WINDOWS, range_windows=RANGE_WINDOWS, price: str = "adj_close"
 ) -> DataFrame:
-    cols = {f"price_above_sma_{w}": change(price, rolling_mean(price, w, dense=True)) for w in sma_windows}
+    rolls = {f"__sma_{w}": Roll("mean", price, w) for w in sma_windows}
     for w in range_windows:
-        high, low = rolling_max(price, w, dense=True), rolling_min(price, w, dense=True)
-        cols[f"distance_from_{w}d_high"] = change(price, high)
-        cols[f"drawdown_{w}d"] = change(price, high)
-        cols[f"high_low_range_{w}d"] = change(high, low)
-    return df.withColumns(cols)
+        rolls |= {f"__high_{w}": Roll("max", price, w), f"__low_{w}": Roll("min", price, w)}
+    df = with_rolling(df, rolls)
+    cols = {f"price_above_sma_{w}": change(price, f"__sma_{w}") for w in sma_windows}
+    for w in range_windows:
+        cols[f"distance_from_{w}d_high"] = change(price, f"__high_{w}")
+        cols[f"drawdown_{w}d"] = change(price, f"__high_{w}")
+        cols[f"high_low_range_{w}d"] = change(f"__high_{w}", f"__low_{w}")
+    return df.withColumns(cols).drop(*rolls)
 
 
 def lagged_features(df: DataFrame, windows=RETURN_WINDOWS) -> DataFrame:
@@ -185,11 +185,12 @@ def interaction_features(df: DataFrame, windows=RETURN_WINDOWS, volume_windows=V
 
 
 def factor_proxies(df: DataFrame, windows=RETURN_WINDOWS) -> DataFrame:
-    cols = {"quality_factor": -rolling_std("return_1d", 60)}
+    df = with_rolling(df, {"__deviation": Roll("std", "return_1d", 60)})
+    cols = {"quality_factor": -F.col("__deviation")}
     if len(windows) >= 6:
         cols["momentum_factor"] = F.col(f"return_{windows[-1]}d") - F.col(f"return_{windows[1]}d")
     base = f"volatility_{windows[2] if len(windows) > 2 else windows[-1]}d"
-    df = with_percent_ranks(df.withColumns(cols), ["date"], {"__low": (base, True)})
+    df = with_percent_ranks(df.withColumns(cols).drop("__deviation"), ["date"], {"__low": (base, True)})
     return df.withColumn("low_vol_factor", 1.0 - F.col("__low")).drop("__low")
 
 
@@ -283,10 +284,10 @@ def market_relative_features(
         f"stock_minus_market_return_{w}d": F.col(f"return_{w}d") - F.col(f"market_return_{w}d")
         for w in windows if f"return_{w}d" in df.columns
     }
+    rolls = {}
     for w in beta_windows:
-        cols[f"beta_{w}d"] = rolling_beta("return_1d", "market_return_1d", w)
-        cols[f"correlation_to_market_{w}d"] = rolling_corr("return_1d", "market_return_1d", w)
-    return df.withColumns(cols)
+        rolls |= {f"beta_{w}d": Roll("beta", "return_1d", w, "market_return_1d"), f"correlation_to_market_{w}d": Roll("corr", "return_1d", w, "market_return_1d")}
+    return with_rolling(df.withColumns(cols), rolls)
 
 
 def discovery_features(df: DataFrame, price: str = "adj_close") -> DataFrame:
@@ -295,33 +296,34 @@ def discovery_features(df: DataFrame, price: str = "adj_close") -> DataFrame:
         return df
     if "return_1d" not in df.columns:
         df = df.withColumn("return_1d", change(price, lag(price)))
-    have, cols = set(df.columns), {}
-    for w in (20, 50, 200):
-        cols[f"price_above_sma_{w}"] = change(price, rolling_mean(price, w, dense=True))
-    cols["distance_from_52w_high"] = change(price, rolling_max(price, 252, dense=True))
-    cols["drawdown_from_52w_high"] = (
-        F.col("distance_from_52w_high") if "distance_from_52w_high" in have
-        else cols["distance_from_52w_high"]
-    )
+    have = set(df.columns)
+    rolls = {f"__mean_{w}": Roll("mean", price, w) for w in (20, 50, 200) if f"price_above_sma_{w}" not in have}
+    if not {"distance_from_52w_high", "drawdown_from_52w_high"} <= have:
+        rolls["__high_252"] = Roll("max", price, 252)
+    if "max_drawdown_60d" not in have and "drawdown_60d" not in have:
+        rolls["__high_60"] = Roll("max", price, 60)
     if "volume" in have:
-        cols["relative_volume_5d"] = F.try_divide(F.col("volume"), rolling_mean("volume", 5, dense=True))
-        cols["volume_zscore_20d"] = rolling_zscore("volume", 20)
-    losses = F.when(F.col("return_1d") < 0, F.col("return_1d"))
-    cols["downside_volatility_20d"] = rolling_std(losses, 20)
-    cols["max_drawdown_60d"] = (
-        F.col("drawdown_60d") if "drawdown_60d" in have else change(price, rolling_max(price, 60, dense=True))
-    )
-    return df.withColumns({k: v for k, v in cols.items() if k not in have})
-
-
-def rolling_zscore(value: str, w: int):
-    return F.try_divide(F.col(value) - rolling_mean(value, w), rolling_std(value, w))
+        rolls |= {"__volume_5": Roll("mean", "volume", 5), "__volume_20": Roll("mean", "volume", 20), "__deviation_20": Roll("std", "volume", 20)}
+    df = df.withColumn("__loss", F.when(F.col("return_1d") < 0, F.col("return_1d")))
+    rolls["__downside"] = Roll("std", "__loss", 20)
+    df = with_rolling(df, rolls)
+    cols = {f"price_above_sma_{w}": change(price, f"__mean_{w}") for w in (20, 50, 200) if f"__mean_{w}" in rolls}
+    if "__high_252" in rolls:
+        cols["distance_from_52w_high"] = change(price, "__high_252")
+        cols["drawdown_from_52w_high"] = F.col("distance_from_52w_high") if "distance_from_52w_high" in have else cols["distance_from_52w_high"]
+    if "volume" in have:
+        cols["relative_volume_5d"] = F.try_divide(F.col("volume"), F.col("__volume_5"))
+        cols["volume_zscore_20d"] = F.try_divide(F.col("volume") - F.col("__volume_20"), F.col("__deviation_20"))
+    cols["downside_volatility_20d"] = F.col("__downside")
+    if "max_drawdown_60d" not in have:
+        cols["max_drawdown_60d"] = F.col("drawdown_60d") if "drawdown_60d" in have else change(price, "__high_60")
+    return df.withColumns({k: v for k, v in cols.items() if k not in have}).drop("__loss", *rolls)
 
 
 def volatility_table(prices: DataFrame, lookback: int = 20) -> DataFrame:
     """Rolling deviation of daily returns per (symbol, date), not annualised; nulls dropped."""
     df = prices.select("symbol", "date", change("adj_close", lag("adj_close")).alias("__r"))
-    df = df.withColumn("volatility", rolling_std("__r", lookback))
+    df = with_rolling(df, {"volatility": Roll("std", "__r", lookback)})
     return df.select("symbol", "date", "volatility").filter("volatility is not null")
 
 
