@@ -84,7 +84,13 @@ def with_average_ranks(df: DataFrame, keys, ranks: dict[str, tuple[str, bool]],
     return _average_ranks(cut_lineage(df), keys, ranks, tie_break)  # read several times below
 
 
+#: Up to so many ranked columns, each one's running counts are joined to the rows; more are ranked together as (name, value) pairs.
+JOINED_RANKS = 3
+
+
 def _average_ranks(df: DataFrame, keys, ranks, tie_break) -> DataFrame:
+    if len({value for value, _ in ranks.values()}) <= JOINED_RANKS:
+        return _joined_ranks(df, keys, ranks)
     row_keys = [*keys, *[t for t in tie_break if t not in keys]]
     values = list(dict.fromkeys(value for value, _ in ranks.values()))
     pairs = F.array(*[F.struct(F.lit(n).alias("__name"), F.col(v).cast("double").alias("__value")) for n, v in enumerate(values)])
@@ -102,6 +108,43 @@ def _average_ranks(df: DataFrame, keys, ranks, tie_break) -> DataFrame:
     return null_safe_join(df, placed.groupBy(*row_keys).agg(*wide), row_keys)
 
 
+def _joined_ranks(df: DataFrame, keys, ranks) -> DataFrame:
+    for value in dict.fromkeys(value for value, _ in ranks.values()):
+        exact = df.select(*keys, F.col(value).cast("double").alias("__value"))
+        counts = _running_counts(exact, keys, "__value")
+        total = counts.groupBy(*keys).agg(F.sum("__ties").alias("__n"))
+        counts = null_safe_join(counts, total, keys)
+        df = null_safe_join(df.withColumn("__value", F.col(value).cast("double")), counts, [*keys, "__value"])
+        up = F.col("__below") + (F.col("__ties") + 1) / 2.0
+        mine = {name: up if ascending else F.col("__n") + 1 - up for name, (v, ascending) in ranks.items() if v == value}
+        df = df.withColumns({name: F.when(F.col("__value").isNotNull(), rank) for name, rank in mine.items()}).drop("__value", "__ties", "__below", "__n")
+    return df
+
+
+def with_ends(df: DataFrame, keys, value: str, lowest: Column, highest: Column, tie: str = "symbol") -> DataFrame:
+    """Only the rows at either end of their group by ``value``, with booleans ``__low`` and ``__high``.
+
+    ``lowest`` and ``highest`` are how many rows of the group to take, in terms of its size ``__n``; among equal values the first by
+    ``tie`` are taken. Running counts of distinct values tell which values are in; only rows of a value that is partly in are put
+    in order.
+    """
+    df = cut_lineage(df)
+    counts = _running_counts(df, keys, value)
+    total = counts.groupBy(*keys).agg(F.sum("__ties").alias("__n"))
+    room = null_safe_join(counts, total, keys).withColumns({"__lows": lowest - F.col("__below"), "__highs": highest - (F.col("__n") - F.col("__below") - F.col("__ties"))})
+    ends = room.filter("__lows > 0 or __highs > 0").select(*keys, value, "__n", "__ties", "__lows", "__highs")
+    rows = cut_lineage(null_safe_join(df, ends, [*keys, value], "inner"))
+    whole = lambda places: F.col(places) >= F.col("__ties")
+    partly = ((F.col("__lows") > 0) & ~whole("__lows")) | ((F.col("__highs") > 0) & ~whole("__highs"))
+    if rows.filter(partly).isEmpty():
+        rows = rows.withColumn("__turn", F.lit(1))
+    else:
+        placed = with_row_index(rows.filter(partly), [*keys, value], [tie], "__turn")
+        rows = rows.filter(~partly).withColumn("__turn", F.lit(1)).unionByName(placed)
+    taken = {out: (F.col(places) > 0) & (whole(places) | (F.col("__turn") <= F.col(places))) for out, places in (("__low", "__lows"), ("__high", "__highs"))}
+    return rows.withColumns(taken).filter("__low or __high").drop("__ties", "__lows", "__highs", "__turn")
+
+
 def with_percent_ranks(
     df: DataFrame,
     keys,

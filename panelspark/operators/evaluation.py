@@ -1,4 +1,4 @@
-"""Evaluating ranked selections: long/short, risk controls, event and capital accounts, sweeps."""
+"""Evaluating ranked selections: long/short positions, risk controls and diagnostics."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.crosssection import with_group_stats, with_row_index
+from panelspark.functions.crosssection import with_ends
 from panelspark.functions.metrics import compound
 from panelspark.functions.scalar import col
 from panelspark.functions.windows import compounded
@@ -76,13 +76,9 @@ def positions(
     rows = scored.select(*groups, "symbol", F.col(score).alias("score"), F.col(outcome).alias("outcome")).filter(
         "score is not null and outcome is not null"
     )
-    rows = with_group_stats(rows, groups, {"__n": F.count("*")})
     longs, shorts = _wanted(F.col("__n"), config.long_fraction), _wanted(F.col("__n"), config.short_fraction)
-    rows = with_row_index(rows, groups, [F.col("score").asc(), "symbol"], "__low")
-    rows = with_row_index(rows, groups, [F.col("score").desc(), "symbol"], "__high")
-    sides = F.array_compact(F.array(
-        F.when(F.col("__high") <= longs, F.lit("long")), F.when(F.col("__low") <= shorts, F.lit("short"))
-    ))
+    rows = with_ends(rows, groups, "score", shorts, longs)
+    sides = F.array_compact(F.array(F.when(F.col("__high"), F.lit("long")), F.when(F.col("__low"), F.lit("short"))))
     held = rows.withColumn("side", F.explode(sides))
     cap = F.lit(config.max_position_weight)
     weight = F.when(F.col("side") == "long", F.least(1.0 / longs, cap)).otherwise(-F.least(1.0 / shorts, cap))
@@ -175,12 +171,3 @@ def symbol_contributions(held: DataFrame) -> DataFrame:
         F.avg("contribution").alias("avg_daily_contribution"),
         F.avg(F.abs("weight")).alias("avg_abs_weight"),
     )
-
-
-# --- accounts -------------------------------------------------------------------------------------
-
-
-REGIME_COLUMNS = ("market_return_20d", "market_return_60d")
-
-
-# --- sweeps ---------------------------------------------------------------------------------------

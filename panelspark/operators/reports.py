@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.crosssection import (
@@ -93,5 +93,10 @@ def compare_summaries(named: dict[str, DataFrame], metrics) -> DataFrame:
     return out.groupBy("model").agg(*[F.avg(m).alias(f"mean_{m}") for m in metrics if m in out.columns])
 
 
-def top_rows(df: DataFrame, n: int, by: str, tie: str = "symbol") -> DataFrame:
-    return df.orderBy(F.col(by).desc_nulls_last(), tie).limit(n)
+def top_rows(df: DataFrame, n: int, by: str, tie: str = "symbol", keys=()) -> DataFrame:
+    """The ``n`` highest rows, of every group of ``keys`` if given; tasks keep only their own ``n`` of a group before the shuffle."""
+    order = [F.col(by).desc_nulls_last(), F.col(tie)]
+    if not keys:
+        return df.orderBy(*order).limit(n)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__place", place).filter(F.col("__place") <= n).drop("__place")

@@ -32,10 +32,6 @@ class Inputs:
     spark: SparkSession
     sf_dir: str
 
-    def __post_init__(self):
-        # window work is heavy per byte, so small stages keep their parallelism
-        self.spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
-
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelspark.operators.lanes import REASON_BODIES, REASON_LABELS
 from panelspark.plans.oracle import lag, plus_business_days, rolling, sql
 from panelspark.plans.oracle_panel import FULL, MARKET, MONTHS, SECRET, beta, pct_rank, r
 
@@ -146,6 +147,9 @@ sql("discovery_exclusion_reasons_all_dates", USES, FRAME + f", ex AS (SELECT {RE
 sql("discovery_scores_all_dates", USES, FRAME + "," + scored("frame", "date") + " SELECT date, symbol, " + ", ".join(r(f"{s} + 1e-9", s) for s in NAMES) + " FROM sco")
 WL = ONE + "," + lanes("date")
 sql("discovery_watchlists", USES, WL + " SELECT symbol, lane, CAST(rank AS INTEGER) AS rank, round(lane_score, 6) AS lane_score, round(discovery_score, 6) AS discovery_score FROM wl")
+# texts as they are shown, by lane
+REASONS_BY_LANE = " ".join(f"WHEN '{lane}' THEN '{REASON_LABELS[lane]}: {REASON_BODIES[lane]}'" for lane in LANES)
+sql("lane_reasons", USES, WL + f" SELECT lane, symbol, upper(symbol) || ' - ' || CASE lane {REASONS_BY_LANE} END AS lane_reason FROM wl")
 sql("discovery_top_fraction", USES, ONE + " SELECT date, symbol, round(discovery_score, 6) AS discovery_score FROM sco QUALIFY row_number() OVER (ORDER BY discovery_score DESC, symbol) <= greatest(1, ceil(count(*) OVER () * 0.2))")
 sql("discovery_summary", USES, WL + f""", ex AS (SELECT {REASONS} AS x FROM today WHERE {REASONS} <> '')
 SELECT (SELECT max(date) FROM sco) AS as_of_date, (SELECT count(*) FROM sco) AS candidate_count, (SELECT count(*) FROM ex) AS exclusion_count, (SELECT count(*) FROM ex WHERE contains(x, 'already_in_watchlist')) AS watchlist_exclusion_count,
@@ -252,7 +256,7 @@ sql("actionability_summary", "scored ledger", TODAY + """ SELECT account_id, cou
 DUP = """dl AS (SELECT *, status IN ('planned', 'open') AND row_number() OVER (PARTITION BY account_id, symbol, status IN ('planned', 'open') ORDER BY planned_date, fill_date NULLS LAST, order_id) > 1 AS dup FROM ledger),
 l2 AS (SELECT * REPLACE (CASE WHEN dup THEN 'skipped' ELSE status END AS status, CASE WHEN dup THEN 'duplicate_active_symbol' ELSE skip_reason END AS skip_reason, CASE WHEN dup THEN NULL ELSE fill_date END AS fill_date,
    CASE WHEN dup THEN NULL ELSE entry_price END AS entry_price, CASE WHEN dup THEN 0 ELSE entry_value END AS entry_value, CASE WHEN dup THEN 0 ELSE entry_cost END AS entry_cost, CASE WHEN dup THEN 0 ELSE shares END AS shares) FROM dl)"""
-sql("filled_orders", "ledger", DUP + " SELECT order_id, status, fill_date, entry_price, entry_value, entry_cost, round(shares, 4) AS shares, skip_reason FROM l2 WHERE planned_date >= DATE '1998-01-01'")
+sql("filled_orders", "ledger", DUP + " SELECT order_id, status, fill_date, entry_price, entry_value, entry_cost, round(shares, 4) AS shares, skip_reason FROM l2")
 sql("deduplicated_active_orders", "ledger", DUP + " SELECT account_id, status, skip_reason, count(*) AS orders FROM l2 GROUP BY 1, 2, 3")
 SCO = "k AS (SELECT symbol, date, score FROM scored WHERE score IS NOT NULL)"
 
@@ -372,10 +376,10 @@ sql("prediction_drift", "scored bench", MARKET + """ SELECT strftime(date, '%Y-%
 sql("sector_contribution", "ledger universe", "SELECT u.sector, count(*) AS trades, count(DISTINCT l.symbol) AS symbols, round(sum(net_pnl), 2) + 0.0 AS net_pnl, round(avg(net_pnl), 2) + 0.0 AS avg_net_pnl, round(avg(CAST(net_pnl > 0 AS DOUBLE)), 6) AS win_rate, round(sum(entry_value), 2) AS gross_entry_value FROM ledger l LEFT JOIN universe u USING (symbol) WHERE status = 'closed' GROUP BY 1")
 sql("attached_reference", "scored universe", f"rt AS (SELECT symbol, date, adj_close / {lag('adj_close')} - 1 AS x FROM panel), v AS (SELECT symbol, date, {rolling('stddev_samp', 'x', 20)} AS vol FROM rt) SELECT date, symbol, score, sector, round(vol, 6) AS volatility_20d FROM scored LEFT JOIN universe USING (symbol) LEFT JOIN v USING (symbol, date)")
 sql("quantile_buckets_per_date", "scored", """SELECT date, symbol, score, CAST(greatest(1, ceil(coalesce((row_number() OVER w - 1) * 5.0 / nullif(count(*) OVER (PARTITION BY date) - 1, 0), 0))) AS INTEGER) AS bucket FROM scored WHERE score IS NOT NULL WINDOW w AS (PARTITION BY date ORDER BY score, symbol)""")
-sql("top_rows", "scored", "SELECT symbol, score FROM scored WHERE date = DATE '1999-06-15' ORDER BY score DESC NULLS LAST, symbol LIMIT 10")
-sql("order_explanations", "scored", FULL + f""", f AS (SELECT * FROM full1 WHERE date = DATE '1999-06-15'), q AS (SELECT symbol, date, r20, v20, {pct_rank('r20', 'date')} AS p20, {pct_rank('v20', 'date')} AS pv FROM f),
+sql("top_rows", "scored", "SELECT date, symbol, score FROM scored QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC NULLS LAST, symbol) <= 10")
+sql("order_explanations", "scored", FULL + f""", f AS (SELECT * FROM full1), q AS (SELECT symbol, date, r20, v20, {pct_rank('r20', 'date')} AS p20, {pct_rank('v20', 'date')} AS pv FROM f),
 lg AS (SELECT date, symbol, 'return_20d' AS feature, r20 AS value, p20 AS percentile FROM q UNION ALL SELECT date, symbol, 'volatility_20d', v20, pv FROM q)
-SELECT s.date, s.symbol, s.score, 'planned' AS status, feature, round(value, 6) AS value, round(percentile, 6) AS percentile FROM scored s JOIN lg USING (date, symbol) WHERE s.date = DATE '1999-06-15' AND s.score > 0""")
+SELECT s.date, s.symbol, s.score, 'planned' AS status, feature, round(value, 6) AS value, round(percentile, 6) AS percentile FROM scored s JOIN lg USING (date, symbol) WHERE s.score > 0""")
 BLEND = f"""b0 AS (SELECT year(date) - 1994 AS split_id, symbol, date, adj_close / {lag('adj_close', 5)} - 1 AS a, adj_close / {lag('adj_close', 10)} - 1 AS b, adj_close / {lag('adj_close', 20)} - 1 AS c FROM panel),
 b1 AS (SELECT *, list_median([a, b, c]) AS m FROM b0 WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL),
 cw AS (SELECT split_id, greatest(corr(a, m), 0) AS wa, greatest(corr(b, m), 0) AS wb, greatest(corr(c, m), 0) AS wc FROM b1 GROUP BY 1)"""
@@ -387,6 +391,73 @@ sql("walk_forward_folds", "scored", FOLDS.format(start="1997-01-01", months=6, g
 sql("ridge_walk_forward_single_feature", "scored", "ok AS (SELECT date, symbol, score AS x, forward_return AS y FROM scored WHERE score IS NOT NULL AND forward_return IS NOT NULL), " + FOLDS.format(start="1998-01-01", months=12, gap=8, rows="ok") + """,
 fit AS (SELECT split_id, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, count(*) AS n, covar_pop(x, y) AS c FROM fo JOIN ok ON date BETWEEN DATE '1995-01-01' AND te GROUP BY 1)
 SELECT CAST(split_id AS INTEGER) AS split_id, date, symbol, round(my + (x - mx) / sx * (n * c / sx) / (n + 25.0), 6) + 0.0 AS prediction FROM fo JOIN fit USING (split_id) JOIN ok ON date BETWEEN vs AND ve""")
+
+
+def two_features(gap: int) -> str:
+    """Rows of both feature sets, folds and the moments of every training window, unfolded from the definition of covariance."""
+    return f"""two AS (SELECT date, symbol, score, score AS x1, ln(1 + avg_dollar_volume_20d) AS x2, forward_return AS y FROM scored WHERE score IS NOT NULL AND forward_return IS NOT NULL),
+ok AS (SELECT * FROM two WHERE x2 IS NOT NULL), {FOLDS.format(start="1998-01-01", months=12, gap=gap, rows="ok")},
+m2 AS (SELECT split_id, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS rho, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM fo JOIN ok ON date BETWEEN DATE '1995-01-01' AND te GROUP BY 1),
+m1 AS (SELECT split_id, count(*) AS n, avg(x1) AS m1, avg(y) AS my, stddev_pop(x1) AS s1, covar_pop(x1, y) AS c1 FROM fo JOIN two ON date BETWEEN DATE '1995-01-01' AND te GROUP BY 1)"""
+
+
+def both(alpha: str) -> str:
+    """Weights of the two standardised features by Cramer's rule."""
+    det = f"((n + {alpha}) * (n + {alpha}) - n * rho * n * rho)"
+    return f"((n + {alpha}) * n * c1 / s1 - n * rho * n * c2 / s2) / {det} AS b1, ((n + {alpha}) * n * c2 / s2 - n * rho * n * c1 / s1) / {det} AS b2"
+
+
+sql("ridge_grid_predictions", "scored", two_features(8) + f""",
+w AS (SELECT t.trial, m2.*, {both('t.alpha')} FROM m2, (VALUES (0, 10.0), (1, 20000.0)) t(trial, alpha))
+SELECT trial, CAST(split_id AS INTEGER) AS split_id, date, symbol, round(my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2, 6) + 0.0 AS prediction FROM fo JOIN w USING (split_id) JOIN ok ON date BETWEEN vs AND ve
+UNION ALL SELECT 2, CAST(split_id AS INTEGER), date, symbol, round(my + (x1 - m1) / s1 * (n * c1 / s1) / (n + 20000.0), 6) + 0.0 FROM fo JOIN m1 USING (split_id) JOIN two ON date BETWEEN vs AND ve""")
+sql("ridge_walk_forward_two_features", "scored", two_features(8) + f""",
+w AS (SELECT *, {both('500.0')} FROM m2)
+SELECT CAST(split_id AS INTEGER) AS split_id, date, symbol, round(my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2, 6) + 0.0 AS prediction,
+ round(abs(b1) * sqrt(n / (n - 1.0)), 6) + 0.0 AS importance_x1, round(abs(b2) * sqrt(n / (n - 1.0)), 6) + 0.0 AS importance_x2 FROM fo JOIN w USING (split_id) JOIN ok ON date BETWEEN vs AND ve""")
+
+
+def trial_days(predictions: str, score: str = "p", name: str = "daily") -> str:
+    """Net return per trial, split and date of tenths by ``score`` of the table ``predictions`` (trial, split_id, date, symbol, y, ...)."""
+    return f"""
+{name}_r AS (SELECT *, count(*) OVER g AS n_day, row_number() OVER (g ORDER BY {score} DESC, symbol) AS hi, row_number() OVER (g ORDER BY {score}, symbol) AS lo FROM {predictions} WHERE {score} IS NOT NULL WINDOW g AS (PARTITION BY trial, split_id, date)),
+{name}_k AS (SELECT *, greatest(1, CAST(floor(n_day * 0.1) AS INTEGER)) AS k FROM {name}_r),
+{name} AS (SELECT trial, split_id, date, sum(CASE WHEN hi <= k THEN least(1.0 / k, 0.02) * y ELSE 0 END - CASE WHEN lo <= k THEN least(1.0 / k, 0.02) * y ELSE 0 END)
+  - 0.001 * sum(CASE WHEN hi <= k THEN least(1.0 / k, 0.02) ELSE 0 END + CASE WHEN lo <= k THEN least(1.0 / k, 0.02) ELSE 0 END) AS net FROM {name}_k GROUP BY 1, 2, 3)"""
+
+
+sql("ridge_grid_search", "scored", two_features(8) + f""",
+a AS (SELECT CAST(row_number() OVER (ORDER BY alpha) - 1 AS INTEGER) AS trial, CAST(alpha AS DOUBLE) AS alpha FROM (VALUES (0.001), (0.01), (0.1), (1.0), (10.0), (100.0), (1000.0)) t(alpha)),
+w AS (SELECT trial, m2.*, {both('a.alpha')} FROM m2, a),
+pr AS (SELECT trial, split_id, date, symbol, y, my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2 AS p FROM fo JOIN w USING (split_id) JOIN ok ON date BETWEEN vs AND ve),""" + trial_days("pr") + """,
+sh AS (SELECT trial, split_id, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252) AS s FROM daily GROUP BY 1, 2)
+SELECT trial AS number, round(avg(s), 6) + 0.0 AS value, 'COMPLETE' AS state, any_value(alpha) AS alpha FROM sh JOIN a USING (trial) GROUP BY trial""")
+sql("two_set_leaderboard", "scored", two_features(6) + f""",
+w AS (SELECT *, {both('50.0')} FROM m2),
+pr AS (SELECT 1 AS trial, split_id, date, symbol, score, y, my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2 AS p FROM fo JOIN w USING (split_id) JOIN ok ON date BETWEEN vs AND ve
+  UNION ALL SELECT 0, split_id, date, symbol, score, y, my + (x1 - m1) / s1 * (n * c1 / s1) / (n + 50.0) FROM fo JOIN m1 USING (split_id) JOIN two ON date BETWEEN vs AND ve),
+rk AS (SELECT *, rank() OVER (PARTITION BY trial, split_id ORDER BY p) + (count(*) OVER (PARTITION BY trial, split_id, p) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY trial, split_id ORDER BY y) + (count(*) OVER (PARTITION BY trial, split_id, y) - 1) / 2.0 AS ry FROM pr),
+ic AS (SELECT trial, split_id, count(*) AS n_rows, corr(rp, ry) AS ic, avg(CAST((p > 0) = (y > 0) AS DOUBLE)) AS hits FROM rk GROUP BY 1, 2),""" + trial_days("pr") + "," + trial_days("pr", "score", "bench") + """,
+eq AS (SELECT *, product(1 + net) OVER (PARTITION BY trial, split_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM daily),
+dd AS (SELECT *, e / max(e) OVER (PARTITION BY trial, split_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS fall FROM eq),
+st AS (SELECT trial, split_id, avg(net) AS mean, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252) AS sharpe, min(fall) AS fall, count(*) AS days FROM dd GROUP BY 1, 2),
+bs AS (SELECT trial, split_id, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252) AS sharpe FROM bench GROUP BY 1, 2)
+SELECT CASE trial WHEN 0 THEN 'ridge_one_5d' ELSE 'ridge_two_5d' END AS experiment, 5 AS horizon, CASE trial WHEN 0 THEN 'one' ELSE 'two' END AS feature_set, 'ridge' AS model, 'ridge' AS model_type, 'close_excess' AS target_kind,
+ count(*) AS split_count, CAST(sum(n_rows) AS BIGINT) AS prediction_count, round(avg(ic), 6) + 0.0 AS ic_mean, round(stddev_samp(ic), 6) + 0.0 AS ic_std, count(*) FILTER (ic > 0) AS positive_ic_splits, round(avg(hits), 6) AS directional_hit_rate,
+ round(avg(mean), 6) + 0.0 AS backtest_mean_daily_return, round(avg(st.sharpe), 6) + 0.0 AS backtest_sharpe, round(min(fall), 6) + 0.0 AS backtest_max_drawdown, round(avg(mean), 6) + 0.0 AS risk_backtest_mean_daily_return,
+ round(avg(st.sharpe), 6) + 0.0 AS risk_backtest_sharpe, round(min(fall), 6) + 0.0 AS risk_backtest_max_drawdown, round(avg(days), 6) AS risk_backtest_avg_trading_days, round(avg(bs.sharpe), 6) + 0.0 AS benchmark_sharpe, round(avg(bs.sharpe), 6) + 0.0 AS benchmark_risk_sharpe
+FROM ic JOIN st USING (trial, split_id) JOIN bs USING (trial, split_id) GROUP BY trial""")
+AUDIT = two_features(6) + f""",
+w AS (SELECT *, {both('50.0')} FROM m2),
+pr AS (SELECT 0 AS trial, split_id, date, symbol, y, my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2 AS p FROM fo JOIN w USING (split_id) JOIN ok ON date BETWEEN vs AND ve),""" + trial_days("pr")
+sql("experiment_audit_daily", "scored", AUDIT + """
+SELECT CAST(split_id AS INTEGER) AS split_id, date, round(net, 6) + 0.0 AS net_return, round(sign(e) * ln(abs(e)), 6) + 0.0 AS log_raw_equity, round(sign(e) * ln(abs(e)), 6) + 0.0 AS log_risk_equity_full
+FROM (SELECT *, product(1 + net) OVER (ORDER BY split_id, date ROWS UNBOUNDED PRECEDING) AS e FROM daily)""")
+sql("experiment_audit_monthly", "scored", AUDIT + " SELECT strftime(date, '%Y-%m') AS month, round(product(1 + net) - 1, 6) + 0.0 AS raw_return, round(product(1 + net) - 1, 6) + 0.0 AS risk_return, count(*) AS trading_days FROM daily GROUP BY 1")
+sql("experiment_audit_symbols", "scored", AUDIT + """,
+held AS (SELECT symbol, 'long' AS side, least(1.0 / k, 0.02) AS weight, y FROM daily_k WHERE hi <= k UNION ALL SELECT symbol, 'short', -least(1.0 / k, 0.02), y FROM daily_k WHERE lo <= k)
+SELECT symbol, count(*) FILTER (side = 'long') AS long_days, count(*) FILTER (side = 'short') AS short_days, round(sum(weight * y), 6) + 0.0 AS gross_contribution,
+ round(avg(weight * y), 6) + 0.0 AS avg_daily_contribution, round(avg(abs(weight)), 6) AS avg_abs_weight FROM held GROUP BY symbol""")
 sql("summary_comparison", "scored", positions() + ", t1 AS (SELECT split_id, avg(net_return) AS a, avg(gross_exposure) AS b FROM daily GROUP BY 1)" + positions(0.2).replace("\nsr AS", ",\nsr2 AS").replace("FROM sr)", "FROM sr2)").replace("sk AS", "sk2 AS").replace("FROM sk ", "FROM sk2 ").replace("pos AS", "pos2 AS").replace("daily AS", "daily2 AS").replace("FROM pos ", "FROM pos2 ") + """,
 t2 AS (SELECT split_id, avg(net_return) AS a, avg(gross_exposure) AS b FROM daily2 GROUP BY 1)
 SELECT 'tenth' AS model, round(avg(a), 6) + 0.0 AS mean_net_return, round(avg(b), 6) AS mean_gross_exposure FROM t1 UNION ALL SELECT 'fifth', round(avg(a), 6) + 0.0, round(avg(b), 6) FROM t2""")

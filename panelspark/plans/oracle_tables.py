@@ -24,7 +24,10 @@ sql("broad_universe", "universe", "SELECT * FROM universe UNION ALL SELECT 'SPY'
 sql("appended_promotions", "universe", """SELECT symbol, CASE WHEN right(symbol, 1) = '3' THEN 'discovery' ELSE category END AS category, CASE WHEN right(symbol, 1) = '3' THEN 'promoted' ELSE '' END AS notes FROM universe""")
 sql("watchlist_symbols", "", f"SELECT {SYM.format('c_nationkey')} AS symbol FROM customer UNION SELECT {SYM.format('c_custkey')} FROM customer")
 sql("html_constituents", "universe", "SELECT symbol AS page_id, 1 AS row_ix, symbol || '-B' AS symbol, name, 'sp500' AS category, sector, 'A & ' || industry AS industry FROM universe")
-sql("page_table_rows", "", "SELECT page_id, 0 AS tables, 0 AS rows FROM pages WHERE html ILIKE '%<table%' AND html ILIKE '%<tr%'")
+sql("page_table_rows", "", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END AS tables, CAST(page_id % 4 + 1 + page_id % 3 AS BIGINT) AS rows FROM pages")
+# file sizes and hashes as the file system has them, of the scale factor at which queries are compared
+sql("input_file_metadata", "", "SELECT parse_filename(filename) AS file, size AS size_bytes, true AS exists, sha256(content) AS sha256, false AS hashed_in_blocks FROM read_blob('/root/testdata/sf0.01/*.parquet')")
+sql("streaming_expired_marks", "marks", """SELECT symbol, max(timestamp) AS timestamp, arg_max(price, timestamp) AS price, max(timestamp) + INTERVAL 12 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM marks) AS expired FROM marks GROUP BY symbol""")
 sql("latest_rows_for_symbols", "panel universe", "SELECT symbol, max(date) AS date, arg_max(close, date) AS close, arg_max(volume, date) AS volume FROM panel SEMI JOIN universe USING (symbol) GROUP BY symbol")
 sql("price_history_documents", "panel universe", "SELECT symbol, CAST(count(*) AS INTEGER) AS bars, min(date) AS first_date, max(close) AS highest FROM panel SEMI JOIN universe USING (symbol) GROUP BY symbol")
 sql("merged_price_sources", "panel", """

@@ -340,7 +340,6 @@ def appended_orders(i):
 @query("filled_orders")
 def filled_orders(i):
     out = ledger.reconcile_fills(i.ledger(), i.prices(), LEDGER)
-    out = out.filter("planned_date >= date '1998-01-01'")
     return rounded(out.select("order_id", "status", "fill_date", "entry_price", "entry_value", "entry_cost", "shares", "skip_reason"), 4,
                    entry_price=None, entry_value=None, entry_cost=None)
 
@@ -607,15 +606,16 @@ def quantile_buckets_per_date(i):
 
 @query("top_rows")
 def top_rows(i):
-    return reports.top_rows(i.scored().filter("date = date '1999-06-15'").select("symbol", "score"), 10, "score")
+    """The ten highest scores of every date."""
+    return reports.top_rows(i.scored().select("date", "symbol", "score"), 10, "score", keys=["date"])
 
 
 @query("order_explanations")
 def order_explanations(i):
     """Planned orders with values and percentiles of the three most important features."""
     f = ("return_5d", "return_20d", "volatility_20d")
-    frame = features.return_features(features.base_features(i.prices()), (5, 20)).filter("date = date '1999-06-15'")
-    planned = i.scored().filter("date = date '1999-06-15' and score > 0").select("date", "symbol", "score", F.lit("planned").alias("status"))
+    frame = features.return_features(features.base_features(i.prices()), (5, 20))
+    planned = i.scored().filter("score > 0").select("date", "symbol", "score", F.lit("planned").alias("status"))
     top = i.spark.createDataFrame([("return_20d",), ("volatility_20d",)], "feature string")
     return rounded(reports.order_explanations(planned, frame, top, f))
 
@@ -662,6 +662,42 @@ def ridge_walk_forward_single_feature(i):
     return rounded(out.select("split_id", "date", "symbol", "prediction"))
 
 
+def two_features(i):
+    """Scored rows with two features: the score, and the logarithm of the traded value (null in a symbol's first weeks)."""
+    rows = i.scored().select("date", "symbol", "score", "forward_return", F.log1p("avg_dollar_volume_20d").alias("x2")).withColumn("x1", F.col("score"))
+    return rows.withColumns({"target": F.col("forward_return"), "fwd_5d_return": F.col("forward_return"), "fwd_5d_excess_return": F.col("forward_return")})
+
+
+@query("ridge_grid_predictions")
+def ridge_grid_predictions(i):
+    """Validation predictions of three ridge trials with their own penalties and features, from one pass of moments."""
+    trials = [(("x1", "x2"), 10.0), (("x1", "x2"), 20_000.0), (("x1",), 20_000.0)]
+    return rounded(models.ridge_predictions(two_features(i), trials, MODEL).select("trial", "split_id", "date", "symbol", "prediction"))
+
+
+@query("ridge_walk_forward_two_features")
+def ridge_walk_forward_two_features(i):
+    """Two-feature ridge per fold, which Cramer's rule in SQL can check, with its importances."""
+    run = models.walk_forward(two_features(i), ("x1", "x2"), replace(MODEL, alpha=500.0), cached=False)
+    weights = run["importance"].groupBy("split_id").pivot("feature", ["x1", "x2"]).agg(F.first("importance"))
+    weights = weights.select("split_id", F.col("x1").alias("importance_x1"), F.col("x2").alias("importance_x2"))
+    return rounded(run["predictions"].join(F.broadcast(weights), "split_id").select("split_id", "date", "symbol", "prediction", "importance_x1", "importance_x2"))
+
+
+@query("ridge_grid_search")
+def ridge_grid_search(i):
+    """Mean validation Sharpe of every penalty of the search grid."""
+    out = models.search(two_features(i), ("x1", "x2"), "ridge", method="grid", config=MODEL)
+    return rounded(out.select("number", "value", "state", F.col("params")["alpha"].alias("alpha")))
+
+
+@query("two_set_leaderboard")
+def two_set_leaderboard(i):
+    """Leaderboard of two feature sets by ridge."""
+    out = models.experiment_grid(two_features(i), (5,), {"one": ("x1",), "two": ("x1", "x2")}, {"ridge": {"model_type": "ridge", "alpha": 50.0}}, MODEL)
+    return rounded(out.drop("error"))
+
+
 @query("ridge_walk_forward_summary")
 def ridge_walk_forward_summary(i):
     run = models.walk_forward(model_frame(i), FEATURES, MODEL)
@@ -716,6 +752,35 @@ def executable_leaderboard(i):
     return rounded(out)
 
 
+def audited(i):
+    frame = two_features(i)
+    sets, specs = {"one": ("x1",), "two": ("x1", "x2")}, {"ridge": {"model_type": "ridge", "alpha": 50.0}}
+    board = models.experiment_grid(frame, (5,), sets, specs, MODEL)
+    return models.audit_experiment(frame, board, "ridge_two_5d", sets=sets, specs=specs, config=MODEL)
+
+
+def signed_log(c):
+    """Equity of these inputs grows beyond what six digits after the point can compare, and may fall below zero."""
+    return (F.signum(c) * F.ln(F.abs(c))).alias(f"log_{c}")
+
+
+@query("experiment_audit_daily")
+def experiment_audit_daily(i):
+    """Daily returns behind a line of the leaderboard."""
+    daily = audited(i)["daily"]
+    return rounded(daily.select("split_id", "date", "net_return", *(signed_log(c) for c in ("raw_equity", "risk_equity_full"))))
+
+
+@query("experiment_audit_monthly")
+def experiment_audit_monthly(i):
+    return rounded(audited(i)["monthly"])
+
+
+@query("experiment_audit_symbols")
+def experiment_audit_symbols(i):
+    return rounded(audited(i)["symbols"])
+
+
 @query("feature_set_ablation")
 def feature_set_ablation(i):
     """Which feature set loses how much of the rank correlation, by the fast models."""

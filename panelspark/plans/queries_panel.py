@@ -256,7 +256,7 @@ def next_available_price(i):
     """First price strictly after each order's plan date."""
     orders = i.ledger().select("order_id", "symbol", "planned_date")
     prices = i.prices().select("symbol", "date", "open")
-    return asof.asof_join(orders, prices, by="symbol", left_on="planned_date", right_on="date", values=["open"],
+    return asof.asof_lookup(orders, prices, by="symbol", left_on="planned_date", right_on="date", values=["open"],
                           direction="forward", strict=True)
 
 
@@ -264,7 +264,7 @@ def next_available_price(i):
 def first_price_on_or_after_target(i):
     orders = i.ledger().select("order_id", "symbol", "target_exit_date")
     prices = i.prices().select("symbol", "date", "adj_close")
-    return asof.asof_join(orders, prices, by="symbol", left_on="target_exit_date", right_on="date",
+    return asof.asof_lookup(orders, prices, by="symbol", left_on="target_exit_date", right_on="date",
                           values=["adj_close"], direction="forward")
 
 

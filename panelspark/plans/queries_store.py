@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from panelspark.operators import workflow
-from panelspark.plans.queries_evaluation import DISCOVERY, PORTFOLIO, discovery_frame, funnel, simple_selections, watched
+from panelspark.operators import models, workflow
+from panelspark.plans.queries_evaluation import DISCOVERY, MODEL, PORTFOLIO, discovery_frame, funnel, two_features, watched
 from panelspark.plans.registry import query, rounded
 from panelspark.session import run_dir
 from panelspark.sources import store
@@ -104,9 +106,57 @@ def stored_tables(i):
 
 @query("workflow_summary")
 def workflow_summary(i):
-    """Discovery and portfolio in one call, the lane stage replaced by given trades."""
-    trades = simple_selections(i)
+    """All stages in one call, the lane trades passed on to the portfolio."""
     snapshot = discovery_frame(i, ["1999-06-15"])
-    made = workflow.run_workflow(snapshot, i.prices(), as_of_date="1999-06-15", skip=("lane_backtest",), trades=trades, watchlist=watched(i),
-                                 discovery_config=DISCOVERY, portfolio_config=PORTFOLIO)
+    made = workflow.run_workflow(discovery_frame(i), i.prices(), as_of_date="1999-06-15", snapshot=snapshot, watchlist=watched(i),
+                                 discovery_config=DISCOVERY, portfolio_config=PORTFOLIO, top_n=5)
     return made.summary()
+
+
+@query("registered_walk_forward")
+def registered_walk_forward(i):
+    """A walk-forward saved in one call, read back, scored with, compared and deleted."""
+    tables = store.TableStore(i.spark, run_dir(i.spark, "registry"))
+    rows, cfg = two_features(i), replace(MODEL, alpha=500.0)
+    run = models.walk_forward(rows, ("x1", "x2"), cfg)
+    summary = models.summarize_splits(run["predictions"], cfg)
+    kept = tables.save_walk_forward(run, summary, features=("x1", "x2"), config=cfg)
+    gone = tables.save_walk_forward(run, summary, features=("x1", "x2"), config=cfg)
+    run["release"]()
+    tables.delete_model(gone)
+    scored = tables.load_model(kept).transform(rows.filter("x1 is not null and x2 is not null")).select("date", "symbol", "prediction")
+    line = tables.list_models("ridge").select("model_type", "version", "training_rows", "training_symbols", F.get_json_object("metrics_json", "$.split_count").cast("long").alias("split_count"))
+    return rounded(scored.join(F.broadcast(line)))
+
+
+@query("replaced_history")
+def replaced_history(i):
+    """Run history replaced as a whole and read back through its CSV export."""
+    tables = store.TableStore(i.spark, run_dir(i.spark, "history"))
+    c = i.table("customer").select(F.col("c_custkey").cast("string").alias("run_id"), F.col("c_mktsegment").alias("mode"), F.col("c_acctbal").alias("account_equity"))
+    tables.append_run(c.filter("account_equity < 0"))
+    tables.replace_history(c)
+    path = run_dir(i.spark, "export")
+    tables.export_csv("history", path)
+    out = i.spark.read.option("header", True).csv(path)
+    return out.select("run_id", "mode", F.col("account_equity").cast("double").alias("account_equity"))
+
+
+@query("rebuilt_history")
+def rebuilt_history(i):
+    """History rows from one summary document per month of orders."""
+    path = run_dir(i.spark, "documents")
+    o = i.table("orders").groupBy(F.trunc("o_orderdate", "month").alias("d")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+    metrics = F.create_map(F.lit("account_equity"), F.col("top").cast("string"), F.lit("audit_error_count"), F.col("n").cast("string"), F.lit("portfolio_as_of_date"), F.col("d").cast("string"))
+    doc = F.to_json(F.struct(F.col("d").cast("string").alias("run_id"), F.concat(F.col("d").cast("string"), F.lit("T18:00:00")).alias("local_time"), F.lit("after_close").alias("mode"), metrics.alias("metrics")))
+    o.select(doc.alias("value"), F.col("d").cast("string").alias("month")).write.partitionBy("month").text(path)
+    return store.rebuild_history(i.spark, f"{path}/month=*/*.txt").select("run_id", "local_time", "mode", "latest_price_date", "account_equity", "audit_error_count")
+
+
+@query("run_manifest_inputs")
+def run_manifest_inputs(i):
+    """The lineage record of a run, taken apart again."""
+    inputs = store.file_metadata(i.spark, [f"{i.sf_dir}/*.parquet"]).select(F.element_at(F.split("path", "/"), -1).alias("file"), "size_bytes", "sha256")
+    text = store.run_manifest(i.spark, "research", parameters={"horizon": 5}, inputs=inputs, outputs={"frame": "frame"}, as_of_date="1999-06-15")
+    made = text.select(F.from_json("value", "run_type string, as_of_date string, parameters map<string,string>, outputs map<string,string>, inputs array<struct<file:string,size_bytes:long,sha256:string>>").alias("m"))
+    return made.select("m.run_type", "m.as_of_date", F.col("m.parameters.horizon").alias("horizon"), F.col("m.outputs.frame").alias("frame"), F.explode("m.inputs").alias("x")).select("run_type", "as_of_date", "horizon", "frame", "x.*")

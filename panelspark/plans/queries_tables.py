@@ -144,16 +144,19 @@ def html_constituents(i):
 
 @query("page_table_rows")
 def page_table_rows(i):
-    """Tables of the crawled pages."""
-    rows = documents.html_table_rows(i.table("pages").select("page_id", "html"))
+    """Rows of the tables of every page, each page followed by two tables whose sizes come from its id."""
+    row = lambda n: F.repeat(F.lit("<tr><td>a</td><th>b</th></tr>"), n)
+    n = F.col("page_id").cast("int")
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit("<TABLE class='x'>"), row(n % 4 + 1), F.lit("</table><p>text</p><table>"), row(n % 3), F.lit("</table>"))
+    rows = documents.html_table_rows(i.table("pages").select("page_id", html.alias("html")))
     return rows.groupBy("page_id").agg(F.countDistinct("table_ix").alias("tables"), F.count("*").alias("rows"))
 
 
 @query("input_file_metadata")
 def input_file_metadata(i):
-    """Every input file with its hash."""
+    """Every input file with its size and hash."""
     meta = store.file_metadata(i.spark, [f"{i.sf_dir}/*.parquet"])
-    return meta.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size_bytes", "exists", F.length("sha256").alias("hash_length"))
+    return meta.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size_bytes", "exists", "sha256", "hashed_in_blocks")
 
 
 # --- dimensions and documents ---------------------------------------------------------------------
@@ -418,11 +421,25 @@ def streaming_deduplicated_marks(i):
     return rounded(last.select("symbol", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "price"))
 
 
+@query("streaming_expired_marks")
+def streaming_expired_marks(i):
+    """Latest mark of every symbol on a stream whose state ends after twelve hours without marks."""
+    from panelspark.plans.fixtures import Inputs
+
+    session = i.spark.newSession()  # the state store is set for this stream alone
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.shuffle.partitions", i.spark.conf.get("spark.sql.shuffle.partitions"))
+    marks = mark_stream(Inputs(session, i.sf_dir)).select("symbol", "timestamp", "price", F.col("price").alias("high"))
+    out = drained(i, monitor.expiring_marks(marks, 12 * 3600 * 1000), "expiring", "append")
+    last = out.groupBy("symbol").agg(F.max(F.struct("timestamp", "price", "expired")).alias("x")).select("symbol", "x.*")
+    return last.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 @query("streaming_monitor_cycle")
 def streaming_monitor_cycle(i):
     """A monitoring run over the mark stream against a stored ledger; returns the stored result."""
     tables = store.TableStore(i.spark, run_dir(i.spark, "monitor"))
     tables.replace("ledger", ledger.normalize_ledger(intraday_book(i)))
     monitor.start_monitor(mark_stream(i), tables, INTRADAY, f"{tables.root}/checkpoint", available_now=True).awaitTermination()
-    out = tables.read("ledger")
+    out = monitor.monitored_ledger(tables, INTRADAY)
     return rounded(out.select("order_id", "status", "exit_price", "exit_value", "net_pnl", "exit_reason"), 4)
