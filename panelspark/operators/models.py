@@ -641,7 +641,12 @@ def score_as_of(frame: DataFrame, as_of, features, config: ModelConfig, horizon:
     cutoff = subtract_business_days(day, F.lit(horizon))
     needed = [*features, config.target]
     train = frame.filter(F.col("date").cast("date") <= cutoff).dropna(subset=needed)
-    model = fit(train, config, features)
+    if config.model_type == "ridge":
+        always = Fold(1, "0001-01-01", "9998-12-31", "9999-01-01", "9999-01-01")
+        moments = linear.training_moments(train, {"": tuple(features)}, {"": [always]}, config.target)["", 1]
+        model = linear.ridge(moments, features, config.alpha)
+    else:
+        model = fit(train, config, features)
     scored = predict(model, frame.filter(F.col("date").cast("date") == day).dropna(subset=list(features)), "score")
     return {"model": model, "scored": scored, "train": train}
 

@@ -181,39 +181,38 @@ def _paths(targets: DataFrame, panel: DataFrame, config: PortfolioConfig) -> Dat
     return cells.withColumn("ratio", F.try_divide(F.col("__now"), F.col("__start")))
 
 
+#: Rounds in which the costs of all dates settle; each one shrinks what is open by about the cost rate.
+COST_ROUNDS = 60
+
+
 def _trades_and_costs(targets: DataFrame, paths: DataFrame, config: PortfolioConfig) -> DataFrame:
-    """Per rebalance date: its cost fraction, from one scalar recursion over the dates.
+    """Per rebalance date: its cost fraction and ``gross``, the old period's growth less the cost paid at its start.
 
-    Each date brings at most twice ``max_positions`` weight pairs, so the folded array is bounded by the
-    calendar. ``growth`` is the old period's value before its own cost.
+    A date's cost depends on the cost of the date before it only through what that cost took from the old weights, so an error in
+    it comes out smaller by about the cost rate. All dates are therefore computed at once from the costs of the round before,
+    until no cost changes. The weight pairs of a date (at most twice ``max_positions``) stay in a row of their own; what is ordered by
+    date and sent around is one number per date.
     """
     closing = paths.filter(F.col("date") == F.col("next_date")).select(
         F.col("next_date").alias("rebalance_date"), "symbol", (F.col("weight") * F.col("ratio")).alias("__old"), F.col("weight").alias("__w0"))
     pair = targets.select("rebalance_date", "symbol", "weight").join(closing, ["rebalance_date", "symbol"], "full_outer")
     new, old = F.coalesce("weight", F.lit(0.0)), F.coalesce("__old", F.lit(0.0))
-    by_date = pair.groupBy("rebalance_date").agg(
+    by_date = cut_lineage(pair.groupBy("rebalance_date").agg(
         F.collect_list(F.struct(new.alias("new"), old.alias("old"))).alias("__pairs"),
         (F.lit(1.0) - F.sum(F.coalesce("__w0", F.lit(0.0))) + F.sum(old)).alias("__growth"),
-    )
+    ))
     rate = config.cost_bps / 10_000.0
-    steps = F.array_sort(F.collect_list(F.struct("rebalance_date", "__growth", "__pairs")))
-
-    def step(acc, x):
-        # value at the close of the old period, per unit of value at its start after cost
-        gross = x["__growth"] - acc["cost"]
-        moved = F.aggregate(x["__pairs"], F.lit(0.0), lambda a, p: a + F.abs(p["new"] - F.try_divide(p["old"], gross)))
-        cost = moved * rate
-        return F.struct(
-            cost.alias("cost"),
-            F.concat(acc["all"], F.array(F.struct(x["rebalance_date"].alias("rebalance_date"), gross.alias("gross"), cost.alias("cost")))).alias("all"),
-        )
-
-    start = F.struct(
-        F.lit(0.0).alias("cost"),
-        F.array().cast("array<struct<rebalance_date:date,gross:double,cost:double>>").alias("all"),
-    )
-    folded = by_date.agg(F.aggregate(steps, start, step, lambda a: a["all"]).alias("x"))
-    return folded.select(F.explode("x").alias("x")).select("x.rebalance_date", "x.gross", "x.cost")
+    gross = F.col("__growth") - F.col("__before")
+    moved = F.aggregate("__pairs", F.lit(0.0), lambda a, p: a + F.abs(p["new"] - F.try_divide(p["old"], F.col("gross"))))
+    before = F.coalesce(F.lag("cost").over(Window.orderBy("rebalance_date")), F.lit(0.0))
+    costs = by_date.select("rebalance_date", F.lit(0.0).alias("cost"))
+    for _ in range(COST_ROUNDS):
+        known = costs.select("rebalance_date", before.alias("__before"), F.col("cost").alias("__last"))  # one row per rebalance date
+        stepped = by_date.join(F.broadcast(known), "rebalance_date").withColumn("gross", gross).withColumn("cost", moved * rate)
+        costs = cut_lineage(stepped.select("rebalance_date", "gross", "cost", "__last"))
+        if not costs.filter(F.abs(F.col("cost") - F.col("__last")) > 1e-15).head(1):
+            break
+    return costs.select("rebalance_date", "gross", "cost")
 
 
 def run_portfolio(selections: DataFrame, panel: DataFrame, config: PortfolioConfig | None = None) -> dict[str, DataFrame]:

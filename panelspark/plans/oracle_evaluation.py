@@ -447,6 +447,17 @@ SELECT CASE trial WHEN 0 THEN 'ridge_one_5d' ELSE 'ridge_two_5d' END AS experime
  round(avg(mean), 6) + 0.0 AS backtest_mean_daily_return, round(avg(st.sharpe), 6) + 0.0 AS backtest_sharpe, round(min(fall), 6) + 0.0 AS backtest_max_drawdown, round(avg(mean), 6) + 0.0 AS risk_backtest_mean_daily_return,
  round(avg(st.sharpe), 6) + 0.0 AS risk_backtest_sharpe, round(min(fall), 6) + 0.0 AS risk_backtest_max_drawdown, round(avg(days), 6) AS risk_backtest_avg_trading_days, round(avg(bs.sharpe), 6) + 0.0 AS benchmark_sharpe, round(avg(bs.sharpe), 6) + 0.0 AS benchmark_risk_sharpe
 FROM ic JOIN st USING (trial, split_id) JOIN bs USING (trial, split_id) GROUP BY trial""")
+sql("scored_as_of", "scored", f"""kn AS (SELECT score AS x1, ln(1 + avg_dollar_volume_20d) AS x2, forward_return AS y FROM scored WHERE date <= DATE '2000-06-08' AND score IS NOT NULL AND avg_dollar_volume_20d IS NOT NULL AND forward_return IS NOT NULL),
+mo AS (SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS rho, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM kn),
+w AS (SELECT *, {both('30.0')} FROM mo)
+SELECT date, symbol, round(my + b1 * (score - m1) / s1 + b2 * (ln(1 + avg_dollar_volume_20d) - m2) / s2, 6) + 0.0 AS score, round(score, 6) AS x1 FROM scored, w WHERE date = DATE '2000-06-15' AND score IS NOT NULL AND avg_dollar_volume_20d IS NOT NULL""")
+sql("single_split_trees", "scored", """cal AS (SELECT date, symbol, forward_return AS y, CAST(month(date) AS DOUBLE) AS x1, CAST(isodow(date) - 1 AS DOUBLE) AS x2 FROM scored WHERE forward_return IS NOT NULL), """
+    + FOLDS.format(start="1998-01-01", months=12, gap=8, rows="cal") + """,
+tr AS (SELECT split_id, x1, x2, y FROM fo JOIN cal ON date BETWEEN DATE '1995-01-01' AND te),
+lv AS (SELECT split_id, 1 AS f, x1 AS x, count(*) AS n, sum(y) AS s FROM tr GROUP BY 1, 3 UNION ALL SELECT split_id, 2, x2, count(*), sum(y) FROM tr GROUP BY 1, 3),
+pf AS (SELECT *, sum(n) OVER a AS nl, sum(s) OVER a AS sl, sum(n) OVER b AS na, sum(s) OVER b AS sa, lead(x) OVER a AS nx FROM lv WINDOW a AS (PARTITION BY split_id, f ORDER BY x), b AS (PARTITION BY split_id, f)),
+best AS (SELECT * FROM pf WHERE nx IS NOT NULL AND nl >= 25 AND na - nl >= 25 QUALIFY row_number() OVER (PARTITION BY split_id ORDER BY sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) DESC) = 1)
+SELECT CAST(split_id AS INTEGER) AS split_id, date, symbol, round(CASE WHEN CASE f WHEN 1 THEN x1 ELSE x2 END <= x THEN sl / nl ELSE (sa - sl) / (na - nl) END, 6) + 0.0 AS prediction FROM fo JOIN best USING (split_id) JOIN cal ON date BETWEEN vs AND ve""")
 AUDIT = two_features(6) + f""",
 w AS (SELECT *, {both('50.0')} FROM m2),
 pr AS (SELECT 0 AS trial, split_id, date, symbol, y, my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2 AS p FROM fo JOIN w USING (split_id) JOIN ok ON date BETWEEN vs AND ve),""" + trial_days("pr")

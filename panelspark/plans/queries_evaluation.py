@@ -792,3 +792,19 @@ def feature_set_ablation(i):
 def train_and_score_as_of(i):
     out = models.score_as_of(model_frame(i), "2000-06-15", FEATURES, MODEL, 5)
     return reports.watchlist_projection(out["scored"], ["adj_close", *FEATURES])
+
+
+@query("scored_as_of")
+def scored_as_of(i):
+    """Two-feature ridge trained on what was known five business days before a date, and that date's rows by score."""
+    out = models.score_as_of(two_features(i), "2000-06-15", ("x1", "x2"), replace(MODEL, alpha=30.0), 5)
+    return rounded(reports.watchlist_projection(out["scored"], ["x1"]))
+
+
+@query("single_split_trees")
+def single_split_trees(i):
+    """Trees of one split per fold on two calendar features: the best split by variance, found again in SQL from prefix sums."""
+    rows = two_features(i).withColumns({"x1": F.month("date").cast("double"), "x2": F.weekday("date").cast("double")})
+    cfg = replace(MODEL, model_type="gbt", n_estimators=1, max_depth=1, subsample=1.0, min_samples_leaf=25)
+    out = models.walk_forward(rows, ("x1", "x2"), cfg, cached=False)["predictions"]
+    return rounded(out.select("split_id", "date", "symbol", "prediction"))
