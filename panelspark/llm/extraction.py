@@ -21,14 +21,16 @@ from panelspark.llm.rows import plain
 #: Most pages of the input that the field is trained on.
 MAX_FIT = 300
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b|aria-hidden\s*=\s*\"?true", re.I)
+#: Comments, declarations, and tags up to their first quote or end.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*)", re.S)
+PLAIN = re.compile(r"[^<>\"']+")
+ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMED = frozenset("class id role aria-label".split())
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 TOKENS = re.compile(r"[a-z]+")
 
 #: Kinds of elements in HTML.
-RAW = frozenset("script style noscript template textarea svg iframe object select math".split())
+RAW = frozenset("script style noscript template textarea svg iframe select".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
@@ -44,6 +46,31 @@ OUTER_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article content post entry story body text main".split())
 
 
+def _tag_end(page: str, at: int, unclosed: set) -> int:
+    """Where the tag open at ``at`` ends: the place of its ">", or the complement of the place that breaks it, a "<" or the page's end.
+
+    A quote opens a value only after "="; one that never closes (kept in ``unclosed``) is an ordinary character. Every call goes on
+    from where the one before it stopped, so pages are read once however they are made.
+    """
+    while at < len(page):
+        c = page[at]
+        if c == ">":
+            return at
+        if c == "<":
+            return ~at
+        if c in "\"'":
+            before = at - 1
+            while page[before].isspace():
+                before -= 1
+            end = page.find(c, at + 1) if page[before] == "=" and c not in unclosed else -1
+            if end < 0 and page[before] == "=":
+                unclosed.add(c)
+            at = max(end, at) + 1
+        else:
+            at = PLAIN.match(page, at).end()
+    return ~len(page)
+
+
 def blocks(page: str):
     """Leaf blocks of a page: (text, ancestor path, words in links, words). Markup, scripts, styles and hidden elements give none."""
     page = page or ""
@@ -52,6 +79,7 @@ def blocks(page: str):
     linked: list[str] = []
     out = []
     at, in_link, n = 0, 0, len(page)
+    unclosed: set = set()
 
     def close():
         text = " ".join("".join(pieces).split())
@@ -71,18 +99,23 @@ def blocks(page: str):
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
-            rest = page[at:]
-            cut = rest.rfind("<")  # a tag cut off by the end of the page
-            take(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]", rest[cut:]) and ">" not in rest[cut:] else rest)
+            take(page[at:])
             break
         take(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
+        stop = at if at < n and page[at] == ">" else _tag_end(page, at, unclosed)
+        if stop < 0:
+            at = ~stop
+            if at < n:  # not a tag, as another one begins inside it; a tag cut off by the end of the page is dropped
+                take(page[m.start() : at])
+            continue
+        attributes, at = page[m.start(3) : stop], stop + 1
         tag, ending = tag.lower(), m[1] == "/"
         if tag in RAW and not ending:
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
@@ -105,7 +138,7 @@ def blocks(page: str):
                         break
                     if stack[i][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "td"):
                         break
-                stack.append((tag, (stack[-1][1] if stack else NO_MARKS).inside(tag, m[3])))
+                stack.append((tag, (stack[-1][1] if stack else NO_MARKS).inside(tag, attributes)))
                 in_link = 0
     close()
     return out
@@ -121,13 +154,19 @@ class Marks:
 
     def inside(self, tag: str, attributes: str) -> "Marks":
         words: set = set()
-        hidden = self.hidden
-        if attributes:
-            for _, a, b, c in ATTRIBUTE.findall(attributes):
-                words.update(TOKENS.findall((a or b or c).lower()))
-            hidden = hidden or HIDDEN.search(attributes) is not None
+        own, hidden = False, self.hidden
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in NAMED:
+                for token in value.lower().split():
+                    parts = TOKENS.findall(token)
+                    words.update(parts)
+                    # what begins and ends with words of an article is part of it, whatever stands between
+                    own = own or (not OUTER_WORDS.isdisjoint(parts) and not (parts[0] in CONTENT_WORDS and parts[-1] in CONTENT_WORDS))
+            elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and UNSEEN.search(value)):
+                hidden = True
         whole = tag in ("html", "body")
-        own = not (whole or tag in CONTENT) and bool(words & OUTER_WORDS)
+        own = own and not (whole or tag in CONTENT)
         # an article's own header holds its title
         outer = self.outer or (tag in OUTER and not (tag == "header" and self.content))
         return Marks(tag, outer, self.outer_words or own, self.content or tag in CONTENT, self.content_words or (not whole and bool(words & CONTENT_WORDS)), hidden, self.head or tag in ("head", "title"))
@@ -302,13 +341,16 @@ def decode(ids: list[list[int]], model) -> list[int]:
     return out[::-1]
 
 
-def fit(pages: DataFrame, *, most: int = MAX_FIT):
-    """Train on the template pages and on at most ``most`` pages of the input that have an <article> or <main> element."""
+def fit(pages: DataFrame, *, most: int = MAX_FIT, most_chars: int = 50_000):
+    """Train on the template pages and on at most ``most`` pages of the input that have an <article> or <main> element.
+
+    Pages of ``most_chars`` characters and more are not drawn, which bounds what comes to the driver; extraction reads all of every page.
+    """
     rows = plain(pages, "page_id", "html")
     order = F.xxhash64("html", "page_id")
     # a draw by hash first, so that tasks send few pages however many there are
     drawn = rows.where(F.pmod(order, F.lit(1 << 30)) < min(1.0, 4 * most / max(1, rows.count())) * (1 << 30))
-    some = drawn.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") < 50_000)).orderBy(order, "page_id").select("html").limit(most)
+    some = drawn.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") < most_chars)).orderBy(order, "page_id").select("html").limit(most)
     sampled = [labelled_by_element(r.html) for r in some.collect()]
     return train([*template_pages(), *(x for x in sampled if x)])
 
