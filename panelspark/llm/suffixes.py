@@ -3,16 +3,18 @@
 Only suffixes that start at content-selected positions are kept: in every run of consecutive positions the one whose next words
 have the smallest hash (a minimiser). A passage of ``min_words`` words contains a whole run, so all its occurrences keep the same
 position. Suffixes whose first words repeat are sorted over all machines; each is compared with its neighbours in that order, and a
-match is extended to the right and to the left. They are sorted twice, by what follows and by what precedes the first words, as the
-neighbour with the longest match on one side may have a short one on the other. What reaches ``min_words`` is repeated; longer passages are unions of such matches.
+match is extended to the right and to the left. What reaches ``min_words`` is repeated; longer passages are unions of such matches.
+
+The neighbour with the longest match to the right may have a short one to the left. Where so many suffixes share their first words
+that not all of them are neighbours, what is left open is settled exactly: each suffix has at most ``run`` windows of ``min_words`` words
+around its first words, and windows with equal words in two texts are repeated.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm import bitmap
@@ -23,8 +25,10 @@ from panelspark.session import cut_lineage
 
 #: Positions of a run; with it, how many following words a position's hash covers: min_words - RUN + 1.
 RUN = 32
-#: Neighbours a suffix is compared with on either side, beside the nearest ones of other texts.
+#: Neighbours a suffix is compared with on either side, beside the nearest ones of other texts; of so many and one suffixes all pairs are.
 REACH = 3
+#: Suffixes whose windows are settled together, about.
+SETTLED_ROWS = 20_000
 #: 2^26 bits are 8 MB.
 BITS = 1 << 26
 ROW = "key long, right binary, left binary, t1 long, t2 long, at long, n_right int, n_left int"
@@ -152,62 +156,121 @@ def _matches(rows: pa.Table, k: int, min_words: int) -> list[tuple]:
     return out
 
 
-def neighbours(rows: DataFrame, by: str, *, min_words: int, run: int) -> DataFrame:
-    """(t1, t2, start, end, later) of the matches of neighbours, sorted by key and ``by`` (right or left); ``later`` where the other text has the smaller key.
+SPANS = ["t1", "t2", "start", "end", "later"]
+
+
+def _windows(rows: pa.Table, k: int, min_words: int):
+    """(hash, suffix, words before its first words) of every window of ``min_words`` words around the suffixes' first words."""
+    key, n_right, n_left = (rows.column(n).to_numpy() for n in ("key", "n_right", "n_left"))
+    right, left = (np.frombuffer(b"".join(rows.column(n).to_pylist()), np.uint32).reshape(len(key), -1).astype(np.uint64) for n in ("right", "left"))
+    side = min_words - k
+    before, after = np.empty((side + 1, len(key)), np.uint64), np.empty((side + 1, len(key)), np.uint64)
+    before[0], after[0] = key.view(np.uint64), wh.scramble(key.view(np.uint64))
+    for j in range(side):
+        before[j + 1] = wh.scramble(before[j] * np.uint64(wh.STEP) + left[:, j])
+        after[j + 1] = wh.scramble(after[j] * np.uint64(wh.STEP) + right[:, j])
+    back = np.arange(side + 1)[:, None]
+    there = (n_left >= back) & (n_right >= side - back)
+    j, suffix = np.nonzero(there)
+    return wh.scramble(before[j, suffix] * np.uint64(wh.STEP) + after[side - j, suffix] + j.astype(np.uint64)).view(np.int64), suffix, j
+
+
+def _runs(t1, t2, at, j, suffix, later, min_words: int):
+    """Spans of windows: neighbouring ones of a suffix, alike in ``later``, are one."""
+    order = np.lexsort((j, later, suffix))
+    j, suffix, later = j[order], suffix[order], later[order]
+    new = np.ones(len(j), bool)
+    new[1:] = (suffix[1:] != suffix[:-1]) | (later[1:] != later[:-1]) | (j[1:] != j[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first, len(j))[1:] - 1
+    s = suffix[first]
+    return t1[s], t2[s], at[s] - j[last], at[s] - j[first] + min_words, later[first]
+
 
-    Suffixes are dealt out by range over their whole content, so a passage in any share of all texts is spread over tasks. What
-    stands at the ends of a task's range is compared once more across tasks: a few rows for each.
+def _settled(rows: pa.Table, k: int, min_words: int, whole: np.ndarray):
+    """Spans of the windows that two texts of these suffixes share, and the windows that other tasks must be asked about.
+
+    ``whole`` tells the suffixes all of whose group is here. Of a group that goes on in another task, a window's text with the smallest
+    key asks: the others are repeated and later whatever there is elsewhere.
+    """
+    t1, t2, at = (rows.column(n).to_numpy() for n in ("t1", "t2", "at"))
+    h, suffix, j = _windows(rows, k, min_words)
+    order = np.lexsort((t1[suffix], h))
+    h, suffix, j = h[order], suffix[order], j[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    text = t1[suffix]
+    least, most = text[first][of], text[np.append(first[1:], len(h)) - 1][of] if len(h) else text
+    asked = (text == least) & ~whole[suffix]
+    here = least < most
+    spans = _runs(t1, t2, at, j[here], suffix[here], (text > least)[here], min_words)
+    s = suffix[asked]
+    return spans, (h[asked], t1[s], t2[s], at[s] - j[asked])
+
+
+def matches(rows: DataFrame, *, min_words: int, run: int) -> DataFrame:
+    """(t1, t2, start, end, later) of all passages that suffixes of two texts share; ``later`` where another text has a smaller key.
+
+    Suffixes are dealt out by range over their whole content, so a passage in any share of all texts is spread over tasks. Only the
+    first and the last group of equal first words in a task can go on in another one; their open windows meet by their hashes, at
+    most one text of a window from each task.
     """
     k = min_words - run + 1
-    result = "t1 long, t2 long, start long, end long, later boolean"
+
+    def groups(table, first, last):
+        """Spans and questions of whole groups; the first or the last of them may go on in another task."""
+        key = table.column("key").to_numpy()
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        of = np.cumsum(new) - 1
+        size = np.bincount(of)
+        whole = np.ones(len(size), bool)
+        if first:
+            whole[0] = False
+        if last:
+            whole[-1] = False
+        yield from ((found, None) for found in _matches(table, k, min_words))
+        open_ = np.flatnonzero((size > REACH + 1)[of] | ~whole[of])
+        for lo in range(0, len(open_), SETTLED_ROWS):  # whole groups of about so many suffixes
+            hi = lo + SETTLED_ROWS
+            lo_at = np.searchsorted(of[open_], of[open_[lo]]) if lo else 0
+            hi_at = np.searchsorted(of[open_], of[open_[hi]]) if hi < len(open_) else len(open_)
+            if hi_at > lo_at:
+                some = open_[lo_at:hi_at]
+                yield _settled(table.take(pa.array(some)), k, min_words, whole[of[some]])
 
     def compared(batches):
-        part = TaskContext.get().partitionId()
-        held, first, last = None, None, None
+        held, begun = None, False
         for batch in batches:
             table = pa.Table.from_batches([batch.select(NAMES)])
+            table = table if held is None else pa.concat_tables([held, table])
             if len(table) > 1:  # equal rows are copies of one text
-                t1, t2, at = (table.column(n).to_numpy() for n in ("t1", "t2", "at"))
-                same = (t1[1:] == t1[:-1]) & (t2[1:] == t2[:-1]) & (at[1:] == at[:-1])
+                t1, t2, at, key = (table.column(n).to_numpy() for n in ("t1", "t2", "at", "key"))
+                same = (t1[1:] == t1[:-1]) & (t2[1:] == t2[:-1]) & (at[1:] == at[:-1]) & (key[1:] == key[:-1])
                 table = table.filter(pa.array(np.concatenate(([True], ~same))))
-            first = table.slice(0, REACH) if first is None else first if len(first) >= REACH else pa.concat_tables([first, table]).slice(0, REACH)
-            table = table if held is None else pa.concat_tables([held, table])
-            for found in _matches(table, k, min_words):
-                yield _written(found)
-            ends = _run_ends(*(table.column(n).to_numpy() for n in ("t1", "t2")))
-            held = last = table.slice(max(0, min(len(table) - REACH, (int(ends[-2]) if len(ends) > 1 else 0) - 1)))
-        if first is not None:
-            for side, ends in ((0, first), (1, last)):
-                yield _edge(ends, part * 2 + side)
-
-    def _written(found):
-        n = len(found[0])
-        empty = [pa.nulls(n, kind) for kind in (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
-        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in found), *empty], [*spans, *edges])
-
-    def _edge(ends, place):
-        ends = ends.combine_chunks().to_batches()[0]
-        n = ends.num_rows
-        col = {name: ends.column(name) for name in NAMES}
-        return pa.RecordBatch.from_arrays(
-            [col["t1"], col["t2"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), col["key"], col["right"], col["left"], col["at"], col["n_right"], col["n_left"],
-             pa.array((np.int64(place) << 32) + np.arange(n))], [*spans, *edges])
-
-    spans = ["t1", "t2", "start", "end", "later"]
-    edges = ["key", "right", "left", "at", "n_right", "n_left", "place"]
-
-    def across(batches):
-        tables = [pa.Table.from_batches([b.select(NAMES)]) for b in batches]
-        if tables:
-            for found in _matches(pa.concat_tables(tables), k, min_words):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], spans)
-
-    order = ["key", by, "left" if by == "right" else "right", "t1", "t2", "at"]
+            key = table.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on in the next batch
+            if cut:
+                yield from written(groups(table.slice(0, cut).combine_chunks(), not begun, False))
+                begun = True
+            held = table.slice(cut)
+        if held is not None and len(held):
+            yield from written(groups(held.combine_chunks(), not begun, True))
+
+    def written(found):
+        for spans, asked in found:
+            n = len(spans[0])
+            if n:
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in spans), pa.nulls(n, pa.int64())], [*SPANS, "hash"])
+            if asked is not None and len(asked[0]):
+                h, t1, t2, start = asked
+                yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), pa.array(start), pa.array(start + min_words), pa.nulls(len(h), pa.bool_()), pa.array(h)], [*SPANS, "hash"])
+
+    order = ["key", "right", "left", "t1", "t2", "at"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    made = cut_lineage(dealt.mapInArrow(compared, f"{result}, key long, right binary, left binary, at long, n_right int, n_left int, place long"))
-    # the first and last few rows of each task
-    ends = made.where("place is not null").select(*NAMES, "place").repartition(1).sortWithinPartitions("place").mapInArrow(across, result)
-    return made.where("place is null").select(*spans).unionByName(ends)
+    made = cut_lineage(dealt.mapInArrow(compared, "t1 long, t2 long, start long, end long, later boolean, hash long"))
+    same = Window.partitionBy("hash")
+    asked = made.where("hash is not null").withColumns({"least": F.min("t1").over(same), "most": F.max("t1").over(same)}).where("least < most")
+    return made.where("hash is null").select(*SPANS).unionByName(asked.select("t1", "t2", "start", "end", (F.col("t1") > F.col("least")).alias("later")))
 
 
 def _merged(spans):
@@ -234,7 +297,7 @@ def repeats(documents: DataFrame, *, min_words: int = 50, run: int = RUN, bits:
         raise ValueError("run must lie between 1 and min_words")
     keys = cut_lineage(repeated_keys(documents, min_words=min_words, run=run))
     rows = suffixes(documents, keys, min_words=min_words, run=run, bits=bits)
-    found = neighbours(rows, "right", min_words=min_words, run=run).unionByName(neighbours(rows, "left", min_words=min_words, run=run))
+    found = matches(rows, min_words=min_words, run=run)
     span = F.struct("start", "end")
     found = found.groupBy("t1", "t2").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("later"), span)).alias("later"))
     texts = plain(documents, "doc_id", "text").select("doc_id", *text_key(), size_of().alias("n_words"))

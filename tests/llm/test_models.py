@@ -1,5 +1,7 @@
 """Classifiers on held-out rows, repeated passages, archives and page text."""
 
+import random
+
 import brute
 import numpy as np
 import pytest
@@ -80,6 +82,51 @@ def test_repeated_passages(spark, sf):
         assert covered(r.later_spans) <= covered(r.spans)
 
 
+def apart(draw, n=60):
+    """Two texts that share just 50 words, among texts that share only what follows or only what precedes the middle of these."""
+    r = random.Random(draw)
+    word = lambda kind, i: f"{kind}{draw}x{i}"
+    passage = [word("p", i) for i in range(50)]
+    at = r.randrange(5, 26)  # the middle that all share: 20 words
+    filler = lambda d, k: [word(f"f{d}y", i) for i in range(k)]
+    rows = [filler(d, 40) + passage + filler(f"{d}e", 40) for d in range(2)]
+    for d in range(n):
+        rows.append(filler(f"a{d}", 40) + passage[at : at + 20] + passage[at + 20 :] + filler(f"ae{d}", 30))
+        rows.append(filler(f"b{d}", 40) + passage[: at + 20] + filler(f"be{d}", 40))
+    return [" ".join(w) for w in rows]
+
+
+@pytest.mark.parametrize("reach", [0, 3])
+def test_passages_between_texts_that_are_no_neighbours(spark, monkeypatch, reach):
+    monkeypatch.setattr(suffixes, "REACH", reach or suffixes.REACH)
+    texts = [t for draw in range(50) for t in apart(draw)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {r.doc_id: [tuple(x) for x in r.spans] for r in suffixes.repeats(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {d: x for d, x in got.items() if x} == {122 * draw + d: [(40, 90)] for draw in range(50) for d in (0, 1)}
+
+
+def test_groups_over_many_tasks_are_settled(spark):
+    """One key in most texts, with few tasks' worth of suffixes each, so that its group goes on over several tasks."""
+    key = [f"k{i}" for i in range(19)]
+    rows = []
+    for d in range(900):
+        w = [f"l{d % 40}x{i}" for i in range(20)] + key + [f"r{d % 30}x{i}" for i in range(20)]
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = {r.doc_id: covered(r.spans) for r in suffixes.repeats(docs, min_words=30, run=12).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == plain_repeats(rows, 30)
+
+
 def test_repeated_passages_in_many_texts(spark, odd_documents, no_documents):
     passage = " ".join(f"p{i}" for i in range(70))
     rows = [(d, " ".join(f"a{d}x{i}" for i in range(d % 50)) + f" {passage} " + " ".join(f"b{d}x{i}" for i in range(60 - d % 50))) for d in range(300)]
