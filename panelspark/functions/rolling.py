@@ -1,6 +1,7 @@
-"""Rolling statistics of many window lengths at a cost that grows with the logarithm of the longest.
+"""Rolling statistics of many window lengths, short ones by sliding frames and long ones by doubling.
 
-A statistic over 2^(k+1) rows is merged from two over 2^k rows, one of them looked up with a lag, and a window of any length from
+Spark evaluates a sliding frame anew for every row, so its cost grows with the window; up to a few hundred rows that is still less
+than what further passes cost. Beyond, a statistic over 2^(k+1) rows is merged from two over 2^k rows, one of them looked up with a lag, and a window of any length from
 the powers of two in it (extremes from two that overlap). Only a window's own rows enter its result: there are no differences of
 running sums, so an outlier leaves no trace once it has left the window, and constant windows have a deviation of exactly 0. All
 lookups share one order of (symbol, date).
@@ -20,17 +21,23 @@ KINDS = ("sum", "mean", "std", "max", "min", "corr", "beta")
 KEPT = {"sum": ("s",), "mean": ("s",), "std": ("a", "q"), "max": ("max",), "min": ("min",), "corr": ("a", "b", "q", "r", "c"), "beta": ("a", "b", "q", "r", "c")}
 
 
+#: Longest window that is evaluated as a sliding frame (measured: a pass costs about as much as some hundred rows of a frame).
+SLIDING = 512
+
+
 @dataclass(frozen=True)
 class Roll:
     """``kind`` over the last ``w`` rows of a symbol, null unless all of them have values (in both columns for corr and beta).
 
-    ``beta`` is the covariance of ``value`` and ``other`` over the variance of ``other``.
+    ``beta`` is the covariance of ``value`` and ``other`` over the variance of ``other``. ``dense`` declares the value free of nulls,
+    so that rows need not be counted.
     """
 
     kind: str
     value: str
     w: int
     other: str | None = None
+    dense: bool = False
 
     def __post_init__(self):
         if self.kind not in KINDS or self.w < 1 or (self.other is None) != (self.kind not in ("corr", "beta")):
@@ -97,10 +104,34 @@ def _result(kind: str, s: dict, w: int) -> Column:
     return s[kind]
 
 
-def with_rolling(df: DataFrame, rolls: dict[str, Roll], symbol: str = "symbol", date: str = "date") -> DataFrame:
-    """``df`` with the named rolling statistics."""
-    order = by_symbol(symbol, date)
+def _framed(roll: Roll, symbol: str, date: str) -> Column:
+    """The statistic as a sliding frame."""
+    frame = by_symbol(symbol, date).rowsBetween(-(roll.w - 1), 0)
+    x = F.col(f"`{roll.value}`")
+    if roll.other is not None:
+        y = F.col(f"`{roll.other}`")
+        x, y = _whole(x, y, x), _whole(x, y, y)
+        cov, var_x, var_y = F.covar_samp(x, y).over(frame), F.var_samp(x).over(frame), F.var_samp(y).over(frame)
+        out = F.try_divide(cov, var_y) if roll.kind == "beta" else F.try_divide(cov, F.sqrt(var_x * var_y))
+    else:
+        stat = {"sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}[roll.kind]
+        out = stat(x).over(frame)
+    if roll.dense:
+        return F.when(F.row_number().over(by_symbol(symbol, date)) >= roll.w, out)
+    return F.when(F.count(x).over(frame) == roll.w, out)
+
+
+def with_rolling(df: DataFrame, rolls: dict[str, Roll], symbol: str = "symbol", date: str = "date", *, sliding: int = SLIDING) -> DataFrame:
+    """``df`` with the named rolling statistics; windows of up to ``sliding`` rows as frames, longer ones by doubling."""
     columns = list(dict.fromkeys([*df.columns, *rolls]))
+    short = {name: _framed(roll, symbol, date) for name, roll in rolls.items() if roll.w <= sliding}
+    long = {name: roll for name, roll in rolls.items() if roll.w > sliding}
+    out = df.withColumns(short) if short else df
+    return (_doubled(out, long, symbol, date) if long else out).select(*(f"`{c}`" for c in columns))
+
+
+def _doubled(df: DataFrame, rolls: dict[str, Roll], symbol: str, date: str) -> DataFrame:
+    order = by_symbol(symbol, date)
     groups: dict = {}
     for roll in rolls.values():
         names, top = groups.setdefault(roll.of, ([], 0))
@@ -138,4 +169,4 @@ def with_rolling(df: DataFrame, rolls: dict[str, Roll], symbol: str = "symbol",
                 stats = _merge(stats, block(roll.of, names, k, back), n, 1 << k)
                 n += 1 << k
         made[name] = _result(roll.kind, stats, w)
-    return df.withColumns(made).select(*(f"`{c}`" for c in columns))
+    return df.withColumns(made)

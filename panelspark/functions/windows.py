@@ -47,37 +47,6 @@ def rolling_std(value, w: int, **kw) -> Column:
     return rolling(value, w, F.stddev_samp, **kw)
 
 
-def rolling_max(value, w: int, **kw) -> Column:
-    return rolling(value, w, F.max, **kw)
-
-
-def rolling_min(value, w: int, **kw) -> Column:
-    return rolling(value, w, F.min, **kw)
-
-
-def _pairs(x: Column, y: Column) -> tuple[Column, Column]:
-    both = x.isNotNull() & y.isNotNull()
-    return F.when(both, x), F.when(both, y)
-
-
-def rolling_beta(y, x, w: int, symbol: str = "symbol", date: str = "date") -> Column:
-    """Covariance with ``x`` over the variance of ``x``.
-
-    The covariance needs ``w`` complete pairs, the variance ``w`` values of ``x``.
-    """
-    frame = trailing(w, symbol, date)
-    yy, xx = _pairs(col(y), col(x))
-    cov = F.when(F.count(yy).over(frame) == w, F.covar_samp(yy, xx).over(frame))
-    var = gated(x, frame, w, F.var_samp)
-    return F.try_divide(cov, var)
-
-
-def rolling_corr(y, x, w: int, symbol: str = "symbol", date: str = "date") -> Column:
-    frame = trailing(w, symbol, date)
-    yy, xx = _pairs(col(y), col(x))
-    return F.when(F.count(yy).over(frame) == w, F.corr(yy, xx).over(frame))
-
-
 def lag(value, n: int = 1, symbol: str = "symbol", date: str = "date") -> Column:
     return F.lag(col(value), n).over(by_symbol(symbol, date))
 

@@ -57,8 +57,8 @@ def volume_features(
     df = df.withColumns(
         {"volume_change_5d": change(volume, lag(volume, 5)), "dollar_volume": F.col(price) * F.col(volume)}
     )
-    means = {f"avg_volume_{w}d": Roll("mean", volume, w) for w in windows}
-    means |= {f"avg_dollar_volume_{w}d": Roll("mean", "dollar_volume", w) for w in windows}
+    means = {f"avg_volume_{w}d": Roll("mean", volume, w, dense=True) for w in windows}
+    means |= {f"avg_dollar_volume_{w}d": Roll("mean", "dollar_volume", w, dense=True) for w in windows}
     df = with_rolling(df.withColumn("log_dollar_volume", F.log1p("dollar_volume")), means)
     cols = {}
     for w in windows:
@@ -70,9 +70,9 @@ def volume_features(
 def range_features(
     df: DataFrame, sma_windows=SMA_WINDOWS, range_windows=RANGE_WINDOWS, price: str = "adj_close"
 ) -> DataFrame:
-    rolls = {f"__sma_{w}": Roll("mean", price, w) for w in sma_windows}
+    rolls = {f"__sma_{w}": Roll("mean", price, w, dense=True) for w in sma_windows}
     for w in range_windows:
-        rolls |= {f"__high_{w}": Roll("max", price, w), f"__low_{w}": Roll("min", price, w)}
+        rolls |= {f"__high_{w}": Roll("max", price, w, dense=True), f"__low_{w}": Roll("min", price, w, dense=True)}
     df = with_rolling(df, rolls)
     cols = {f"price_above_sma_{w}": change(price, f"__sma_{w}") for w in sma_windows}
     for w in range_windows:
@@ -297,13 +297,13 @@ def discovery_features(df: DataFrame, price: str = "adj_close") -> DataFrame:
     if "return_1d" not in df.columns:
         df = df.withColumn("return_1d", change(price, lag(price)))
     have = set(df.columns)
-    rolls = {f"__mean_{w}": Roll("mean", price, w) for w in (20, 50, 200) if f"price_above_sma_{w}" not in have}
+    rolls = {f"__mean_{w}": Roll("mean", price, w, dense=True) for w in (20, 50, 200) if f"price_above_sma_{w}" not in have}
     if not {"distance_from_52w_high", "drawdown_from_52w_high"} <= have:
-        rolls["__high_252"] = Roll("max", price, 252)
+        rolls["__high_252"] = Roll("max", price, 252, dense=True)
     if "max_drawdown_60d" not in have and "drawdown_60d" not in have:
-        rolls["__high_60"] = Roll("max", price, 60)
+        rolls["__high_60"] = Roll("max", price, 60, dense=True)
     if "volume" in have:
-        rolls |= {"__volume_5": Roll("mean", "volume", 5), "__volume_20": Roll("mean", "volume", 20), "__deviation_20": Roll("std", "volume", 20)}
+        rolls |= {"__volume_5": Roll("mean", "volume", 5, dense=True), "__volume_20": Roll("mean", "volume", 20), "__deviation_20": Roll("std", "volume", 20)}
     df = df.withColumn("__loss", F.when(F.col("return_1d") < 0, F.col("return_1d")))
     rolls["__downside"] = Roll("std", "__loss", 20)
     df = with_rolling(df, rolls)

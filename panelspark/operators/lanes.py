@@ -65,6 +65,14 @@ def with_forward_prices(panel: DataFrame, horizons=(5, 20, 60), price: str = "ad
     return panel.withColumns({f"__fwd_{h}": lead(price, h) for h in horizons})
 
 
+def needed_dates(panel: DataFrame, dates: DataFrame, date: str = "date", symbol: str = "symbol") -> DataFrame:
+    """The days on which some symbol has its latest row at one of ``dates``; one row per day.
+
+    Whatever looks at a day's rows only (ranks, sector means, fundamentals) need not be computed for other days.
+    """
+    return latest_rows_at(panel.select(symbol, date), dates, date, symbol).select(F.col(date).cast("date").alias("date")).distinct()
+
+
 def lane_backtest(
     frame: DataFrame, dates: DataFrame, *, config: discovery.DiscoveryConfig | None = None, top_n: int = 25,
     horizons=(5, 20, 60), watchlist: DataFrame | None = None,
@@ -72,11 +80,12 @@ def lane_backtest(
     """Selections of every lane on every as-of date with their later returns, in one job.
 
     Forward prices are taken on the panel before the snapshot, so the n-th later row of a symbol is a
-    window value and not a lookup.
+    window value and not a lookup. A frame that holds some days only (see :func:`needed_dates`) brings them along.
     """
     config = replace(config or discovery.DiscoveryConfig(), top_n=top_n)
     price = config.price_col
-    panel = with_forward_prices(frame, horizons, price)
+    known = {f"__fwd_{h}" for h in horizons} <= set(frame.columns)
+    panel = frame if known else with_forward_prices(frame, horizons, price)
     snapshot = latest_rows_at(panel, dates)
     kept, _ = discovery.filter_candidates(snapshot, config, watchlist)
     scored = discovery.score_candidates(kept, config, ["as_of_date"])

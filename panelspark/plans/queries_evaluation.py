@@ -96,10 +96,11 @@ def momentum_evaluation_query(i):
 DISCOVERY = discovery.DiscoveryConfig(min_avg_dollar_volume_20d=30_000.0, min_market_cap=100_000_000.0, top_n=5)
 
 
-def discovery_frame(i, dates=None):
-    """Panel with the features the funnel reads, fundamentals and metadata, of some dates or of all.
+def discovery_frame(i, dates=None, forward=()):
+    """Panel with the features the funnel reads, fundamentals and metadata, of some dates (a list or a table) or of all.
 
-    Rolling features need a symbol's earlier rows; everything after them looks at one date, so other dates go first.
+    Rolling features need a symbol's earlier rows and prices ``forward`` rows later its later ones; everything after them looks at
+    one date, so other dates go first.
     """
     from panelspark.operators import fundamentals
 
@@ -110,8 +111,11 @@ def discovery_frame(i, dates=None):
     p = features.range_features(p, (20, 50), (60,))
     p = features.market_relative_features(p, i.benchmark(), (20,), (60,))
     p = features.discovery_features(p)
-    if dates is not None:
+    p = lanes.with_forward_prices(p, forward) if forward else p
+    if isinstance(dates, list):
         p = p.filter(F.col("date").cast("date").cast("string").isin(*dates))
+    elif dates is not None:
+        p = p.join(F.broadcast(dates), "date", "left_semi")  # one row per day of the calendar
     p = fundamentals.enrich_with_fundamentals(p, fundamentals.normalize_fundamentals(i.fundamentals()))
     p = p.withColumn("days_to_earnings", F.datediff("earnings_date", "date"))
     p = discovery.attach_metadata(p, i.universe().drop("sector"))
@@ -207,7 +211,11 @@ def lane_reasons(i):
 
 def lane_trades(i):
     dates = lanes.rebalance_dates(i.prices(), "monthly")
-    return lanes.lane_backtest(discovery_frame(i), dates, config=DISCOVERY, top_n=5, watchlist=watched(i))
+    return lanes.lane_backtest(lane_frame(i, dates), dates, config=DISCOVERY, top_n=5, watchlist=watched(i))
+
+
+def lane_frame(i, dates):
+    return discovery_frame(i, lanes.needed_dates(i.prices(), dates), (5, 20, 60))
 
 
 @query("lane_backtest_trades")

@@ -6,8 +6,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import models, workflow
-from panelspark.plans.queries_evaluation import DISCOVERY, MODEL, PORTFOLIO, discovery_frame, funnel, two_features, watched
+from panelspark.operators import lanes, models, workflow
+from panelspark.plans.queries_evaluation import DISCOVERY, MODEL, PORTFOLIO, discovery_frame, funnel, lane_frame, two_features, watched
 from panelspark.plans.registry import query, rounded
 from panelspark.session import run_dir
 from panelspark.sources import store
@@ -108,7 +108,8 @@ def stored_tables(i):
 def workflow_summary(i):
     """All stages in one call, the lane trades passed on to the portfolio."""
     snapshot = discovery_frame(i, ["1999-06-15"])
-    made = workflow.run_workflow(discovery_frame(i), i.prices(), as_of_date="1999-06-15", snapshot=snapshot, watchlist=watched(i),
+    frame = lane_frame(i, lanes.rebalance_dates(i.prices(), "monthly"))
+    made = workflow.run_workflow(frame, i.prices(), as_of_date="1999-06-15", snapshot=snapshot, watchlist=watched(i),
                                  discovery_config=DISCOVERY, portfolio_config=PORTFOLIO, top_n=5)
     return made.summary()
 
