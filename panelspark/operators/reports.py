@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.crosssection import (
-    group_quantiles, null_safe_join, with_percent_ranks, with_quantile_bucket,
+    WHOLE, group_quantiles, null_safe_join, with_percent_ranks, with_quantile_bucket,
 )
 from panelspark.functions.metrics import information_coefficient
 
@@ -71,7 +71,7 @@ def order_explanations(
     """Planned orders with values and percentiles of the most important features, in long form."""
     features = list(features)
     keys = list(keys)
-    ranked = with_percent_ranks(watchlist.select(*keys, "symbol", *features), keys, {f"__p_{f}": (f, True) for f in features})
+    ranked = with_percent_ranks(watchlist.select(*keys, "symbol", *features), keys, {f"__p_{f}": (f, True) for f in features}, whole=WHOLE)
     cells = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), F.col(f"__p_{f}").alias("percentile")) for f in features])
     long = ranked.select(*keys, "symbol", F.explode(cells).alias("x")).select(*keys, "symbol", "x.*")

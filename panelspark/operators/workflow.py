@@ -52,10 +52,10 @@ def run_workflow(
         result.tables.update({f"{stage}.{name}": table for name, table in tables.items()})
 
     if "discovery" not in skip:
-        keep("discovery", discovery.run_discovery(frame if snapshot is None else snapshot, watchlist=watchlist, config=discovery_config, as_of_date=as_of_date))
+        keep("discovery", discovery.run_discovery(frame if snapshot is None else snapshot, watchlist=watchlist, config=discovery_config, as_of_date=as_of_date, within=prices))
     if "lane_backtest" not in skip:
         dates = lanes.rebalance_dates(prices, rebalance)
-        trades = lanes.lane_backtest(frame, dates, config=discovery_config, top_n=top_n, horizons=horizons, watchlist=watchlist)
+        trades = lanes.lane_backtest(frame, dates, config=discovery_config, top_n=top_n, horizons=horizons, watchlist=watchlist, within=prices)
         keep("lane_backtest", {"trades": trades, "summary": lanes.lane_summary(trades, horizons)})
     if "portfolio_backtest" not in skip:
         if trades is None:

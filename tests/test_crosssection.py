@@ -60,3 +60,29 @@ def test_no_window_or_percentile_over_a_whole_group(spark):
         assert "percentile" not in plan
         # windows run over sums per slice, or inside a slice
         assert all("__slice" in line for line in plan.split("\n") if line.strip(" :+-").startswith("Window"))
+
+
+def test_small_groups_by_windows_and_large_ones_by_slices(spark):
+    pdf, df = skewed(spark)
+    ranks = {"r": ("x", True), "s": ("x", False), "t": ("y", True)}
+    want = cs.with_percent_ranks(df, ["date"], ranks, flat_value=0.5).toPandas().set_index("symbol").sort_index()
+    for whole, packed in ((100, False), (1000, False), (100, True), (1000, True)):  # the hot date is over the first bound only
+        out = cs.with_percent_ranks(df, ["date"], ranks, flat_value=0.5, stats={"m": F.avg("y")}, whole=whole, packed=packed)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("__slice" in plan) == (whole == 100)
+        got = out.toPandas().set_index("symbol").sort_index()
+        assert list(got.columns) == [*want.columns, "m"]
+        for name in ranks:
+            assert np.allclose(got[name].to_numpy(float), want[name].to_numpy(float), equal_nan=True)
+        assert np.allclose(got["m"].to_numpy(), pdf.set_index("symbol").sort_index().groupby("date")["y"].transform("mean").to_numpy())
+
+
+def test_flat_null_and_empty_groups_by_windows(spark):
+    rows = [("a", "1", 0.0), ("a", "2", -0.0), ("b", "1", None), (None, "1", 1.0), (None, "2", 2.0)]
+    df = spark.createDataFrame(rows, "date string, symbol string, x double")
+    for whole, packed in ((0, False), (1, False), (10, False), (1, True), (10, True)):
+        out = cs.with_percent_ranks(df, ["date"], {"p": ("x", True), "q": ("x", False)}, flat_value=0.5, whole=whole, packed=packed, stats={"n": F.count("*")})
+        rows = out.collect()
+        assert {(r.date, r.n) for r in rows} == {("a", 2), ("b", 1), (None, 2)} and len(rows) == 5
+        got = {(r.date, r.symbol): (r.p, r.q) for r in rows}
+        assert got == {("a", "1"): (0.5, 0.5), ("a", "2"): (0.5, 0.5), ("b", "1"): (None, None), (None, "1"): (0.5, 1.0), (None, "2"): (1.0, 0.5)}
