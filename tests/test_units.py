@@ -113,3 +113,34 @@ def test_every_oracle_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_recent_rows_give_the_features_of_their_last_day(spark):
+    from pyspark.sql import functions as F
+
+    from panelspark.operators import features
+
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int"))
+    x = F.abs(F.hash("id", "symbol")) % 1000 + 1.0
+    df = spark.range(400).crossJoin(spark.createDataFrame([("a",), ("b",)], "symbol string")).select("symbol", day.alias("date"), x.alias("adj_close"), x.alias("volume"))
+    df = df.filter("symbol = 'a' or date > '2020-12-01'")  # b is younger than the longest window
+    last = "2020-12-20"
+    part = features.recent_rows(df, last, 253)
+    assert {r.symbol: r["count"] for r in part.groupBy("symbol").count().collect()} == {"a": 253, "b": 19}
+    want, got = (features.discovery_features(t).filter(F.col("date") == last).orderBy("symbol").collect() for t in (df, part))
+    assert got == want and got[0].distance_from_52w_high is not None
+
+
+def test_monitoring_summary_runs_the_funnel_once(monkeypatch):
+    from panelspark.plans import queries_evaluation as q
+
+    calls = []
+    monkeypatch.setattr(q, "funnel", lambda i: calls.append(i) or {"candidates": "c"})
+    monkeypatch.setattr(q, "monitored", lambda i, r=None: r or q.funnel(i))
+    monkeypatch.setattr(q.monitoring, "monitoring_summary", lambda universe, eligible, monitored: (eligible, monitored))
+
+    class Nothing:
+        def universe(self):
+            return None
+
+    assert q.monitoring_summary_query(Nothing()) == ("c", {"candidates": "c"}) and len(calls) == 1
