@@ -461,17 +461,29 @@ def held_bars(pos: DataFrame, bars: DataFrame) -> DataFrame:
     return met.select(*[c for c in pos.columns if c not in ("__from", "__to")], *(F.col("__bar")[c].alias(c) for c in values))
 
 
+def bars_of(prices: DataFrame) -> DataFrame:
+    return prices.select(symbol_key("symbol").alias("symbol"), F.col("date").cast("date").alias("day"), F.col("adj_close").alias("close_price"))
+
+
+def active_bars(active: DataFrame, prices: DataFrame) -> DataFrame:
+    """Bars of the symbols of ``active`` orders, from the first fill of an open one on, and every symbol's last bar."""
+    first = active.groupBy("symbol").agg(F.min(F.when(F.col("status") == "open", F.col("fill_date").cast("date"))).alias("__first"))
+    met = bars_of(prices).join(first, "symbol").withColumn("__last", F.max("day").over(Window.partitionBy("symbol")))
+    return met.filter("day >= __first or day = __last").drop("__first", "__last")
+
+
 def position_days(
     open_rows: DataFrame, prices: DataFrame, config: LedgerConfig, *, scores: DataFrame | None = None,
-    universe: DataFrame | None = None,
+    universe: DataFrame | None = None, bars: DataFrame | None = None,
 ) -> DataFrame:
     """One row per open position and trading day from its fill date to its horizon, with all exit inputs.
 
     The running high starts at the fill date: replaying a stored later high over earlier days would let a
-    trailing stop fire in hindsight. A position's group is bounded by its holding period.
+    trailing stop fire in hindsight. A position's group is bounded by its holding period. ``bars`` may hold those from
+    :func:`bars_of`, or fewer of them if every position's are there from its fill on.
     """
     rules = config.exit_rules
-    bars = prices.select(symbol_key("symbol").alias("symbol"), F.col("date").cast("date").alias("day"), F.col("adj_close").alias("close_price"))
+    bars = bars_of(prices) if bars is None else bars
     pos = open_rows.withColumn("symbol", F.upper("symbol")).select(
         "order_id", "symbol", "sector", "score", "shares", "fill_date", "target_exit_date", "entry_price", "entry_value",
         "entry_cost", "trailing_stop_activated")
@@ -622,12 +634,20 @@ def mark_positions(
     ledger: DataFrame, prices: DataFrame, config: LedgerConfig | None = None, *, scores: DataFrame | None = None,
     universe: DataFrame | None = None,
 ) -> DataFrame:
-    """Latest marks of open and planned orders and what would happen to them."""
+    """Latest marks of open and planned orders and what would happen to them.
+
+    Active orders are a small part of a ledger, and their bars since the fill one of all prices; both are read by every figure and stored.
+    """
     config = config or LedgerConfig()
     df = normalize_ledger(ledger).filter(F.col("status").isin("open", "planned")).withColumn("symbol", F.upper("symbol"))
-    days = position_days(df.filter("status = 'open' and fill_date is not null"), prices, config, scores=scores, universe=universe)
-    df = df.join(exit_decisions(days, config.exit_rules).drop("last"), "order_id", "left").join(latest_marks(prices), "symbol", "left")
-    bars = prices.select(symbol_key("symbol").alias("symbol"), F.col("date").cast("date").alias("day"), F.col("adj_close").alias("close_price"))
+    df = cut_lineage(df)
+    bars = cut_lineage(active_bars(df, prices))
+    if scores is not None and {"symbol", "score", "date"} <= set(scores.columns):
+        table = scores.select(symbol_key("symbol").alias("symbol"), F.col("date").cast("date").alias("date"), "score")
+        scores = cut_lineage(table.join(bars.select("symbol", F.col("day").alias("date")), ["symbol", "date"], "left_semi"))
+    days = position_days(df.filter("status = 'open' and fill_date is not null"), prices, config, scores=scores, universe=universe, bars=bars)
+    latest = latest_per_key(bars.select("symbol", F.col("day").alias("latest_price_date"), F.col("close_price").alias("latest_price")), "symbol", "latest_price_date")
+    df = df.join(exit_decisions(days, config.exit_rules).drop("last"), "order_id", "left").join(latest, "symbol", "left")
     df = since_fill(df, bars, {"high_close": F.max("close_price")})
     df = df.withColumn("high_close", F.when(F.col("status") == "open", F.col("high_close")))
     df = attach_scores(df.withColumn("date", F.col("latest_price_date")), scores)
