@@ -122,28 +122,79 @@ def _joined_ranks(df: DataFrame, keys, ranks) -> DataFrame:
     return df
 
 
-def with_ends(df: DataFrame, keys, value: str, lowest: Column, highest: Column, tie: str = "symbol") -> DataFrame:
+def with_ends(df: DataFrame, keys, value: str, lowest: Column, highest: Column, tie: str = "symbol", stored: bool = False) -> DataFrame:
     """Only the rows at either end of their group by ``value``, with booleans ``__low`` and ``__high``.
 
     ``lowest`` and ``highest`` are how many rows of the group to take, in terms of its size ``__n``; among equal values the first by
-    ``tie`` are taken. Running counts of distinct values tell which values are in; only rows of a value that is partly in are put
-    in order.
+    ``tie`` are taken. Counts per slice of the value range tell in which slice either end stops; only rows of those slices are put
+    in order, in a task each where the slice was counted to hold at most :data:`WHOLE` rows. ``stored`` says that reading ``df``
+    twice costs less than storing it.
     """
-    df = cut_lineage(df)
-    counts = _running_counts(df, keys, value)
-    total = counts.groupBy(*keys).agg(F.sum("__ties").alias("__n"))
-    room = null_safe_join(counts, total, keys).withColumns({"__lows": lowest - F.col("__below"), "__highs": highest - (F.col("__n") - F.col("__below") - F.col("__ties"))})
-    ends = room.filter("__lows > 0 or __highs > 0").select(*keys, value, "__n", "__ties", "__lows", "__highs")
-    rows = cut_lineage(null_safe_join(df, ends, [*keys, value], "inner"))
+    df = df if stored else cut_lineage(df)
+    rows = df.filter(F.col(value).isNotNull()).withColumn("__slice", _slice(F.col(value).cast("double")))
+    ends = cut_lineage(_end_slices(rows, keys, lowest, highest))
+    groups, most = ends.agg(F.count("*"), F.max(F.greatest("__low_edge", "__high_edge"))).first()
+    known = F.broadcast(ends) if groups <= BROADCAST_GROUPS else ends
+    met = null_safe_join(rows, known, keys, "inner")
+    at_low, at_high = F.col("__slice") == F.col("__low_slice"), F.col("__slice") == F.col("__high_slice")
+    split = {"low": at_low & (F.col("__low_edge") > 0), "high": at_high & (F.col("__high_edge") > 0)}
+    inside = {"low": F.col("__slice") <= F.col("__low_slice"), "high": F.col("__slice") >= F.col("__high_slice")}
+    met = met.withColumns({
+        **{f"__{end}": F.coalesce(inside[end] & ~split[end], F.lit(False)) for end in split},
+        "__lows": F.when(split["low"], F.col("__low_left")).otherwise(0), "__highs": F.when(split["high"], F.col("__high_left")).otherwise(0)})
+    columns = [*df.columns, "__n", "__low", "__high"]
+    met = cut_lineage(met.filter("__low or __high or __lows > 0 or __highs > 0").select(*columns, "__slice", "__lows", "__highs"))
+    edge = met.filter("__lows > 0 or __highs > 0")
+    edge = _ends_in_tasks(edge, keys, value, tie) if (most or 0) <= WHOLE else _ends_by_counts(edge, keys, value, tie)
+    whole = met.filter("__lows <= 0 and __highs <= 0").select(*columns)
+    return whole.unionByName(edge.select(*columns)).filter("__low or __high")
+
+
+#: A table of so many groups is sent to all tasks.
+BROADCAST_GROUPS = 100_000
+
+
+def _end_slices(rows: DataFrame, keys, lowest: Column, highest: Column) -> DataFrame:
+    """Per group its size, the last slice that each end reaches, the places left there and, if not all of its rows are in, their number."""
+    counts = rows.groupBy(*keys, "__slice").agg(F.count("*").alias("__ties"))
+    lower = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({"__below": F.coalesce(F.sum("__ties").over(lower), F.lit(0)), "__n": F.sum("__ties").over(Window.partitionBy(*keys))})
+    room = placed.withColumns({"__lows": lowest - F.col("__below"), "__highs": highest - (F.col("__n") - F.col("__below") - F.col("__ties"))})
+
+    def last(end, pick):
+        reached = F.when(F.col(f"__{end}s") > 0, F.col("__slice"))
+        edge = F.when(F.col(f"__{end}s") < F.col("__ties"), F.col("__ties")).otherwise(0)
+        return pick(F.struct("__slice", F.col(f"__{end}s").cast("long").alias("left"), edge.cast("long").alias("edge")), reached).alias(f"__{end}")
+
+    table = room.groupBy(*keys).agg(F.max("__n").alias("__n"), last("low", F.max_by), last("high", F.min_by))
+    return table.select(*keys, "__n", *(F.col(f"__{end}")[c].alias(f"__{end}_{c.strip('_')}") for end in ("low", "high") for c in ("__slice", "left", "edge")))
+
+
+def _ends_in_tasks(edge: DataFrame, keys, value: str, tie: str) -> DataFrame:
+    """Rows of slices that an end reaches in part, by windows inside the slices."""
+    inside = Window.partitionBy(*keys, "__slice")
+    up, down = (F.row_number().over(inside.orderBy(order, F.col(tie))) for order in (F.col(value).asc(), F.col(value).desc()))
+    edge = edge.withColumns({"__up": up, "__down": down})
+    return edge.withColumns({"__low": F.col("__low") | (F.col("__up") <= F.col("__lows")), "__high": F.col("__high") | (F.col("__down") <= F.col("__highs"))})
+
+
+def _ends_by_counts(edge: DataFrame, keys, value: str, tie: str) -> DataFrame:
+    """As :func:`_ends_in_tasks` for slices of any size: running counts of distinct values tell which values are in, and only rows of
+    a value that is partly in are put in order."""
+    edge, names = edge.withColumnRenamed("__slice", "__part"), [*keys, "__part"]
+    counts = _running_counts(edge, names, value)
+    total = counts.groupBy(*names).agg(F.sum("__ties").alias("__all"))
+    edge = cut_lineage(null_safe_join(edge, null_safe_join(counts, total, names), [*names, value], "inner").withColumns({
+        "__lows": F.col("__lows") - F.col("__below"), "__highs": F.col("__highs") - (F.col("__all") - F.col("__below") - F.col("__ties"))}))
     whole = lambda places: F.col(places) >= F.col("__ties")
     partly = ((F.col("__lows") > 0) & ~whole("__lows")) | ((F.col("__highs") > 0) & ~whole("__highs"))
-    if rows.filter(partly).isEmpty():
-        rows = rows.withColumn("__turn", F.lit(1))
+    if edge.filter(partly).isEmpty():
+        edge = edge.withColumn("__turn", F.lit(1))
     else:
-        placed = with_row_index(rows.filter(partly), [*keys, value], [tie], "__turn")
-        rows = rows.filter(~partly).withColumn("__turn", F.lit(1)).unionByName(placed)
+        placed = with_row_index(edge.filter(partly), [*names, value], [tie], "__turn")
+        edge = edge.filter(~partly).withColumn("__turn", F.lit(1)).unionByName(placed)
     taken = {out: (F.col(places) > 0) & (whole(places) | (F.col("__turn") <= F.col(places))) for out, places in (("__low", "__lows"), ("__high", "__highs"))}
-    return rows.withColumns(taken).filter("__low or __high").drop("__ties", "__lows", "__highs", "__turn")
+    return edge.withColumns({out: F.col(out) | hit for out, hit in taken.items()})
 
 
 def with_percent_ranks(

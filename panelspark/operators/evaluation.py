@@ -65,11 +65,12 @@ def _wanted(rows, fraction: float):
 
 def positions(
     scored: DataFrame, config: EvaluationConfig, keys=(), *, score: str = "score",
-    outcome: str = "forward_return",
+    outcome: str = "forward_return", stored: bool = False,
 ) -> DataFrame:
     """One row per held position: side, weight and contribution, for all dates at once.
 
-    A symbol can be on both sides of a date with few rows. Ties are broken by symbol.
+    A symbol can be on both sides of a date with few rows. Ties are broken by symbol. ``stored`` says that the rows are stored
+    already, or cost less to read twice than to store.
     """
     require_columns(scored, ("date", "symbol", score, outcome), "scored returns")
     groups = [*keys, "date"]
@@ -77,7 +78,7 @@ def positions(
         "score is not null and outcome is not null"
     )
     longs, shorts = _wanted(F.col("__n"), config.long_fraction), _wanted(F.col("__n"), config.short_fraction)
-    rows = with_ends(rows, groups, "score", shorts, longs)
+    rows = with_ends(rows, groups, "score", shorts, longs, stored=stored)
     sides = F.array_compact(F.array(F.when(F.col("__high"), F.lit("long")), F.when(F.col("__low"), F.lit("short"))))
     held = rows.withColumn("side", F.explode(sides))
     cap = F.lit(config.max_position_weight)
@@ -137,19 +138,19 @@ def apply_risk_controls(daily: DataFrame, config: EvaluationConfig, keys=(), ret
 
 def long_short_returns(
     scored: DataFrame, config: EvaluationConfig | None = None, keys=(), *, score: str = "score",
-    outcome: str = "forward_return",
+    outcome: str = "forward_return", stored: bool = False,
 ) -> DataFrame:
     config = config or EvaluationConfig()
-    held = positions(scored, config, keys, score=score, outcome=outcome)
+    held = positions(scored, config, keys, score=score, outcome=outcome, stored=stored)
     return apply_risk_controls(daily_returns(held, config, keys), config, keys)
 
 
 def portfolio_diagnostics(
     predictions: DataFrame, config: EvaluationConfig | None = None, *, score: str = "score",
-    outcome: str = "forward_return",
+    outcome: str = "forward_return", stored: bool = False,
 ) -> DataFrame:
     """Daily returns per split, then equity across all splits in (split, date) order."""
-    daily = long_short_returns(predictions, config, ["split_id"], score=score, outcome=outcome)
+    daily = long_short_returns(predictions, config, ["split_id"], score=score, outcome=outcome, stored=stored)
     order = ["split_id", "date"]
     return daily.withColumns(
         {"raw_equity": compounded("net_return", order), "risk_equity_full": compounded("risk_net_return", order)}
