@@ -15,7 +15,7 @@ from panelspark.functions import calendar
 from panelspark.functions.crosssection import WHOLE, with_group_stats, with_percent_ranks
 from panelspark.functions.scalar import change, ratio
 from panelspark.functions.rolling import Roll, with_rolling
-from panelspark.functions.windows import lag, lead, rolling_mean, rolling_std, with_ewm
+from panelspark.functions.windows import lag, lead, rolling_mean, rolling_std, with_ewm, with_ewm_blocks
 from panelspark.session import require_columns
 
 RETURN_WINDOWS = (5, 10, 20, 40, 60, 120)
@@ -142,9 +142,9 @@ def rsi(df: DataFrame, price: str = "adj_close", w: int = 14) -> DataFrame:
 
 def macd(df: DataFrame, price: str = "adj_close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     line, smooth, gap = f"macd_{fast}_{slow}", f"macd_signal_{signal}", f"macd_histogram_{fast}_{slow}_{signal}"
-    df = with_ewm(df, {"__fast": (price, fast), "__slow": (price, slow)})
+    df = with_ewm(with_ewm_blocks(df), {"__fast": (price, fast), "__slow": (price, slow)})
     df = df.withColumn(line, F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
-    df = with_ewm(df, {smooth: (line, signal)})
+    df = with_ewm(df, {smooth: (line, signal)}).drop("__b", "__r")
     return df.withColumn(gap, F.col(line) - F.col(smooth))
 
 
