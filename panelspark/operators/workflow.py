@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators import discovery, lanes, portfolio
+from panelspark.session import cut_lineage
 
 STAGES = ("discovery", "lane_backtest", "portfolio_backtest")
 
@@ -56,6 +57,7 @@ def run_workflow(
     if "lane_backtest" not in skip:
         dates = lanes.rebalance_dates(prices, rebalance)
         trades = lanes.lane_backtest(frame, dates, config=discovery_config, top_n=top_n, horizons=horizons, watchlist=watchlist, within=prices)
+        trades = cut_lineage(trades)  # a few rows per lane and date, read by the summary and several times by the portfolio
         keep("lane_backtest", {"trades": trades, "summary": lanes.lane_summary(trades, horizons)})
     if "portfolio_backtest" not in skip:
         if trades is None:
