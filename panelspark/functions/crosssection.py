@@ -37,8 +37,8 @@ def with_group_stats(df: DataFrame, keys, stats: dict[str, Column]) -> DataFrame
     return null_safe_join(df, table, keys)
 
 
-def with_row_index(df: DataFrame, keys, order, out: str) -> DataFrame:
-    """Exact 1-based position of each row in its group under ``order``.
+def with_row_index(df: DataFrame, keys, order, out: str, size: str | None = None) -> DataFrame:
+    """Exact 1-based position of each row in its group under ``order``, and with ``size`` the number of the group's rows.
 
     A range partitioning on the keys and the order columns cuts hot groups, and long runs of equal values when ``order`` ends in a
     unique key, into many tasks. Each task's rows are sorted and numbered as they stand; a small table of where the groups start
@@ -50,8 +50,9 @@ def with_row_index(df: DataFrame, keys, order, out: str) -> DataFrame:
     placed = placed.withColumn("__slice", F.shiftright("__at", 33))
     starts = placed.groupBy("__slice", *keys).agg(F.min("__at").alias("__start"), F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("__slice", *keys, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__start") + 1).alias("__shift"))
-    numbered = null_safe_join(placed, starts, ["__slice", *keys])
+    sizes = [F.sum("__n").over(Window.partitionBy(*keys)).alias(size)] if size else []
+    starts = cut_lineage(starts.select("__slice", *keys, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__start") + 1).alias("__shift"), *sizes))
+    numbered = null_safe_join(placed, F.broadcast(starts) if starts.count() <= BROADCAST_GROUPS else starts, ["__slice", *keys])
     return numbered.withColumn(out, (F.col("__at") + F.col("__shift")).cast("int")).drop("__slice", "__at", "__shift")
 
 
@@ -76,13 +77,13 @@ def _running_counts(rows: DataFrame, keys, value: str) -> DataFrame:
     return joined.select(*keys, value, "__ties", (F.col("__before") + F.col("__inside")).alias("__below"))
 
 
-def with_average_ranks(df: DataFrame, keys, ranks: dict[str, tuple[str, bool]], tie_break=("symbol",)) -> DataFrame:
+def with_average_ranks(df: DataFrame, keys, ranks: dict[str, tuple[str, bool]], tie_break=("symbol",), stored: bool = False) -> DataFrame:
     """Rank of each value in its group with ties averaged; null values stay unranked.
 
     ``ranks`` maps an output name to ``(value column, ascending)``. All ranks of a frame are found in one pass over
-    (name, value) pairs; ``keys`` and ``tie_break`` together identify a row.
+    (name, value) pairs; ``keys`` and ``tie_break`` together identify a row. ``stored`` says that ``df`` is stored already.
     """
-    return _average_ranks(cut_lineage(df), keys, ranks, tie_break)  # read several times below
+    return _average_ranks(df if stored else cut_lineage(df), keys, ranks, tie_break)  # read several times below
 
 
 #: Up to so many ranked columns, each one's running counts are joined to the rows; more are ranked together as (name, value) pairs.
@@ -349,8 +350,7 @@ def _windowed_percent_ranks(df: DataFrame, keys, ranks, flat_value, stats) -> Da
 def with_quantile_bucket(df: DataFrame, keys, value: str, out: str, buckets: int = 10, tie_break=("symbol",)) -> DataFrame:
     """Equal-frequency bucket 1..n of the row position, right-closed like a quantile cut."""
     rows = df.filter(F.col(value).isNotNull())
-    placed = with_row_index(rows, keys, [F.col(value).asc(), *tie_break], "__pos")
-    placed = with_group_stats(placed, keys, {"__n": F.count("*")})
+    placed = with_row_index(rows, keys, [F.col(value).asc(), *tie_break], "__pos", "__n")
     spread = F.try_divide((F.col("__pos") - 1) * F.lit(float(buckets)), F.col("__n") - 1)
     bucket = F.greatest(F.lit(1), F.ceil(F.coalesce(spread, F.lit(0.0)))).cast("int")
     return placed.withColumn(out, bucket).drop("__pos", "__n")

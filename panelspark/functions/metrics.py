@@ -56,9 +56,9 @@ def drawdown_of_values(df: DataFrame, value: str, order, keys=(), out: str = "ma
 
 def information_coefficient(
     df: DataFrame, keys, prediction: str, realised: str, out: str = "ic",
-    tie_break=("date", "symbol"),
+    tie_break=("date", "symbol"), stored: bool = False,
 ) -> DataFrame:
-    """Spearman correlation per group over rows where both values are present."""
+    """Spearman correlation per group over rows where both values are present. ``stored`` says that the rows need not be stored."""
     rows = df.filter(F.col(prediction).isNotNull() & F.col(realised).isNotNull())
     rows = rows.select(*dict.fromkeys([*keys, *tie_break, prediction, realised]))
     if not keys:
@@ -66,7 +66,7 @@ def information_coefficient(
     else:
         keys_used = list(keys)
     ranked = with_average_ranks(
-        rows, keys_used, {"__p": (prediction, True), "__y": (realised, True)}, tie_break
+        rows, keys_used, {"__p": (prediction, True), "__y": (realised, True)}, tie_break, stored
     )
     scored = ranked.groupBy(*keys_used).agg(
         F.when(

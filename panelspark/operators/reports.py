@@ -27,7 +27,7 @@ def score_buckets(
     predictions: DataFrame, *, score: str = "score", target: str = "target", outcome: str = "forward_return", buckets: int = 10,
 ) -> DataFrame:
     """Statistics per split and score decile."""
-    rows = predictions.dropna(subset=[score, target, outcome])
+    rows = predictions.dropna(subset=[score, target, outcome]).select(*dict.fromkeys(["split_id", "date", "symbol", score, target, outcome]))
     placed = with_quantile_bucket(rows, ["split_id"], score, "score_bucket", buckets, ("date", "symbol"))
     keys = ["split_id", "score_bucket"]
     table = placed.groupBy(*keys).agg(
